@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import mixing, packing, pii, secret_scan, warc
+from verdictlake.llm import mixing, omh, packing, pii, secret_scan, warc
 from verdictlake.llm.common import ship_package
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_normalise": _on("pages", warc.op3),
     "op4_secret_entropy": _on("documents", secret_scan.op4),
     "op8_pivotal_mix": _on("documents", mixing.op8),
+    "op9_order_minhash": _on("documents", omh.op9),
     "op10_linear_grouping_pack": _on("documents", packing.op10),
 }
 
