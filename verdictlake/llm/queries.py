@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import mixing, omh, packing, pii, secret_scan, warc
+from verdictlake.llm import mixing, ngram_join, omh, packing, pii, secret_scan, warc
 from verdictlake.llm.common import ship_package
 
 
@@ -20,6 +20,7 @@ def _on(table: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_bootstrap": _on("documents", pii.op1),
+    "op2_ngram_components": _on("documents", ngram_join.op2),
     "op3_warc_normalise": _on("pages", warc.op3),
     "op4_secret_entropy": _on("documents", secret_scan.op4),
     "op8_pivotal_mix": _on("documents", mixing.op8),
