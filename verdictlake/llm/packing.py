@@ -24,7 +24,11 @@ VOCABULARY = "word_bpe_49k.json"
 #: Lengths above capacity / SMALL are grouped; groups of large pieces.
 SMALL, GROUPS = 8, 512
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
+#: ASCII punctuation but for the apostrophe, which can start a suffix of its own.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Code points of the texts that are looked up together.
+TOGETHER = 1 << 20
 
 PIECES = "doc_id long, part int, piece int, start long, length int, ids_crc32 long, place long"
 
@@ -32,7 +36,8 @@ PIECES = "doc_id long, part int, piece int, start long, length int, ids_crc32 lo
 class WordIds:
     """Token ids of texts through a tokenizer, word by word: exact, as no token of this vocabulary spans white space.
 
-    Ids of words seen are kept, up to KEPT_WORDS.
+    Punctuation after a word's last letter or digit is looked up by itself, and words of letters alone are encoded
+    many at a time. Ids of what was seen are kept, up to KEPT_WORDS.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,18 +45,57 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """The ids of a text, 4 bytes each."""
-        words = text.encode().split()  # at ASCII white space only
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Like _encode for words of letters: each is one unit before merges, so runs of words can share a call."""
+        out: list[bytes] = []
+        runs = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for run, coded in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(run):
+                out += self._encode(run)
+                continue
+            data, start = ids.tobytes(), 0
+            for end in (4 * ends).tolist():
+                out.append(data[start:end])
+                start = end
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        whole, parts, letters, known = [], [], {}, self.known
+        for word in words:
+            stem = word.rstrip(PUNCTUATION)
+            text, tail = stem.decode(), word[len(stem) :]
+            if text.isalpha() and text.lower().isalpha():
+                parts.append((word, stem, tail))
+                if stem not in known:
+                    letters[stem] = text
+                if tail and tail not in known:
+                    known[tail] = self._encode([tail.decode()])[0]
+            else:
+                whole.append(word)
+        known.update(zip(letters, self._encode_letters(list(letters.values())), strict=True))
+        for word, stem, tail in parts:
+            if tail:
+                known[word] = known[stem] + known[tail]
+        known.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, 4 bytes each."""
+        split = [text.encode().split() for text in texts]  # at ASCII white space only
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
         known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for word, coded in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[word] = np.array(coded.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if new := {word for words in split for word in words if word not in known}:
+            self._learn(sorted(new))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -60,6 +104,19 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def coded(texts: list[str | None], ids_of: WordIds) -> Iterator[bytes]:
+    """The ids of texts, with no more than TOGETHER code points and a text looked up at once."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield from ids_of(held)
+            held, size = [], 0
+    yield from ids_of(held)
+
+
 def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of each document's ids followed by END: part, piece, start, length, crc32, and place among its length's in part.
 
@@ -73,8 +130,8 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = ids_of(text or "") + end
+            for doc_id, data in zip(batch.column(0).to_pylist(), coded(batch.column(1).to_pylist(), ids_of), strict=True):
+                data += end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[at : at + 4 * capacity]
                     length = len(cut) // 4
