@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import mixing, ngram_join, omh, packing, pii, secret_scan, warc
+from verdictlake.llm import ann, mixing, ngram_join, omh, packing, pii, secret_scan, toxicity, warc
 from verdictlake.llm.common import ship_package
 
 
@@ -18,11 +18,18 @@ def _on(table: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
     return query
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return toxicity.op7(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_bootstrap": _on("documents", pii.op1),
     "op2_ngram_components": _on("documents", ngram_join.op2),
     "op3_warc_normalise": _on("pages", warc.op3),
     "op4_secret_entropy": _on("documents", secret_scan.op4),
+    "op6_cross_polytope": _on("embeddings", ann.op6),
+    "op7_toxicity_chain": _toxicity,
     "op8_pivotal_mix": _on("documents", mixing.op8),
     "op9_order_minhash": _on("documents", omh.op9),
     "op10_linear_grouping_pack": _on("documents", packing.op10),
