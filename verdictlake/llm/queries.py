@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import ann, mixing, ngram_join, omh, packing, pii, secret_scan, toxicity, warc
+from verdictlake.llm import ann, html_text, mixing, ngram_join, omh, packing, pii, secret_scan, toxicity, warc
 from verdictlake.llm.common import ship_package
 
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_components": _on("documents", ngram_join.op2),
     "op3_warc_normalise": _on("pages", warc.op3),
     "op4_secret_entropy": _on("documents", secret_scan.op4),
+    "op5_site_template": _on("pages", html_text.op5),
     "op6_cross_polytope": _on("embeddings", ann.op6),
     "op7_toxicity_chain": _toxicity,
     "op8_pivotal_mix": _on("documents", mixing.op8),
