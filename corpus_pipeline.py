@@ -1,8 +1,56 @@
-"""A corpus pipeline: toxicity, near duplicates, secrets, mixing, packing."""
+"""A corpus pipeline over documents: toxicity, near duplicates, secrets, mixing, packing.
 
-STAGES: list = []
+Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next
+one's docs. run() applies them in order. Tables between stages lie in the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdictlake.llm import mixing, ngram_join, packing, secret_scan, toxicity
+from verdictlake.llm.common import ship_package, stable
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on this folder's labels, does not call toxic."""
+    ship_package(spark)
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near duplicates."""
+    ship_package(spark)
+    return ngram_join.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark; n_chars is the new length."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    ship_package(spark)
+    return mixing.apply(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its place in a training sequence."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_join", keep_one_of_near_duplicates), ("secret_scan", redact_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
+
+#: SQL can express neither a fitted classifier nor random rounding; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
