@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Lengths above capacity / SMALL are grouped; groups of large pieces.
 SMALL, GROUPS = 8, 512
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 #: ASCII punctuation but for the apostrophe, which can start a suffix of its own.
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Code points of the texts that are looked up together.
@@ -104,6 +105,12 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process: tasks that follow one another share it."""
+    return WordIds(path)
+
+
 def coded(texts: list[str | None], ids_of: WordIds) -> Iterator[bytes]:
     """The ids of texts, with no more than TOGETHER code points and a text looked up at once."""
     held: list[str] = []
@@ -126,7 +133,7 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, ids_of = TaskContext.get().partitionId(), {}, WordIds(path or tokenizer_path())
+        part, seen, ids_of = TaskContext.get().partitionId(), {}, word_ids(path or tokenizer_path())
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
