@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -32,11 +33,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there, and every reader sees the same rows."""
+    """Writes df to the shared folder and reads it back: its lineage ends there, and every reader sees the same rows.
+
+    Before that, the driver lets go of what earlier jobs left, so that Spark removes their shuffle files.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stable_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that stable() wrote; nothing may read it any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stable_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
