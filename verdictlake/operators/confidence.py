@@ -55,8 +55,8 @@ def average_ranks(points: DataFrame, value: str, by: list[str], name: str) -> Da
 def spearman(points: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Spearman's correlation by group, rounded to 3; null for fewer than 3 points or no variance."""
     ranked = average_ranks(average_ranks(points, x, by, "_rx"), y, by, "_ry")
-    rho = F.corr("_rx", "_ry")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & ~F.isnan(rho), F.round(rho, 3)).alias("rho"))
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))  # corr() fails without variance
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.round(rho, 3)).alias("rho"))
 
 
 def gate_outcomes(decisions: DataFrame) -> DataFrame:
