@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdictlake.llm import ann, html_text, mixing, ngram_join, omh, packing, pii, secret_scan, toxicity, warc
 from verdictlake.llm.common import ship_package
+from verdictlake.llm.oracles import SQL
 
 
 def _on(table: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,5 +36,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_order_minhash": _on("documents", omh.op9),
     "op10_linear_grouping_pack": _on("documents", packing.op10),
 }
-
-SQL: dict[str, str] = {}
