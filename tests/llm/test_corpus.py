@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import DATA
@@ -104,7 +105,7 @@ def test_pivot_keeps_words_and_expectation():
 
 def test_global_index(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k").repartition(7)
-    assert all(r.k == r.idx for r in global_index(df, [df["k"].asc()], "t").collect())
+    assert all(r.k == r.idx for r in global_index(df, [F.col("k").asc()], "t").collect())
 
 
 def plain_fingerprint(text):
