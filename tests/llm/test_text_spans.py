@@ -69,6 +69,33 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(found[100 + i] == "" for i in range(20))
 
 
+def test_context_half_unseen(spark):
+    rows = [(i, f"please write to our office line {'+1 (555) 010-%04d' % i if i < 40 else '555 010 %04d' % i} thanks a lot") for i in range(80)]
+    found = {r.doc_id: r.spans for r in pii.op1(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    assert all(found[i] == "phone:32:44" for i in range(40, 80))
+
+
+def test_discovered_identifiers_support_contexts(spark):
+    seeds = [(i, f"please write to our office line +1 (555) 010-{i:04} thanks a lot") for i in range(40)]
+    both = [(100 + i, f"please write to our office line 555 020 {i:04} thanks a lot. Their desk extension 555 020 {i:04} works too") for i in range(20)]
+    far = [(200 + i, f"Their desk extension 555 030 {i:04} works too") for i in range(20)]
+    farther = [(300 + i, f"Their desk extension 555 030 {i:04} works too; evening number 555 030 {i:04} perhaps, evening number 555 040 {i:04} perhaps") for i in range(20)]
+    other = [(400 + i, f"the total of that year was {5_550_000 + i} units in all") for i in range(20)]
+    found = {r.doc_id: r.spans for r in pii.op1(spark.createDataFrame(seeds + both + far + farther + other, "doc_id LONG, text STRING")).collect()}
+    assert all(found[100 + i] == "phone:32:44,phone:80:92" for i in range(20))
+    assert all(found[200 + i] == "phone:21:33" for i in range(20))
+    assert all(found[300 + i].count("phone:") == 3 for i in range(20))
+    assert all(found[400 + i] == "" for i in range(20))
+
+
+def test_known_other_kinds_and_forms_count_against_a_context(spark):
+    rows = [(i, f"the code given was {'+1 (555) 010-%04d' % i if i < 20 else 'u%d@a.example' % i if i < 40 else '555 010 %04d' % i} by then") for i in range(60)]
+    rows += [(100 + i, f"our serial mark is {'+1 (555) 020-%04d' % i if i < 20 else '5550200000000000%02d' % i} by now") for i in range(40)]
+    found = {r.doc_id: r.spans for r in pii.op1(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    assert all(found[i] == "" for i in range(40, 60))
+    assert all("phone" not in found[100 + i] for i in range(20, 40))
+
+
 def test_secret_base_spans(spark):
     docs = corpus(spark)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}

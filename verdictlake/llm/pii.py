@@ -88,31 +88,52 @@ def patterns_of(left: Column, right: Column) -> Column:
     return F.array_compact(F.array(F.when(pair != "", F.concat(F.lit("l:"), pair)), both))
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, min_seeds: int = 3, confident: float = 0.8) -> DataFrame:
+def _forms(inst: Column) -> Column:
+    """The kinds that a candidate's form allows, as a bit for each place in KINDS; inst is its text without separators."""
+    n = F.length(inst)
+    card = F.when(n.between(12, 19), luhn(inst)).otherwise(False)
+    bits = {"ip": n <= 12, "card": card, "phone": n.between(7, 15)}
+    number = sum((F.when(x, 1 << KINDS.index(k)).otherwise(0) for k, x in bits.items()), F.lit(0))
+    return F.when(inst.rlike("^[0-9]+$"), number).otherwise(1 << KINDS.index("email"))
+
+
+def bootstrap(found: DataFrame, min_seeds: int = 3, confident: float = 0.8) -> DataFrame:
     """Scores the graph of patterns and instances; returns the candidates' rows (key, s, e, v) with kind and confidence.
 
-    found: key columns with base and cand as mentions() gives them. A pattern's confidence in a kind is the sum of
-    its distinct instances' confidences in that kind over their number plus one; patterns under `confident`, or with
-    fewer than `min_seeds` seed instances, say nothing. An instance that is no seed takes the best of its patterns'
-    confidences times the share of its patterns that are confident in the kind; so further rounds let instances
-    that patterns found support other patterns. Candidates stay where their best kind reaches `confident`.
+    found: key columns with base and cand as mentions() gives them. Seeds are known in their kind with confidence 1.
+    A pattern's confidence in a kind is the sum w of its known instances' confidences in it over w, plus those known
+    in other kinds, plus the number of instances whose form rules the kind out, plus one; other candidates are unknown
+    and count neither way. Patterns under `confident`, or with fewer than `min_seeds` known instances of the kind, say
+    nothing. A candidate takes the best of its patterns' confidences times the share that is confident in the kind of
+    those of its patterns that have `min_seeds` known instances at all; from `confident` on it is known and supports
+    patterns of its own in the next round. What is known stays known, so rounds end when one adds nothing.
+    Candidates stay where their best kind reaches `confident`.
     """
     keys = [c for c in found.columns if c not in ("base", "cand")]
     rows = found.where((F.size("base") > 0) | (F.size("cand") > 0)).select(*keys, F.explode(F.concat("base", "cand")).alias("x"))
-    edges = rows.select(*keys, "x.s", "x.e", "x.k", "x.v", F.sha2(F.regexp_replace(F.lower("x.v"), r"[\x20().-]", ""), 256).alias("inst"), F.explode(patterns_of(F.col("x.l"), F.col("x.r"))).alias("pat"))
+    rows = rows.select(*keys, "x.s", "x.e", "x.k", "x.v", F.regexp_replace(F.lower("x.v"), r"[\x20().-]", "").alias("plain"), patterns_of(F.col("x.l"), F.col("x.r")).alias("pats"))
+    edges = rows.select(*keys, "s", "e", "k", "v", F.sha2("plain", 256).alias("inst"), F.when(F.col("k") == "cand", _forms(F.col("plain"))).alias("forms"), F.explode("pats").alias("pat"))
     edges = stable(edges, "pii-edges")
-    graph = stable(edges.groupBy("pat", "inst").agg(F.max(F.when(F.col("k") != "cand", F.col("k"))).alias("seed")), "pii-graph")
-    total = graph.groupBy("pat").agg(F.count("*").alias("n"))
-    known = graph.where("seed IS NOT NULL").select("inst", F.col("seed").alias("kind"), F.lit(1.0).alias("conf")).distinct()
-    good = None
-    for i in range(rounds):
-        score = graph.join(known, "inst").groupBy("pat", "kind").agg(F.sum("conf").alias("w"), F.count(F.when(F.col("seed") == F.col("kind"), 1)).alias("seeds"))
-        good = stable(score.where(F.col("seeds") >= min_seeds).join(total, "pat").withColumn("pc", F.col("w") / (F.col("n") + 1)).where(F.col("pc") >= confident).select("pat", "kind", "pc"), f"pii-patterns-{i}")
-        free = graph.where("seed IS NULL")
+    graph = stable(edges.groupBy("pat", "inst").agg(F.max(F.when(F.col("k") != "cand", F.col("k"))).alias("seed"), F.max("forms").alias("forms")), "pii-graph")
+    known = stable(graph.where("seed IS NOT NULL").select("inst", F.col("seed").alias("kind"), F.lit(1.0).alias("conf")).distinct(), "pii-instances")
+    while True:
+        of = lambda k: F.col("kind") == k
+        against = lambda k: F.col("kind").isNull() & (F.col("forms").bitwiseAND(1 << KINDS.index(k)) == 0)
+        counts = [c for k in KINDS for c in (F.sum(F.when(of(k), F.col("conf")).otherwise(0.0)).alias(f"w_{k}"), F.count_if(of(k)).alias(f"n_{k}"), F.count_if(against(k)).alias(f"no_{k}"))]
+        score = graph.join(known, "inst", "left").groupBy("pat").agg(*counts).where(sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)) >= min_seeds)
+        whole = sum((F.col(f"w_{k}") for k in KINDS), F.lit(0.0))
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(f"w_{k}") / (whole + F.col(f"no_{k}") + 1)).alias("pc"), F.col(f"n_{k}").alias("n")) for k in KINDS])
+        judged = stable(score.select("pat", F.filter(kinds, lambda x: (x["n"] >= min_seeds) & (x["pc"] >= confident)).alias("good")), "pii-patterns")
+        free = graph.where("seed IS NULL").join(known, "inst", "left_anti").join(judged, "pat")
         degree = free.groupBy("inst").agg(F.count("*").alias("d"))
-        new = free.join(good, "pat").groupBy("inst", "kind").agg(F.max("pc").alias("m"), F.count("*").alias("c")).join(degree, "inst")
-        new = new.select("inst", "kind", (F.col("m") * F.col("c") / F.col("d")).alias("conf"))
-        known = stable(graph.where("seed IS NOT NULL").select("inst", F.col("seed").alias("kind"), F.lit(1.0).alias("conf")).distinct().unionByName(new), f"pii-instances-{i}")
+        votes = free.select("inst", "forms", F.explode("good").alias("g")).where(F.col("forms").bitwiseAND(F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, 1 << KINDS.index(k))]), F.col("g.kind"))) != 0)
+        votes = votes.groupBy("inst", F.col("g.kind").alias("kind")).agg(F.max("g.pc").alias("m"), F.count("*").alias("c")).join(degree, "inst")
+        new = votes.select("inst", "kind", (F.col("m") * F.col("c") / F.col("d")).alias("conf")).where(F.col("conf") >= confident)
+        new = stable(new.groupBy("inst").agg(F.max(F.struct("conf", "kind")).alias("b")).select("inst", "b.kind", "b.conf"), "pii-new")
+        if new.isEmpty():
+            break
+        known = stable(known.unionByName(new), "pii-instances")
+    good = judged.select("pat", F.explode("good").alias("g")).select("pat", "g.kind", "g.pc")
     best = edges.where(F.col("k") == "cand").join(good, "pat").groupBy(*keys, "s", "e", "v").agg(F.max(F.struct("pc", "kind")).alias("b"))
     return best.select(*keys, "s", "e", "v", F.col("b.kind").alias("kind"), F.col("b.pc").alias("conf"))
 
