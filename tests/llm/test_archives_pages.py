@@ -82,3 +82,19 @@ def test_template_by_host(spark):
     assert got[100] == "Same box\n\nText 0" and got[200] == "" and got[None] == "Same"
     assert got[300] == "mirror"  # the same page again and again is one page
     assert html_text.op5(spark.createDataFrame([], "page_id LONG, url STRING, html STRING")).collect() == []
+
+
+def test_template_does_not_depend_on_host_size(spark):
+    box = lambda i: "<div>Same box</div>" if i % 100 == 0 else ""
+    rows = [(i, f"http://big.example/{i}", f"<div>{box(i)}<p>Text {i} of its own</p></div>") for i in range(1, 2001)]
+    rows += [(2000 + i, f"http://big.example/{i}", f"<div><div>Rare box</div><p>Rare {i}</p></div>") for i in range(1, 6)]
+    got = {r.page_id: r.text for r in html_text.op5(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == f"Text {i} of its own" for i in range(1, 2001))
+    assert all(got[2000 + i] == f"Rare box\n\nRare {i}" for i in range(1, 6))  # five pages are not many
+
+
+def test_template_below_a_hundredth_of_the_host(spark):
+    rows = [(i, f"http://big.example/{i}", f"<div>{'<div>Same box</div>' if i < 12 else ''}<p>Text {i} of its own</p></div>") for i in range(1500)]
+    got = {r.page_id: r.text for r in html_text.op5(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()}
+    assert all(got[i] == f"Text {i} of its own" for i in range(1500))

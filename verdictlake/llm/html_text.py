@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from verdictlake.llm.common import stable
 
-#: A subtree is template if at least so many different pages of its host, and this share of them, have it.
-MIN_PAGES, MIN_SHARE = 10, 0.01
+#: A subtree is template if at least so many different pages of its host have it, however many pages the host has.
+MIN_PAGES = 10
+#: Parts into which the pages of one (host, subtree), and the copies of one page, are dealt.
+SALTS, COPY_SALTS = 16, 4
 
 # HTML elements by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -185,32 +187,31 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def template_of(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """For each host, the hashes of its template: (host, template array<long>).
+def _page(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
-    A subtree's pages are counted once for each different content. A host has at most 1 / min_share times as many
-    template subtrees as its pages have subtrees on average, so a row stays small.
+
+def template_of(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """For each page by host and content hash, the hashes of its template subtrees: (host, page, template array<long>).
+
+    A subtree's pages are counted once for each different content. Pages without template have no row; an array holds
+    subtrees of its own page only, so no row grows with its host.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, body, mark = [], [], []
-            for h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page = Page(text or "")
-                marks = [None, *page.subtrees]  # None stands for the page itself
-                host += [h] * len(marks)
-                body += [page.body] * len(marks)
-                mark += marks
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(body, pa.int64()), pa.array(mark, pa.int64())], names=["host", "body", "mark"])
-
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, body long, mark long").distinct()
-    counts = stable(seen.groupBy("host", "mark").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("mark").isNull()), "html-counts")
-    total = counts.where("mark IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("mark IS NOT NULL").join(total, "host").where(F.col("n") >= F.col("pages") * min_share)
-    return stable(often.groupBy("host").agg(F.collect_list("mark").alias("template")), "html-template")
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            found = [Page(text or "") for text in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array([x.body for x in found], pa.int64()), pa.array([list(x.subtrees) for x in found], pa.list_(pa.int64()))], names=["host", "page", "body", "marks"])
+
+    parsed = pages.select(host_of(F.col("url")).alias("host"), _page("html").alias("page"), "html").mapInArrow(run, "host string, page long, body long, marks array<long>")
+    seen = stable(parsed, "html-subtrees").select("host", "page", "body", F.explode("marks").alias("mark"))
+    often = seen.select("host", "body", "mark").distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = often.select("host", "mark", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = seen.select("host", "page", "mark").distinct().withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(often, ["host", "mark", "salt"])
+    return stable(met.groupBy("host", "page").agg(F.collect_set("mark").alias("template")), "html-template")
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html).
 
     Template subtrees of the page's host are deleted, then what HTML marks as no part of the article: navigation,
@@ -218,8 +219,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     template. Null and empty html give empty text; a null url belongs to the host without name; repeated rows and
     null ids give rows of their own; an empty table an empty result. Other columns are not read.
     """
-    template = template_of(pages, min_pages, min_share)
-    work = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(template, "host", "left").select("page_id", "url", "html", "template")
+    template = template_of(pages, min_pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
+    work = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), _page("html").alias("page"), F.pmod(F.xxhash64("page_id"), F.lit(COPY_SALTS)).cast("int").alias("salt"))
+    work = work.join(template.hint("merge"), ["host", "page", "salt"], "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
