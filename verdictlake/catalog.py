@@ -374,8 +374,10 @@ def mojibake_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fix_mojibake(damaged, "text").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(_read(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+def _search(spark: SparkSession, sf_dir: str, asked: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and as queries those that a condition picks."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return vectors, vectors.where(asked).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 _DOT = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -383,18 +385,36 @@ _DOT = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]),
 
 @query(f"SELECT e.vec_id, {_DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.top_k(_read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 10)
+    found = retrieval.top_k(*_search(spark, sf_dir, "vec_id = 0"), 10)
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
+_ALL = f"""SELECT q.vec_id AS query_id, e.vec_id, e.label = 3 AS v, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id)::INT AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0"""
+
+
+@query(f"SELECT query_id, vec_id, score, rank FROM ({_ALL}) WHERE rank <= 10")
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cosine_topk for every vector whose id is divisible by 100."""
+    found = retrieval.top_k(*_search(spark, sf_dir, "vec_id % 100 = 0"), 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""WITH s AS (SELECT e.vec_id, e.label = 3 AS v, {_DOT} AS score, row_number() OVER (ORDER BY list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rn FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
 w AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY rn) AS n FROM s WHERE rn <= 200), k AS (SELECT least(2, count(*) FILTER (WHERE v)) AS kept FROM w)
 SELECT vec_id, score, row_number() OVER (ORDER BY rn)::INT AS rank FROM w, k WHERE CASE WHEN v THEN n <= 2 ELSE n <= 8 - kept END""")
 def tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.tiered_search(_read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 8, F.col("label") == 3)
+    found = retrieval.tiered_search(*_search(spark, sf_dir, "vec_id = 0"), 8, F.col("label") == 3)
     return found.select("vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""WITH s AS ({_ALL}), w AS (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY rank) AS n FROM s WHERE rank <= 200), k AS (SELECT query_id, least(2, count(*) FILTER (WHERE v)) AS kept FROM w GROUP BY 1)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY w.rank)::INT AS rank FROM w JOIN k USING (query_id) WHERE CASE WHEN v THEN n <= 2 ELSE n <= 8 - kept END""")
+def tiered_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tiered_search for every vector whose id is divisible by 100."""
+    found = retrieval.tiered_search(*_search(spark, sf_dir, "vec_id % 100 = 0"), 8, F.col("label") == 3)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""WITH k AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts END AS d FROM events), c AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS middle FROM events), f AS (SELECT k.* FROM k, c WHERE d IS NULL OR d <= middle),
 m AS (SELECT user_id, max(d) AS last FROM f GROUP BY user_id) SELECT f.user_id, event_id FROM f JOIN m ON f.user_id = m.user_id WHERE d IS NULL OR d = last""")
 def asof_version(spark: SparkSession, sf_dir: str) -> DataFrame:

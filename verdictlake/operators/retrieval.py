@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,24 +30,56 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def top_k(chunks: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k rows nearest to one query by inner product of normalised vectors, ties to the smaller key, with score and rank.
+def top_k(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 8192, query_block: int = 4096) -> DataFrame:
+    """For each row of queries (query_id, vector) its k nearest rows of chunks by inner product of normalised vectors.
 
-    A task keeps its k best rows, so k rows of each task meet, not the table.
+    Columns: query_id, the chunks' columns but the vector, score, rank; ties go to the smaller key, null keys last.
+    Rows without a vector are left out; repeated rows of queries count once; no queries or no chunks give no rows.
+    Blocks of chunks meet blocks of queries, each pair of blocks keeps k rows a query, and these are merged per query.
     """
-    q = F.array(*[F.lit(float(v)) for v in query])
-    best = chunks.withColumn("score", dot(F.col(vector), q)).orderBy(F.desc("score"), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
-
-
-def tiered_search(chunks: DataFrame, query: list[float], k: int, verified: Column, slots: int = 2, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Top k of a wide net of max(20 k, 200) with up to `slots` places kept for verified rows."""
-    net = top_k(chunks, query, max(20 * k, 200), key, vector).withColumn("_v", verified)
-    within = F.row_number().over(Window.partitionBy("_v").orderBy("rank"))
-    net = net.withColumn("_n", within)
-    kept = F.least(F.lit(slots), F.count_if("_v").over(Window.partitionBy()))
-    chosen = net.withColumn("_kept", kept).where(F.when(F.col("_v"), F.col("_n") <= slots).otherwise(F.col("_n") <= k - F.col("_kept")))
-    return chosen.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key))).where(F.col("rank") <= k).drop("_v", "_n", "_kept")
+    rest = [c for c in chunks.columns if c != vector]
+    asked = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).cast("array<double>").alias("_v")).distinct().withColumn("_q", F.xxhash64("_v"))
+    rows = chunks.where(F.col(vector).isNotNull()).select(*rest, F.col(vector).cast("array<double>").alias("_v"))
+    n, m = -(-rows.count() // block), -(-asked.count() // query_block)
+    spread = lambda df, at, size, other, count: df.withColumn(at, F.pmod(F.xxhash64(*df.columns), F.lit(size)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    left = spread(rows, "_b", max(n, 1), "_a", max(m, 1)).groupBy("_b", "_a")
+    right = spread(asked, "_a", max(m, 1), "_b", max(n, 1)).groupBy("_b", "_a")
+    out = asked.select("query_id", "_q").join(rows.select(*rest), F.lit(False)).withColumn("score", F.lit(0.0)).schema
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(len(column), -1)
+
+    def match(x: pa.Table, q: pa.Table) -> pa.Table:
+        parts = []
+        if len(x) and len(q):
+            xs, qs = matrix(x["_v"]), matrix(q["_v"])
+            ids = x[key].fill_null(np.iinfo(np.int64).max).to_numpy() if pa.types.is_integer(x[key].type) else np.array(x[key].to_pylist(), dtype=object)
+            for i, v in enumerate(qs):
+                score = np.einsum("ij,j->i", xs, v)  # not BLAS: equal vectors get equal sums wherever they lie
+                near = np.arange(len(xs)) if len(xs) <= k else np.flatnonzero(score >= np.partition(score, len(xs) - k)[len(xs) - k])
+                near = near[np.lexsort((ids[near], -score[near]))[:k]]
+                part = x.select(rest).take(pa.array(near))
+                columns = [pa.repeat(q["query_id"][i], len(near)), pa.repeat(q["_q"][i], len(near)), *part.columns, pa.array(score[near])]
+                parts.append(pa.table(columns, names=["query_id", "_q", *rest, "score"]))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in (q["query_id"].type, pa.int64(), *(x[c].type for c in rest), pa.float64())], names=["query_id", "_q", *rest, "score"])
+
+    found = left.cogroup(right).applyInArrow(match, out)
+    order = Window.partitionBy("query_id", "_q").orderBy(F.desc("score"), F.asc_nulls_last(key))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def tiered_search(chunks: DataFrame, queries: DataFrame, k: int, verified: Column, slots: int = 2, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """For each query the top k of a wide net of max(20 k, 200) with up to `slots` places kept for verified rows.
+
+    No window here holds more than the net of one query.
+    """
+    net = top_k(chunks.withColumn("_verified", verified), queries, max(20 * k, 200), key, vector)
+    query = ["query_id", "_q"]
+    net = net.withColumn("_n", F.row_number().over(Window.partitionBy(*query, "_verified").orderBy("rank")))
+    kept = F.least(F.lit(slots), F.count_if("_verified").over(Window.partitionBy(*query)))
+    chosen = net.withColumn("_kept", kept).where(F.when(F.col("_verified"), F.col("_n") <= slots).otherwise(F.col("_n") <= k - F.col("_kept")))
+    return chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy("rank"))).where(F.col("rank") <= k).drop("_verified", "_n", "_kept")
 
 
 def fuzzy_match(targets: DataFrame, records: DataFrame, states: list[str], least: float = 0.85) -> DataFrame:
