@@ -96,6 +96,17 @@ def test_known_other_kinds_and_forms_count_against_a_context(spark):
     assert all("phone" not in found[100 + i] for i in range(20, 40))
 
 
+def test_known_identifiers_are_marked_everywhere(spark):
+    rows = [(i, f"please write to our office line {'+1 (555) 010-%04d' % i if i % 2 else '555 010 %04d' % i} thanks a lot") for i in range(60)]
+    rows += [(100, "555 010 0002"), (101, "7 / 5550100004 / 9"), (102, "the sum of all 555.010.0006 units"), (103, "555 099 0002"), (None, "555 010 0002"), (None, "555 010 0002")]
+    rows += [(200, "4111 1111 1111 1111"), (201, "4111.1111.1111.1111"), (202, "at 12.34.56.7 there"), (203, "the sum of 1234567 units")]
+    got = pii.op1(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()
+    found = {r.doc_id: r.spans for r in got}
+    assert len(got) == len(rows) and [r.spans for r in got if r.doc_id is None] == ["phone:0:12"] * 2
+    assert (found[100], found[101], found[102], found[103]) == ("phone:0:12", "phone:4:14", "phone:15:27", "")
+    assert (found[200], found[201], found[202], found[203]) == ("card:0:19", "card:0:19", "ip:3:13", "")
+
+
 def test_secret_base_spans(spark):
     docs = corpus(spark)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}

@@ -21,6 +21,8 @@ GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 #: Strings in identifier form that no base pattern need match: long numbers with separators, and mail addresses written out.
 CANDIDATE = r"(?<![A-Za-z0-9+])[0-9](?:[\x20().-]?[0-9]){6,17}+(?![A-Za-z0-9])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[({](?:at|AT)[\])}]\x20?[A-Za-z0-9.-]{3,64}+"
 CANDIDATE_GUARD = r"[0-9](?:[\x20().-]?[0-9]){6}|[\[({](?:at|AT)[\])}]"
+#: Parts into which the places of one instance are dealt.
+SALTS = 16
 #: Code points looked at on either side of a span for its context.
 REACH = 48
 
@@ -107,15 +109,18 @@ def bootstrap(found: DataFrame, min_seeds: int = 3, confident: float = 0.8) -> D
     nothing. A candidate takes the best of its patterns' confidences times the share that is confident in the kind of
     those of its patterns that have `min_seeds` known instances at all; from `confident` on it is known and supports
     patterns of its own in the next round. What is known stays known, so rounds end when one adds nothing.
-    Candidates stay where their best kind reaches `confident`.
+    Candidates stay, in every place, where a pattern of theirs is confident or their instance is known: an identifier
+    found in one document is marked in all. The equi-join for that is salted, as one instance may be in many places.
     """
     keys = [c for c in found.columns if c not in ("base", "cand")]
     rows = found.where((F.size("base") > 0) | (F.size("cand") > 0)).select(*keys, F.explode(F.concat("base", "cand")).alias("x"))
     rows = rows.select(*keys, "x.s", "x.e", "x.k", "x.v", F.regexp_replace(F.lower("x.v"), r"[\x20().-]", "").alias("plain"), patterns_of(F.col("x.l"), F.col("x.r")).alias("pats"))
-    edges = rows.select(*keys, "s", "e", "k", "v", F.sha2("plain", 256).alias("inst"), F.when(F.col("k") == "cand", _forms(F.col("plain"))).alias("forms"), F.explode("pats").alias("pat"))
+    # an address's dots count: a number with the same digits is another instance
+    inst = F.sha2(F.when(F.col("k") == "ip", F.concat(F.lit("ip "), "v")).otherwise(F.col("plain")), 256)
+    edges = rows.select(*keys, "s", "e", "k", "v", inst.alias("inst"), F.when(F.col("k") == "cand", _forms(F.col("plain"))).alias("forms"), F.explode_outer("pats").alias("pat"))
     edges = stable(edges, "pii-edges")
-    graph = stable(edges.groupBy("pat", "inst").agg(F.max(F.when(F.col("k") != "cand", F.col("k"))).alias("seed"), F.max("forms").alias("forms")), "pii-graph")
-    known = stable(graph.where("seed IS NOT NULL").select("inst", F.col("seed").alias("kind"), F.lit(1.0).alias("conf")).distinct(), "pii-instances")
+    graph = stable(edges.where("pat IS NOT NULL").groupBy("pat", "inst").agg(F.max(F.when(F.col("k") != "cand", F.col("k"))).alias("seed"), F.max("forms").alias("forms")), "pii-graph")
+    known = stable(edges.where("k <> 'cand'").groupBy("inst").agg(F.max("k").alias("kind")).withColumn("conf", F.lit(1.0)), "pii-instances")
     while True:
         of = lambda k: F.col("kind") == k
         against = lambda k: F.col("kind").isNull() & (F.col("forms").bitwiseAND(1 << KINDS.index(k)) == 0)
@@ -134,7 +139,12 @@ def bootstrap(found: DataFrame, min_seeds: int = 3, confident: float = 0.8) -> D
             break
         known = stable(known.unionByName(new), "pii-instances")
     good = judged.select("pat", F.explode("good").alias("g")).select("pat", "g.kind", "g.pc")
-    best = edges.where(F.col("k") == "cand").join(good, "pat").groupBy(*keys, "s", "e", "v").agg(F.max(F.struct("pc", "kind")).alias("b"))
+    marked = edges.where(F.col("k") == "cand")
+    asked = marked.select("inst").distinct().join(known, "inst").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64(*keys, "s", "e"), F.lit(SALTS)).cast("int"))
+    by_instance = salted.join(asked, ["inst", "salt"]).select(*keys, "s", "e", "v", F.col("conf").alias("pc"), "kind")
+    by_pattern = marked.join(good, "pat").select(*keys, "s", "e", "v", "pc", "kind")
+    best = by_pattern.unionByName(by_instance).groupBy(*keys, "s", "e", "v").agg(F.max(F.struct("pc", "kind")).alias("b"))
     return best.select(*keys, "s", "e", "v", F.col("b.kind").alias("kind"), F.col("b.pc").alias("conf"))
 
 
