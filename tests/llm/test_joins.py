@@ -72,7 +72,32 @@ def test_component_edges(spark):
     got = sorted((tuple(r) for r in ngram_join.op2(df).collect()), key=str)
     assert got == [(4, 1, 4), (4, 1, 4), (None, 0, None), (None, 1, 4), (None, 1, 4)]
     assert ngram_join.op2(df.limit(0)).collect() == []
-    assert sorted(r.doc_id or 0 for r in ngram_join.keep_one(df).collect()) == [0, 0, 0, 4, 4]
+    assert sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()), key=str) == [(4, "a b"), (None, None)]
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "x"), (2, text, "y"), (2, "quite another text under the same id", "z"), (None, text, "n"), (3, None, "e"), (3, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING, key STRING")
+    assert sorted(r.key for r in ngram_join.keep_one(df).collect()) == ["e", "e", "x", "z"]
+
+
+def test_prefix_bound_never_loses_a_link():
+    rng = np.random.default_rng(3)
+    lost = kept = 0
+    for _ in range(4000):
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(2, 150)), dtype=np.uint64) << np.uint64(1))
+        share = rng.random()
+        a, b = (np.sort(np.concatenate((base[rng.random(len(base)) < 1 - share / 3], rng.integers(0, 1 << 63, int(rng.integers(0, 9)), dtype=np.uint64)))) for _ in "ab")
+        if not len(a) or not len(b) or min(len(a), len(b)) * 100 < max(len(a), len(b)) * 80:
+            continue
+        up = [ngram_join._upper(x).view(np.uint32) for x in (a, b)]
+        cut = [ngram_join.prefix_length(len(x)) for x in (a, b)]
+        may = ngram_join.may_link(len(a), len(b), tuple(x[:c] for x, c in zip(up, cut, strict=True)), tuple(x[len(x) - c :] for x, c in zip(up, cut, strict=True)))
+        k = len(np.intersect1d(a, b))
+        link = 100 * k >= 80 * (len(a) + len(b) - k)
+        lost, kept = lost + (link and not may), kept + (may and not link)
+    assert lost == 0 and kept < 1500
 
 
 def test_connected_components(spark):

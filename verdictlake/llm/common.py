@@ -32,7 +32,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/verdictlake/{name}-{uuid.uuid4().hex}"
 
 
-def stable(df: DataFrame, name: str) -> DataFrame:
+def stable(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there, and every reader sees the same rows.
 
     Before that, the driver lets go of what earlier jobs left, so that Spark removes their shuffle files.
@@ -41,7 +41,7 @@ def stable(df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stable_path = path
     return out
