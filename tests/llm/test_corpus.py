@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -151,14 +152,20 @@ def test_fingerprint_edges(spark):
     assert omh.op9(spark.createDataFrame([(1, "abc", "")], DOCS).select("doc_id", "text")).first().near_next == 1.0
 
 
-def test_token_ids_are_the_tokenizers():
+def test_token_ids_are_the_tokenizers(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", packing.KEPT)
     path = public_tokenizers.path("word_bpe_49k.json")
     plain, ours = Tokenizer.from_file(path), packing.WordIds(path)
     rng = np.random.default_rng(4)
     texts = ["a b  c", "é ́x ́", "<|endoftext|> x<|startoftext|>y ab<|endoftext|> c|> d<|", "ΣΑΣ İ I", "it's 'tis we're'll x's's don't. 's, y'", "a\x1cb\x85c\xa0d", "漢字, 漢字. 😀!", "", "---", "a-b-c... x_ _y"]
     texts += ["".join(rng.choice(list("aéßΣ'.,<|>1 9½ʰ́각ㄱᄀﬁİ_\n中😀"), int(rng.integers(1, 14)))) for _ in range(800)]
-    for text, ids in zip(texts, ours(texts), strict=True):
-        assert ids == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    for kept in (packing.KEPT, 40):  # the first time none are kept, then those of before, then few
+        for _ in range(2):
+            packing.KEPT = kept
+            for text, ids in zip(texts, packing.coded(pa.array(texts), ours), strict=True):
+                assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(ours.kept[0]) <= 40 + len(texts)
+    assert [x.tolist() for x in packing.coded(pa.array([None, "a"]), ours)] == [[], plain.encode("a", add_special_tokens=False).ids]
 
 
 def test_plans_place_every_piece():
@@ -180,6 +187,25 @@ def test_plans_place_every_piece():
             assert at <= cap
 
 
+def test_configurations_are_optimised():
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        cap = int(rng.integers(20, 400))
+        sizes = sorted({int(x) for x in rng.integers(cap // 8 + 1, cap, int(rng.integers(1, 14)))}, reverse=True)
+        numbers = [int(x) for x in rng.integers(1, 300, len(sizes))]
+        chosen, bound = packing.optimised(sizes, numbers, cap)
+        assert all(sum(sizes[g] * n for g, n in took.items()) <= cap for took, _ in chosen)
+        held = np.zeros(len(sizes))
+        for took, times in chosen:
+            held[list(took)] += np.array(list(took.values())) * times
+        assert np.allclose(held, numbers) and sum(t for _, t in chosen) <= bound * 1.0001 + 1e-6
+        whole = packing.configurations(sizes, numbers, cap)
+        used = collections.Counter()
+        for took, times in whole:
+            used.update({g: n * times for g, n in took.items()})
+        assert used == dict(enumerate(numbers)) and bound - 1e-6 <= sum(t for _, t in whole) <= bound + len(sizes) + 1
+
+
 def test_packing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(50001, None), (50002, ""), (50003, "word " * 5000), (None, "x"), (50004, "same"), (50004, "same")], "doc_id LONG, text STRING")

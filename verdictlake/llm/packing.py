@@ -7,12 +7,14 @@ looking up a piece's place) runs on Spark.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,80 +25,96 @@ CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Lengths above capacity / SMALL are grouped; groups of large pieces.
-SMALL, GROUPS = 8, 512
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 200_000
-#: ASCII punctuation but for the apostrophe, which can start a suffix of its own.
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Code points of the texts that are looked up together.
-TOGETHER = 1 << 20
+SMALL, GROUPS = 8, 64
+#: A word of letters, with ASCII punctuation after it but for the apostrophe, which can start a suffix of its own. U+0130
+#: has no single letter as its lower case.
+LETTERS = r"^(?P<stem>[^\P{L}\x{130}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+#: Words of letters that are encoded in one run; bytes of the texts that are looked up together; words that a worker keeps.
+RUN, TOGETHER, KEPT = 256, 1 << 24, 1 << 21
 
 PIECES = "doc_id long, part int, piece int, start long, length int, ids_crc32 long, place long"
 
 
+def gathered(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists number `which`, one after another, and their ends, of lists that lie one after another in values."""
+    starts, count = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(count)
+    return values[np.repeat(starts[which] - ends + count, count) + np.arange(count.sum())], ends
+
+
 class WordIds:
     """Token ids of texts through a tokenizer, word by word: exact, as no token of this vocabulary spans white space.
 
-    Punctuation after a word's last letter or digit is looked up by itself, and words of letters alone are encoded
-    many at a time. Ids of what was seen are kept, up to KEPT_WORDS.
+    Arrow splits texts and numbers their different words. A word of letters is one unit before merges, and what
+    punctuation follows it another, so different stems are encoded in runs of RUN, and tails by themselves.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Like _encode for words of letters: each is one unit before merges, so runs of words can share a call."""
-        out: list[bytes] = []
-        runs = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for run, coded in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(run):
-                out += self._encode(run)
-                continue
-            data, start = ids.tobytes(), 0
-            for end in (4 * ends).tolist():
-                out.append(data[start:end])
-                start = end
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        whole, parts, letters, known = [], [], {}, self.known
-        for word in words:
-            stem = word.rstrip(PUNCTUATION)
-            text, tail = stem.decode(), word[len(stem) :]
-            if text.isalpha() and text.lower().isalpha():
-                parts.append((word, stem, tail))
-                if stem not in known:
-                    letters[stem] = text
-                if tail and tail not in known:
-                    known[tail] = self._encode([tail.decode()])[0]
-            else:
-                whole.append(word)
-        known.update(zip(letters, self._encode_letters(list(letters.values())), strict=True))
-        for word, stem, tail in parts:
-            if tail:
-                known[word] = known[stem] + known[tail]
-        known.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, 4 bytes each."""
-        split = [text.encode().split() for text in texts]  # at ASCII white space only
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
-        if new := {word for words in split for word in words if word not in known}:
-            self._learn(sorted(new))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        self.kept = (pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        found = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _encode_letters(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Like _encode for words of letters, a run a call; a run that does not fall into its words is encoded by words."""
+        at = np.append(np.arange(0, len(words), RUN), len(words)).astype(np.int32)
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), words), " ").to_pylist()
+        ids, sizes = self._encode(runs)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        cuts = np.cumsum(sizes)
+        if np.array_equal(np.searchsorted(ends, cuts, side="right"), at[1:]):
+            return ids, np.diff(ends, prepend=0)
+        parts = []
+        for i, run in enumerate(runs):
+            own = ids[cuts[i] - sizes[i] : cuts[i]]
+            stops = np.flatnonzero(self.ends_word[own]) + 1
+            parts.append((own, np.diff(stops, prepend=0)) if len(stops) == at[i + 1] - at[i] else self._encode(run.split(" ")))
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+    def _stems(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Like _encode_letters for different words; the last KEPT or so are not encoded again."""
+        kept, ids, sizes = self.kept
+        at = pc.index_in(words, value_set=kept)
+        new = words.filter(at.is_null())
+        new_ids, new_sizes = self._encode_letters(new)
+        kept, ids, sizes = pa.concat_arrays([kept, new]), np.concatenate((ids, new_ids)), np.concatenate((sizes, new_sizes))
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False)
+        place = np.where(place < 0, len(kept) - len(new) - 1 + np.cumsum(place < 0), place)
+        drop = len(kept) - KEPT // 2 if len(kept) > KEPT else 0
+        self.kept = (pa.concat_arrays([kept[drop:]]), ids[int(sizes[:drop].sum()) :].copy(), sizes[drop:].copy()) if drop else (kept, ids, sizes)
+        return gathered(ids, sizes, place)[0], sizes[place]
+
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, and how many each has."""
+        parts = pc.extract_regex(words, LETTERS)
+        lone = parts.is_null()
+        stems, tails = (pc.struct_field(parts, n).dictionary_encode() for n in ("stem", "tail"))
+        units = [self._stems(stems.dictionary), self._encode(tails.dictionary.to_pylist()), self._encode(words.filter(lone).to_pylist())]
+        ids, sizes = map(np.concatenate, zip(*units, strict=True))
+        lone = lone.to_numpy(zero_copy_only=False)
+        first, second = (np.where(lone, 0, x.indices.fill_null(0).to_numpy(zero_copy_only=False)) for x in (stems, tails))
+        first[lone] = len(stems.dictionary) + len(tails.dictionary) + np.arange(np.count_nonzero(lone))
+        second = np.where(lone, len(sizes), second + len(stems.dictionary))
+        sizes = np.append(sizes, 0)  # a word without a tail of its own
+        both, _ = gathered(ids, sizes, np.stack((first, second), axis=1).ravel())
+        return both, sizes[first] + sizes[second]
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where in it each text begins and ends."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids, sizes = self._words(words.dictionary)
+        found, ends = gathered(ids, sizes, words.indices.to_numpy(zero_copy_only=False))
+        return found, np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -111,17 +129,17 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def coded(texts: list[str | None], ids_of: WordIds) -> Iterator[bytes]:
-    """The ids of texts, with no more than TOGETHER code points and a text looked up at once."""
-    held: list[str] = []
-    size = 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= TOGETHER:
-            yield from ids_of(held)
-            held, size = [], 0
-    yield from ids_of(held)
+def coded(texts: pa.Array, ids_of: WordIds) -> Iterator[np.ndarray]:
+    """The ids of each text, with no more than TOGETHER bytes and a text looked up at once."""
+    texts = texts.cast(pa.string()).fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)))
+        ids, cuts = ids_of(texts.slice(at, stop - at))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield ids[a:b]
+        at = stop
 
 
 def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -137,8 +155,8 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), coded(batch.column(1).to_pylist(), ids_of), strict=True):
-                data += end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded(batch.column(1), ids_of), strict=True):
+                data = ids.astype("<u4").tobytes() + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[at : at + 4 * capacity]
                     length = len(cut) // 4
@@ -199,9 +217,69 @@ def fill(sizes: list[int], left: list[int], capacity: int) -> dict[int, int]:
     return took
 
 
+def dearest(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
+    """The configuration of largest total value (unbounded knapsack), one more piece a round."""
+    best, took = np.zeros(capacity + 1), []
+    at = np.arange(capacity + 1)[None, :] - sizes[:, None]
+    while True:
+        more = np.where(at >= 0, best[np.maximum(at, 0)] + values[:, None], -1.0)
+        pick = more.argmax(axis=0)
+        new = more[pick, np.arange(capacity + 1)]
+        better = new > best + 1e-12
+        if not better.any():
+            break
+        best = np.where(better, new, best)
+        took.append(np.where(better, pick, -1))
+    out: dict[int, int] = {}
+    room = capacity
+    for picks in reversed(took):
+        if (g := int(picks[room])) >= 0:
+            out[g] = out.get(g, 0) + 1
+            room -= int(sizes[g])
+    return float(best[capacity]), out
+
+
+def optimised(sizes: list[int], numbers: list[int], capacity: int, rounds: int = 4000) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """The least number of sequences, in fractions, that hold `numbers` pieces of `sizes`: (configuration, times), bound.
+
+    The linear program over configurations, by column generation: a basis of as many configurations as there are
+    sizes, prices of the sizes from it, and the dearest configuration at these prices enters. The bound is a least
+    number of sequences for the rounded sizes; it equals the sum of the times where the program is solved.
+    """
+    n = np.array(numbers, dtype=np.float64)
+    s = np.array(sizes)
+    columns = [{i: capacity // x} for i, x in enumerate(sizes)]
+    basis = np.diag([float(capacity // x) for x in sizes])
+    bound = 0.0
+    for _ in range(rounds):
+        times = np.linalg.solve(basis, n)
+        price = np.linalg.solve(basis.T, np.ones(len(s)))
+        value, took = dearest(s, np.maximum(price, 0.0), capacity)
+        bound = max(bound, float(np.maximum(price, 0.0) @ n) / max(value, 1.0))
+        if value <= 1 + 1e-7:
+            break
+        column = np.zeros(len(s))
+        column[list(took)] = list(took.values())
+        change = np.linalg.solve(basis, column)
+        ratio = np.where(change > 1e-9, np.maximum(times, 0.0) / np.where(change > 1e-9, change, 1.0), np.inf)
+        out = int(ratio.argmin())
+        basis[:, out], columns[out] = column, took
+    return [(c, t) for c, t in zip(columns, np.maximum(np.linalg.solve(basis, n), 0.0).tolist(), strict=True)], bound
+
+
 def configurations(sizes: list[int], numbers: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used, until no piece of any group is left."""
+    """Configurations and how often each is used, until no piece of any group is left.
+
+    The optimised ones first, each as often as whole pieces allow; what that leaves, less than a sequence or so a
+    configuration, is filled one by one.
+    """
     left, out = list(numbers), []
+    for took, times in optimised(sizes, numbers, capacity)[0] if sizes else []:
+        whole = min([int(times + 1e-6), *(left[g] // c for g, c in took.items())])
+        if whole:
+            out.append((took, whole))
+            for g, c in took.items():
+                left[g] -= c * whole
     while any(left):
         took = fill(sizes, left, capacity)
         times = min(left[g] // n for g, n in took.items())
@@ -218,7 +296,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, g
     lengths are grouped and rounded up; configurations of groups are chosen; each group's slots then take its actual
     pieces, longest first. Small pieces, longest first, go where they fit best; what fits nowhere opens sequences.
     """
-    grouped = groups_of(counts, capacity // small, groups)
+    grouped = groups_of({n: c for n, c in counts.items() if n < capacity}, capacity // small, groups)
     chosen = configurations([g[0][0] for g in grouped], [sum(c for _, c in g) for g in grouped], capacity)
     used: dict[int, int] = {}
     out: list[tuple[int, int, int, int, int, int]] = []
@@ -229,7 +307,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, g
         out.append((length, rank, rank + times * each, first, each, offset))
         used[length] = rank + times * each
 
-    first = 0
+    first = counts.get(capacity, 0)
+    if first:  # full pieces are sequences of their own
+        place(capacity, 0, first, 1, 0)
     queues = [list(g) for g in grouped]
     for took, times in chosen:
         while times:
@@ -297,9 +377,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     counts = {row["length"]: row["n"] for row in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(starts, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
+    ranked = pieces.join(starts.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
     rows = np.array(sorted(plan(counts, capacity)), dtype=np.int64).reshape(-1, 6)
-    shared = spark.sparkContext.broadcast(rows)  # grows with the lengths and groups, not with the pieces
+    shared = spark.sparkContext.broadcast(rows)  # grows with the lengths and configurations, not with the pieces
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
