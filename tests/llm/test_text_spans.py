@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -134,6 +136,28 @@ def test_window_entropy(spark):
         assert (r.h is None) == (want is None) and (want is None or abs(r.h - want) < 1e-9)
 
 
+def test_long_candidates_take_time_in_proportion(spark):
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choice(letters) for _ in range(400_000))
+    df = spark.createDataFrame([(1, f"data:{run} end"), (2, f"data:{'xy1' * 100_000} end")], "doc_id LONG, text STRING")
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secret_scan.op4(df).collect()}
+    assert got == {1: "entropy:5:400005", 2: ""} and time.time() - began < 60
+
+
+def test_planted_secrets_are_found(spark):
+    rng = random.Random(9)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    forms = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in docs]
+    rows = []
+    for r, secret in zip(docs, forms, strict=True):
+        at = rng.randrange(len(r.text or "") + 1)
+        rows.append((r.doc_id, f"{(r.text or '')[:at]} {secret} {(r.text or '')[at:]}"))
+    found = {r.doc_id: {s.v for s in r.spans} for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    assert sum(any(secret in v for v in found[r.doc_id]) for r, secret in zip(docs, forms, strict=True)) >= 0.99 * len(docs)
+
+
 def test_entropy_scan_and_allow_list(spark):
     rows = [(1, "key f3Zq9LmX2bVt7KpR4sWd8Hy1 end"), (2, "id 123e4567-e89b-12d3-a456-426614174000 end"), (3, "Donaudampfschifffahrtsgesellschaft and 12345678901234567890123"), (4, "f3Zq9LmX2bVt7KpEXAMPLE8Hy1zz")]
     got = {r.doc_id: r.spans for r in secret_scan.op4(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}

@@ -35,28 +35,46 @@ def _placed(gaps: Column, hits: Column, kind: str) -> Column:
     return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(start["out"])
 
 
+#: Codes of the characters of candidates, "+" to "z".
+FIRST_CODE, CODES = 43, 80
+
+
+def _moved(counts: Column, out: Column, new: Column) -> Column:
+    """counts, one less of the character `out` and one more of another, `new`; the array is copied once."""
+    low, high, step = F.least(out, new), F.greatest(out, new), F.when(out < new, 1).otherwise(-1)
+    return F.concat(F.slice(counts, F.lit(1), low), F.array(F.get(counts, low) - step), F.slice(counts, low + 2, high - low - 1), F.array(F.get(counts, high) + step), F.slice(counts, high + 2, F.lit(CODES)))
+
+
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy, in bits a character, over the windows of a string; null if it is shorter than a window.
 
-    The sum of c * log2(c) over the characters' counts c is kept and changed by the one character that
-    leaves and the one that enters a window; only the first window is counted in full.
+    Characters are those of CANDIDATE. An array holds the count of each of them and is changed by the one character
+    that leaves and the one that enters a window, as is the sum of c * log2(c) over the counts; only the first window
+    is counted in full. The string is split once, so time is in proportion to its length.
     """
-    n = F.length(value)
-    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))
-    first = F.substring(value, 1, window)
-    whole = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda a, ch: a + F.when(ch == "", 0.0).otherwise(term(count(first, ch))))
-
-    def slide(acc: Column, i: Column) -> Column:
-        kept = F.substr(value, i + 1, F.lit(window - 1))
-        out, new = F.substr(value, i, F.lit(1)), F.substr(value, i + window, F.lit(1))
-        c_out, c_new = count(kept, out), count(kept, new)
-        total = acc["sum"] - term(c_out + 1) + term(c_out) - term(c_new) + term(c_new + 1)
-        return F.struct(total.alias("sum"), F.least(acc["low"], total).alias("low"))
-
-    steps = F.when(n > window, F.sequence(F.lit(1), n - window)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
-    low = F.aggregate(steps, F.struct(whole.alias("sum"), whole.alias("low")), slide, lambda a: a["low"])
-    return F.when(n >= window, F.log2(F.lit(float(window))) - low / window)
+    terms = F.array(*[F.lit(0.0), *(F.lit(float(c)) * F.log2(F.lit(float(c))) for c in range(1, window + 1))])
+    term = lambda c: F.get(terms, c)
+    none = F.array_repeat(F.lit(0), CODES)
+
+    def slide(acc: Column, pair: Column) -> Column:
+        out, new = pair["out"], pair["new"]
+        c_out, c_new = F.get(acc["counts"], out), F.get(acc["counts"], new)
+        total = acc["sum"] - term(c_out) + term(c_out - 1) - term(c_new) + term(c_new + 1)
+        moved = F.struct(_moved(acc["counts"], out, new).alias("counts"), total.alias("sum"), F.least(acc["low"], total).alias("low"))
+        return F.when(out == new, acc).otherwise(moved)
+
+    def low(codes: Column) -> Column:
+        rest = F.size(codes) - window
+        pairs = F.zip_with(F.slice(codes, F.lit(1), rest), F.slice(codes, F.lit(window + 1), rest), lambda o, n: F.struct(o.alias("out"), n.alias("new")))
+        first = F.aggregate(F.slice(codes, 1, window), none, lambda counts, c: F.transform(counts, lambda n, i: n + F.when(i == c, 1).otherwise(0)))
+        start = F.transform(F.array(first), lambda counts: F.struct(counts.alias("counts"), F.aggregate(counts, F.lit(0.0), lambda a, c: a + term(c)).alias("sum")))
+        start = F.transform(start, lambda x: F.struct(x["counts"].alias("counts"), x["sum"].alias("sum"), x["sum"].alias("low")))
+        return F.aggregate(pairs, F.get(start, F.lit(0)), slide, lambda acc: acc["low"])
+
+    # what a lambda reads has to be its argument: an expression from outside would be computed again at every step
+    codes = F.transform(F.split(value, "(?<=.)(?=.)"), lambda c: F.ascii(c) - FIRST_CODE)
+    lowest = F.get(F.transform(F.array(codes), low), F.lit(0))
+    return F.when(F.length(value) >= window, F.log2(F.lit(float(window))) - lowest / window)
 
 
 def looks_secret(value: Column, bits: dict[str, float] = ENTROPY_BITS, window: int = WINDOW) -> Column:
