@@ -124,10 +124,7 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n_profiles, avg((g = d)::INT) AS agreement, avg((g = 'ineligible' AND d = 'eligible')::INT) AS false_eligible, avg((g = 'eligible' AND d = 'ineligible')::INT) AS false_not_eligible,
   avg((g <> d AND NOT (g = 'ineligible' AND d = 'eligible') AND NOT (g = 'eligible' AND d = 'ineligible'))::INT) AS other FROM b""")
 def outcome_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate.evaluate(H.profiles(spark, sf_dir), [H.H1, H.H2])
-    both = rows.groupBy("profile_id").agg(F.max(F.when(F.col("scheme_id") == "H1", F.col("verdict"))).alias("g"), F.max(F.when(F.col("scheme_id") == "H2", F.col("verdict"))).alias("d"))
-    gold, draft = both.select("profile_id", F.col("g").alias("verdict")), both.select("profile_id", F.col("d").alias("verdict"))
-    return scoring.outcome_equivalence(gold, draft, [])
+    return scoring.outcome_rates(evaluate.verdict_pairs(H.profiles(spark, sf_dir), H.H1, H.H2), [])
 
 
 @query(f"""WITH {_COUNTS} SELECT a.scheme_id AS first, b.scheme_id AS second, count(*) AS n, avg((a.verdict = b.verdict)::INT) AS agreement

@@ -40,59 +40,58 @@ def inclusion(node: Any, facts: Column) -> Column:
     return kleene.both(*parts) if node.kind == "and" else kleene.either(*parts)
 
 
-def household(x: Exclusion, members: Column) -> Column:
-    """The members that an exclusion looks at; an applicant without record counts as one without facts."""
-    have = F.coalesce(members, F.array())
-    me = F.array(F.struct(F.lit(0).alias("ix"), applicant(members).alias("facts")))
-    if x.quantifier == "self":
-        return me
-    return F.concat(me, F.filter(have, lambda m: m["ix"] != 0))
+def prepared(profiles: DataFrame) -> DataFrame:
+    """Adds the applicant's facts, _me, and the household, _fam, so that no expression after them derives them again.
 
+    An applicant without record counts as one without facts.
+    """
+    own = F.array(F.struct(F.lit(0).alias("ix"), F.col("_me").alias("facts")))
+    rest = F.filter(F.coalesce("members", F.array()), lambda m: m["ix"] != 0)
+    return profiles.withColumn("_me", applicant(F.col("members"))).withColumn("_fam", F.concat(own, rest))
+
+
+def looked_at(x: Exclusion) -> Column:
+    """The members that an exclusion looks at, of prepared profiles."""
+    return F.slice("_fam", 1, 1) if x.quantifier == "self" else F.col("_fam")
 
-def member_results(x: Exclusion, members: Column) -> Column:
+
+def member_results(x: Exclusion) -> Column:
     """For each member whether the condition holds and no member-scoped exception does."""
 
     def one(m: Column) -> Column:
         hit = leaf_result(x, m["facts"])
         return hit & ~leaf_result(x.exception, m["facts"]) if x.exception and x.except_scope == "member" else hit
 
-    return F.transform(household(x, members), one)
+    return F.transform(looked_at(x), one)
+
 
+def yes_open(results: Column) -> tuple[Column, Column]:
+    """How many of an array's trits are true, and how many unknown."""
+    return F.size(F.filter(results, lambda r: F.coalesce(r, F.lit(False)))), F.size(F.filter(results, lambda r: r.isNull()))
 
-def condition(x: Exclusion, members: Column) -> Column:
-    """An exclusion before an applicant-scoped exception."""
-    results = member_results(x, members)
+
+def decided(x: Exclusion, yes: Column, unknown: Column, members: Column) -> Column:
+    """An exclusion before an applicant-scoped exception, from how many of its members' results are true and unknown."""
+    if x.quantifier == "count_family_members":
+        return kleene.count_range(x.count_op, yes, yes + unknown, x.count)
+    return kleene.from_counts("and" if x.quantifier == "all_family_members" else "or", yes, members - yes - unknown, unknown)
+
+
+def condition(x: Exclusion) -> Column:
+    """decided() in one expression."""
+    results = member_results(x)
     if x.quantifier == "all_family_members":
         return kleene.all_of(results)
-    if x.quantifier == "count_family_members":
-        low = F.size(F.filter(results, lambda r: F.coalesce(r, F.lit(False))))
-        high = low + F.size(F.filter(results, lambda r: r.isNull()))
-        return kleene.count_range(x.count_op, low, high, x.count)
-    return kleene.any_of(results)
+    return decided(x, *yes_open(results), F.size(results)) if x.quantifier == "count_family_members" else kleene.any_of(results)
 
 
-def exclusion(x: Exclusion, members: Column) -> Column:
-    held = condition(x, members)
+def exclusion(x: Exclusion) -> Column:
+    held = condition(x)
     if x.exception and x.except_scope == "applicant":
-        return held & ~leaf_result(x.exception, applicant(members))
+        return held & ~leaf_result(x.exception, F.col("_me"))
     return held
 
 
-def errors(rules: RuleSet, members: Column) -> Column:
-    """The first leaf that a present value can't be compared with; all leaves are looked at, as none is skipped."""
-    me = applicant(members)
-    found = [leaf_error(leaf, me) for _, leaf in leaves(rules.inclusion)]
-    for x in rules.exclusions:
-        per = [lambda m, x=x: leaf_error(x, m["facts"])]
-        if x.exception and x.except_scope == "member":
-            per.append(lambda m, x=x: leaf_error(x.exception, m["facts"]))
-        for one in per:
-            found.append(F.get(F.filter(F.transform(household(x, members), _unary(one)), lambda e: e.isNotNull()), F.lit(0)))
-        if x.exception and x.except_scope == "applicant":
-            found.append(leaf_error(x.exception, me))
-    return F.coalesce(*found, F.lit(None).cast("string"))
-
-
 def _unary(f):
     return lambda m: f(m)
 
@@ -101,12 +100,73 @@ def verdict(included: Column, excluded: Column) -> Column:
     return F.when(excluded, INELIGIBLE).when(~included, INELIGIBLE).when(included & ~excluded, ELIGIBLE).otherwise(UNDETERMINED)
 
 
-def outcome(rules: RuleSet, members: Column) -> Column:
-    included = inclusion(rules.inclusion, applicant(members))
-    parts = [exclusion(x, members) for x in rules.exclusions]
-    excluded = kleene.either(*parts)
-    why = errors(rules, members)
-    return F.struct(F.lit(rules.scheme_id).alias("scheme_id"), F.when(why.isNull(), verdict(included, excluded)).alias("verdict"), included.alias("included"), excluded.alias("excluded"), F.array(*parts).cast("array<boolean>").alias("exclusions"), why.alias("error"))
+class _Plan:
+    """Columns that rule sets share: each leaf of the applicant and each condition over the household is evaluated once.
+
+    Columns hold no structs: Catalyst would take those apart and evaluate what is in them at every use.
+    """
+
+    def __init__(self) -> None:
+        self.names: dict[tuple, str] = {}
+        self.own: dict[str, Column] = {}
+        self.family: dict[str, Column] = {}
+        self.tallies: dict[str, Column] = {}
+
+    def leaf(self, leaf: Leaf | Exclusion) -> tuple[Column, Column]:
+        """The applicant's result and error."""
+        key = ("own", leaf.field, leaf.op, repr(leaf.value))
+        if key not in self.names:
+            name = self.names[key] = f"_own{len(self.own)}"
+            self.own |= {name: leaf_result(leaf, F.col("_me")), f"{name}_e": leaf_error(leaf, F.col("_me"))}
+        return F.col(self.names[key]), F.col(f"{self.names[key]}_e")
+
+    def over_family(self, x: Exclusion) -> tuple[Column, Column, Column, Column, Column]:
+        """How many members' results are true, unknown and any, their first error and that of their exception."""
+        inner = x.exception if x.exception and x.except_scope == "member" else None
+        key = ("family", x.quantifier == "self", x.field, x.op, repr(x.value), inner and (inner.field, inner.op, repr(inner.value)))
+        if key not in self.names:
+            name = self.names[key] = f"_fam{len(self.family)}"
+            self.family |= {name: member_results(x)}
+            yes, unknown = yes_open(F.col(name))
+            first = lambda leaf: F.get(F.filter(F.transform(looked_at(x), lambda m: leaf_error(leaf, m["facts"])), lambda e: e.isNotNull()), F.lit(0)) if leaf else F.lit(None).cast("string")
+            self.tallies |= {f"{name}_yes": yes, f"{name}_open": unknown, f"{name}_all": F.size(name), f"{name}_e": first(x), f"{name}_x": first(inner)}
+        return tuple(F.col(f"{self.names[key]}_{part}") for part in ("yes", "open", "all", "e", "x"))
+
+    def tree(self, node: Any) -> Column:
+        if isinstance(node, Leaf):
+            return self.leaf(node)[0]
+        parts = [self.tree(c) for c in node.children]
+        return kleene.both(*parts) if node.kind == "and" else kleene.either(*parts)
+
+    def outcome(self, rules: RuleSet) -> Column:
+        """The verdict with its parts; any leaf that a present value can't be compared with gives an error instead."""
+        included, parts = self.tree(rules.inclusion), []
+        found = [self.leaf(leaf)[1] for _, leaf in leaves(rules.inclusion)]
+        for x in rules.exclusions:
+            yes, unknown, members, *wrong = self.over_family(x)
+            held = decided(x, yes, unknown, members)
+            found += wrong
+            if x.exception and x.except_scope == "applicant":
+                waiver, wrong_waiver = self.leaf(x.exception)
+                held &= ~waiver
+                found.append(wrong_waiver)
+            parts.append(held)
+        return F.struct(F.lit(rules.scheme_id).alias("scheme_id"), included.alias("included"), F.array(*parts).cast("array<boolean>").alias("exclusions"), F.coalesce(*found, F.lit(None).cast("string")).alias("error"))
+
+
+def outcomes(profiles: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
+    """profile_id and o, an array with a struct for each rule set: scheme_id, included, exclusions, error, excluded, verdict."""
+    plan = _Plan()
+    made = [plan.outcome(r) for r in rule_sets]
+    step = prepared(profiles).select("profile_id", "_fam", *[c.alias(n) for n, c in (plan.own | plan.family).items()])
+    step = step.select("profile_id", *plan.own, *[c.alias(n) for n, c in plan.tallies.items()])
+    step = step.select("profile_id", F.array(*made).alias("o"))
+
+    def finished(o: Column) -> Column:
+        excluded = kleene.any_of(o["exclusions"])
+        return F.struct(o["scheme_id"].alias("scheme_id"), F.when(o["error"].isNull(), verdict(o["included"], excluded)).alias("verdict"), o["included"].alias("included"), excluded.alias("excluded"), o["exclusions"].alias("exclusions"), o["error"].alias("error"))
+
+    return step.select("profile_id", F.transform("o", finished).alias("o"))
 
 
 def evaluate(profiles: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
@@ -114,8 +174,13 @@ def evaluate(profiles: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
 
     A value that a rule can't be compared with gives an error and no verdict, and never fails the job.
     """
-    rows = F.array(*[outcome(r, F.col("members")) for r in rule_sets])
-    return profiles.select("profile_id", F.explode(rows).alias("o")).select("profile_id", "o.*")
+    return outcomes(profiles, rule_sets).select("profile_id", F.explode("o").alias("o")).select("profile_id", "o.*")
+
+
+def verdict_pairs(profiles: DataFrame, gold: RuleSet, draft: RuleSet) -> DataFrame:
+    """profile_id, g, d: the verdicts of two rule sets side by side, so that comparing them needs no join."""
+    o = outcomes(profiles, [gold, draft])
+    return o.select("profile_id", F.get("o", F.lit(0))["verdict"].alias("g"), F.get("o", F.lit(1))["verdict"].alias("d"))
 
 
 def trace(profiles: DataFrame, rules: RuleSet) -> DataFrame:
@@ -125,16 +190,15 @@ def trace(profiles: DataFrame, rules: RuleSet) -> DataFrame:
         actual = F.when(F.map_contains_key(facts, leaf.field), F.coalesce(facts[leaf.field]["str"], facts[leaf.field]["num"].cast("string"), facts[leaf.field]["kind"]))
         return F.struct(F.lit(path).alias("path"), member.cast("int").alias("member"), F.lit(kind).alias("kind"), F.lit(leaf.field).alias("field"), F.lit(leaf.op).alias("op"), actual.alias("actual"), F.lit(repr(leaf.value)).alias("expected"), leaf_result(leaf, facts).alias("result"))
 
-    members = F.col("members")
-    me = applicant(members)
+    me = F.col("_me")
     parts = [F.array(*[row(p, "inclusion", F.lit(0), leaf, me) for p, leaf in leaves(rules.inclusion)])]
     for i, x in enumerate(rules.exclusions):
-        parts.append(_rows(household(x, members), f"exclusions[{i}]", "exclusion", x, row))
+        parts.append(_rows(looked_at(x), f"exclusions[{i}]", "exclusion", x, row))
         if x.exception and x.except_scope == "member":
-            parts.append(_rows(household(x, members), f"exclusions[{i}].except", "exception", x.exception, row))
+            parts.append(_rows(looked_at(x), f"exclusions[{i}].except", "exception", x.exception, row))
         elif x.exception:
             parts.append(F.array(row(f"exclusions[{i}].except", "exception", F.lit(0), x.exception, me)))
-    return profiles.select("profile_id", F.lit(rules.scheme_id).alias("scheme_id"), F.explode(F.concat(*parts)).alias("t")).select("profile_id", "scheme_id", "t.*")
+    return prepared(profiles).select("profile_id", F.lit(rules.scheme_id).alias("scheme_id"), F.explode(F.concat(*parts)).alias("t")).select("profile_id", "scheme_id", "t.*")
 
 
 def _rows(members: Column, path: str, kind: str, leaf: Leaf | Exclusion, row) -> Column:
@@ -143,17 +207,16 @@ def _rows(members: Column, path: str, kind: str, leaf: Leaf | Exclusion, row) ->
 
 def count_ranges(profiles: DataFrame, x: Exclusion) -> DataFrame:
     """profile_id, low, high, result of an exclusion's count: the numbers that can still be reached."""
-    results = member_results(x, F.col("members"))
-    low = F.size(F.filter(results, lambda r: F.coalesce(r, F.lit(False))))
-    rows = profiles.select("profile_id", low.cast("long").alias("low"), (low + F.size(F.filter(results, lambda r: r.isNull()))).cast("long").alias("high"))
+    yes, unknown = yes_open(F.col("_results"))
+    rows = prepared(profiles).select("profile_id", member_results(x).alias("_results"))
+    rows = rows.select("profile_id", yes.cast("long").alias("low"), (yes + unknown).cast("long").alias("high"))
     return rows.withColumn("result", kleene.count_range(x.count_op, F.col("low"), F.col("high"), x.count))
 
 
 def waived(profiles: DataFrame, rules: RuleSet) -> DataFrame:
     """profile_id and exclusion (its place): where the condition held and the applicant's exception set it aside."""
-    me, members = applicant(F.col("members")), F.col("members")
-    rows = [F.struct(F.lit(i).alias("exclusion"), (condition(x, members) & leaf_result(x.exception, me)).alias("w")) for i, x in enumerate(rules.exclusions) if x.exception and x.except_scope == "applicant"]
-    return profiles.select("profile_id", F.explode(F.array(*rows)).alias("r")).where("r.w").select("profile_id", "r.exclusion")
+    rows = [F.struct(F.lit(i).alias("exclusion"), (condition(x) & leaf_result(x.exception, F.col("_me"))).alias("w")) for i, x in enumerate(rules.exclusions) if x.exception and x.except_scope == "applicant"]
+    return prepared(profiles).select("profile_id", F.explode(F.array(*rows)).alias("r")).where("r.w").select("profile_id", "r.exclusion")
 
 
 def missing_facts(profiles: DataFrame, rules: RuleSet) -> DataFrame:
@@ -162,11 +225,9 @@ def missing_facts(profiles: DataFrame, rules: RuleSet) -> DataFrame:
     A fact counts only while the verdict, its exclusion and every node above it are undecided; an applicant-scoped
     exception is asked of the applicant once.
     """
-    members = F.col("members")
-    me = applicant(members)
-    included = inclusion(rules.inclusion, me)
-    excluded = kleene.either(*[exclusion(x, members) for x in rules.exclusions])
-    open_ = verdict(included, excluded) == UNDETERMINED
+    me, ends = F.col("_me"), [f"_x{i}" for i in range(len(rules.exclusions))]
+    df = prepared(profiles).withColumns({name: exclusion(x) for name, x in zip(ends, rules.exclusions, strict=True)})
+    open_ = verdict(inclusion(rules.inclusion, me), kleene.either(*map(F.col, ends))) == UNDETERMINED
     item = lambda n, path, m, name, cond: F.when(cond, F.struct(F.lit(n).alias("ordinal"), F.lit(path).alias("path"), m.cast("int").alias("member"), F.lit(name).alias("field")))
     parts: list[Column] = []
 
@@ -180,7 +241,7 @@ def missing_facts(profiles: DataFrame, rules: RuleSet) -> DataFrame:
 
     walk(rules.inclusion, "inclusion", F.lit(True))
     for i, x in enumerate(rules.exclusions):
-        undecided = exclusion(x, members).isNull()
+        undecided = F.col(ends[i]).isNull()
         for leaf, path in ((x, f"exclusions[{i}]"), (x.exception if x.except_scope == "member" else None, f"exclusions[{i}].except")):
             if leaf is None:
                 continue
@@ -191,8 +252,8 @@ def missing_facts(profiles: DataFrame, rules: RuleSet) -> DataFrame:
                 own = hit & ~leaf_result(x.exception, m["facts"]) if x.exception and x.except_scope == "member" else hit
                 return item(n, path, m["ix"], leaf.field, undecided & own.isNull() & ~F.map_contains_key(m["facts"], leaf.field))
 
-            parts.append(F.transform(household(x, members), _unary(one)))
+            parts.append(F.transform(looked_at(x), _unary(one)))
         if x.exception and x.except_scope == "applicant":
             parts.append(F.array(item(len(parts), f"exclusions[{i}].except", F.lit(0), x.exception.field, undecided & ~F.map_contains_key(me, x.exception.field))))
     found = F.filter(F.concat(*parts), lambda s: s.isNotNull())
-    return profiles.where(open_).select("profile_id", F.explode(found).alias("m")).select("profile_id", "m.*")
+    return df.where(open_).select("profile_id", F.explode(found).alias("m")).select("profile_id", "m.*")

@@ -73,9 +73,14 @@ def disagreement(gold: Column, draft: Column) -> Column:
 def outcome_equivalence(gold: DataFrame, draft: DataFrame, by: list[str]) -> DataFrame:
     """Rates over profiles of two verdict tables (profile_id, *by, verdict); null rates where there is no profile."""
     joined = gold.select("profile_id", *by, F.col("verdict").alias("g")).join(draft.select("profile_id", *by, F.col("verdict").alias("d")), ["profile_id", *by])
+    return outcome_rates(joined, by)
+
+
+def outcome_rates(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """outcome_equivalence() of verdicts g and d that stand side by side already."""
     kind = disagreement(F.col("g"), F.col("d"))
     share = lambda name: F.try_divide(F.count_if(kind == name), F.count("*"))
-    return joined.groupBy(*by).agg(F.count("*").alias("n_profiles"), F.try_divide(F.count_if(kind.isNull()), F.count("*")).alias("agreement"), share("false_positive_eligible").alias("false_eligible"), share("false_negative_eligible").alias("false_not_eligible"), share("other_mismatch").alias("other"))
+    return pairs.groupBy(*by).agg(F.count("*").alias("n_profiles"), F.try_divide(F.count_if(kind.isNull()), F.count("*")).alias("agreement"), share("false_positive_eligible").alias("false_eligible"), share("false_negative_eligible").alias("false_not_eligible"), share("other_mismatch").alias("other"))
 
 
 def relation(baseline: Column, evaluated: Column) -> Column:

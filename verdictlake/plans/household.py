@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.functions.values import of_bool, of_num, of_str
+from verdictlake.functions.values import DDL, of_bool, of_num, of_str
 from verdictlake.plans.rulesets import Exclusion, Leaf, Node, RuleSet
 
+FACTS = f"MAP<STRING, {DDL}>"
+MEMBER = f"STRUCT<ix: INT, facts: {FACTS}>"
+
 _TREE = Node("and", (Leaf("total_price", ">=", 50000, "economic"), Node("or", (Leaf("priority", "in", ["1-URGENT", "2-HIGH"], "institutional"), Leaf("status", "==", "F", "institutional")))))
 _X1 = Exclusion("returned", "==", True, "economic", "some_family_member", exception=Leaf("discount", ">=", 0.09))
 _X2 = Exclusion("quantity", ">=", 45, "family_unit", "count_family_members", ">=", 2, Leaf("total_price", ">=", 300000), "applicant")
@@ -46,7 +49,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quantity": (F.col("l_suppkey") % 17 != 0, of_num(F.col("l_quantity"))),
         "tax": (yes, of_num(F.col("l_tax"))),
     })
-    family = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("ix"), member.alias("facts"))).alias("family"))
-    joined = orders.join(family, orders["o_orderkey"] == family["l_orderkey"], "left")
-    own = F.array(F.struct(F.lit(0).alias("ix"), me.alias("facts")))
-    return joined.select(F.col("o_orderkey").alias("profile_id"), F.when(F.col("family").isNull(), own).otherwise(F.concat(own, F.col("family"))).alias("members"))
+    # one exchange on the order's key holds orders and lines together; a broadcast of either would leave its scan's few tasks
+    own = orders.select(F.col("o_orderkey").alias("profile_id"), me.alias("own"), F.lit(None).cast(MEMBER).alias("member"))
+    family = lines.select(F.col("l_orderkey").alias("profile_id"), F.lit(None).cast(FACTS).alias("own"), F.struct(F.col("l_linenumber").alias("ix"), member.alias("facts")).alias("member"))
+    together = own.unionByName(family).groupBy("profile_id").agg(F.any_value("own", True).alias("own"), F.collect_list("member").alias("family")).where("own IS NOT NULL")
+    return together.select("profile_id", F.concat(F.array(F.struct(F.lit(0).alias("ix"), F.col("own").alias("facts"))), F.col("family")).alias("members"))
