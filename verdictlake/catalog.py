@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdictlake.catalog_base import QUERIES, SQL, query  # noqa: F401
+from verdictlake.catalog_base import read as _read
 from verdictlake.functions import text as T
 from verdictlake.functions.mojibake import fix_mojibake
 from verdictlake.functions.values import of_num
@@ -14,30 +14,6 @@ from verdictlake.operators import confidence, evaluate, gate, ledger, retrieval,
 from verdictlake.plans import household as H
 from verdictlake.plans.rulesets import flat_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(run: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[run.__name__] = run
-        if sql:
-            SQL[run.__name__] = sql
-        return run
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _or3(*terms: str) -> str:
-    return "(" + " OR ".join(terms) + ")"
-
-
 # The household's members and facts, and H1 to H3, in SQL: counts of true and unknown members for each exclusion.
 _COUNTS = """lines AS (
   SELECT l_orderkey AS k,
@@ -458,3 +434,6 @@ def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' segments as schemes, their nations as predicates of five samples."""
     rows = _read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("scheme_id"), (F.col("c_nationkey") % 5).alias("sample"), F.concat(F.lit("nation"), F.floor(F.col("c_nationkey") / 5).cast("int")).alias("field")).distinct()
     return confidence.sample_agreement(confidence.agreement(rows, ["field"])).withColumn("mean_agreement", F.round("mean_agreement", 6))
+
+
+from verdictlake import catalog_rules  # noqa: E402, F401

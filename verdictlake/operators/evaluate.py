@@ -138,8 +138,8 @@ class _Plan:
         parts = [self.tree(c) for c in node.children]
         return kleene.both(*parts) if node.kind == "and" else kleene.either(*parts)
 
-    def outcome(self, rules: RuleSet) -> Column:
-        """The verdict with its parts; any leaf that a present value can't be compared with gives an error instead."""
+    def outcome(self, rules: RuleSet) -> tuple[Column, list[Column], Column]:
+        """Whether the applicant is included, each exclusion, and the first leaf that a present value can't be compared with."""
         included, parts = self.tree(rules.inclusion), []
         found = [self.leaf(leaf)[1] for _, leaf in leaves(rules.inclusion)]
         for x in rules.exclusions:
@@ -151,22 +151,18 @@ class _Plan:
                 held &= ~waiver
                 found.append(wrong_waiver)
             parts.append(held)
-        return F.struct(F.lit(rules.scheme_id).alias("scheme_id"), included.alias("included"), F.array(*parts).cast("array<boolean>").alias("exclusions"), F.coalesce(*found, F.lit(None).cast("string")).alias("error"))
+        return included, parts, F.coalesce(*found, F.lit(None).cast("string"))
 
 
 def outcomes(profiles: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
-    """profile_id and o, an array with a struct for each rule set: scheme_id, included, exclusions, error, excluded, verdict."""
+    """profile_id and for rule set k: included_k, exclusions_k, excluded_k, error_k, verdict_k."""
     plan = _Plan()
     made = [plan.outcome(r) for r in rule_sets]
     step = prepared(profiles).select("profile_id", "_fam", *[c.alias(n) for n, c in (plan.own | plan.family).items()])
     step = step.select("profile_id", *plan.own, *[c.alias(n) for n, c in plan.tallies.items()])
-    step = step.select("profile_id", F.array(*made).alias("o"))
-
-    def finished(o: Column) -> Column:
-        excluded = kleene.any_of(o["exclusions"])
-        return F.struct(o["scheme_id"].alias("scheme_id"), F.when(o["error"].isNull(), verdict(o["included"], excluded)).alias("verdict"), o["included"].alias("included"), excluded.alias("excluded"), o["exclusions"].alias("exclusions"), o["error"].alias("error"))
-
-    return step.select("profile_id", F.transform("o", finished).alias("o"))
+    parts = [c.alias(f"{name}_{k}") for k, (inc, exc, err) in enumerate(made) for name, c in (("included", inc), ("exclusions", F.array(*exc).cast("array<boolean>")), ("excluded", kleene.either(*exc)), ("error", err))]
+    step = step.select("profile_id", *parts)
+    return step.withColumns({f"verdict_{k}": F.when(F.col(f"error_{k}").isNull(), verdict(F.col(f"included_{k}"), F.col(f"excluded_{k}"))) for k in range(len(made))})
 
 
 def evaluate(profiles: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
@@ -174,13 +170,16 @@ def evaluate(profiles: DataFrame, rule_sets: list[RuleSet]) -> DataFrame:
 
     A value that a rule can't be compared with gives an error and no verdict, and never fails the job.
     """
-    return outcomes(profiles, rule_sets).select("profile_id", F.explode("o").alias("o")).select("profile_id", "o.*")
+    fields = ("verdict", "included", "excluded", "exclusions", "error")
+    wide = outcomes(profiles, rule_sets).select("profile_id", *[F.array(*[F.col(f"{f}_{k}") for k in range(len(rule_sets))]).alias(f) for f in fields])
+    # places are exploded, not structs: Catalyst would evaluate an exploded struct once for each field read of it
+    rows = wide.select("*", F.posexplode(F.array(*[F.lit(r.scheme_id) for r in rule_sets])).alias("_k", "scheme_id"))
+    return rows.select("profile_id", "scheme_id", *[F.get(f, F.col("_k")).alias(f) for f in fields])
 
 
 def verdict_pairs(profiles: DataFrame, gold: RuleSet, draft: RuleSet) -> DataFrame:
     """profile_id, g, d: the verdicts of two rule sets side by side, so that comparing them needs no join."""
-    o = outcomes(profiles, [gold, draft])
-    return o.select("profile_id", F.get("o", F.lit(0))["verdict"].alias("g"), F.get("o", F.lit(1))["verdict"].alias("d"))
+    return outcomes(profiles, [gold, draft]).select("profile_id", F.col("verdict_0").alias("g"), F.col("verdict_1").alias("d"))
 
 
 def trace(profiles: DataFrame, rules: RuleSet) -> DataFrame:

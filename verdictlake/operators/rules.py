@@ -75,7 +75,7 @@ def candidate_values(flat: DataFrame) -> DataFrame:
     num = flat.where("value.kind = 'num'").groupBy("scheme_id", "field").agg(F.array_sort(F.collect_set("value.num")).alias("t"))
     middle = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: (F.get("t", i) + F.get("t", i - 1)) / 2)
     grid = F.array_distinct(F.concat("t", F.array(F.element_at("t", 1) - 1, F.element_at("t", -1) + 1), F.when(F.size("t") > 1, middle).otherwise(F.expr("CAST(array() AS ARRAY<DOUBLE>)"))))
-    numbers = num.select("scheme_id", "field", F.explode(grid).cast("string").alias("value"))
+    numbers = num.select("scheme_id", "field", F.explode(grid).alias("v")).select("scheme_id", "field", F.col("v").cast("string").alias("value"))
     bools = flat.where("value.kind = 'bool'").select("scheme_id", "field", F.explode(F.array(F.lit("true"), F.lit("false"))).alias("value"))
     named = flat.where("value.kind IN ('str', 'list')").select("scheme_id", "field", F.explode(F.concat(F.coalesce("value.arr", F.array(F.concat(F.lit("s:"), "value.str"))), F.array(F.lit("s:<none of these>")))).alias("v")).select("scheme_id", "field", F.expr("substring(v, 3)").alias("value"))
     return numbers.unionByName(bools).unionByName(named).distinct()
