@@ -158,3 +158,51 @@ def translation_faults(source: Column, text: Column) -> Column:
     marks = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"(\{[a-z_]*\})"), F.lit(1)))
     stars = lambda c: F.regexp_count(c, F.lit(r"\*\*"))
     return F.array_compact(F.array(F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty"), F.when(marks(source) != marks(text), "placeholders"), F.when(stars(source) != stars(text), "bold marks"), F.when(source == text, "same as source")))
+
+
+# Words of questions about a whole household.
+HOUSEHOLD_WORDS = "family|families|household|anyone|any one of|any member|members|husband|wife|spouse|children|relatives?"
+
+
+def is_household_phrased(question: Column) -> Column:
+    """Whether a question asks about the whole family."""
+    return question.rlike(rf"(?i)\b({HOUSEHOLD_WORDS})\b")
+
+
+def term_search(text: Column, term: str, around: int = 160, apart: int = 300) -> Column:
+    """struct<hits, windows>: how often a term occurs in any case, and what stands around those hits that are `apart` from the last shown.
+
+    White space is made single spaces first; windows reach `around` characters to either side.
+    """
+    t = F.regexp_replace(text, r"\s+", " ")
+    gaps = F.split(F.lower(t), "\\Q" + term.lower() + "\\E", -1)
+    start = F.struct(F.lit(0).alias("at"), F.lit(-apart - 1).alias("last"), F.expr("CAST(array() AS ARRAY<INT>)").alias("kept"))
+
+    def step(acc: Column, gap: Column) -> Column:
+        at = acc["at"] + F.length(gap)
+        near = at - acc["last"] < apart
+        return F.struct((at + len(term)).alias("at"), F.when(near, acc["last"]).otherwise(at).alias("last"), F.when(near, acc["kept"]).otherwise(F.array_append(acc["kept"], at)).alias("kept"))
+
+    kept = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step, lambda acc: acc["kept"])
+    low = lambda at: F.greatest(at - around, F.lit(0))
+    windows = F.transform(kept, lambda at: F.substr(t, low(at) + 1, at + len(term) + around - low(at)))
+    return F.struct((F.size(gaps) - 1).alias("hits"), windows.alias("windows"))
+
+
+def profile_text(members: Column) -> Column:
+    """A profile as lines of prompt text: the applicant's facts, then each family member's; booleans as yes and no."""
+
+    def line(e: Column) -> Column:
+        v = e["value"]
+        number = F.when(v["num"] == F.floor(v["num"]), F.floor(v["num"]).cast("string")).otherwise(v["num"].cast("string"))
+        said = F.when(v["kind"] == "bool", F.when(v["num"] == 1, "yes").otherwise("no")).when(v["kind"] == "num", number).otherwise(F.coalesce(v["str"], F.array_join(v["arr"], ", "), F.lit("none")))
+        return F.concat(F.lit("  - "), e["key"], F.lit(": "), said)
+
+    def block(m: Column, i: Column) -> Column:
+        head = F.when(m["ix"] == 0, "The applicant:").otherwise(F.concat(F.lit("Family member "), i, F.lit(":")))
+        return F.array_join(F.concat(F.array(head), F.transform(F.map_entries(m["facts"]), line)), "\n")
+
+    own, rest = F.filter(members, lambda m: m["ix"] == 0), F.filter(members, lambda m: m["ix"] != 0)
+    lines = F.concat(F.when(F.size(own) > 0, F.transform(own, lambda m: block(m, F.lit(0)))).otherwise(F.array(F.lit("The applicant:"))), F.transform(rest, lambda m, i: block(m, i + 1)))
+    empty = (F.size(rest) == 0) & F.forall(own, lambda m: F.size(m["facts"]) == 0)
+    return F.when(empty, "The applicant:\n  (no facts recorded)").otherwise(F.array_join(lines, "\n"))

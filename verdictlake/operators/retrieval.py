@@ -156,7 +156,7 @@ def markdown_sections(text: Column) -> Column:
     """array<struct<heading, body>> of a text's second-level sections; a leading comment is dropped."""
     t = F.regexp_replace(text, r"(?s)^\s*<!--.*?-->\s*", "")
     parts = F.slice(F.split(t, r"\n## "), 2, 1 << 30)
-    return F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "\n", 1))).alias("heading"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+    return F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "\n", 1))).alias("heading"), F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body")))
 
 
 def coverage(catalogue: DataFrame, fields: list[str]) -> DataFrame:
