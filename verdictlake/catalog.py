@@ -436,4 +436,6 @@ def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidence.sample_agreement(confidence.agreement(rows, ["field"])).withColumn("mean_agreement", F.round("mean_agreement", 6))
 
 
-from verdictlake import catalog_rules, catalog_text  # noqa: E402, F401
+from verdictlake import catalog_reports, catalog_rules, catalog_text  # noqa: E402, F401
+
+catalog_reports.register(_COUNTS)

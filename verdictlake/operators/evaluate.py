@@ -256,3 +256,35 @@ def missing_facts(profiles: DataFrame, rules: RuleSet) -> DataFrame:
             parts.append(F.array(item(len(parts), f"exclusions[{i}].except", F.lit(0), x.exception.field, undecided & ~F.map_contains_key(me, x.exception.field))))
     found = F.filter(F.concat(*parts), lambda s: s.isNotNull())
     return df.where(open_).select("profile_id", F.explode(found).alias("m")).select("profile_id", "m.*")
+
+
+def explain(profiles: DataFrame, rules: RuleSet, labels: dict[str, str] | None = None) -> DataFrame:
+    """profile_id, explanation: a line for each rule with whether it is met, in the order and depth of the rule set.
+
+    An exclusion that holds "applies"; one whose condition holds for someone and is set aside by an exception is "waived".
+    """
+    named = lambda f: (labels or {}).get(f, f[:1].upper() + f[1:].replace("_", " "))
+    mark = lambda r: F.when(r, "met").when(~r, "not met").otherwise("unknown")
+    me, lines = F.col("_me"), []
+
+    def walk(node: Any, depth: int) -> None:
+        indent = "  " * depth
+        if isinstance(node, Leaf):
+            lines.append(F.concat(F.lit(f"{indent}- {named(node.field)}: "), mark(leaf_result(node, me))))
+            return
+        lines.append(F.lit(f"{indent}- {'All of' if node.kind == 'and' else 'One of'}:"))
+        for child in node.children:
+            walk(child, depth + 1)
+
+    walk(rules.inclusion, 0)
+    for x in rules.exclusions:
+        if x.exception and x.except_scope == "applicant":
+            waived_ = condition(x) & leaf_result(x.exception, me)
+        elif x.exception:
+            waived_ = F.exists(looked_at(x), _unary(lambda m, x=x: F.coalesce(leaf_result(x, m["facts"]) & leaf_result(x.exception, m["facts"]), F.lit(False))))
+        else:
+            waived_ = F.lit(False)
+        held = exclusion(x)
+        said = F.when(held, "applies").when(~held & F.coalesce(waived_, F.lit(False)), "waived").when(~held, "does not apply").otherwise("unknown")
+        lines.append(F.concat(F.lit(f"- {named(x.field)}: "), said))
+    return prepared(profiles).select("profile_id", F.array_join(F.array(*lines), "\n").alias("explanation"))

@@ -90,3 +90,45 @@ def mutate(flat: DataFrame, drawn: DataFrame) -> DataFrame:
     out = base.withColumn("op", F.when(F.col("kind") == "operator", flipped[F.col("op")]).otherwise(F.col("op"))).withColumn("value", value.withField("num", num)).withColumn("has_except", F.col("has_except") & (F.coalesce("kind", F.lit("")) != "exception_dropped"))
     out = out.withColumn("value_repr", F.when(F.col("kind").isin("threshold", "value"), F.col("value.num").cast("string")).otherwise(F.col("value_repr")))
     return out.where(F.coalesce("kind", F.lit("")).isin("exclusion_dropped", "predicate_dropped") == F.lit(False)).drop("kind")
+
+
+def review_queue(findings: DataFrame) -> DataFrame:
+    """The latest run's findings of each scheme, gated anew: findings as for decide(), with scheme_id and run."""
+    last = findings.groupBy("scheme_id").agg(F.max("run").alias("run"))
+    return decide(findings.join(last, ["scheme_id", "run"], "left_semi")).withColumn("queue", F.when(F.col("decision") == "auto_accept", "accepted").otherwise("deferred"))
+
+
+def repair_passes(passes: DataFrame, most: int = 2) -> DataFrame:
+    """passes (scheme_id, pass, findings, applied) up to where the loop ends: no finding, none applied, or `most` passes.
+
+    Adds stop, why the pass was the last one, null if another follows.
+    """
+    before = Window.partitionBy("scheme_id").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = (F.col("findings") > 0) & (F.col("applied") > 0)
+    kept = passes.withColumn("_ended", F.coalesce(F.max((~goes_on).cast("int")).over(before), F.lit(0))).where((F.col("_ended") == 0) & (F.col("pass") <= most)).drop("_ended")
+    return kept.withColumn("stop", F.when(F.col("findings") == 0, "no findings").when(F.col("applied") == 0, "none applied").when(F.col("pass") == most, "pass limit"))
+
+
+def apply_findings(rules: DataFrame, findings: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Flat rules with what accepted findings propose, and a log: scheme_id, ordinal, applied, why.
+
+    findings (scheme_id, ordinal, confidence, action, field, op, value_repr, quantifier): action add_predicate puts a
+    leaf under the inclusion's AND, add_exclusion an exclusion after the last one; others change no predicate. rules
+    (scheme_id, ordinal, path, location, field, op, value_repr, quantifier). An inclusion that is no AND becomes the
+    first part of one, so its paths move one level down.
+    """
+    does = F.col("action").isin("add_predicate", "add_exclusion")
+    why = F.when(F.col("confidence") < threshold, "below threshold").when(~F.coalesce(does, F.lit(False)), "no predicate proposed")
+    log = findings.select("scheme_id", "ordinal", why.isNull().alias("applied"), F.coalesce(why, F.lit("applied")).alias("why"))
+    new = findings.where(why.isNull())
+    state = rules.groupBy("scheme_id").agg(F.max("ordinal").alias("_last"), F.count_if((F.col("location") == "inclusion") & ~F.col("path").startswith("inclusion.and[")).alias("_bare"), F.max(F.when(F.col("location") == "inclusion", F.regexp_extract("path", r"^inclusion\.and\[(\d+)\]", 1).try_cast("int"))).alias("_and"), F.count_if(F.col("location") == "exclusion").alias("_ex"))
+    wraps = new.where("action = 'add_predicate'").select("scheme_id").distinct().withColumn("_adds", F.lit(True))
+    moved = rules.join(state.select("scheme_id", "_bare"), "scheme_id", "left").join(wraps, "scheme_id", "left")
+    deeper = (F.col("location") == "inclusion") & F.coalesce("_adds", F.lit(False)) & (F.col("_bare") > 0)
+    moved = moved.withColumn("path", F.when(deeper, F.concat(F.lit("inclusion.and[0]"), F.substring("path", len("inclusion") + 1, 1 << 30))).otherwise(F.col("path"))).select(*rules.columns)
+    place = F.row_number().over(Window.partitionBy("scheme_id").orderBy("ordinal"))
+    nth = F.row_number().over(Window.partitionBy("scheme_id", "action").orderBy("ordinal"))
+    base = F.when(F.col("_bare") > 0, F.lit(0)).otherwise(F.coalesce("_and", F.lit(-1)))
+    path = F.when(F.col("action") == "add_predicate", F.concat(F.lit("inclusion.and["), base + nth, F.lit("]"))).otherwise(F.concat(F.lit("exclusions["), F.col("_ex") + nth - 1, F.lit("]")))
+    added = new.join(state, "scheme_id").select("scheme_id", (F.col("_last") + place).cast("int").alias("ordinal"), path.alias("path"), F.when(F.col("action") == "add_predicate", "inclusion").otherwise("exclusion").alias("location"), "field", "op", "value_repr", F.when(F.col("action") == "add_exclusion", F.coalesce("quantifier", F.lit("self"))).alias("quantifier"))
+    return moved.unionByName(added.select(*rules.columns)), log

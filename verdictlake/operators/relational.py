@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdictlake.functions import kleene
 from verdictlake.functions.values import coded
+from verdictlake.operators.evaluate import verdict
 
 
 def compare_columns(op: Column, a: Column, e: Column) -> Column:
@@ -22,9 +24,9 @@ def compare_columns(op: Column, a: Column, e: Column) -> Column:
 
 
 def facts_of(profiles: DataFrame) -> DataFrame:
-    """Long facts of profiles: profile_id, member_ix, field, value."""
-    one = profiles.select("profile_id", F.explode("members").alias("m"))
-    return one.select("profile_id", F.col("m.ix").alias("member_ix"), F.explode("m.facts").alias("field", "value"))
+    """Long facts of profiles: profile_id, member_ix (0 for the applicant, others numbered by place), field, value."""
+    one = profiles.select("profile_id", F.posexplode("members").alias("p", "m"))
+    return one.select("profile_id", F.when(F.col("m.ix") == 0, 0).otherwise(F.col("p") + 1).alias("member_ix"), F.explode("m.facts").alias("field", "value"))
 
 
 def leaf_results(facts: DataFrame, flat: DataFrame) -> DataFrame:
@@ -55,3 +57,59 @@ def exclusion_counts(profiles: DataFrame, facts: DataFrame, flat: DataFrame) ->
     rule = flat.where("location = 'exclusion'").select("scheme_id", F.col("path").alias("base"), "quantifier")
     total = F.when(F.col("quantifier") == "self", 1).otherwise(F.col("members"))
     return counted.join(rule, ["scheme_id", "base"]).select("profile_id", "scheme_id", F.col("base").alias("path"), "true", "false", (total - F.col("true") - F.col("false")).alias("unknown"))
+
+
+def inclusion_results(facts: DataFrame, flat: DataFrame) -> DataFrame:
+    """profile_id, scheme_id, included for each inclusion that is decided; an undecided one gives no row.
+
+    Nodes are folded from the deepest level up. Only definite results travel: a node is decided by how many of its
+    children are true and false, out of how many the rule table says it has, so unknown leaves need no rows.
+    """
+    leaves = flat.where("location = 'inclusion'").select("scheme_id", "path")
+    parent = lambda c: F.regexp_replace(c, r"\.(?:and|or)\[\d+\]$", "")
+    results = leaf_results(facts, flat.where("location = 'inclusion'")).where("result IS NOT NULL").select("profile_id", "scheme_id", "path", "result")
+    depth = leaves.agg(F.max(F.size(F.split("path", r"\.")))).first()[0] or 1
+    nodes = leaves
+    for level in range(depth, 1, -1):
+        here = F.size(F.split("path", r"\.")) == level
+        kinds = nodes.where(here).select("scheme_id", parent(F.col("path")).alias("path"), F.regexp_extract("path", r"\.(and|or)\[\d+\]$", 1).alias("kind")).groupBy("scheme_id", "path", "kind").agg(F.count("*").alias("n"))
+        counts = results.where(here).select("profile_id", "scheme_id", parent(F.col("path")).alias("path"), "result").groupBy("profile_id", "scheme_id", "path").agg(F.count_if("result").alias("t"), F.count_if(~F.col("result")).alias("f"))
+        decided = from_counts_by(F.col("kind"), F.col("t"), F.col("f"), F.col("n") - F.col("t") - F.col("f"))
+        up = counts.join(kinds, ["scheme_id", "path"]).select("profile_id", "scheme_id", "path", decided.alias("result")).where("result IS NOT NULL")
+        results = results.where(~here).unionByName(up)
+        nodes = nodes.where(~here).unionByName(kinds.select("scheme_id", "path"))
+    return results.select("profile_id", "scheme_id", F.col("result").alias("included"))
+
+
+def from_counts_by(kind: Column, true: Column, false: Column, unknown: Column) -> Column:
+    """kleene.from_counts with the kind of node as a column."""
+    return F.when(kind == "and", kleene.from_counts("and", true, false, unknown)).otherwise(kleene.from_counts("or", true, false, unknown))
+
+
+def verdicts(profiles: DataFrame, flat: DataFrame) -> DataFrame:
+    """profile_id, scheme_id, verdict, included, excluded of every profile and rule set, for rules that arrive as data.
+
+    The rule table meets each profile as one array of its exclusions, which grows with the rules alone. A value that
+    can't be compared counts as unknown here, where compiled rules give an error.
+    """
+    facts = facts_of(profiles)
+    rule = flat.where("location = 'exclusion'").select("scheme_id", "path", "quantifier", "count_op", "count")
+    waivers = flat.where("location = 'exception' AND except_scope = 'applicant'").select("scheme_id", F.regexp_replace("path", r"\.except$", "").alias("path"), F.lit(True).alias("waivable"))
+    held = leaf_results(facts, flat.where("location = 'exception' AND except_scope = 'applicant'")).where("member_ix = 0").select("profile_id", "scheme_id", F.regexp_replace("path", r"\.except$", "").alias("path"), F.col("result").alias("waived"))
+    every = flat.select("scheme_id").distinct().join(rule.join(waivers, ["scheme_id", "path"], "left").groupBy("scheme_id").agg(F.collect_list(F.struct("path", "quantifier", "count_op", "count", "waivable")).alias("exclusions")), "scheme_id", "left")
+    table = every.agg(F.collect_list(F.struct("scheme_id", "exclusions")).alias("rules"))
+    pairs = profiles.select("profile_id", F.greatest(F.size("members"), F.lit(1)).alias("members")).join(F.broadcast(table)).select("profile_id", "members", F.explode("rules").alias("r"))  # one row: the rules
+    open_ = pairs.select("profile_id", "members", "r.scheme_id", F.explode_outer("r.exclusions").alias("x")).select("profile_id", "members", "scheme_id", "x.*")
+    keys = ["profile_id", "scheme_id", "path"]
+    full = open_.join(exclusion_counts(profiles, facts, flat), keys, "left").join(held, keys, "left")
+    size = F.when(F.col("q") == "self", 1).otherwise(F.col("members"))
+    full = full.withColumnRenamed("quantifier", "q").withColumn("t", F.coalesce("true", F.lit(0))).withColumn("f", F.coalesce("false", F.lit(0))).withColumn("u", size - F.col("t") - F.col("f"))
+    counted = F.lit(None).cast("boolean")
+    for op in ("<", "<=", "==", ">", ">="):
+        counted = F.when(F.col("count_op") == op, kleene.count_range(op, F.col("t"), F.col("t") + F.col("u"), F.col("count"))).otherwise(counted)
+    result = F.when(F.col("q") == "count_family_members", counted).when(F.col("q") == "all_family_members", kleene.from_counts("and", F.col("t"), F.col("f"), F.col("u"))).otherwise(kleene.from_counts("or", F.col("t"), F.col("f"), F.col("u")))
+    result = F.when(F.coalesce("waivable", F.lit(False)), result & ~F.col("waived")).otherwise(result)
+    full = full.withColumn("result", F.when(F.col("path").isNull(), False).otherwise(result))
+    excluded = full.groupBy("profile_id", "scheme_id").agg(kleene.from_counts("or", F.count_if(F.col("result")), F.count_if(~F.col("result")), F.count_if(F.col("result").isNull())).alias("excluded"))
+    both = excluded.join(inclusion_results(facts, flat), ["profile_id", "scheme_id"], "left")
+    return both.select("profile_id", "scheme_id", verdict(F.col("included"), F.col("excluded")).alias("verdict"), "included", "excluded")

@@ -67,20 +67,20 @@ def leaves(node: Any, path: str = "inclusion") -> Iterator[tuple[str, Leaf]]:
         yield from leaves(child, f"{path}.{node.kind}[{i}]")
 
 
-FLAT = f"scheme_id STRING, version STRING, ordinal INT, path STRING, location STRING, field STRING, cat STRING, op STRING, value {'STRUCT<kind: STRING, num: DOUBLE, str: STRING, arr: ARRAY<STRING>>'}, value_repr STRING, quantifier STRING, has_except BOOLEAN, parent_field STRING, except_scope STRING"
+FLAT = f"scheme_id STRING, version STRING, ordinal INT, path STRING, location STRING, field STRING, cat STRING, op STRING, value {'STRUCT<kind: STRING, num: DOUBLE, str: STRING, arr: ARRAY<STRING>>'}, value_repr STRING, quantifier STRING, has_except BOOLEAN, parent_field STRING, except_scope STRING, count_op STRING, count INT"
 
 
 def flat_rows(rules: RuleSet) -> list[tuple]:
     """Inclusion leaves, then exclusions, then exceptions; value_repr keeps 1, 1.0 and True apart."""
     out: list[tuple] = []
 
-    def add(path: str, location: str, f: str, cat: str, op: str, value: Any, quantifier: str | None = None, has: bool = False, parent: str | None = None, scope: str | None = None) -> None:
-        out.append((rules.scheme_id, rules.version, len(out), path, location, f, cat, op, tagged(value), repr(value), quantifier, has, parent, scope))
+    def add(path: str, location: str, f: str, cat: str, op: str, value: Any, quantifier: str | None = None, has: bool = False, parent: str | None = None, scope: str | None = None, count_op: str | None = None, count: int | None = None) -> None:
+        out.append((rules.scheme_id, rules.version, len(out), path, location, f, cat, op, tagged(value), repr(value), quantifier, has, parent, scope, count_op, count))
 
     for path, leaf in leaves(rules.inclusion):
         add(path, "inclusion", leaf.field, leaf.cat, leaf.op, leaf.value)
     for i, x in enumerate(rules.exclusions):
-        add(f"exclusions[{i}]", "exclusion", x.field, x.cat, x.op, x.value, x.quantifier, x.exception is not None)
+        add(f"exclusions[{i}]", "exclusion", x.field, x.cat, x.op, x.value, x.quantifier, x.exception is not None, count_op=x.count_op, count=x.count)
     for i, x in enumerate(rules.exclusions):
         if x.exception:
             add(f"exclusions[{i}].except", "exception", x.exception.field, EXCEPTION_CATEGORY, x.exception.op, x.exception.value, parent=x.field, scope=x.except_scope)
