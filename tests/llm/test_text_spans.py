@@ -109,6 +109,33 @@ def test_known_identifiers_are_marked_everywhere(spark):
     assert (found[200], found[201], found[202], found[203]) == ("card:0:19", "card:0:19", "ip:3:13", "")
 
 
+def test_written_out_identifiers_are_found_and_clean_texts_left_alone(spark):
+    rng = random.Random(4)
+    docs = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    forms = {"email": ["{u} (at) {h} dot example", "{u} [at] {h}.example", "{u} at {h} dot example", "{u}@{h}[.]example"], "phone": ["555 010 {n:04}", "555.010.{n:04}", "555-010-{n:04}", "(555) 01 0{n:04}"], "ip": ["10[.]0[.]{a}[.]{b}", "10(dot)0(dot){a}(dot){b}", "10 [dot] 0 [dot] {a} [dot] {b}"]}
+    seed = {"email": "{u}@{h}.example", "phone": "+1 (555) 010-{n:04}", "ip": "10.0.{a}.{b}"}
+    around = {"email": ("you reach the clerk under", "on working days"), "phone": ("please call our office line", "thanks a lot"), "ip": ("the request came from host", "last night")}
+    rows, planted, clean = [], [], []
+    for i in range(900):
+        kind = ("email", "phone", "ip")[i % 3]
+        values = {"u": f"user{i}", "h": f"host{i % 7}", "n": i, "a": i // 256, "b": i % 256}
+        new = rng.random() < 0.4
+        v = (rng.choice(forms[kind]) if new else seed[kind]).format(**values)
+        left, right = around[kind]
+        text = docs[i % len(docs)][:400].rsplit(" ", 1)[0]
+        rows.append((i, f"{text} {left} {v} {right}"))
+        if new:
+            planted.append((i, kind, v))
+    for i in range(900, 1200):
+        clean.append(i)
+        rows.append((i, rng.choice(["in {y} there were {n} units and {m} boxes", "look at page dot com or at {h}.", "meet us at noon. The sum is {n} {m}", "version 10(b) of {n}-{m}, see (at) the end"]).format(y=1900 + i % 99, n=5_550_000 + i, m=7_000_000 + i, h=f"host{i % 7}")))
+    texts = dict(rows)
+    found = {r.doc_id: r.spans for r in pii.op1(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    caught = sum(f"{kind}:{texts[i].rindex(v)}:{texts[i].rindex(v) + len(v)}" in found[i].split(",") for i, kind, v in planted)
+    assert caught >= 0.9 * len(planted), caught / len(planted)
+    assert sum(found[i] != "" for i in clean) <= 0.01 * len(clean)
+
+
 def test_secret_base_spans(spark):
     docs = corpus(spark)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}

@@ -18,13 +18,21 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Strings in identifier form that no base pattern need match: long numbers with separators, and mail addresses written out.
-CANDIDATE = r"(?<![A-Za-z0-9+])[0-9](?:[\x20().-]?[0-9]){6,17}+(?![A-Za-z0-9])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[({](?:at|AT)[\])}]\x20?[A-Za-z0-9.-]{3,64}+"
-CANDIDATE_GUARD = r"[0-9](?:[\x20().-]?[0-9]){6}|[\[({](?:at|AT)[\])}]"
+#: Ways to write the signs of an address in words or brackets.
+AT_MARK, AT_WORD = r"\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?", r"\x20(?:at|AT)\x20"
+DOT_MARK, DOT_WORD = r"\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?", r"\x20(?:dot|DOT)\x20"
+_DOT, _LABEL = rf"(?:\.|{DOT_MARK}|{DOT_WORD})", "[A-Za-z0-9-]++"
+#: Strings in identifier form that no base pattern need match: long numbers with separators, mail addresses written out
+#: in full or in part, and addresses whose dots are set in brackets.
+NUMBER = r"(?<![A-Za-z0-9+])[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])"
+MAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{AT_MARK}{_LABEL}(?:{_DOT}{_LABEL})*+|(?:@|{AT_WORD}){_LABEL}(?:{_DOT}{_LABEL})++)"
+ADDRESS = rf"(?<![0-9])[0-9]{{1,3}}(?:{DOT_MARK}[0-9]{{1,3}}){{3}}(?![0-9])"
+CANDIDATE = f"{ADDRESS}|{NUMBER}|{MAIL}"
+CANDIDATE_GUARD = rf"[0-9](?:[\x20().-]{{0,2}}[0-9]){{6}}|{AT_MARK}|{DOT_MARK}|(?:@|{AT_WORD}){_LABEL}{_DOT}"
 #: Parts into which the places of one instance are dealt.
 SALTS = 16
 #: Code points looked at on either side of a span for its context.
-REACH = 48
+REACH = 256
 
 
 def luhn(value: Column) -> Column:
@@ -83,20 +91,31 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def patterns_of(left: Column, right: Column) -> Column:
     """The lexical patterns of a context: the two words before, and the words on both sides."""
-    last = F.lower(F.regexp_extract(left, r"(\p{L}{2,24})[^\p{L}]{0,6}$", 1))
-    pair = F.lower(F.regexp_extract(left, r"(\p{L}{1,24}[^\p{L}]{1,3}\p{L}{2,24})[^\p{L}]{0,6}$", 1))
-    after = F.lower(F.regexp_extract(right, r"^[^\p{L}]{0,6}(\p{L}{2,24})", 1))
+    last = F.lower(F.regexp_extract(left, r"(\p{L}{2,})[^\p{L}]{0,6}$", 1))
+    pair = F.lower(F.regexp_extract(left, r"(\p{L}+[^\p{L}]{1,3}\p{L}{2,})[^\p{L}]{0,6}$", 1))
+    after = F.lower(F.regexp_extract(right, r"^[^\p{L}]{0,6}(\p{L}{2,})", 1))
     both = F.when((last != "") & (after != ""), F.concat(F.lit("b:"), last, F.lit("|"), after))
     return F.array_compact(F.array(F.when(pair != "", F.concat(F.lit("l:"), pair)), both))
 
 
 def _forms(inst: Column) -> Column:
-    """The kinds that a candidate's form allows, as a bit for each place in KINDS; inst is its text without separators."""
+    """The kinds that a candidate's form allows, as a bit for each place in KINDS; inst is as plain() gives it."""
     n = F.length(inst)
     card = F.when(n.between(12, 19), luhn(inst)).otherwise(False)
     bits = {"ip": n <= 12, "card": card, "phone": n.between(7, 15)}
     number = sum((F.when(x, 1 << KINDS.index(k)).otherwise(0) for k, x in bits.items()), F.lit(0))
-    return F.when(inst.rlike("^[0-9]+$"), number).otherwise(1 << KINDS.index("email"))
+    return F.when(inst.startswith("ip "), 1 << KINDS.index("ip")).when(inst.rlike("^[0-9]+$"), number).otherwise(1 << KINDS.index("email"))
+
+
+def plain(kind: Column, value: Column) -> Column:
+    """One text for all ways to write an identifier: lower case, signs for words, no separators.
+
+    An IP address keeps its dots, which a number with the same digits has not.
+    """
+    v = F.regexp_replace(F.lower(value), f"{AT_MARK}|{AT_WORD}", "@")
+    v = F.regexp_replace(v, f"{DOT_MARK}|{DOT_WORD}", ".")
+    address = (kind == "ip") | ((kind == "cand") & v.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") & value.rlike(f"^{ADDRESS}$"))
+    return F.when(address, F.concat(F.lit("ip "), v)).otherwise(F.regexp_replace(v, r"[\x20().-]", ""))
 
 
 def bootstrap(found: DataFrame, min_seeds: int = 3, confident: float = 0.8) -> DataFrame:
@@ -114,9 +133,8 @@ def bootstrap(found: DataFrame, min_seeds: int = 3, confident: float = 0.8) -> D
     """
     keys = [c for c in found.columns if c not in ("base", "cand")]
     rows = found.where((F.size("base") > 0) | (F.size("cand") > 0)).select(*keys, F.explode(F.concat("base", "cand")).alias("x"))
-    rows = rows.select(*keys, "x.s", "x.e", "x.k", "x.v", F.regexp_replace(F.lower("x.v"), r"[\x20().-]", "").alias("plain"), patterns_of(F.col("x.l"), F.col("x.r")).alias("pats"))
-    # an address's dots count: a number with the same digits is another instance
-    inst = F.sha2(F.when(F.col("k") == "ip", F.concat(F.lit("ip "), "v")).otherwise(F.col("plain")), 256)
+    rows = rows.select(*keys, "x.s", "x.e", "x.k", "x.v", plain(F.col("x.k"), F.col("x.v")).alias("plain"), patterns_of(F.col("x.l"), F.col("x.r")).alias("pats"))
+    inst = F.sha2("plain", 256)
     edges = rows.select(*keys, "s", "e", "k", "v", inst.alias("inst"), F.when(F.col("k") == "cand", _forms(F.col("plain"))).alias("forms"), F.explode_outer("pats").alias("pat"))
     edges = stable(edges, "pii-edges")
     graph = stable(edges.where("pat IS NOT NULL").groupBy("pat", "inst").agg(F.max(F.when(F.col("k") != "cand", F.col("k"))).alias("seed"), F.max("forms").alias("forms")), "pii-graph")
