@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from verdictlake.llm.common import stable
 
 #: A subtree is template if at least so many different pages of its host have it, however many pages the host has.
-MIN_PAGES = 10
+MIN_PAGES = 3
 #: Parts into which the pages of one (host, subtree), and the copies of one page, are dealt.
 SALTS, COPY_SALTS = 16, 4
 
