@@ -139,6 +139,23 @@ def test_small_and_tied_vectors(spark):
         df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>")
         assert neighbours(df) == brute_nearest([(r.vec_id, r.embedding) for r in df.collect() if r.vec_id is not None])
     assert ann.op6(df.limit(0)).collect() == []
+    mixed = spark.createDataFrame([(i, [1.0 + i % 7, float(i)][: 1 + i % 2]) for i in range(41)], "vec_id LONG, embedding ARRAY<FLOAT>")
+    got = neighbours(mixed)
+    assert sorted(got) == [0, 20, 40] and got[20][0] == (34, 49.0) and len(got[20]) == 20
+
+
+def test_share_looked_at_and_recall_are_as_the_readme_says():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    score = x[:60] @ x.T
+    score[np.arange(60), np.arange(60)] = -9
+    top, seen = np.argsort(-score, axis=1)[:, :20], np.zeros((60, 1500), dtype=bool)
+    for table in range(ann.TABLES):
+        own, asked = ann.buckets(x, table, 1)[:, 0], ann.buckets(x[:60], table, ann.PROBES)
+        for i in range(60):
+            seen[i] |= np.isin(own, asked[i])
+    assert np.mean([seen[i][top[i]].mean() for i in range(60)]) >= 0.95 and seen.mean() <= 0.68
 
 
 def test_rotation_keeps_lengths():

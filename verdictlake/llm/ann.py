@@ -56,9 +56,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, dtype=np.float64).reshape(len(rows), -1) if rows else np.empty((0, 1))
+def _matrix(rows: list, width: int) -> np.ndarray:
+    """Vectors as rows of doubles; shorter ones are filled up with zeros."""
+    out = np.zeros((len(rows), width))
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, nearest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -90,23 +93,22 @@ def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, tables:
     `probes` nearest axes in each. All vectors found are ranked by inner product in double precision, ties to the
     smaller id. A bucket is compared in blocks of BLOCK vectors, so no bucket is too large for a task and none is cut.
     A query that finds fewer than `nearest` looks into all buckets of one table, which is all vectors.
-    Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do rows with a null id or with
-    a length other than the most common one; of rows with the same id and vector one takes part. Other columns are
-    not read. An empty table gives an empty result.
+    Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do rows with a null id; of rows
+    with the same id and vector one takes part. Vectors of different lengths are compared as if the shorter one went on
+    with zeros. Other columns are not read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), queries.alias("q")).where(F.col("vec_id").isNotNull()).where(usable(F.col("v"))).dropDuplicates(["vec_id", "v"])
-    width = base.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
+    base = vectors.select("vec_id", F.col("embedding").alias("v"), queries.alias("q")).where(F.col("vec_id").isNotNull()).where(usable(F.col("v"))).dropDuplicates(["vec_id", "v"])
+    base = stable(base, "ann-vectors")
+    width = base.agg(F.max(F.size("v"))).first()[0]
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = width["w"]
-    base = stable(base.where(F.size("v") == width), "ann-vectors")
     axes = 2 << max(0, (width - 1).bit_length())
 
     def hashed(probes: int, only: int | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, ids, v = _matrix(batch.column("v")), batch.column("vec_id"), batch.column("v")
+                x, ids, v = _matrix(batch.column("v").to_pylist(), width), batch.column("vec_id"), batch.column("v")
                 x = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x
                 for table in range(tables) if only is None else [only]:
                     found = buckets(x, table, probes) if len(x) else np.empty((0, 1), dtype=np.int64)
@@ -115,7 +117,8 @@ def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, tables:
 
         return run
 
-    schema = "vec_id long, v array<double>, table int, bucket int"
+    kind = base.schema["v"].dataType.simpleString()  # as given: floats take half the bytes of doubles on their way
+    schema = f"vec_id long, v {kind}, table int, bucket int"
     sizes = stable(base.select("vec_id", "v").mapInArrow(hashed(1), schema).groupBy("table", "bucket").agg(F.count("*").alias("n")), "ann-sizes")  # tables * axes rows at most
     sizes = F.broadcast(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
     index = base.select("vec_id", "v").mapInArrow(hashed(1), schema).join(sizes, ["table", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
@@ -127,7 +130,7 @@ def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, tables:
         def match(_: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(x):
                 return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-            found = list(best(np.stack(q["v"].to_numpy()), q["vec_id"].to_numpy(), np.stack(x["v"].to_numpy()), x["vec_id"].to_numpy(), nearest))
+            found = list(best(_matrix(q["v"].tolist(), width), q["vec_id"].to_numpy(), _matrix(x["v"].tolist(), width), x["vec_id"].to_numpy(), nearest))
             return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
         keys = ["table", "bucket", "block"]
