@@ -113,11 +113,24 @@ def test_answer_stream_equals_batch(spark, tmp_path):
     facts = streams.current_facts(stream, {"s": ["t"]})
     streams.each_batch(facts, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/{i}"), str(tmp_path / "cp"))
     changes = spark.read.parquet(f"{out}/*")
-    got = {(r.profile_id, r.field): r.value for r in ledger.fold_answers(changes, ["profile_id"], "field", "value", "ts", "event_id").collect()}
+    got = {(r.profile_id, r.field): r.value for r in ledger.fold_answers(changes, ["profile_id"], "field", "value", "version", "version").collect()}
     batch = {(r.profile_id, r.field): r.value for r in ledger.fold_answers(df, ["profile_id"], "field", "value", "ts", "event_id").collect()}
     assert got == batch | {(2, "t"): 0.0}
 
 
+def test_answer_stream_with_late_dependants_and_changed_screens(spark, tmp_path):
+    files = [[(1, "s", 0.0, 10, 1), (2, "s", 0.0, 10, 2), (3, "s", 0.0, 10, 3)], [(1, "t", 7.0, 5, 4), (2, "s", 1.0, 20, 5)], [(3, "t", 3.0, 30, 6), (3, "s", 1.0, 40, 7), (2, "u", 5.0, 1, 8)]]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in files:
+        df = spark.createDataFrame(rows, "profile_id LONG, field STRING, value DOUBLE, s LONG, event_id LONG")
+        df = df.select("profile_id", "field", "value", F.timestamp_seconds("s").alias("ts"), "event_id")
+        df.coalesce(1).write.mode("append").parquet(src)
+        streams.each_batch(streams.current_facts(spark.readStream.schema(df.schema).parquet(src), {"s": ["t"]}), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/{i}"), str(tmp_path / "cp"))
+    changes = spark.read.parquet(f"{out}/*")
+    got = {(r.profile_id, r.field): r.value for r in ledger.fold_answers(changes, ["profile_id"], "field", "value", "version", "version").collect()}
+    assert got == {(1, "s"): 0.0, (1, "t"): 7.0, (2, "s"): 1.0, (2, "t"): None, (2, "u"): 5.0, (3, "s"): 1.0, (3, "t"): 3.0}
+
+
 def test_usage_stream(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01 00:00:01", 5.0), ("2024-01-01 00:00:30", 7.0)], "ts STRING, tokens DOUBLE").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "in"))

@@ -22,24 +22,38 @@ def rolling_sum(events: DataFrame, ts: str, value: str, seconds: int, by: list[s
 
 
 def rolling_sum_by_day(events: DataFrame, ts: str, value: str, name: str) -> DataFrame:
-    """rolling_sum over 24 hours without groups: days are partitions, and each event also looks at the day before.
+    """rolling_sum over 24 hours without groups: hours are partitions, with the 23 full hours between as one carried total.
 
-    So a table of any length is spread over its days, where one window over all rows would be one task.
+    An hour's partition holds its own events and those of the same hour the day before, of which only those count
+    that are younger than a day; so a busy day is spread over its hours and an event is copied once.
     """
-    own = events.withColumn("_day", F.unix_date(F.to_date(ts))).withColumn("_own", F.lit(True))
-    before = events.select(F.col(ts), F.col(value), (F.unix_date(F.to_date(ts)) + 1).alias("_day")).withColumn("_own", F.lit(False))
-    rows = own.unionByName(before, allowMissingColumns=True)
-    return rolling_sum(rows, ts, value, DAY, ["_day"], name).where("_own").drop("_day", "_own")
+    hour = F.floor(_micros(F.col(ts)) / 3_600_000_000).cast("long")
+    own = events.withColumn("_hour", hour).withColumn("_own", F.lit(True))
+    before = events.select(F.col(ts), F.col(value), (hour + 24).alias("_hour")).withColumn("_own", F.lit(False))
+    totals = own.groupBy("_hour").agg(F.sum(value).alias("_v"))
+    between = totals.select(F.explode(F.sequence(F.col("_hour") + 1, F.col("_hour") + 23)).alias("_hour"), "_v").groupBy("_hour").agg(F.sum("_v").alias("_carried"))
+    rows = rolling_sum(own.unionByName(before, allowMissingColumns=True), ts, value, DAY, ["_hour"], name).where("_own")
+    rows = rows.join(between, "_hour", "left")
+    return rows.withColumn(name, F.when(F.col("_carried").isNull(), F.col(name)).otherwise(F.coalesce(name, F.lit(0)) + F.col("_carried"))).drop("_hour", "_own", "_carried")
 
 
 def seconds_to_headroom(events: DataFrame, ts: str, value: str, now: Column, budget: float, needed: float) -> DataFrame:
-    """One row, wait_seconds: until enough of the last day's usage has expired for `needed` more; DAY if that never suffices."""
+    """One row, wait_seconds: until enough of the last day's usage has expired for `needed` more; DAY if that never suffices.
+
+    Running sums are taken over the day's minutes, 1,441 at most, and then over the rows of the one minute that decides.
+    """
     age = _micros(now) - _micros(F.col(ts))
-    recent = events.where((age >= 0) & (age < DAY * 1_000_000)).groupBy(F.col(ts).alias("t")).agg(F.sum(value).alias("v"))
-    total = recent.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"))
-    gone = recent.withColumn("gone", F.sum("v").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(total))
-    first = gone.where(F.col("total") - F.col("gone") + needed <= budget).agg(F.min("t").alias("t"))
-    wait = (_micros(F.col("t")) + DAY * 1_000_000 - _micros(now)) / 1_000_000.0
+    recent = events.where((age >= 0) & (age < DAY * 1_000_000)).groupBy(_micros(F.col(ts)).alias("t")).agg(F.sum(value).alias("v"))
+    recent = recent.withColumn("m", F.floor(F.col("t") / 60_000_000))
+    minutes = recent.groupBy("m").agg(F.sum("v").alias("v"))
+    total = minutes.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"))
+    upto = F.sum("v").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
+    gone = minutes.withColumn("gone", upto).join(F.broadcast(total))  # one row
+    decides = gone.where(F.col("total") - F.col("gone") + needed <= budget).agg(F.min_by(F.struct("m", (F.col("gone") - F.col("v")).alias("before")), "m").alias("d")).select("d.m", "d.before")
+    inside = recent.join(F.broadcast(decides), "m")  # one row
+    within = F.col("before") + F.sum("v").over(Window.partitionBy("m").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    first = inside.withColumn("gone", within).join(F.broadcast(total)).where(F.col("total") - F.col("gone") + needed <= budget).agg(F.min("t").alias("t"))
+    wait = (F.col("t") + DAY * 1_000_000 - _micros(now)) / 1_000_000.0
     return first.join(total).select(F.when(F.col("total") + needed <= budget, 0.0).otherwise(F.coalesce(wait, F.lit(float(DAY)))).alias("wait_seconds"))
 
 
@@ -56,10 +70,16 @@ def prefer_stage(runs: DataFrame, by: list[str], stage: str, ranks: list[str], o
     return runs.where(rank > 0).groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct((-rank).alias("a"), F.col(order).alias("b"))).alias("r")).select(*by, "r.*")
 
 
-def pack_context(chunks: DataFrame, by: list[str], order: list[Column], cost: str, room: float) -> DataFrame:
-    """The leading chunks of each group, best first, up to the first that does not fit; adds used."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return chunks.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= room)
+def pack_context(chunks: DataFrame, by: list[str], order: list[Column], cost: str, room: float, salts: int = 16) -> DataFrame:
+    """The leading chunks of each group, best first, up to the first that does not fit; adds used. Costs are not negative.
+
+    A group is first packed in `salts` parts. What comes after a part's first overflow can't fit in the whole either,
+    so only the rest, about `salts` times what fits, meets in one window.
+    """
+    running = lambda keys: F.sum(cost).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    part = chunks.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    part = part.withColumn("_part", running([*by, "_salt"])).where(F.col("_part") - F.col(cost) <= room).drop("_part", "_salt")
+    return part.withColumn("used", running(by)).where(F.col("used") <= room)
 
 
 def merge_runs(attempts: DataFrame, by: list[str], order: str, cause: str, setting: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,30 +29,52 @@ def region_values(rules: RuleSet, field: str) -> list:
     return [*dict.fromkeys(map(str, flat)), "<none of these>"]
 
 
-def could_change(profiles: DataFrame, rules: RuleSet, field: str, others: list[str]) -> DataFrame:
+def read_fields(rules: RuleSet) -> tuple[list[str], list[str]]:
+    """Fields that the rules read of the applicant, and of every member of the household."""
+    own = [leaf.field for _, leaf in leaves(rules.inclusion)] + [x.exception.field for x in rules.exclusions if x.exception and x.except_scope == "applicant"]
+    inner = lambda x: [x.field] + ([x.exception.field] if x.exception and x.except_scope == "member" else [])
+    family = [f for x in rules.exclusions if x.quantifier != "self" for f in inner(x)]
+    own += [f for x in rules.exclusions if x.quantifier == "self" for f in inner(x)] + family
+    return list(dict.fromkeys(own)), list(dict.fromkeys(family))
+
+
+def could_change(profiles: DataFrame, rules: RuleSet, field: str, budget: int = BUDGET) -> DataFrame:
     """profile_id, relevant: whether two answers for the applicant's field give different verdicts under some
-    completion of the other fields. Fields that a profile has keep their values.
+    completion of the other facts that the profile lacks, the applicant's and the family's.
 
-    Past BUDGET completions every profile counts as relevant. Profiles are read once; completions are a table of
-    at most BUDGET rows.
+    A profile is expanded by its own open facts only, one value for each region that the rules tell apart. Past
+    `budget` completions it counts as relevant, as in the reference semantics; a known field never is.
     """
-    grids = [region_values(rules, f) for f in (field, *others)]
-    size = 1
-    for g in grids:
-        size *= len(g)
-    if size > BUDGET:
-        return profiles.select("profile_id", F.lit(True).alias("relevant"))
+    own, family = read_fields(rules)
     value = "STRUCT<kind: STRING, num: DOUBLE, str: STRING, arr: ARRAY<STRING>>"
-    rows = [(i % len(list(itertools.product(*grids[1:]))), {f: tagged(v) for f, v in zip((field, *others), combo, strict=True)}) for i, combo in enumerate(itertools.product(*grids))]
-    spark = profiles.sparkSession
-    fills = spark.createDataFrame(rows, f"other INT, fill MAP<STRING, {value}>")
-    own = F.get("members", F.lit(0))
-    missing = F.map_filter("fill", lambda k, v: ~F.map_contains_key(own["facts"], k))
-    filled = F.transform("members", lambda m: F.when(m["ix"] == 0, m.withField("facts", F.map_concat(m["facts"], missing))).otherwise(m))
-    tried = profiles.join(F.broadcast(fills)).select(F.struct("profile_id", "other").alias("profile_id"), filled.alias("members"))  # fills: BUDGET rows at most
-    verdicts = evaluate(tried, [rules])
+    row = lambda v: F.struct(*[F.lit(x).alias(n) if not isinstance(x, list) else F.array(*map(F.lit, x)).alias(n) for x, n in zip(tagged(v), ("kind", "num", "str", "arr"), strict=True)]).cast(value)
+    grid = F.create_map(*[x for f in own for x in (F.lit(f), F.array(*map(row, region_values(rules, f))))]) if own else F.create_map()
+    mine, theirs = (F.array(*map(F.lit, fields)).cast("array<string>") for fields in (own, family))
+
+    def missing(m: Column, i: Column) -> Column:
+        fields = F.filter(F.when(m["ix"] == 0, mine).otherwise(theirs), lambda f: ~F.map_contains_key(m["facts"], f))
+        return F.transform(fields, lambda f: F.struct(i.alias("at"), f.alias("field"), (m["ix"] == 0).alias("own")))
+
+    asked = lambda x: x["own"] & (x["field"] == field)
+    df = profiles.withColumn("_open", F.flatten(F.transform("members", missing)))
+    df = df.withColumn("_open", F.concat(F.filter("_open", asked), F.filter("_open", lambda x: ~asked(x)))).withColumn("_grid", grid)
+    size = lambda x: F.size(F.element_at(F.col("_grid"), x["field"]))
+    df = df.withColumn("_known", ~F.exists("_open", asked)).withColumn("_many", F.aggregate("_open", F.lit(1.0), lambda a, x: a * size(x)))
+    sure = df.where(F.col("_known") | (F.col("_many") > budget)).select("profile_id", (~F.col("_known")).alias("relevant"))
+    tried = df.where(~F.col("_known") & (F.col("_many") <= budget)).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_many").cast("int") - 1)))  # budget rows a profile at most
+
+    def choose(acc: Column, x: Column) -> Column:
+        picked = F.struct(x["at"].alias("at"), x["field"].alias("field"), F.get(F.element_at(F.col("_grid"), x["field"]), acc["rest"] % size(x)).alias("value"))
+        return F.struct(F.floor(acc["rest"] / size(x)).cast("int").alias("rest"), F.array_append(acc["out"], picked).alias("out"))
+
+    start = F.struct(F.col("_c").alias("rest"), F.expr(f"CAST(array() AS ARRAY<STRUCT<at: INT, field: STRING, value: {value}>>)").alias("out"))
+    tried = tried.withColumn("_fill", F.aggregate("_open", start, choose, lambda acc: acc["out"]))
+    extra = lambda i: F.map_from_entries(F.transform(F.filter("_fill", lambda x: x["at"] == i), lambda x: F.struct(x["field"], x["value"])))
+    filled = F.transform("members", lambda m, i: m.withField("facts", F.map_concat(m["facts"], extra(i))))
+    other = F.floor(F.col("_c") / len(region_values(rules, field))).cast("int")
+    verdicts = evaluate(tried.select(F.struct("profile_id", other.alias("other")).alias("profile_id"), filled.alias("members")), [rules])
     per = verdicts.groupBy("profile_id").agg(F.count_distinct("verdict").alias("n"))
-    return per.groupBy(F.col("profile_id.profile_id").alias("profile_id")).agg((F.max("n") > 1).alias("relevant"))
+    return per.groupBy(F.col("profile_id.profile_id").alias("profile_id")).agg((F.max("n") > 1).alias("relevant")).unionByName(sure)
 
 
 def next_fact(missing: DataFrame, fields: DataFrame) -> DataFrame:

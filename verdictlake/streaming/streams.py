@@ -9,14 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FACT = "profile_id LONG, field STRING, value DOUBLE, ts TIMESTAMP, event_id LONG"
+FACT = "profile_id LONG, field STRING, value DOUBLE, ts TIMESTAMP, event_id LONG, version LONG"
+Fact = tuple[float | None, int, int]
+
+
+def effective(answers: dict[str, Fact], screens: dict[str, list[str]]) -> dict[str, Fact]:
+    """Answers, and a 0 for each field without answer whose screening fact is 0."""
+    out = dict(answers)
+    for screen, fields in screens.items():
+        if screen in answers and answers[screen][0] == 0.0:
+            out |= {f: (0.0, *answers[screen][1:]) for f in fields if f not in answers}
+    return out
 
 
 def current_facts(answers: DataFrame, screens: dict[str, list[str]] | None = None, lateness: str = "1 day") -> DataFrame:
     """Changes of facts from an answer stream (profile_id, field, value, ts, event_id), a null value being a decline.
 
     The latest answer by (ts, event_id) stands, whatever the order of arrival. A 0 on a screening fact sets its
-    dependants to 0 where they have no answer. State is a row a fact; a profile unseen past the watermark is dropped.
+    dependants to 0 where they have no answer, for as long as it is 0: that is derived from the answers each time and
+    never kept, so a late answer replaces it and another answer to the screen takes it back (a null value).
+    version numbers a profile's changes; a fact's last version is its current value. State is a row an answered
+    field; a profile unseen past the watermark is dropped.
     """
     screens = screens or {}
 
@@ -24,28 +37,27 @@ def current_facts(answers: DataFrame, screens: dict[str, list[str]] | None = Non
         if state.hasTimedOut:
             state.remove()
             return
-        known = {f: (v, t, e) for f, v, t, e in zip(*state.get, strict=True)} if state.exists else {}
-        changed = set()
+        *lists, version = state.get if state.exists else ([], [], [], [], 0)
+        known = {f: (v, t, e) for f, v, t, e in zip(*lists, strict=True)}
+        before = effective(known, screens)
+        last = (0, 0)
         for rows in batches:
             for r in rows.sort_values(["ts", "event_id"]).itertuples():
                 at = (int(r.ts.value // 1000), int(r.event_id))
+                last = max(last, at)
                 if r.field not in known or known[r.field][1:] <= at:
                     known[r.field] = (None if pd.isna(r.value) else float(r.value), *at)
-                    changed.add(r.field)
-        for screen, fields in screens.items():
-            if screen in known and known[screen][0] == 0.0:
-                for f in fields:
-                    if f not in known:
-                        known[f] = (0.0, *known[screen][1:])
-                        changed.add(f)
+        after = effective(known, screens)
+        changed = {f: after.get(f, (None, *last)) for f in sorted(before.keys() | after.keys()) if before.get(f) != after.get(f)}
         names = sorted(known)
-        state.update((names, [known[f][0] for f in names], [known[f][1] for f in names], [known[f][2] for f in names]))
+        state.update((names, *([known[f][i] for f in names] for i in range(3)), version + len(changed)))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 30 * 86_400_000)
-        out = sorted(changed)
-        if out:
-            yield pd.DataFrame({"profile_id": [key[0]] * len(out), "field": out, "value": [known[f][0] for f in out], "ts": pd.to_datetime([known[f][1] for f in out], unit="us"), "event_id": [known[f][2] for f in out]})
+        if changed:
+            value, ts, event = zip(*changed.values(), strict=True)
+            yield pd.DataFrame({"profile_id": [key[0]] * len(changed), "field": list(changed), "value": value, "ts": pd.to_datetime(ts, unit="us"), "event_id": event, "version": range(version + 1, version + len(changed) + 1)})
 
-    return answers.withWatermark("ts", lateness).groupBy("profile_id").applyInPandasWithState(fold, FACT, "fields ARRAY<STRING>, nums ARRAY<DOUBLE>, times ARRAY<LONG>, ids ARRAY<LONG>", "update", GroupStateTimeout.EventTimeTimeout)
+    kept = "fields ARRAY<STRING>, nums ARRAY<DOUBLE>, times ARRAY<LONG>, ids ARRAY<LONG>, version LONG"
+    return answers.withWatermark("ts", lateness).groupBy("profile_id").applyInPandasWithState(fold, FACT, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def usage_windows(usage: DataFrame, budget_minute: float, budget_day: float, lateness: str = "1 hour") -> tuple[DataFrame, DataFrame]:
