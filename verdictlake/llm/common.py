@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,9 +22,11 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="verdictlake-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -72,6 +77,14 @@ def ship_package(spark: SparkSession) -> None:
     sc._verdictlake_shipped = True
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: workers are kept between tasks and stages, and heaps only grow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def global_index(df: DataFrame, order: list, name: str) -> DataFrame:
     """Adds idx, the row's place from 0 in the given order, without sorting in one task.
 

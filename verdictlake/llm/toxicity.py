@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdictlake.llm.common import stable
+from verdictlake.llm.common import give_back, stable
 
 #: Categories in chain order, as expressions over the labels table.
 CATEGORIES = {"low_quality": "CAST(quality = 0 AS INT)", "toxic": "CAST(toxic = 1 AS INT)"}
@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
         for batch in batches:
             words = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string()))], names=[*batch.schema.names, "words"])
+        give_back()
 
     rows = stable(rows.mapInArrow(split, T.StructType([*rows.schema.fields, T.StructField("words", T.ArrayType(T.StringType()))])), "toxic-sample")
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"y{i}"), F.lit(0)).alias(f"y{i}") for i in range(len(names))]).first()
@@ -204,6 +205,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             parts = [chain(chain.features(texts[i : i + 1000])) for i in range(0, len(texts), 1000)] or [np.empty((0, len(names)))]
             p = np.vstack(parts)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, i]) for i in range(len(names))]], names=[*batch.schema.names, *added])
+        give_back()
 
     schema = docs.select(*kept).schema
     for c in added:
