@@ -229,9 +229,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, quantile_cont(n_chars, 0.5) AS median, count(*) FILTER (WHERE len(string_split_regex(trim(text), '\\s+')) < 200) AS thin FROM documents GROUP BY source")
 def source_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    words = F.size(F.split(F.trim("text"), r"\s+"))
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.percentile("n_chars", 0.5).alias("median"), F.count_if(words < 200).alias("thin"))
+    return retrieval.source_adequacy(_read(spark, sf_dir, "documents"), ["source"], "text", "n_chars")
 
 
 def _case(words: dict[str, list[str]]) -> str:
@@ -253,9 +251,9 @@ def browse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, CASE WHEN n_name IN (SELECT n_name FROM nation WHERE n_regionkey < 2) THEN 'state_or_ut' WHEN n_name <> '' THEN 'central_or_other' ELSE 'unknown' END AS region FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def region_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation")
-    known = nation.where("n_regionkey < 2").select(F.col("n_name").alias("known"))
-    label = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(known, F.col("n_name") == F.col("known"), "left")
-    return label.select("s_suppkey", F.when(F.col("known").isNotNull(), "state_or_ut").when(F.coalesce("n_name", F.lit("")) != "", "central_or_other").otherwise("unknown").alias("region"))
+    known = [r[0] for r in nation.where("n_regionkey < 2").select("n_name").distinct().collect()]  # a closed list of names, as in the reference semantics
+    label = _read(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"), "left")  # nation: 25 rows
+    return label.select("s_suppkey", retrieval.classify_region(F.col("n_name"), known).alias("region"))
 
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -282,7 +280,7 @@ def quote_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     frequency = seen.groupBy("w").agg(F.count("*").alias("df"))
     rarest = inner.join(frequency, "w", "left").groupBy("item_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
     pairs = seen.join(rarest, "w").select("item_id", "doc_id")
-    return pairs.join(docs, "doc_id").join(items, "item_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    return pairs.join(docs, "doc_id").join(items, "item_id").where(T.quote_is_verbatim(F.col("q"), F.col("t"))).select("item_id", "doc_id")
 
 
 @query(f"""WITH d AS (SELECT doc_id, n_chars % 100 AS v, {_QUOTE.format('text')} AS t FROM documents), w(n, word) AS (VALUES {', '.join(f"({n}, '{w}')" for w, n in T.NUMBER_WORDS.items())})
@@ -341,9 +339,13 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mojibake_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Damages French texts as Windows-1252 readers do, and repairs them; SQL has no such codec."""
-    docs = _read(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", "text")
-    damaged = docs.withColumn("text", F.replace(F.replace("text", F.lit("é"), F.lit("Ã©")), F.lit(" la "), F.lit(" â€œlaâ€\u009d ")))
+    """Damages texts of all languages as Windows-1252 readers do, but for every fourth, and repairs what is flagged.
+
+    SQL has no such codec; a test holds the repair against Python's.
+    """
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    broken = F.replace(F.replace("text", F.lit("é"), F.lit("Ã©")), F.lit(" la "), F.lit(" â€œlaâ€\u009d "))
+    damaged = docs.withColumn("text", F.when(F.col("doc_id") % 4 != 0, broken).otherwise(F.col("text")))
     return fix_mojibake(damaged, "text").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 

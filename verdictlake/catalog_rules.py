@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.catalog_base import query, read
-from verdictlake.operators import confidence, gate, ledger, questions, relational, retrieval, rules, scoring
+from verdictlake.operators import confidence, gate, ledger, questions, reports, retrieval, rules, scoring
 from verdictlake.plans import household as H
-from verdictlake.plans.rulesets import flat_table
+from verdictlake.plans.rulesets import Exclusion, Leaf, RuleSet
 
 
 def _pick(number: str, *values: str) -> str:
@@ -307,3 +307,30 @@ def screened_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = lines.where("l_suppkey % 4 <> 0").select(*row("screen", F.col("l_returnflag") == "R")).unionByName(lines.where("l_partkey % 5 = 0").select(*row("secret", F.lit(True))))
     fields = spark.createDataFrame([("secret", "screen"), ("plain", None)], "field STRING, screened_by STRING")
     return questions.settle_screened(facts, fields).select("profile_id", "member_ix", "field", (F.col("value.num") == 1).alias("v"))
+
+
+@query(f"""WITH {_RULES}, k AS (SELECT scheme_id, field, arg_min(kind, ordinal) AS kind, bool_or(coalesce(location = 'inclusion', FALSE) OR coalesce(quantifier = 'self', FALSE) OR coalesce(except_scope = 'applicant', FALSE)) AS own FROM r WHERE field NOT IN ('is_resident', 'age', 'income') GROUP BY ALL)
+SELECT scheme_id, field, CASE kind WHEN 'bool' THEN 'boolean' WHEN 'num' THEN 'number' ELSE 'text' END AS answer_type, NOT own AS family FROM k""")
+def novel_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ontology = spark.createDataFrame([("is_resident",), ("age",)], "name STRING")
+    return reports.novel_fields(_flat(spark, sf_dir), ontology, spark.createDataFrame([("income",)], "field STRING")).select("scheme_id", "field", "answer_type", "family")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS sha256, arg_min(source || '/' || doc_id, struct_pack(a := length(source || '/' || doc_id), b := source || '/' || doc_id)) AS path FROM documents GROUP BY 1")
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, one kept for each content."""
+    docs = read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text")
+    return retrieval.content_dedup(docs).select("sha256", "path")
+
+
+@query("""WITH m AS (SELECT l_orderkey AS k, count(*) FILTER (WHERE l_suppkey % 17 <> 0 AND l_quantity >= 45) AS low, count(*) FILTER (WHERE l_suppkey % 17 = 0) AS unknown FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS profile_id, o_orderkey % 2 = 0 AND (pow(3, coalesce(unknown, 0) + 1) > 20000 OR (coalesce(low, 0) <= 1 AND coalesce(low, 0) + coalesce(unknown, 0) >= 1)) AS relevant FROM orders LEFT JOIN m ON m.k = o_orderkey""")
+def relevant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an applicant's unknown quantity can change a verdict on orders that exclude two large lines or more.
+
+    Every second order lacks the applicant's quantity; lines may lack theirs, three values each.
+    """
+    people = H.profiles(spark, sf_dir)
+    lacks = F.transform("members", lambda m: F.when((m["ix"] == 0) & (F.col("profile_id") % 2 == 0), m.withField("facts", F.map_filter(m["facts"], lambda k, v: k != "quantity"))).otherwise(m))
+    rules_ = RuleSet("q", Leaf("total_price", ">=", -1), (Exclusion("quantity", ">=", 45, quantifier="count_family_members", count_op=">=", count=2),))
+    return questions.could_change(people.withColumn("members", lacks), rules_, "quantity")

@@ -129,3 +129,19 @@ def profile_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = F.create_map(F.lit("returned"), value("bool", (F.col("l_returnflag") == "R").cast("int")), F.lit("quantity"), value("num", F.col("l_quantity").cast("int")))
     one = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.profile_text(F.array(F.struct(F.lit(0).alias("ix"), facts.alias("facts")))).alias("p"))
     return one.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("m")).agg(F.array_join(F.array_sort(F.collect_set("p")), "|").alias("prompt"))
+
+
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN (%s)))" % ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_name, {_TOKENS.format('p_name')} AS nt FROM part), m AS (SELECT k AS message_id, list_concat({_TOKENS.format("'tell me about ' || p_name")}, ['blue']) AS mt FROM p WHERE k % 3 <> 0),
+n AS (SELECT m.message_id, x.place, q.nt FROM m, (VALUES (1, 7), (2, 0), (3, 3)) x(place, off) JOIN p q ON q.k = m.message_id + x.off),
+s AS (SELECT m.message_id, place, len(list_intersect(mt, nt)) AS shared, len(nt) AS size FROM m JOIN n ON m.message_id = n.message_id WHERE len(nt) > 0)
+SELECT message_id, arg_max(place, struct_pack(a := shared / size, b := -place))::INT AS place, round(max(shared / size), 6) AS score FROM s WHERE shared >= least(2, size) AND shared / size >= 0.6 GROUP BY message_id""")
+def shortlist_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as schemes: who speaks of one has it and two others on the list."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    messages = parts.where("k % 3 <> 0").select(F.col("k").alias("message_id"), F.concat(F.lit("tell me about "), "p_name", F.lit(" blue")).alias("text"))
+    asked = messages.select("message_id", F.explode(F.create_map(*[F.lit(x) for pair in ((1, 7), (2, 0), (3, 3)) for x in pair])).alias("place", "off"))
+    names = asked.withColumn("k", F.col("message_id") + F.col("off")).join(parts, "k").select("message_id", "place", F.col("p_name").alias("name"))
+    return retrieval.shortlist_match(messages, names).withColumn("score", F.round("score", 6))

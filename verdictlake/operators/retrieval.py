@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdictlake.functions.text import normalize_name
+from verdictlake.functions.text import content_tokens, normalize_name
 
 
 def filter_as_of(chunks: DataFrame, date: Column | None, column: str = "effective_date") -> DataFrame:
@@ -172,3 +172,23 @@ def context_text(packed: DataFrame, by: list[str], order: str, text: str) -> Dat
 def with_intervals(versions: DataFrame, key: str, start: str = "valid_from") -> DataFrame:
     """Adds valid_to_derived: the next version's start, null for the last one."""
     return versions.withColumn("valid_to_derived", F.lead(start).over(Window.partitionBy(key).orderBy(start)))
+
+
+def source_adequacy(docs: DataFrame, by: list[str], text: str, size: str, least: int = 200) -> DataFrame:
+    """By group: documents, least, most and median size, and how many have fewer than `least` words."""
+    words = F.size(F.split(F.trim(text), r"\s+"))
+    return docs.groupBy(*by).agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), F.percentile(size, 0.5).alias("median"), F.count_if(words < least).alias("thin"))
+
+
+def shortlist_match(messages: DataFrame, names: DataFrame, share: float = 0.6) -> DataFrame:
+    """messages (message_id, text) to the name of their shortlist (message_id, place, name) that they speak of.
+
+    A name counts if the message has at least two of its content words (one, if there is no more) and `share` of them;
+    the best share wins, the earlier place on ties. Columns: message_id, place, score.
+    """
+    tokens = names.withColumn("nt", content_tokens(F.col("name")))
+    both = messages.select("message_id", content_tokens(F.col("text")).alias("mt")).join(tokens, "message_id")
+    shared = F.size(F.array_intersect("mt", "nt"))
+    scored = both.where(F.size("nt") > 0).withColumn("score", shared / F.size("nt")).where((shared >= F.least(F.lit(2), F.size("nt"))) & (F.col("score") >= share))
+    best = scored.groupBy("message_id").agg(F.max(F.struct("score", (-F.col("place")).alias("p"))).alias("b"))
+    return best.select("message_id", (-F.col("b.p")).alias("place"), "b.score")
