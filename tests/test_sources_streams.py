@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from verdictlake.functions import text as T
 from verdictlake.functions.mojibake import fix_mojibake
 from verdictlake.operators import confidence, gate, ledger, retrieval, rules, scoring
@@ -55,6 +56,27 @@ def test_text_functions(spark):
     assert {r.t for r in fix_mojibake(damaged, "t").collect()} == {"it’s", "café", "plain", None}
 
 
+def test_catalogue_and_ledger(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"slug":"a","scheme_name":"itâ€™s","description":" "}\n\n{"slug":"b","scheme_name":"café","description":"d"}\n')
+    read = files.read_catalogue(spark, str(tmp_path / "in.jsonl"))
+    assert {r.slug: r.scheme_name for r in read.collect()} == {"a": "it’s", "b": "café"}
+    assert files.write_catalogue(read, str(tmp_path / "out")).select("n", "scheme_name_filled", "description_filled").first()[:] == (2, 1.0, 0.5)
+    assert {r.slug for r in files.read_catalogue(spark, str(tmp_path / "out")).collect()} == {"a", "b"}
+    for n in (1, 2):
+        files.append_ledger(spark.range(n), str(tmp_path / "ledger"))
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 3
+
+
+def test_mojibake_repair_against_pythons_codec(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    damaged = {i: (t.encode("utf-8").decode("cp1252", errors="ignore") + " â€”") if i % 2 else t for i, t in texts.items()}
+    got = {r.doc_id: r.text for r in fix_mojibake(spark.createDataFrame(list(damaged.items()), "doc_id LONG, text STRING"), "text").collect()}
+    for i, t in damaged.items():
+        want = t.encode("cp1252", errors="ignore").decode("utf-8", errors="ignore") if "â" in t else t
+        assert got[i] == want.replace("\ufeff", "")
+
+
 def test_pairing_of_two_bounds(spark):
     flat = "scheme_id STRING, ordinal INT, location STRING, field STRING, cat STRING, op STRING, value_repr STRING, quantifier STRING, parent_field STRING, except_scope STRING"
     gold = spark.createDataFrame([("s", 0, "inclusion", "age", "demographic", ">=", "18", None, None, None), ("s", 1, "inclusion", "age", "demographic", "<=", "40", None, None, None), ("s", 2, "inclusion", "x", "other", "==", "1", None, None, None)], flat)

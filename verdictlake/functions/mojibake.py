@@ -13,9 +13,9 @@ def _repair(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.encode("cp1252", errors="ignore").decode("utf-8", errors="ignore"))
 
 
-def fix_mojibake(df: DataFrame, column: str) -> DataFrame:
-    """Repairs flagged texts and strips byte order marks from all; clean rows stay on the JVM side."""
+def fix_mojibake(df: DataFrame, *columns: str) -> DataFrame:
+    """Repairs flagged texts and strips byte order marks from all, in one scan; only flagged texts are sent to Python."""
     repaired = F.pandas_udf(_repair, "string")
-    flagged = df.where(has_mojibake(F.col(column))).withColumn(column, repaired(F.col(column)))
-    clean = df.where(~has_mojibake(F.col(column)))
-    return clean.unionByName(flagged).withColumn(column, F.replace(F.col(column), F.lit("﻿"), F.lit("")))
+    flagged = {c: has_mojibake(F.col(c)) for c in columns}
+    fixed = {c: F.when(f, repaired(F.when(f, F.col(c)))).otherwise(F.col(c)) for c, f in flagged.items()}
+    return df.withColumns({c: F.replace(x, F.lit("\ufeff"), F.lit("")) for c, x in fixed.items()})

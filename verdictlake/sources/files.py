@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdictlake.functions.mojibake import fix_mojibake
 from verdictlake.functions.values import DDL
+from verdictlake.operators.retrieval import coverage
 from verdictlake.plans.rulesets import RuleSet, flat_table, from_dict, to_dict
 
 CATALOGUE = "slug STRING, scheme_name STRING, description STRING, eligibility_text STRING, benefits_text STRING, application_process_text STRING, official_link STRING, ministry_or_state STRING, sections_found ARRAY<STRING>, parse_warning STRING"
@@ -84,14 +85,13 @@ def read_corpus(spark: SparkSession, path: str, least: int = 20) -> DataFrame:
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Line JSON, blank lines skipped, damaged text repaired."""
-    df = spark.read.schema(CATALOGUE).json(path).where("slug IS NOT NULL")
-    for name in TEXT_FIELDS:
-        df = fix_mojibake(df, name)
-    return df
+    return fix_mojibake(spark.read.schema(CATALOGUE).json(path).where("slug IS NOT NULL"), *TEXT_FIELDS)
 
 
-def write_catalogue(df: DataFrame, path: str) -> None:
+def write_catalogue(df: DataFrame, path: str) -> DataFrame:
+    """Writes line JSON; returns the summary of what was written, one row."""
     df.write.json(path)
+    return coverage(df.sparkSession.read.schema(df.schema).json(path), [c for c in TEXT_FIELDS if c in df.columns])
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -107,13 +107,13 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 
 
 def export_review(rows: DataFrame, earlier: DataFrame | None, path: str) -> None:
-    """A CSV sheet of key, source, text; earlier answers stay, and rows whose text has changed since are marked."""
+    """A CSV sheet of key, source, text, its files in order of key; earlier answers stay, and rows whose text has changed since are marked."""
     if earlier is not None:
         old = earlier.select("key", F.col("text").alias("_old"), "answer", "fix")
         rows = rows.join(old, "key", "left").withColumn("changed", F.col("_old").isNotNull() & (F.col("_old") != F.col("text"))).drop("_old")
     else:
         rows = rows.withColumn("answer", F.lit(None).cast("string")).withColumn("fix", F.lit(None).cast("string")).withColumn("changed", F.lit(False))
-    rows.orderBy("key").coalesce(1).write.option("header", True).csv(path)
+    rows.orderBy("key").write.option("header", True).csv(path)
 
 
 def import_review(spark: SparkSession, path: str, current: DataFrame) -> DataFrame:
