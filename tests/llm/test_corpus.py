@@ -130,6 +130,16 @@ def test_fingerprints_against_plain_ones():
     assert len(set(z.tolist())) == len(z)  # repeated k-mers are numbered apart
 
 
+def test_occurrences_alike_in_texts_of_any_length():
+    codes = np.random.default_rng(2).integers(97, 101, 1 << 24, dtype=np.uint32)  # one k-mer more than fit a word's lower half
+    long = np.concatenate((codes, codes[:5], [96]))
+    z, place = omh.occurrences(long)
+    y, at = omh.occurrences(long[:50_000])
+    back, front = np.empty(len(z), np.uint64), np.empty(len(y), np.uint64)
+    back[place], front[at] = z, y
+    assert len(long) - 5 >= 1 << 24 and (back[: len(front)] == front).all()
+
+
 def test_next_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r.doc_id: r for r in omh.op9(docs.withColumn("part", docs.doc_id)).collect()}

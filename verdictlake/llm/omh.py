@@ -50,13 +50,14 @@ def occurrences(codes: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         h *= GOLD
         h += c[j : j + n]
     h = _mixed(h)
-    if n < 1 << 24:  # hash and place in one word: a plain sort puts equal k-mers together in text order
-        order = (h & ~_U((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
+    key = h >> _U(24)  # k-mers whose upper 40 bits are equal count as one, in texts of any length
+    if n < 1 << 24:  # hash and place fit in one word: a plain sort puts equal k-mers together in text order
+        order = (key << _U(24)) | np.arange(n, dtype=np.uint64)
         order.sort()
         key, place = order >> _U(24), (order & _U((1 << 24) - 1)).astype(np.int64)
     else:
-        place = np.argsort(h, kind="stable")
-        key = h[place]
+        place = np.argsort(key, kind="stable")
+        key = key[place]
     at = np.arange(n)
     begins = np.empty(n, dtype=bool)
     begins[0] = True
