@@ -1,5 +1,7 @@
 """Archives as exact round trips, pages against the known article."""
 
+import io
+import random
 import base64
 import gzip
 import hashlib
@@ -111,3 +113,11 @@ def test_template_below_a_hundredth_of_the_host(spark):
     rows = [(i, f"http://big.example/{i}", f"<div>{'<div>Same box</div>' if i < 12 else ''}<p>Text {i} of its own</p></div>") for i in range(1500)]
     got = {r.page_id: r.text for r in html_text.op5(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()}
     assert all(got[i] == f"Text {i} of its own" for i in range(1500))
+
+
+def test_inflating_is_bounded():
+    rng = random.Random(1)
+    for parts in ([b"x" * 50_000_000], [bytes(rng.randrange(256) for _ in range(100_000)), b"", b"ab" * 3_000_000, b"end"], [b"a" * warc.READ], [b""]):
+        data = b"".join(gzip.compress(p) for p in parts)
+        chunks = list(warc.inflated(io.BytesIO(data)))
+        assert b"".join(chunks) == b"".join(parts) and max(map(len, chunks)) <= warc.READ

@@ -67,16 +67,18 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """A gzip file's content, read once from start to end; members may follow one another."""
+    """A gzip file's content, read once from start to end, READ bytes at most at a time; members may follow one another."""
     engine = zlib.decompressobj(31)
     while data := stream.read(READ):
         while data:
-            yield engine.decompress(data)
-            data = engine.unused_data
+            out = engine.decompress(data, READ)
+            yield out
+            data = engine.unconsumed_tail
+            while len(out) == READ and not data and not engine.eof:  # what the window still holds
+                out = engine.decompress(b"", READ)
+                yield out
             if engine.eof:
-                engine = zlib.decompressobj(31)
-            else:
-                break
+                data, engine = engine.unused_data, zlib.decompressobj(31)
 
 
 def _opened(uri: str):
