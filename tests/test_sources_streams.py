@@ -9,6 +9,7 @@ from verdictlake.functions import text as T
 from verdictlake.functions.mojibake import fix_mojibake
 from verdictlake.operators import confidence, gate, ledger, retrieval, rules, scoring
 from verdictlake.plans import household as H
+from verdictlake.plans import rulesets
 from verdictlake.plans.rulesets import flat_table
 from verdictlake.sources import files
 from verdictlake.streaming import streams
@@ -19,6 +20,7 @@ def test_rule_sets_and_profiles(spark, tmp_path):
     (tmp_path / "rules").mkdir()
     (tmp_path / "rules" / "h1.json").write_text(next((tmp_path / "out").glob("part-*")).read_text())
     assert files.read_rule_sets(spark, str(tmp_path / "rules")) == [H.H1]
+    assert files.read_rule_table(spark, str(tmp_path / "rules")).count() == len(rulesets.flat_rows(H.H1))
     (tmp_path / "people").mkdir()
     (tmp_path / "people" / "suite.json").write_text(json.dumps({"_note": {}, "p1": {"self": {"age": 40, "ok": True, "gone": None, "name": "x", "tags": ["a", "b"]}, "family_members": [{"age": 2.5}]}, "p2": {}}))
     rows = {r.profile_id: r.members for r in files.read_profiles(spark, str(tmp_path / "people")).collect()}

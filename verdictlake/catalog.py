@@ -10,9 +10,8 @@ from verdictlake.catalog_base import read as _read
 from verdictlake.functions import text as T
 from verdictlake.functions.mojibake import fix_mojibake
 from verdictlake.functions.values import of_num
-from verdictlake.operators import confidence, evaluate, gate, ledger, retrieval, rules, scoring
+from verdictlake.operators import confidence, evaluate, gate, ledger, retrieval, scoring
 from verdictlake.plans import household as H
-from verdictlake.plans.rulesets import flat_table
 
 # The household's members and facts, and H1 to H3, in SQL: counts of true and unknown members for each exclusion.
 _COUNTS = """lines AS (

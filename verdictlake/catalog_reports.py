@@ -10,7 +10,7 @@ from verdictlake.catalog_text import _words
 from verdictlake.functions.values import of_num
 from verdictlake.operators import evaluate, gate, intake, relational, reports
 from verdictlake.plans import household as H
-from verdictlake.plans.rulesets import flat_table
+from verdictlake.plans.rulesets import flat_table, flatten_json
 
 
 def register(counts: str) -> None:
@@ -36,6 +36,22 @@ SELECT profile_id, '- All of:' || chr(10) || '  - Total price: ' || CASE WHEN pr
         return reports.verdict_differences(one, other, ["profile_id"])
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer)
+SELECT k AS scheme_id, 0 AS ordinal, 'inclusion.and[0]' AS path, 'inclusion' AS location, 'age' AS field, '>=' AS op, k::VARCHAR AS value_json, NULL AS quantifier, NULL AS parent_field, NULL AS except_scope FROM c
+UNION ALL SELECT k, 1, 'inclusion.and[1].or[0]', 'inclusion', 'f' || n, '==', 'true', NULL, NULL, NULL FROM c UNION ALL SELECT k, 2, 'inclusion.and[1].or[1]', 'inclusion', 'caste', 'in', '["a","b"]', NULL, NULL, NULL FROM c
+UNION ALL SELECT k, 3, 'exclusions[0]', 'exclusion', 'tax', '==', 'true', CASE WHEN n % 2 = 0 THEN 'self' ELSE 'some_family_member' END, NULL, NULL FROM c WHERE k % 3 <> 0
+UNION ALL SELECT k, 4, 'exclusions[0].except', 'exception', 'old', '>=', '60', NULL, 'tax', 'member' FROM c WHERE k % 3 <> 0 AND n % 4 = 0""")
+def flattened_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rule sets in JSON, opened into predicates."""
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey")
+    tree = put('{"inclusion":{"and":[{"field":"age","op":">=","value":', k, '},{"or":[{"field":"f', n.cast("string"), '","op":"==","value":true},{"field":"caste","op":"in","value":["a","b"]}]}]}')
+    spared = F.when(n % 4 == 0, ',"except":{"field":"old","op":">=","value":60}').otherwise("")
+    out = put(',"exclusions":[{"field":"tax","op":"==","value":true', F.when(n % 2 == 0, "").otherwise(',"quantifier":"some_family_member"'), spared, "}]")
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scheme_id"), put(tree, F.when(F.col("c_custkey") % 3 != 0, out).otherwise(""), "}").alias("rules"))
+    return flatten_json(rows)
+
+
 _KIND = _words("l_linenumber", "dropped_predicate", "flipped_operator", "threshold")
 
 

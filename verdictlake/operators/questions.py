@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from verdictlake.functions.values import tagged
 from verdictlake.operators.evaluate import evaluate
-from verdictlake.plans.rulesets import Leaf, RuleSet, leaves
+from verdictlake.plans.rulesets import RuleSet, leaves
 
 #: Completions that are tried for a fact; a fact with more open companions counts as relevant.
 BUDGET = 20_000
@@ -96,14 +96,3 @@ def settle_screened(facts: DataFrame, fields: DataFrame) -> DataFrame:
     new = no.join(fields.where("screened_by IS NOT NULL").select("field", "screened_by"), "screened_by").select("profile_id", "member_ix", "field")
     new = new.join(facts.select("profile_id", "member_ix", "field"), ["profile_id", "member_ix", "field"], "left_anti")
     return facts.unionByName(new.distinct().withColumn("value", false))
-
-
-def required_leaves(rules: RuleSet) -> list[Leaf]:
-    """Leaves that every eligible profile satisfies: those under ANDs only."""
-
-    def walk(node) -> list[Leaf]:
-        if isinstance(node, Leaf):
-            return [node]
-        return [x for c in node.children for x in walk(c)] if node.kind == "and" else []
-
-    return walk(rules.inclusion)

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdictlake.functions.values import tagged
 
@@ -129,3 +131,37 @@ def to_dict(rules: RuleSet) -> dict:
     if rules.requirements:
         out["operational_requirements"] = list(rules.requirements)
     return out | {k: v for k, v in rules.meta.items() if v is not None}
+
+
+def flatten_json(rules: DataFrame) -> DataFrame:
+    """Rule sets as JSON text (scheme_id, rules) to their predicates, for any number of rule sets.
+
+    scheme_id, ordinal, path, location, field, op, value_json, quantifier, parent_field, except_scope: inclusion leaves
+    from left to right, then exclusions, then exceptions. Trees are opened a level at a time, with as many steps as the
+    deepest one has levels; omitted fields take their defaults.
+    """
+    spark = rules.sparkSession
+    part = lambda node, name: F.variant_get(node, f"$.{name}", "variant")
+    text = lambda node, name: F.variant_get(node, f"$.{name}", "string")
+    opened = lambda df, what: df.lateralJoin(spark.tvf.variant_explode(what.outer()).select(F.col("pos"), F.col("value").alias("child")))
+    whole = rules.select("scheme_id", F.parse_json("rules").alias("v"))
+    columns = ["scheme_id", "section", "place", "path", "node", "parent_field", "except_scope"]
+    none = F.lit(None).cast("string")
+    nodes = whole.select("scheme_id", F.lit(0).alias("section"), F.expr("CAST(array() AS ARRAY<INT>)").alias("place"), F.lit("inclusion").alias("path"), part(F.col("v"), "inclusion").alias("node"), none.alias("parent_field"), none.alias("except_scope"))
+    found = None
+    while True:
+        children = F.coalesce(part(F.col("node"), "and"), part(F.col("node"), "or"))
+        here = nodes.where(children.isNull() & F.col("node").isNotNull())
+        found = here if found is None else found.unionByName(here)
+        inner = nodes.where(children.isNotNull()).withColumn("kids", children).withColumn("kind", F.when(part(F.col("node"), "and").isNotNull(), "and").otherwise("or"))
+        if inner.isEmpty():
+            break
+        nodes = opened(inner, F.col("kids")).select("scheme_id", "section", F.array_append("place", F.col("pos")).alias("place"), F.concat("path", F.lit("."), "kind", F.lit("["), "pos", F.lit("]")).alias("path"), F.col("child").alias("node"), "parent_field", "except_scope")
+    listed = whole.withColumn("kids", part(F.col("v"), "exclusions")).where("kids IS NOT NULL")
+    excluded = opened(listed, F.col("kids")).where("child IS NOT NULL").select("scheme_id", F.lit(1).alias("section"), F.array("pos").alias("place"), F.concat(F.lit("exclusions["), "pos", F.lit("]")).alias("path"), F.col("child").alias("node"), none.alias("parent_field"), none.alias("except_scope"))
+    spared = excluded.select("scheme_id", F.lit(2).alias("section"), "place", F.concat("path", F.lit(".except")).alias("path"), part(F.col("node"), "except").alias("n"), text(F.col("node"), "field").alias("parent_field"), F.coalesce(text(F.col("node"), "except_scope"), F.lit("member")).alias("except_scope")).where("n IS NOT NULL").withColumnRenamed("n", "node")
+    rows = found.unionByName(excluded).unionByName(spared.select(*columns))
+    node, section = F.col("node"), F.col("section")
+    order = F.row_number().over(Window.partitionBy("scheme_id").orderBy("section", "place")) - 1
+    quantifier = F.when(section == 1, F.coalesce(text(node, "quantifier"), F.lit("self")))
+    return rows.select("scheme_id", order.alias("ordinal"), "path", F.when(section == 0, "inclusion").when(section == 1, "exclusion").otherwise("exception").alias("location"), text(node, "field").alias("field"), text(node, "op").alias("op"), F.to_json(part(node, "value")).alias("value_json"), quantifier.alias("quantifier"), "parent_field", "except_scope")
