@@ -228,7 +228,7 @@ def mutated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_RULES}, a AS (SELECT scheme_id, max(ordinal) AS last FROM r GROUP BY 1), n AS (SELECT scheme_id, ordinal, field FROM r WHERE ordinal IN (1, 2) AND num > 3)
-SELECT scheme_id, ordinal, field FROM r UNION ALL SELECT n.scheme_id, last + row_number() OVER (PARTITION BY n.scheme_id ORDER BY n.ordinal), 'new_' || field FROM n JOIN a ON a.scheme_id = n.scheme_id""")
+SELECT scheme_id, ordinal, field FROM r UNION ALL SELECT n.scheme_id, (last + row_number() OVER (PARTITION BY n.scheme_id ORDER BY n.ordinal))::INT, 'new_' || field FROM n JOIN a ON a.scheme_id = n.scheme_id""")
 def accepted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _flat(spark, sf_dir).select("scheme_id", "ordinal", "field", "num")
     decided = flat.select("scheme_id", "ordinal", F.when((F.col("num") > 3) & F.col("ordinal").isin(1, 2), "auto_accept").otherwise("defer_to_review").alias("decision"), F.struct(F.concat(F.lit("new_"), "field").alias("field"), "num").alias("predicate"))
