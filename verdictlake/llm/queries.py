@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import ann, html_text, mixing, ngram_join, omh, packing, pii, secret_scan, toxicity, warc
+from verdictlake.llm import ann, html_text, mixing, ngram_join, omh, packing, pii, secret_scan, toxicity, turns, warc
 from verdictlake.llm.common import ship_package
 from verdictlake.llm.oracles import SQL
 
@@ -35,4 +35,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivotal_mix": _on("documents", mixing.op8),
     "op9_order_minhash": _on("documents", omh.op9),
     "op10_linear_grouping_pack": _on("documents", packing.op10),
+    "op13_turn_repair": _on("conversations", turns.op13),
 }
