@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import align, ann, html_text, mixing, ngram_join, omh, packing, pii, secret_scan, toxicity, turns, warc
+from verdictlake.llm import align, ann, html_text, lm, mixing, ngram_join, omh, packing, pii, secret_scan, toxicity, turns, warc
 from verdictlake.llm.common import ship_package
 from verdictlake.llm.oracles import SQL
 
@@ -36,5 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_order_minhash": _on("documents", omh.op9),
     "op10_linear_grouping_pack": _on("documents", packing.op10),
     "op11_token_alignment": _on("documents", align.op11),
+    "op12_deleted_interpolation": _on("documents", lm.op12),
     "op13_turn_repair": _on("conversations", turns.op13),
 }
