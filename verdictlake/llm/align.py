@@ -8,7 +8,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,14 @@ VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Where a text may be cut so that no token of either kind crosses: before a single space between two other signs.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Bytes of the texts that are dealt with together; units that a worker keeps, and the longest of those.
-TOGETHER, KEPT, KEPT_BYTES = 1 << 22, 1 << 16, 64
+TOGETHER, KEPT, KEPT_BYTES = 1 << 21, 1 << 16, 64
+#: Links of a group that are listed one by one before they are counted.
+EXPANDED = 1 << 10
 #: Pairs in more than a HOT-th of all rows are joined by a broadcast: there are at most HOT of them.
 HOT = 1 << 16
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 SCHEMA = f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, pairs array<long>, links array<long>"
-NO_LINKS = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
+NO_LINKS = (0, 0, 0, 0, "", b"", b"")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,6 +57,9 @@ class Pair:
         self.bytes_a = {i: bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        self.written = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
         self.cuts = "ByteLevel" in str(self.a.pre_tokenizer) and self.a.normalizer is None and not any("▁" in p.lstrip("▁") for p in pieces)
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
@@ -63,35 +68,63 @@ class Pair:
         """The units of a space and the text."""
         return CUT.split(f" {text}") if self.cuts else [f" {text}"]
 
-    def aligned(self, unit: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        """n_a, n_b, n_groups, n_links, the groups in writing, and the unit's different links with how often each occurs; null if the bytes differ."""
-        raw, of_a, of_b = unit.encode(), [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        ends_a = {end: i for i, end in enumerate(accumulate(map(len, of_a)), 1)}
-        ends_b = {end: i for i, end in enumerate(accumulate(map(len, of_b)), 1)}
-        links: Counter[int] = Counter()
-        written, total, i, j = [], 0, 0, 0
-        for end in sorted(ends_a.keys() & ends_b.keys()):
-            x, y = ends_a[end], ends_b[end]
-            mine, theirs = ids_a[i:x], ids_b[j:y]
-            written.append(f"{','.join(map(str, mine))}|{','.join(map(str, theirs))}")
-            total += len(mine) * len(theirs)
-            for p, n in Counter(mine).items() if len(mine) > 1 else ((mine[0], 1),):
-                for q, m in Counter(theirs).items() if len(theirs) > 1 else ((theirs[0], 1),):
-                    links[p << 32 | q] += n * m
-            i, j = x, y
-        return len(ids_a), len(ids_b), len(written), total, ";".join(written), np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
+    def aligned(self, units: list[str]) -> list[tuple | None]:
+        """For each unit: n_a, n_b, n_groups, n_links, the groups in writing, and links with how often each occurs, as bytes of integers; null if the bytes differ.
+
+        The units' bytes lie one after another, so two dictionaries from ends to places serve all of them: both
+        tokenizers end a token at the end of a unit.
+        """
+        ids_a = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
+        ids_b = self.b.encode([u[1:] for u in units], num_threads=1)
+        raw = [u.encode() for u in units]
+        same = [b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, r in zip(ids_a, ids_b, raw, strict=True)]
+        ids_a, ids_b, raw = ([x for x, ok in zip(xs, same, strict=True) if ok] for xs in (ids_a, ids_b, raw))
+        found = iter(self._groups(ids_a, ids_b, raw))
+        return [next(found) if ok else None for ok in same]
+
+    def _groups(self, ids_a: list[list[int]], ids_b: list[list[int]], raw: list[bytes]) -> list[tuple]:
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+        at_a, at_b = (dict(zip(np.cumsum(size[ids]).tolist(), range(1, len(ids) + 1), strict=True)) for size, ids in ((self.size_a, a), (self.size_b, b)))
+        common = sorted(at_a.keys() & at_b.keys())
+        to_a, to_b = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+        of_a, of_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        from_a, from_b, links = to_a - of_a, to_b - of_b, of_a * of_b
+        said_a, said_b = ([self.written[i] for i in ids.tolist()] for ids in (a, b))
+        groups = [f"{said_a[x]}|{said_b[y]}" if n == 1 else f"{','.join(said_a[x:p])}|{','.join(said_b[y:q])}" for x, y, p, q, n in zip(from_a.tolist(), from_b.tolist(), to_a.tolist(), to_b.tolist(), links.tolist(), strict=True)]
+        pairs, times, of = self._links(a, b, from_a, from_b, of_a, of_b)
+        ends = np.searchsorted(common, np.cumsum([len(r) for r in raw]), "right")
+        linked = np.searchsorted(of, ends)
+        total = np.diff(np.concatenate(([0], np.cumsum(links)))[ends], prepend=0).tolist()
+        out, low, first = [], 0, 0
+        for x, y, n, high, last in zip(ids_a, ids_b, total, ends.tolist(), linked.tolist(), strict=True):
+            out.append((len(x), len(y), high - low, n, ";".join(groups[low:high]), pairs[first:last].tobytes(), times[first:last].tobytes()))
+            low, first = high, last
+        return out
+
+    @staticmethod
+    def _links(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of ids, how often each is linked, and their group, by group: all of a group's ids on one side with all on the other."""
+        links = of_a * of_b
+        small = np.flatnonzero(links <= EXPANDED)
+        n = links[small]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(of_b[small], n)
+        pairs = a[np.repeat(from_a[small], n) + k // wide] << 32 | b[np.repeat(from_b[small], n) + k % wide]
+        times, group = np.ones(len(pairs), np.int64), np.repeat(small, n)
+        large = np.flatnonzero(links > EXPANDED)  # of these each different pair once
+        more = [(p << 32 | q, x * y, g) for g in large.tolist() for p, x in Counter(a[from_a[g] : from_a[g] + of_a[g]].tolist()).items() for q, y in Counter(b[from_b[g] : from_b[g] + of_b[g]].tolist()).items()]
+        if more:
+            pairs, times, group = (np.concatenate((x, np.array(y, np.int64))) for x, y in zip((pairs, times, group), zip(*more, strict=True), strict=True))
+            order = np.argsort(group, kind="stable")
+            pairs, times, group = pairs[order], times[order], group[order]
+        return pairs, times, group
 
     def units(self, names: list[str]) -> list[tuple | None]:
         """aligned() of each unit; the ones of lately are remembered, in two generations."""
         found = {u: x for u in names if (x := self.young.get(u, 0)) != 0 or (x := self.old.get(u, 0)) != 0}
         new = [u for u in names if u not in found]
         for at in range(0, len(new), 1 << 14):
-            some = new[at : at + (1 << 14)]
-            of_a = self.a.encode_batch(some, add_special_tokens=False)
-            of_b = self.b.encode([u[1:] for u in some], num_threads=1)
-            found.update((u, self.aligned(u, x.ids, y)) for u, x, y in zip(some, of_a, of_b, strict=True))
+            found.update(zip(new[at : at + (1 << 14)], self.aligned(new[at : at + (1 << 14)]), strict=True))
         for u in names:
             if len(u) <= KEPT_BYTES:
                 self.young[u] = found[u]
@@ -122,10 +155,10 @@ def _documents(tools: Pair, ids: pa.Array, texts: list[str | None], written: boo
     counts = [np.bincount(of, weights=np.array([u[k] for u in units], dtype=np.float64)[all_codes], minlength=len(codes)).astype(np.int64) if units else np.zeros(len(codes), np.int64) for k in range(4)]
     once, times = np.unique(of * max(1, len(units)) + all_codes, return_counts=True)
     document, unit = np.divmod(once, max(1, len(units)))
-    sizes = np.array([len(u[5]) for u in units], dtype=np.int64)
-    names, local = np.unique(np.concatenate([u[5] for u in units]) if units else np.empty(0, np.int64), return_inverse=True)
+    sizes = np.array([len(u[5]) // 8 for u in units], dtype=np.int64)
+    names, local = np.unique(np.frombuffer(b"".join([u[5] for u in units]), np.int64), return_inverse=True)
     at, _ = gathered(np.arange(len(local)), sizes, unit)
-    weight = (np.concatenate([u[6] for u in units]) if units else np.empty(0, np.int64))[at] * np.repeat(times, sizes[unit])
+    weight = np.frombuffer(b"".join([u[6] for u in units]), np.int64)[at] * np.repeat(times, sizes[unit])
     key = np.repeat(document, sizes[unit]) * max(1, len(names)) + local[at]
     order = np.argsort(key, kind="stable")
     key, weight = key[order], weight[order]
