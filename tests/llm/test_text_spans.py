@@ -196,3 +196,62 @@ def test_redact(spark):
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING, spans STRING")
     got = {r.doc_id: (r.text, r.spans) for r in secret_scan.redact(df).collect()}
     assert got == {1: ("a <SECRET>' b <SECRET> c", "x"), 2: (None, "y"), 3: ("clean é😀", None), 4: ("é😀 <SECRET>", "z")}
+
+
+def in_seconds(spark, run, text):
+    began = time.time()
+    row = run(spark.createDataFrame([(1, text)], "doc_id LONG, text STRING")).first()
+    assert time.time() - began < 60
+    return row
+
+
+def test_dense_texts_take_linear_time(spark):
+    slug = "x " + "a-" * 200_000 + "1"
+    assert in_seconds(spark, secret_scan.op4, slug).spans == ""
+    assert in_seconds(spark, secret_scan.redact, slug).text == slug
+    log = "\n".join(f"token = abcdef{i}" for i in range(200_000))
+    row = in_seconds(spark, secret_scan.op4, log)
+    assert row.n_assign == 200_000 and row.base_sha256 == sha(secret_base(log))
+    assert in_seconds(spark, secret_scan.redact, log).text == "\n".join(["<SECRET>"] * 200_000)
+    mails = " ".join(f"u{i}@ex.org" for i in range(200_000))
+    row = in_seconds(spark, pii.op1, mails)
+    assert row.n_email == 200_000 and row.base_sha256 == sha(pii_base(mails))
+
+
+def test_redact_equals_plain_replacement(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["é", "😀 ", "token=abcdef1 ", "AKIA" + "B" * 20, "0a" * 13, "secret: AKIA" + "C" * 22 + " ", "word "]) for _ in range(rng.randrange(1, 900))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    spans = {r.doc_id: sorted((x.s, x.e) for x in r.spans) for r in secret_scan.scan(df).collect()}
+    for r in secret_scan.redact(df).collect():
+        out, at = [], 0
+        for s, e in spans[r.doc_id]:
+            if s >= at:
+                out += [texts[r.doc_id][at:s], "<SECRET>"]
+            at = max(at, e)
+        assert r.text == "".join(out) + texts[r.doc_id][at:]
+
+
+def test_running_sums_and_spans_apart(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        base = sorted((s, s + rng.randrange(1, 30)) for s in rng.sample(range(300), rng.randrange(12)))
+        cuts = sorted(rng.sample(range(330), 2 * rng.randrange(10)))
+        rows.append((i, [(s, e, "b", "") for s, e in base], [(s, e, "c", "") for s, e in zip(cuts[::2], cuts[1::2], strict=True)]))
+    df = spark.createDataFrame(rows, f"i INT, base ARRAY<{secret_scan.SPAN}>, spans ARRAY<{secret_scan.SPAN}>")
+    for r in df.select("*", secret_scan.apart(F.col("spans"), F.col("base")).alias("free"), secret_scan.running(F.transform("spans", lambda x: x["s"])).alias("sums")).collect():
+        assert r.free == [x for x in r.spans if not any(b.s < x.e and x.s < b.e for b in r.base)]
+        assert r.sums == [sum(x.s for x in r.spans[: j + 1]) for j in range(len(r.spans))]
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from verdictlake.llm import common
+
+    df = spark.range(20_000).selectExpr("id", "if(id % 2 = 0, 'hot', cast(id AS STRING)) AS k")
+    other = spark.createDataFrame([("hot", 1), ("7", 2), ("none", 3)], "k STRING, v INT")
+    hot = common.hot_keys(df, "k")
+    assert [r.k for r in hot.collect()] == ["hot"]
+    for how in ("inner", "left", "left_anti"):
+        side = other.select("k") if how == "left_anti" else other
+        assert sorted(map(repr, common.join_split(df, side, "k", hot, how).collect())) == sorted(map(repr, df.join(side, "k", how).collect()))

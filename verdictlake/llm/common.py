@@ -58,6 +58,29 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot from this share of a table's rows on, so there are at most as many hot ones.
+HOT = 4096
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The values of a column that more than a HOT-th of the rows have, HOT at most, as a table."""
+    counts = stable(df.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = stable(counts.where(F.col("_n") * HOT > total).select(key), "hot-keys")
+    discard(counts)
+    return hot
+
+
+def join_split(df: DataFrame, other: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """df joined (inner, left or left_anti) with `other`, which has a row for each key at most; rows of hot_keys(df, key) stay where they are.
+
+    What `other` has for the hot keys is broadcast, as there are at most HOT of them; the rest is joined by the key.
+    """
+    few = F.broadcast(hot)
+    common = df.join(few, key, "left_semi").join(F.broadcast(other.join(few, key, "left_semi")), key, how)
+    return common.unionByName(df.join(few, key, "left_anti").join(other, key, how))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Lets Python workers import this package where the environment does not already do so."""
     on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)

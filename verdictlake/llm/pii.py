@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import stable
-from verdictlake.llm.secret_scan import _placed, written
+from verdictlake.llm.common import hot_keys, join_split, stable
+from verdictlake.llm.secret_scan import _placed, apart, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Possessive repeats and the looks behind keep long runs linear; matches stay the same.
@@ -29,10 +29,6 @@ MAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{AT_MARK}{_LABEL}(?:{_DOT}{_
 ADDRESS = rf"(?<![0-9])[0-9]{{1,3}}(?:{DOT_MARK}[0-9]{{1,3}}){{3}}(?![0-9])"
 CANDIDATE = f"{ADDRESS}|{NUMBER}|{MAIL}"
 CANDIDATE_GUARD = rf"[0-9](?:[\x20().-]{{0,2}}[0-9]){{6}}|{AT_MARK}|{DOT_MARK}|(?:@|{AT_WORD}){_LABEL}{_DOT}"
-#: Parts into which the places of one instance are dealt.
-SALTS = 16
-#: Code points looked at on either side of a span for its context.
-REACH = 256
 
 
 def luhn(value: Column) -> Column:
@@ -66,13 +62,13 @@ def _holds(kind: str) -> Callable[[Column], Column]:
     return check
 
 
-def _with_context(gaps: Column, hits: Column, kind: str) -> Column:
-    """Like _placed, each span with the text on its left and right up to the next match of its own pattern."""
-    spans = _placed(gaps, hits, kind)
-    return F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), x["v"].alias("v"), F.right(F.get(gaps, i), F.lit(REACH)).alias("l"), F.left(F.get(gaps, i + 1), F.lit(REACH)).alias("r")))
+SPAN = "STRUCT<s:INT,e:INT,k:STRING,v:STRING,p:ARRAY<STRING>>"
 
 
-SPAN = "STRUCT<s:INT,e:INT,k:STRING,v:STRING,l:STRING,r:STRING>"
+def _with_context(gaps: Column, hits: Column, kind: str) -> Column:
+    """Like _placed, each span with the patterns of the texts on its left and right, up to the next match of its own pattern."""
+    spans = F.zip_with(_placed(gaps, hits, kind), F.slice(gaps, 1, F.size(hits)), lambda x, left: F.struct(x.alias("x"), left.alias("left")))
+    return F.zip_with(spans, F.slice(gaps, 2, F.size(hits)), lambda a, right: F.struct(a["x"]["s"].alias("s"), a["x"]["e"].alias("e"), a["x"]["k"].alias("k"), a["x"]["v"].alias("v"), patterns_of(a["left"], right).alias("p")))
 
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -84,16 +80,15 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
         df = df.withColumn(f"_g_{k}", F.when(F.size(f"_h_{k}") > 0, F.split(F.col("_t"), p, -1)))
         df = df.withColumn(f"_{k}", F.when(F.size(f"_h_{k}") > 0, _with_context(F.col(f"_g_{k}"), F.col(f"_h_{k}"), k)).otherwise(none))
     df = df.withColumn("base", F.concat(*[F.filter(F.col(f"_{k}"), _holds(k)) for k in KINDS]))
-    apart = lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    df = df.withColumn("cand", F.filter(F.col("_cand"), apart))
+    df = df.withColumn("cand", apart(F.col("_cand"), F.col("base"), SPAN))
     return df.drop("_t", *[f"_{a}{k}" for a in ("", "h_", "g_") for k in (*KINDS, "cand")])
 
 
 def patterns_of(left: Column, right: Column) -> Column:
     """The lexical patterns of a context: the two words before, and the words on both sides."""
-    last = F.lower(F.regexp_extract(left, r"(\p{L}{2,})[^\p{L}]{0,6}$", 1))
-    pair = F.lower(F.regexp_extract(left, r"(\p{L}+[^\p{L}]{1,3}\p{L}{2,})[^\p{L}]{0,6}$", 1))
-    after = F.lower(F.regexp_extract(right, r"^[^\p{L}]{0,6}(\p{L}{2,})", 1))
+    last = F.lower(F.regexp_extract(left, r"(?<!\p{L})(\p{L}{2,}+)[^\p{L}]{0,6}+$", 1))
+    pair = F.lower(F.regexp_extract(left, r"(?<!\p{L})(\p{L}++[^\p{L}]{1,3}+\p{L}{2,}+)[^\p{L}]{0,6}+$", 1))
+    after = F.lower(F.regexp_extract(right, r"^[^\p{L}]{0,6}+(\p{L}{2,}+)", 1))
     both = F.when((last != "") & (after != ""), F.concat(F.lit("b:"), last, F.lit("|"), after))
     return F.array_compact(F.array(F.when(pair != "", F.concat(F.lit("l:"), pair)), both))
 
@@ -129,25 +124,26 @@ def bootstrap(found: DataFrame, min_seeds: int = 3, confident: float = 0.8) -> D
     those of its patterns that have `min_seeds` known instances at all; from `confident` on it is known and supports
     patterns of its own in the next round. What is known stays known, so rounds end when one adds nothing.
     Candidates stay, in every place, where a pattern of theirs is confident or their instance is known: an identifier
-    found in one document is marked in all. The equi-join for that is salted, as one instance may be in many places.
+    found in one document is marked in all. Instances and patterns with many rows are joined apart from the others.
     """
     keys = [c for c in found.columns if c not in ("base", "cand")]
     rows = found.where((F.size("base") > 0) | (F.size("cand") > 0)).select(*keys, F.explode(F.concat("base", "cand")).alias("x"))
-    rows = rows.select(*keys, "x.s", "x.e", "x.k", "x.v", plain(F.col("x.k"), F.col("x.v")).alias("plain"), patterns_of(F.col("x.l"), F.col("x.r")).alias("pats"))
+    rows = rows.select(*keys, "x.s", "x.e", "x.k", "x.v", plain(F.col("x.k"), F.col("x.v")).alias("plain"), F.col("x.p").alias("pats"))
     inst = F.sha2("plain", 256)
     edges = rows.select(*keys, "s", "e", "k", "v", inst.alias("inst"), F.when(F.col("k") == "cand", _forms(F.col("plain"))).alias("forms"), F.explode_outer("pats").alias("pat"))
     edges = stable(edges, "pii-edges")
     graph = stable(edges.where("pat IS NOT NULL").groupBy("pat", "inst").agg(F.max(F.when(F.col("k") != "cand", F.col("k"))).alias("seed"), F.max("forms").alias("forms")), "pii-graph")
+    much, hot = {c: hot_keys(graph, c) for c in ("inst", "pat")}, {c: hot_keys(edges.where("k = 'cand'"), c) for c in ("inst", "pat")}
     known = stable(edges.where("k <> 'cand'").groupBy("inst").agg(F.max("k").alias("kind")).withColumn("conf", F.lit(1.0)), "pii-instances")
     while True:
         of = lambda k: F.col("kind") == k
         against = lambda k: F.col("kind").isNull() & (F.col("forms").bitwiseAND(1 << KINDS.index(k)) == 0)
         counts = [c for k in KINDS for c in (F.sum(F.when(of(k), F.col("conf")).otherwise(0.0)).alias(f"w_{k}"), F.count_if(of(k)).alias(f"n_{k}"), F.count_if(against(k)).alias(f"no_{k}"))]
-        score = graph.join(known, "inst", "left").groupBy("pat").agg(*counts).where(sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)) >= min_seeds)
+        score = join_split(graph, known, "inst", much["inst"], "left").groupBy("pat").agg(*counts).where(sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)) >= min_seeds)
         whole = sum((F.col(f"w_{k}") for k in KINDS), F.lit(0.0))
         kinds = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(f"w_{k}") / (whole + F.col(f"no_{k}") + 1)).alias("pc"), F.col(f"n_{k}").alias("n")) for k in KINDS])
         judged = stable(score.select("pat", F.filter(kinds, lambda x: (x["n"] >= min_seeds) & (x["pc"] >= confident)).alias("good")), "pii-patterns")
-        free = graph.where("seed IS NULL").join(known, "inst", "left_anti").join(judged, "pat")
+        free = join_split(join_split(graph.where("seed IS NULL"), known.select("inst"), "inst", much["inst"], "left_anti"), judged, "pat", much["pat"])
         degree = free.groupBy("inst").agg(F.count("*").alias("d"))
         votes = free.select("inst", "forms", F.explode("good").alias("g")).where(F.col("forms").bitwiseAND(F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, 1 << KINDS.index(k))]), F.col("g.kind"))) != 0)
         votes = votes.groupBy("inst", F.col("g.kind").alias("kind")).agg(F.max("g.pc").alias("m"), F.count("*").alias("c")).join(degree, "inst")
@@ -156,12 +152,9 @@ def bootstrap(found: DataFrame, min_seeds: int = 3, confident: float = 0.8) -> D
         if new.isEmpty():
             break
         known = stable(known.unionByName(new), "pii-instances")
-    good = judged.select("pat", F.explode("good").alias("g")).select("pat", "g.kind", "g.pc")
     marked = edges.where(F.col("k") == "cand")
-    asked = marked.select("inst").distinct().join(known, "inst").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = marked.withColumn("salt", F.pmod(F.xxhash64(*keys, "s", "e"), F.lit(SALTS)).cast("int"))
-    by_instance = salted.join(asked, ["inst", "salt"]).select(*keys, "s", "e", "v", F.col("conf").alias("pc"), "kind")
-    by_pattern = marked.join(good, "pat").select(*keys, "s", "e", "v", "pc", "kind")
+    by_instance = join_split(marked, known, "inst", hot["inst"]).select(*keys, "s", "e", "v", F.col("conf").alias("pc"), "kind")
+    by_pattern = join_split(marked.where("pat IS NOT NULL"), judged, "pat", hot["pat"]).select(*keys, "s", "e", "v", F.explode("good").alias("g")).select(*keys, "s", "e", "v", "g.pc", "g.kind")
     best = by_pattern.unionByName(by_instance).groupBy(*keys, "s", "e", "v").agg(F.max(F.struct("pc", "kind")).alias("b"))
     return best.select(*keys, "s", "e", "v", F.col("b.kind").alias("kind"), F.col("b.pc").alias("conf"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +17,45 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidates of the entropy scan: runs of at least WINDOW characters that a key could be written in.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
+SPAN = "STRUCT<s:INT,e:INT,k:STRING,v:STRING>"
 #: Least bits a character over some window, for each character class that a candidate can belong to.
 ENTROPY_BITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
 #: Strings that look random and are not secret: UUIDs, dates and plain numbers, hyphenated or repeated words, documented sample keys.
-ALLOWED = r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9/_=+-]+|[a-z]+(?:[-_/=+][a-z]+)*[-_/=+]*|.*example.*|[=_/+-]+)$"
+ALLOWED = r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9/_=+-]+|[a-z]++(?:[-_/=+][a-z]++)*+[-_/=+]*+|.*example.*|[=_/+-]+)$"
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Sums of an array of numbers (or what else `join` makes of them) from the first to each element.
+
+    Every element takes in what stands 1, 2, 4, ... places before it, so n elements need log2(n) passes; a fold that
+    appends to an array would copy it at each element.
+    """
 
+    def wider(acc: Column, k: Column) -> Column:
+        before = lambda i: F.get(acc, i - F.pow(F.lit(2), k).cast("int"))
+        return F.transform(acc, lambda x, i: F.coalesce(join(x, before(i)), x))
 
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int"))
+    return F.when(F.size(values) > 1, F.aggregate(passes, values, wider)).otherwise(values)
 
 
 def _placed(gaps: Column, hits: Column, kind: str) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRUCT<s:INT,e:INT,k:STRING,v:STRING>>)").alias("out"))
+    """Spans of a pattern's matches, from the texts between them and the matches: they end where so many lengths add up to."""
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+    return F.zip_with(running(sizes), hits, lambda end, h: F.struct((end - F.length(h)).alias("s"), end.alias("e"), F.lit(kind).alias("k"), h.alias("v")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["hit"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("k"), pair["hit"].alias("v"))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(start["out"])
+def apart(spans: Column, base: Column, kind: str = SPAN) -> Column:
+    """The spans that no base span overlaps, by their ends; they do not overlap each other.
+
+    Starts of base spans and ends of the others are sorted together. A span is apart if no base span that starts before
+    its end ends after its start, so the largest end so far decides.
+    """
+    point = lambda at, late, end, x: F.struct(at.alias("at"), F.lit(late).alias("late"), end.alias("end"), x.alias("x"))
+    points = F.array_sort(F.concat(F.transform(base, lambda b: point(b["s"], 1, b["e"], F.lit(None).cast(kind))), F.transform(spans, lambda x: point(x["e"], 0, F.lit(0), x.cast(kind)))))
+    seen = F.transform(F.array(points), lambda p: F.zip_with(p, running(F.transform(p, lambda q: q["end"]), F.greatest), lambda q, most: F.struct(q["x"].alias("x"), most.alias("most"))))
+    free = F.filter(F.get(seen, F.lit(0)), lambda q: q["x"].isNotNull() & (q["most"] <= q["x"]["s"]))
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), F.transform(free, lambda q: q["x"])).otherwise(F.transform(spans, lambda x: x.cast(kind)))
 
 
 #: Codes of the characters of candidates, "+" to "z".
@@ -110,10 +133,10 @@ def scan(docs: DataFrame, text: str = "text", bits: dict[str, float] = ENTROPY_B
     plain = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), x["v"].alias("v"))
     in_order = lambda a: F.transform(F.array_sort(F.transform(a, rank)), plain)
     df = df.withColumn("base", in_order(F.concat(*[F.filter(F.col(f"_{k}"), keep[k]) for k in KINDS[:3]])))
-    apart = lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    df = df.withColumn("_new", F.filter(F.filter(F.col("_entropy"), apart), lambda x: looks_secret(x["v"], bits, window)))
+    df = df.withColumn("_free", apart(F.col("_entropy"), F.col("base")))
+    df = df.withColumn("_new", F.filter("_free", lambda x: looks_secret(x["v"], bits, window)))
     df = df.withColumn("spans", F.when(F.size("_new") > 0, in_order(F.concat("base", "_new"))).otherwise(F.col("base")))
-    return df.drop("_t", "_new", *[f"_{k}" for k in KINDS], *[f"_h_{k}" for k in KINDS])
+    return df.drop("_t", "_new", "_free", *[f"_{k}" for k in KINDS], *[f"_h_{k}" for k in KINDS])
 
 
 def written(spans: Column) -> Column:
@@ -121,17 +144,24 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+#: Code points of a block: pieces of a text are taken out of the blocks that they lie in, as places are counted from its start.
+BLOCK = 4096
+
+
 def redact(docs: DataFrame, mark: str = "<SECRET>", text: str = "text") -> DataFrame:
     """Replaces every found span in the text by a mark, overlapping spans by one; other columns and rows stay, null text stays null."""
     df = scan(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(text).alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = F.size("spans") > 0
+    df = df.withColumn("_blocks", F.when(found, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    df = df.withColumn("_most", F.when(found, running(F.transform("spans", lambda x: x["e"]), F.greatest)))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(F.col("text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def piece(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        return F.substr(F.array_join(F.slice(F.col("_blocks"), first + 1, last - first + 1), ""), F.pmod(start, F.lit(BLOCK)) + 1, end - start)
 
-    done = F.aggregate(F.col("spans"), start, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
+    before = F.concat(F.array(F.lit(0)), F.slice("_most", F.lit(1), F.size("_most") - 1))
+    parts = F.zip_with("spans", before, lambda x, at: F.when(x["s"] >= at, F.concat(piece(at, x["s"]), F.lit(mark))).otherwise(""))
+    clean = F.when(found, F.concat(F.array_join(parts, ""), piece(F.element_at("_most", -1), F.length("text")))).otherwise(F.col("text"))
     return df.select(clean.alias("_clean"), "_row.*").withColumn(text, F.col("_clean")).drop("_clean").select(*docs.columns)
 
 
