@@ -6,7 +6,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from verdictlake.llm.common import discard, give_back, stable
 PARTS, HELD_OUT, DELETED = 7, 2, 3
 ORDER = 3
 #: Tokens of a chunk (a longer text is a chunk of its own), and keys that are counted together.
-CHUNK, TOGETHER = 1 << 21, 1 << 22
+CHUNK, TOGETHER = 1 << 19, 1 << 22
 #: The end of a text, and what stands before its beginning; white space is no word.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b" ", b"  "))
 #: Buckets of context frequency: none, and one for each power of two.
@@ -28,7 +28,7 @@ BUCKETS = 65
 ROUNDS, GAIN = 40, 1e-5
 ZSTD = {"compression": "zstd"}
 
-CHUNKS = "deleted boolean, doc_ids array<long>, parts array<int>, sizes array<int>, codes array<int>, words array<long>, tokens long, starts long"
+CHUNKS = "deleted boolean, doc_ids array<long>, parts array<int>, sizes array<int>, codes binary, words binary, tokens long, starts long"
 KEYS = "bucket int, chunk long, deleted boolean, keys binary, n binary"
 COUNTS = "bucket int, chunk long, deleted boolean, total binary, rest binary, tokens long, types long, rest_tokens long, rest_types long"
 EVENTS = "k3 long, n3 long, k2 long, n2 long, k1 long"
@@ -66,8 +66,8 @@ class _Builder:
 
     def add(self, doc_id: int | None, part: int, text: str | None) -> None:
         words = (text or "").encode().lower().split()  # of bytes, these know ASCII letters and white space only
-        codes = np.zeros(len(words) + 1, np.int32)
-        codes[:-1] = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        codes = np.zeros(len(words) + 1, np.uint32)
+        codes[:-1] = np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words))
         self.ids.append(doc_id)
         self.parts.append(part)
         self.sizes.append(len(codes))
@@ -75,10 +75,10 @@ class _Builder:
         self.tokens += len(codes)
 
     def batch(self) -> pa.RecordBatch:
-        words = np.array([END, *map(xxhash.xxh3_64_intdigest, self.number)], dtype=np.uint64).view(np.int64)
+        words = np.array([END, *map(xxhash.xxh3_64_intdigest, self.number)], dtype=np.uint64)
         starts = sum(p != HELD_OUT for p in self.parts)
         lists = [pa.array([x], pa.list_(kind)) for x, kind in ((self.ids, pa.int64()), (self.parts, pa.int32()), (self.sizes, pa.int32()))]
-        lists += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (np.concatenate(self.codes), words)]
+        lists += [pa.array([packed(x)], pa.binary()) for x in (np.concatenate(self.codes), words)]
         out = pa.RecordBatch.from_arrays([pa.array([self.deleted]), *lists, pa.array([self.tokens]), pa.array([starts])], [c.split()[0] for c in CHUNKS.split(", ")])
         self.clear()
         return out
@@ -100,19 +100,24 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Chunk:
-    """A chunk's tokens: hashes of the three orders, and whether each token is counted."""
+    """A chunk's tokens: the hashes of their words, and whether each token is counted."""
 
     def __init__(self, row: dict) -> None:
         sizes = np.asarray(row["sizes"])
         self.starts = np.cumsum(sizes) - sizes
         self.first = np.zeros(int(sizes.sum()), dtype=bool)
         self.first[self.starts] = True
-        self.parts, self.sizes, self.ids = np.asarray(row["parts"]), sizes, row["doc_ids"]
+        self.parts, self.sizes, self.ids = np.asarray(row["parts"]), sizes, row.get("doc_ids")
         self.trained = np.repeat(self.parts != HELD_OUT, sizes)
-        w = np.asarray(row["words"]).view(np.uint64)[np.asarray(row["codes"])]
-        v = self.before(w, BEGIN)
-        bigram = mixed(v, w)
-        self.grams = (w, bigram, mixed(self.before(bigram, BEGIN), w))
+        self.words = unpacked(row["words"], np.uint64)[unpacked(row["codes"], np.uint32)]
+
+    def grams(self) -> Iterator[np.ndarray]:
+        """The hash of the n-gram that ends at each token, for orders from 1 to ORDER."""
+        found = self.words
+        yield found
+        for _ in range(ORDER - 1):
+            found = mixed(self.before(found, BEGIN), self.words)
+            yield found
 
     def before(self, values: np.ndarray, begin: int) -> np.ndarray:
         """The value of each token's predecessor."""
@@ -122,7 +127,7 @@ class _Chunk:
 
 
 def _row(table: pa.Table | pa.RecordBatch, i: int) -> dict:
-    return {c: table.column(c)[i].values.to_numpy(zero_copy_only=False) if c in ("codes", "words", "sizes", "parts") else table.column(c)[i].as_py() for c in table.schema.names}
+    return {c: table.column(c)[i].as_py() for c in table.schema.names}
 
 
 def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,21 +138,21 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _keys(buckets: int):
-    """A chunk's different n-grams with how often it counts them, dealt into buckets of the hash range, sorted."""
+def _keys(order: int, buckets: int):
+    """A chunk's different n-grams of an order with how often it counts them, dealt into buckets of the hash range, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = _row(batch, i)
                 chunk, rows = _Chunk(row), []
-                for k, grams in enumerate(chunk.grams):
-                    order, first, _ = _places(grams)
-                    keys, n = grams[order[first]], np.add.reduceat(chunk.trained[order].astype(np.uint32), first, dtype=np.uint32)
-                    bounds = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-                    for b, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                        if high > low:
-                            rows.append((k * buckets + b, row["chunk"], row["deleted"], packed(np.diff(keys[low:high], prepend=np.uint64(0))), packed(n[low:high])))
+                grams = next(islice(chunk.grams(), order - 1, None))
+                by, first, _ = _places(grams)
+                keys, n = grams[by[first]], np.add.reduceat(chunk.trained[by].astype(np.uint32), first, dtype=np.uint32)
+                bounds = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+                for b, (low, high) in enumerate(pairwise(bounds.tolist())):
+                    if high > low:
+                        rows.append((b, row["chunk"], row["deleted"], packed(np.diff(keys[low:high], prepend=np.uint64(0))), packed(n[low:high])))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], [c.split()[0] for c in KEYS.split(", ")])
         give_back()
 
@@ -158,43 +163,37 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
 
 
-def _counted(buckets: int):
+def _counted(table: pa.Table) -> pa.Table:
     """For each chunk's keys of a bucket the counts over all chunks, and over those that are not deleted where it is; a row with sums."""
-
-    def run(table: pa.Table) -> pa.Table:
-        deleted = np.array(table.column("deleted").to_pylist(), dtype=bool)
-        keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-        n = np.concatenate([unpacked(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
-        sizes = np.array([len(k) for k in keys])
-        order, first, number = _places(np.concatenate(keys))
-        del keys
-        kept = np.where(np.repeat(deleted, sizes), 0, n)
-        sums = [np.add.reduceat(x[order], first) for x in (n, kept)]
-        counts = []
-        for x in sums:
-            all_ = np.empty(len(n), np.uint64)
-            all_[order] = x[number].astype(np.uint64)
-            counts.append(np.split(all_, np.cumsum(sizes)[:-1]))
-        bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
-        rest = [packed(x) if d else None for x, d in zip(counts[1], deleted, strict=True)]
-        stats = [int(x) for s in sums for x in (s.sum(), np.count_nonzero(s))] if bucket < buckets else [0] * 4
-        arrays = [pa.array([bucket] * (len(chunks) + 1), pa.int32()), pa.array([*chunks, None], pa.int64()), pa.array([*deleted.tolist(), None], pa.bool_()), pa.array([*map(packed, counts[0]), None], pa.binary()), pa.array([*rest, None], pa.binary())]
-        arrays += [pa.array([None] * len(chunks) + [x], pa.int64()) for x in stats]
-        give_back()
-        return pa.table(arrays, names=[c.split()[0] for c in COUNTS.split(", ")])
-
-    return run
+    deleted = np.array(table.column("deleted").to_pylist(), dtype=bool)
+    keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+    n = np.concatenate([unpacked(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
+    sizes = np.array([len(k) for k in keys])
+    order, first, number = _places(np.concatenate(keys))
+    del keys
+    kept = np.where(np.repeat(deleted, sizes), 0, n)
+    sums = [np.add.reduceat(x[order], first) for x in (n, kept)]
+    counts = []
+    for x in sums:
+        all_ = np.empty(len(n), np.uint64)
+        all_[order] = x[number].astype(np.uint64)
+        counts.append(np.split(all_, np.cumsum(sizes)[:-1]))
+    bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
+    rest = [packed(x) if d else None for x, d in zip(counts[1], deleted, strict=True)]
+    stats = [int(x) for s in sums for x in (s.sum(), np.count_nonzero(s))]
+    arrays = [pa.array([bucket] * (len(chunks) + 1), pa.int32()), pa.array([*chunks, None], pa.int64()), pa.array([*deleted.tolist(), None], pa.bool_()), pa.array([*map(packed, counts[0]), None], pa.binary()), pa.array([*rest, None], pa.binary())]
+    arrays += [pa.array([None] * len(chunks) + [x], pa.int64()) for x in stats]
+    give_back()
+    return pa.table(arrays, names=[c.split()[0] for c in COUNTS.split(", ")])
 
 
 def _of_tokens(chunk: _Chunk, counts: pa.Table, column: str, starts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each token's counts by order (1 to 3), and those of its contexts (for orders 2 and 3): a context is an n-gram of one order less."""
-    data = {b: unpacked(x, np.uint64) for b, x in zip(counts.column("bucket").to_pylist(), counts.column(column).to_pylist(), strict=True)}
-    joined, at, found = np.concatenate([data[b] for b in sorted(data)]).astype(np.int64), 0, []
-    for grams in chunk.grams:
-        order, first, number = _places(grams)
+    data, found = dict(zip(zip(counts.column("gram").to_pylist(), counts.column("bucket").to_pylist(), strict=True), counts.column(column).to_pylist(), strict=True)), []
+    for k, grams in enumerate(chunk.grams(), 1):
+        order, _, number = _places(grams)
         out = np.empty(len(grams), np.int64)
-        out[order] = joined[at : at + len(first)][number]
-        at += len(first)
+        out[order] = np.concatenate([unpacked(data[key], np.uint64) for key in sorted(data) if key[0] == k])[number]
         found.append(out)
     return found, [chunk.before(x, starts) for x in found[:2]]
 
@@ -306,13 +305,16 @@ def score(docs: DataFrame) -> tuple[DataFrame, Model]:
     chunks = stable(texts.mapInArrow(_chunked, CHUNKS).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks", ZSTD)
     sums = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "starts", F.when(~F.col("deleted"), F.col("starts")))]).first()
     buckets = max(1, math.ceil(sums[0] / TOGETHER))
-    keys = chunks.select("chunk", "deleted", "doc_ids", "parts", "sizes", "codes", "words").mapInArrow(_keys(buckets), KEYS)
-    counts = stable(keys.groupBy("bucket").applyInArrow(_counted(buckets), COUNTS), "lm-counts", ZSTD)
-    stats = counts.where("chunk IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "rest_tokens", "rest_types")]).first()
+    counts = None
+    for order in range(1, ORDER + 1):  # one order after another, so that the keys of one at a time lie on disk
+        keys = chunks.select("chunk", "deleted", "parts", "sizes", "codes", "words").mapInArrow(_keys(order, buckets), KEYS)
+        found = stable(keys.groupBy("bucket").applyInArrow(_counted, COUNTS), f"lm-counts-{order}", ZSTD).withColumn("gram", F.lit(order))
+        counts = found if counts is None else counts.unionByName(found)
+    stats = counts.where("chunk IS NULL AND gram = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "rest_tokens", "rest_types")]).first()
 
     def of_chunks(rows: DataFrame, column: str, run, schema: str) -> DataFrame:
         left = rows.select("chunk", "doc_ids", "parts", "sizes", "codes", "words").groupBy("chunk")
-        right = counts.where(F.col(column).isNotNull()).select("chunk", "bucket", column)
+        right = counts.where(F.col(column).isNotNull()).select("chunk", "gram", "bucket", column)
         return left.cogroup(right.groupBy("chunk")).applyInArrow(run, schema)
 
     events = of_chunks(chunks.where("deleted"), "rest", _events(sums[2]), EVENTS).groupBy("k3", "n3", "k2", "n2", "k1").agg(F.count("*").alias("n"))
