@@ -8,6 +8,7 @@ import hashlib
 import html
 import json
 import re
+import time
 from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
@@ -121,3 +122,28 @@ def test_inflating_is_bounded():
         data = b"".join(gzip.compress(p) for p in parts)
         chunks = list(warc.inflated(io.BytesIO(data)))
         assert b"".join(chunks) == b"".join(parts) and max(map(len, chunks)) <= warc.READ
+
+
+def test_broken_markup_takes_linear_time():
+    for text in ("<a", "<!", "<a b=\"", "<a 'x", "<![CDATA[", "</", "<?", "<!--", "<a<", "< ", "<b>", "<p>", "<i></b>", "<i><div><b></i>", "<![CDATA[>", "<title>", "&lt", "<a " + "x=' "):
+        for tail in ("", ">", "x\">y'>"):
+            page = text * (1_000_000 // len(text)) + tail
+            began = time.time()
+            html_text.Page(page).text()
+            assert time.time() - began < 20, text
+    began = time.time()
+    nested = html_text.Page("<i><div>" + "<b>" * 150_000 + "</i>" * 150_000 + "z").text()
+    assert nested == "z" and time.time() - began < 10
+    assert html_text.Page("<" + "a" * 1_000_000).text() == "<" + "a" * 1_000_000
+
+
+def test_a_teaser_beside_the_text_does_not_hide_it():
+    body = "Long text " * 40
+    assert html_text.Page(f"<div><p>{body}</p></div><article><p>Teaser</p></article>").text() == f"{body.strip()}\n\nTeaser"
+    assert html_text.Page(f"<div><p>By line</p></div><article><p>{body}</p></article>").text() == body.strip()
+
+
+def test_recurrence_is_counted_before_marks(spark):
+    page = lambda i: f"<nav>Menu</nav><div><div>Site box</div><p>Text {i}</p><div class=ad>Ad {i}</div></div>"
+    df = spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(5)], "page_id LONG, url STRING, html STRING")
+    assert {(r.text, r.recurring, r.marked) for r in html_text.op5(df).collect()} == {(f"Text {i}", 2, 1) for i in range(5)}

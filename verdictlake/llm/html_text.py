@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +16,8 @@ from verdictlake.llm.common import stable
 
 #: A subtree is template if at least so many different pages of its host have it, however many pages the host has.
 MIN_PAGES = 3
+#: Least share of the text that is left that articles have to hold to be all of it: one may be a teaser beside the text.
+SHARE = 0.25
 #: Parts into which the pages of one (host, subtree), and the copies of one page, are dealt.
 SALTS, COPY_SALTS = 16, 4
 
@@ -34,7 +36,8 @@ MARKS = frozenset("ad ads advert advertisement advertisements advertising advert
 CONTAINERS = frozenset("address aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
 TEXT_BLOCKS = frozenset("blockquote dd dt h1 h2 h3 h4 h5 h6 li p pre".split())
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: The start of a comment or of character data, a declaration, or a tag; searched up to the last ">", so all find their end.
+TOKEN = re.compile(r"""(<!--)|(<!\[CDATA\[)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([^>]*+)>)""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -50,15 +53,18 @@ class Node:
 class Page:
     """One walk over a page: its blocks of text, and the hashes of its subtrees.
 
-    Blocks are (text, place): place 2 inside an article, 1 inside main, else 0.
+    Blocks are (text, place, marked): place 2 inside an article, 1 inside main, else 0; marked by HTML as no part of an
+    article. Blocks of template subtrees are deleted whether marked or not. Time is in proportion to the page's length:
+    open elements are found by name, and every search for an end is over what is left once at most.
     """
 
     def __init__(self, text: str, template: frozenset[int] | set[int] = frozenset()) -> None:
-        self.template, self.subtrees = template, set()
-        self.blocks: list[tuple[str, int]] = []
-        self.held: list[str] = []
+        self.template, self.subtrees, self.recurring = template, set(), 0
+        self.blocks: list[tuple[str, int, bool]] = []
+        self.held: tuple[list[str], list[str]] = ([], [])  # of a block: what stays, what is marked
         self.stack = [Node("", "", False, 0)]
-        self.open: Counter[str] = Counter()
+        self.where: defaultdict[str, list[int]] = defaultdict(list)  # places of open elements in the stack
+        self.walls = [0]  # those of blocks
         self.dropping = 0
         self._walk(text)
         while len(self.stack) > 1:
@@ -67,38 +73,45 @@ class Page:
         self.body = self._hash(self.stack[0])
 
     def _walk(self, text: str) -> None:
-        at, end = 0, len(text)
-        while at < end:
-            m = TOKEN.search(text, at)
-            self._text(text[at : m.start() if m else end])
-            if not m:
-                return
+        at, end = 0, text.rfind(">") + 1
+        data = "]]>" in text
+        while m := TOKEN.search(text, at, end):
+            self._text(text[at : m.start()])
             at = m.end()
-            if name := m[2] or m[5]:
+            if m[1]:
+                at = text.find("-->", at) + 3
+                if at < 3:
+                    return
+            elif m[2]:
+                stop = text.find("]]>", at) if data else -1
+                data = stop >= 0
+                at = stop + 3 if data else text.find(">", at) + 1
+            elif name := m[4]:
                 tag = name.lower()
-                if m[1] or m[4]:
+                if m[3]:
                     self._end(tag)
                 else:
-                    self._start(tag, m[3] or m[6] or "")
+                    self._start(tag, m[5] or m[6] or "")
                     if tag in RAW:
                         stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
-                        at = stop.start() if stop else end
+                        at = stop.start() if stop else len(text)
+        self._text(text[at:].partition("<!--")[0])
 
     def _text(self, text: str) -> None:
         if text:
             text = html.unescape(text)
             self.stack[-1].parts.append(" ".join(text.split()))
-            if not self.dropping:
-                self.held.append(text)
+            self.held[self.dropping > 0].append(text)
 
     def _place(self) -> int:
-        return 2 if self.open["article"] else 1 if self.open["main"] else 0
+        return 2 if self.where["article"] else 1 if self.where["main"] else 0
 
     def _flush(self) -> None:
-        if self.held:
-            if text := " ".join("".join(self.held).split()):
-                self.blocks.append((text, self._place()))
-            self.held = []
+        for marked, held in enumerate(self.held):
+            if held:
+                if text := " ".join("".join(held).split()):
+                    self.blocks.append((text, self._place(), bool(marked)))
+                held.clear()
 
     def _hash(self, node: Node) -> int:
         return xxhash.xxh3_64_intdigest("\x1f".join((node.key, *node.parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -107,27 +120,33 @@ class Page:
         node = self.stack[-1]
         if node.tag in BLOCKS:
             self._flush()
+            self.walls.pop()
+        elif node.dropped:
+            self.held[1].append(" ")
         self.stack.pop()
-        self.open[node.tag] -= 1
+        self.where[node.tag].pop()
         self.dropping -= node.dropped
         mark = self._hash(node)
         self.stack[-1].parts.append(str(mark))
         if node.tag in CONTAINERS or (node.tag in TEXT_BLOCKS and not self._place()):
             self.subtrees.add(mark)
             if mark in self.template:
+                self.recurring += len(self.blocks) - node.at
                 del self.blocks[node.at :]
 
+    def _nearest(self, names: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of these names; 0 if none is open."""
+        return max((self.where[n][-1] for n in names if self.where[n]), default=0)
+
+    def _close_from(self, place: int) -> None:
+        while len(self.stack) > place:
+            self._close()
+
     def _pop_to(self, names: set[str], scope: set[str] | frozenset[str]) -> None:
         """Closes the innermost element of these names, unless an element of the scope is nearer."""
-        if not any(self.open[n] > 0 for n in names):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in names:
-                while len(self.stack) > i:
-                    self._close()
-                return
-            if self.stack[i].tag in scope:
-                return
+        place = self._nearest(names)
+        if place > self._nearest(scope):
+            self._close_from(place)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in ENDS_P:
@@ -136,15 +155,17 @@ class Page:
             self._pop_to(*ENDS[tag])
         if tag in BLOCKS:
             self._flush()
-        elif tag == "br" and not self.dropping:
-            self.held.append(" ")
+        elif tag == "br":
+            self.held[self.dropping > 0].append(" ")
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
         if tag in VOID:
             self.stack[-1].parts.append(tag)
             return
         dropped = self._drops(tag, found)
+        self.where[tag].append(len(self.stack))
+        if tag in BLOCKS:
+            self.walls.append(len(self.stack))
         self.stack.append(Node(tag, f"{tag} {found.get('class', '')}", dropped, len(self.blocks)))
-        self.open[tag] += 1
         self.dropping += dropped
 
     def _drops(self, tag: str, found: dict[str, str]) -> bool:
@@ -164,22 +185,23 @@ class Page:
         return bool(words & MARKS) or ("header" in words and not self._place() and tag in CONTAINERS)
 
     def _end(self, tag: str) -> None:
-        if tag == "br" and not self.dropping:
-            self.held.append(" ")
-        if self.open[tag] <= 0:
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                while len(self.stack) > i:
-                    self._close()
-                return
-            if tag not in BLOCKS and self.stack[i].tag in BLOCKS:
-                return
+        if tag == "br":
+            self.held[self.dropping > 0].append(" ")
+        if self.where[tag] and (tag in BLOCKS or self.where[tag][-1] > self.walls[-1]):
+            self._close_from(self.where[tag][-1])
 
     def text(self) -> str:
-        """The blocks of the articles; without any, those of main; else all."""
-        best = max((place for _, place in self.blocks), default=0)
-        return "\n\n".join(text for text, place in self.blocks if place == best)
+        """What is not marked: the blocks of the articles if they hold a SHARE of it, else also those of main if they do so together, else all."""
+        left = [(text, place) for text, place, marked in self.blocks if not marked]
+        enough = SHARE * sum(len(text) for text, _ in left)
+        for least in (2, 1, 0):
+            kept = [text for text, place in left if place >= least]
+            if kept and sum(map(len, kept)) >= enough:
+                return "\n\n".join(kept)
+        return ""
+
+    def marked(self) -> int:
+        return sum(marked for _, _, marked in self.blocks)
 
 
 def host_of(url: Column) -> Column:
@@ -212,11 +234,11 @@ def template_of(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html).
+    """page_id, url, text, n_chars, recurring, marked for each row of pages (page_id, url, html).
 
-    Template subtrees of the page's host are deleted, then what HTML marks as no part of the article: navigation,
-    headers, footers, asides, forms, scripts, notices, adverts, comments. Text blocks inside an article are never
-    template. Null and empty html give empty text; a null url belongs to the host without name; repeated rows and
+    Template subtrees of the page's host are deleted first (`recurring` blocks), then of what is left that which HTML
+    marks as no part of the article (`marked` blocks): navigation, headers, footers, asides, forms, scripts, notices,
+    adverts, comments. Text blocks inside an article are never template. Null and empty html give empty text; a null url belongs to the host without name; repeated rows and
     null ids give rows of their own; an empty table an empty result. Other columns are not read.
     """
     template = template_of(pages, min_pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
@@ -225,10 +247,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h or "", set(t or ())).text() for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found = [Page(h or "", set(t or ())) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+            texts, counts = [p.text() for p in found], [[p.recurring for p in found], [p.marked() for p in found]]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (map(len, texts), *counts))], names=["page_id", "url", "text", "n_chars", "recurring", "marked"])
 
-    return work.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return work.mapInArrow(run, "page_id long, url string, text string, n_chars long, recurring long, marked long")
 
 
 def op5(pages: DataFrame) -> DataFrame:
