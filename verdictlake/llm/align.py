@@ -19,8 +19,10 @@ from verdictlake.llm.common import give_back, stable
 from verdictlake.llm.packing import gathered
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
-#: Where a text may be cut so that no token of either kind crosses: before a single space between two other signs.
-CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Where a text may be cut so that no token of either kind crosses: before a single space between two other signs, and
+#: between a Latin letter and an ASCII sign that is none.
+LETTER, SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-@\[-`{-~]"
+SPACE_CUT, CUT = re.compile(r"(?<=\S)(?= \S)"), re.compile(rf"(?<=\S)(?= \S)|(?<={LETTER})(?={SIGN})")
 #: Bytes of the texts that are dealt with together; units that a worker keeps, and the longest of those.
 TOGETHER, KEPT, KEPT_BYTES = 1 << 21, 1 << 16, 64
 #: Links of a group that are listed one by one before they are counted.
@@ -42,8 +44,9 @@ def byte_alphabet() -> dict[str, int]:
 class Pair:
     """Both tokenizers. A text is encoded by units that no token crosses, each of them once while it is kept.
 
-    Units are exact where the first vocabulary splits texts before a single space, as byte-level ones do, and in the
-    second the sign for a space only starts pieces; else a text is one unit.
+    Units are exact where the first vocabulary splits texts before a single space and after letters, as byte-level ones
+    do, and in the second the sign for a space only starts pieces and no piece goes on after a letter with another
+    sign; else texts are cut at spaces only, or not at all.
     """
 
     def __init__(self, path_a: str, path_b: str) -> None:
@@ -60,13 +63,21 @@ class Pair:
         self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
         self.size_b = np.array([len(x) for x in self.bytes_b])
         self.written = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
-        self.cuts = "ByteLevel" in str(self.a.pre_tokenizer) and self.a.normalizer is None and not any("▁" in p.lstrip("▁") for p in pieces)
+        apart = "ByteLevel" in str(self.a.pre_tokenizer) and self.a.normalizer is None and not any("▁" in p.lstrip("▁") for p in pieces)
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        inside = apart and not any(re.search(LETTER + SIGN, p) for p in plain) and len(self.b.encode("x")) == 1
+        self.cuts = CUT if inside else SPACE_CUT if apart else None
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
     def cut(self, text: str) -> list[str]:
         """The units of a space and the text."""
-        return CUT.split(f" {text}") if self.cuts else [f" {text}"]
+        return self.cuts.split(f" {text}") if self.cuts else [f" {text}"]
+
+    def ids_b(self, units: list[str]) -> list[list[int]]:
+        """The second tokenizer's ids; it puts a space before a text, so a unit without one stands after a letter that is taken off again."""
+        ids = self.b.encode([u[1:] if u[0] == " " else f"x{u}" for u in units], num_threads=1)
+        return [x if u[0] == " " else x[1:] for u, x in zip(units, ids, strict=True)]
 
     def aligned(self, units: list[str]) -> list[tuple | None]:
         """For each unit: n_a, n_b, n_groups, n_links, the groups in writing, and links with how often each occurs, as bytes of integers; null if the bytes differ.
@@ -74,9 +85,12 @@ class Pair:
         The units' bytes lie one after another, so two dictionaries from ends to places serve all of them: both
         tokenizers end a token at the end of a unit.
         """
-        ids_a = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
-        ids_b = self.b.encode([u[1:] for u in units], num_threads=1)
+        ids_a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        ids_b = self.ids_b(units)
         raw = [u.encode() for u in units]
+        said = lambda ids, of: b"\0".join([b"".join([of[i] for i in x]) for x in ids])
+        if said(ids_a, self.bytes_a) == said(ids_b, self.bytes_b) == b"\0".join(raw) and not any(b"\0" in r for r in raw):
+            return self._groups(ids_a, ids_b, raw)
         same = [b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, r in zip(ids_a, ids_b, raw, strict=True)]
         ids_a, ids_b, raw = ([x for x, ok in zip(xs, same, strict=True) if ok] for xs in (ids_a, ids_b, raw))
         found = iter(self._groups(ids_a, ids_b, raw))
