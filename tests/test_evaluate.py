@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verdictlake.functions import kleene, values
 from verdictlake.operators import evaluate as E
-from verdictlake.operators import questions, relational
+from verdictlake.operators import indexed, questions, relational
 from verdictlake.plans.rulesets import Exclusion, Leaf, Node, RuleSet, flat_table, from_dict, to_dict
 
 MEMBERS = f"ARRAY<STRUCT<ix: INT, facts: MAP<STRING, {values.DDL}>>>"
@@ -154,3 +154,34 @@ def test_relational_verdicts_equal_compiled_ones(spark):
     compiled = {(x.profile_id, x.scheme_id): x.verdict for x in E.evaluate(p, rule_sets).where("error IS NULL").collect()}
     folded = {(x.profile_id, x.scheme_id): x.verdict for x in relational.verdicts(p, flat_table(spark, rule_sets)).collect()}
     assert len(folded) == 25 * len(rule_sets) and all(folded[k] == v for k, v in compiled.items())
+
+
+def test_indexed_verdicts_equal_compiled_and_relational_ones(spark, monkeypatch):
+    r = random.Random(11)
+    rule_sets = [random_rules(r, n) for n in range(40)]
+    values_of = {"a": [1, 5, 9, 9.5, None], "b": [True, False, 1, "x"], "c": ["x", "y", "", ["x"], "yx"]}
+    people = [[{f: r.choice(v) for f, v in values_of.items() if r.random() < 0.6} for _ in range(r.randint(0, 4))] for _ in range(60)] + [[None, {"a": 1, "b": True, "c": "x"}]]
+    p = profiles(spark, *people)
+    flat = flat_table(spark, rule_sets)
+    monkeypatch.setattr(indexed, "BLOCK", 9)
+    compiled = {(x.profile_id, x.scheme_id): (x.verdict, x.included, x.excluded) for x in E.evaluate(p, rule_sets).where("error IS NULL").collect()}
+    found = {(x.profile_id, x.scheme_id): (x.verdict, x.included, x.excluded) for x in indexed.verdicts(p, flat).collect()}
+    assert len(found) == len(people) * len(rule_sets) and len(compiled) > len(found) / 3
+    assert all(found[k] == v for k, v in compiled.items())
+    folded = {(x.profile_id, x.scheme_id): x.verdict for x in relational.verdicts(p.where("profile_id < 60"), flat).collect()}
+    assert all(found[k][0] == v for k, v in folded.items())
+    counts = {x.scheme_id: (x.eligible, x.ineligible, x.undetermined) for x in indexed.tallies(p, flat).collect()}
+    assert counts == {s.scheme_id: tuple(sum(v[0] == name for k, v in found.items() if k[1] == s.scheme_id) for name in (E.ELIGIBLE, E.INELIGIBLE, E.UNDETERMINED)) for s in rule_sets}
+    assert indexed.verdicts(p.limit(0), flat).collect() == [] and indexed.verdicts(p, flat.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("op", ["==", "!=", "<", "<=", ">", ">=", "in", "not_in"])
+def test_indexed_comparisons(spark, op):
+    wanted = [True, 0, 2, 2.5, "b", "abc", "", None, [1, "b"], ["b", None], []]
+    actual = [True, False, 2, 2.25, 1e6, -1, "b", "a", "", "z", None, [1, "b"], []]
+    rule_sets = [RuleSet(f"s{i}", Leaf("f", op, w)) for i, w in enumerate(wanted)]
+    p = profiles(spark, *[[{"f": a}] for a in actual])
+    flat = flat_table(spark, rule_sets)
+    found = {(x.profile_id, x.scheme_id): x.included for x in indexed.verdicts(p, flat).collect()}
+    leaf = relational.leaf_results(relational.facts_of(p), flat)
+    assert found == {(x.profile_id, x.scheme_id): x.result for x in leaf.collect()}
