@@ -36,13 +36,16 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Integers with their bytes by place, first bytes first, so that the equal upper ones of small numbers compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Integers, compressed with their bytes by place, so that the equal upper ones of small numbers vanish; their size in bytes comes first."""
+    data = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    whole = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, len(data) // width).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(whole, np.uint8).reshape(width, size // width).T).view(kind).reshape(-1)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
