@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.catalog_base import query, read
-from verdictlake.operators import confidence, gate, ledger, questions, reports, retrieval, rules, scoring
+from verdictlake.operators import confidence, gate, indexed, ledger, questions, reports, retrieval, rules, scoring
 from verdictlake.plans import household as H
 from verdictlake.plans.rulesets import Exclusion, Leaf, RuleSet
 
@@ -324,7 +324,7 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT l_orderkey AS k, count(*) FILTER (WHERE l_suppkey % 17 <> 0 AND l_quantity >= 45) AS low, count(*) FILTER (WHERE l_suppkey % 17 = 0) AS unknown FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS profile_id, o_orderkey % 2 = 0 AND (pow(3, coalesce(unknown, 0) + 1) > 20000 OR (coalesce(low, 0) <= 1 AND coalesce(low, 0) + coalesce(unknown, 0) >= 1)) AS relevant FROM orders LEFT JOIN m ON m.k = o_orderkey""")
+SELECT o_orderkey AS profile_id, o_orderkey % 2 = 0 AND (coalesce(low, 0) <= 1 AND coalesce(low, 0) + coalesce(unknown, 0) >= 1) AS relevant FROM orders LEFT JOIN m ON m.k = o_orderkey""")
 def relevant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an applicant's unknown quantity can change a verdict on orders that exclude two large lines or more.
 
@@ -334,3 +334,38 @@ def relevant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lacks = F.transform("members", lambda m: F.when((m["ix"] == 0) & (F.col("profile_id") % 2 == 0), m.withField("facts", F.map_filter(m["facts"], lambda k, v: k != "quantity"))).otherwise(m))
     rules_ = RuleSet("q", Leaf("total_price", ">=", -1), (Exclusion("quantity", ">=", 45, quantifier="count_family_members", count_op=">=", count=2),))
     return questions.could_change(people.withColumn("members", lacks), rules_, "quantity")
+
+
+#: A rule set for each part: a tree over the order, a count of its lines with a waiver, and returned lines with an exception.
+_PART_RULES = [
+    ("inclusion.and[0]", "inclusion", "total_price", ">=", "num", "p_retailprice * 40", None, None, None, None),
+    ("inclusion.and[1].or[0]", "inclusion", "priority", "in", "list", "CASE p_partkey % 3 WHEN 0 THEN array('s:1-URGENT') WHEN 1 THEN array('s:1-URGENT', 's:2-HIGH') ELSE array('s:5-LOW') END", None, None, None, None),
+    ("inclusion.and[1].or[1]", "inclusion", "status", "==", "str", "CASE WHEN p_partkey % 2 = 0 THEN 'F' ELSE 'O' END", None, None, None, None),
+    ("exclusions[0]", "exclusion", "quantity", ">=", "num", "CAST(p_size AS DOUBLE)", "count_family_members", None, ">=", 3),
+    ("exclusions[0].except", "exception", "total_price", ">=", "num", "300000D", None, "applicant", None, None),
+    ("exclusions[1]", "exclusion", "returned", "==", "bool", "1D", "some_family_member", None, None, None),
+    ("exclusions[1].except", "exception", "discount", ">=", "num", "CAST(p_size % 10 AS DOUBLE) / 100", None, "member", None, None),
+]
+
+
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat rules of _PART_RULES for every part."""
+    text = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'"
+    rows = []
+    for path, location, field, op, kind, value, quantifier, scope, count_op, count in _PART_RULES:
+        num, string, arr = (value if kind in kinds else "NULL" for kinds in (("num", "bool"), ("str",), ("list",)))
+        tagged = f"named_struct('kind', '{kind}', 'num', CAST({num} AS DOUBLE), 'str', CAST({string} AS STRING), 'arr', CAST({arr} AS ARRAY<STRING>))"
+        rows.append(f"named_struct('path', '{path}', 'location', '{location}', 'field', '{field}', 'op', '{op}', 'value', {tagged}, 'quantifier', {text(quantifier)}, 'except_scope', {text(scope)}, 'count_op', {text(count_op)}, 'count', CAST({'NULL' if count is None else count} AS INT))")
+    return read(spark, sf_dir, "part").selectExpr("'p' || p_partkey AS scheme_id", f"explode(array({', '.join(rows)})) AS r").select("scheme_id", "r.*")
+
+
+@query("""WITH r AS (SELECT 'p' || p_partkey AS scheme_id, p_retailprice * 40 AS least, p_partkey % 3 AS which, CASE WHEN p_partkey % 2 = 0 THEN 'F' ELSE 'O' END AS status, p_size AS size, p_size % 10 AS d FROM part),
+c AS (SELECT l_orderkey AS k, size, count(*) FILTER (WHERE l_suppkey % 17 <> 0 AND l_quantity >= size) AS low, count(*) FILTER (WHERE l_suppkey % 17 = 0) AS unknown FROM lineitem, (SELECT DISTINCT size FROM r) GROUP BY ALL),
+x AS (SELECT l_orderkey AS k, d, count(*) FILTER (WHERE l_partkey % 13 <> 0 AND l_returnflag = 'R' AND l_discount < d::DOUBLE / 100) AS hit, count(*) FILTER (WHERE l_partkey % 13 = 0 AND l_discount < d::DOUBLE / 100) AS unknown FROM lineitem, (SELECT DISTINCT d FROM r) GROUP BY ALL),
+p AS (SELECT scheme_id, o_totalprice >= least AND (CASE WHEN o_orderkey % 7 <> 0 THEN CASE which WHEN 0 THEN o_orderpriority = '1-URGENT' WHEN 1 THEN o_orderpriority IN ('1-URGENT', '2-HIGH') ELSE o_orderpriority = '5-LOW' END END OR o_orderstatus = r.status) AS inc,
+  (CASE WHEN coalesce(c.low, 0) >= 3 THEN TRUE WHEN coalesce(c.low, 0) + coalesce(c.unknown, 0) < 3 THEN FALSE END AND NOT o_totalprice >= 300000) OR CASE WHEN coalesce(x.hit, 0) > 0 THEN TRUE WHEN coalesce(x.unknown, 0) > 0 THEN NULL ELSE FALSE END AS exc
+  FROM orders CROSS JOIN r LEFT JOIN c ON c.k = o_orderkey AND c.size = r.size LEFT JOIN x ON x.k = o_orderkey AND x.d = r.d)
+SELECT scheme_id, count(*) FILTER (WHERE inc AND NOT exc) AS eligible, count(*) FILTER (WHERE NOT inc OR exc) AS ineligible, count(*) FILTER (WHERE (inc AND NOT exc) IS NULL) AS undetermined FROM p GROUP BY 1""")
+def eval_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders each part's rule set makes eligible: as many rule sets as parts, all orders."""
+    return indexed.tallies(H.profiles(spark, sf_dir), part_rules(spark, sf_dir))

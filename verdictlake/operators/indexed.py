@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from verdictlake.functions.values import DDL
 from verdictlake.operators.evaluate import ELIGIBLE, INELIGIBLE, UNDETERMINED
 
-#: Rule sets of a block, and profiles of a batch.
-BLOCK, BATCH = 512, 1024
+#: Rule sets of a block, profiles of a batch, and blocks that a worker keeps open.
+BLOCK, BATCH, KEPT = 512, 1024, 64
+#: Bytes of all blocks up to which they are broadcast; beyond, batches go to them.
+SENT = 64 << 20
 #: Trits: AND is the smaller, OR the larger, NOT the difference from TRUE.
 FALSE, UNKNOWN, TRUE = np.int8(0), np.int8(1), np.int8(2)
 NUMBER, TEXT, NULL, LIST = range(4)
@@ -225,20 +227,23 @@ def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(tally: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index = None, None
+        last, some, indexes = None, None, {}
         for batch in batches:
-            for profiles, data in zip(batch.column("profiles"), batch.column("index"), strict=True):
-                if last is None or data != last:
-                    last, index = data, pickle.loads(data.as_py())
-                some = Batch(profiles.as_py())
+            for profiles, block, data in zip(batch.column("profiles"), batch.column("block").to_pylist(), batch.column("index"), strict=True):
+                if last is None or profiles != last:  # a batch meets its blocks one after another
+                    last, some = profiles, Batch(profiles.as_py())
+                if block not in indexes:
+                    if len(indexes) >= KEPT:
+                        indexes.pop(next(iter(indexes)))
+                    indexes[block] = pickle.loads(data.as_py())
+                index = indexes[block]
                 included, excluded = index.evaluate(some)
                 verdict = np.minimum(included, TRUE - excluded)
-                schemes = pa.array(index.schemes, pa.string())
                 if tally:
-                    yield pa.RecordBatch.from_arrays([schemes, *(pa.array((verdict == x).sum(axis=1)) for x in (TRUE, FALSE, UNKNOWN))], ["scheme_id", "eligible", "ineligible", "undetermined"])
+                    yield pa.RecordBatch.from_arrays([pa.array(index.schemes, pa.string()), *(pa.array((verdict == x).sum(axis=1)) for x in (TRUE, FALSE, UNKNOWN))], ["scheme_id", "eligible", "ineligible", "undetermined"])
                     continue
-                for i in range(len(schemes)):  # a rule set at a time: the batch's profiles
-                    yield pa.RecordBatch.from_arrays([some.ids, pa.array([index.schemes[i]] * some.n), pa.array(NAMES[verdict[i]]), *(pa.array(x[i] == TRUE, mask=x[i] == UNKNOWN) for x in (included, excluded))], ["profile_id", "scheme_id", "verdict", "included", "excluded"])
+                for i, scheme in enumerate(index.schemes):
+                    yield pa.RecordBatch.from_arrays([some.ids, pa.array([scheme] * some.n), pa.array(NAMES[verdict[i]]), *(pa.array(x[i] == TRUE, mask=x[i] == UNKNOWN) for x in (included, excluded))], ["profile_id", "scheme_id", "verdict", "included", "excluded"])
 
     return run
 
@@ -249,8 +254,10 @@ def _together(profiles: DataFrame, flat: DataFrame, tally: bool, schema: str) ->
     rules = flat.select(F.pmod(F.xxhash64("scheme_id"), F.lit(n)).cast("int").alias("block"), "scheme_id", "path", "location", "field", "op", "value", "quantifier", "except_scope", "count_op", F.col("count").cast("double").alias("count"))
     blocks = rules.groupBy("block").applyInPandas(_built, "block int, index binary")
     batches = profiles.select("profile_id", F.col("members").cast(f"array<struct<ix: int, facts: map<string, {DDL}>>>").alias("members")).mapInArrow(_nested, "profiles binary")
+    if (blocks.agg(F.sum(F.length("index"))).first()[0] or 0) <= SENT:
+        blocks = F.broadcast(blocks)
     met = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
-    return met.select("profiles", "index").mapInArrow(_met(tally), schema)
+    return met.select("profiles", "block", "index").mapInArrow(_met(tally), schema)
 
 
 def verdicts(profiles: DataFrame, flat: DataFrame) -> DataFrame:

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdictlake.functions.values import tagged
-from verdictlake.operators.evaluate import evaluate
-from verdictlake.plans.rulesets import RuleSet, leaves
-
-#: Completions that are tried for a fact; a fact with more open companions counts as relevant.
-BUDGET = 20_000
+from verdictlake.operators.evaluate import leaf_result, prepared
+from verdictlake.plans.rulesets import Exclusion, Leaf, RuleSet, leaves
 
 
 def region_values(rules: RuleSet, field: str) -> list:
@@ -38,43 +39,178 @@ def read_fields(rules: RuleSet) -> tuple[list[str], list[str]]:
     return list(dict.fromkeys(own)), list(dict.fromkeys(family))
 
 
-def could_change(profiles: DataFrame, rules: RuleSet, field: str, budget: int = BUDGET) -> DataFrame:
+def holds(op: str, actual: Any, expected: Any) -> int:
+    """compare() of two Python values as a trit: 0 false, 1 unknown, 2 true."""
+    number = lambda v: isinstance(v, bool | int | float)
+    alike = (number(actual) and number(expected)) or (isinstance(actual, str) and isinstance(expected, str))
+    if op in ("==", "!="):
+        same = actual is None if expected is None else (alike or isinstance(actual, list) and isinstance(expected, list | tuple)) and actual == expected
+        return 2 * (same == (op == "=="))
+    if op in ("in", "not_in"):
+        if isinstance(expected, list | tuple):
+            found = any(type(v) is type(actual) and v == actual or number(v) and number(actual) and v == actual for v in expected)
+        elif isinstance(expected, str) and isinstance(actual, str):
+            found = actual in expected
+        else:
+            return 1
+        return 2 * (found == (op == "in"))
+    if not alike:
+        return 1
+    return 2 * {"<": actual < expected, "<=": actual <= expected, ">": actual > expected, ">=": actual >= expected}[op]
+
+
+class Reach:
+    """Whether one of the applicant's facts can change the verdict, from what a profile's leaves say and which facts it lacks.
+
+    Every result is a vector of trits (0 false, 1 unknown, 2 true), one for each region of the asked fact's values; a
+    node has the set of vectors that the open facts can still give it. An open fact that one leaf reads gives that leaf
+    either result whatever the others are, so sets of different leaves combine freely. Facts of the applicant that more
+    leaves read are fixed first, to each of their regions in turn. Facts of other members are read by exclusions over
+    the family alone: members are folded one after another into joint states of these exclusions (whether some hold,
+    whether all do, how many), so what grows with the members is a count and not the product of their regions.
+    """
+
+    def __init__(self, rules: RuleSet, field: str) -> None:
+        self.rules, self.field = rules, field
+        self.many = [x for x in rules.exclusions if x.quantifier != "self"]
+        inner = lambda x: [x] + ([x.exception] if x.exception and x.except_scope == "member" else [])
+        self.family = [leaf for x in self.many for leaf in inner(x)]
+        self.own = [leaf for _, leaf in leaves(rules.inclusion)] + [leaf for x in rules.exclusions for leaf in [x, *([x.exception] if x.exception else [])]]
+        self.own_fields, self.family_fields = (list(dict.fromkeys(leaf.field for leaf in some)) for some in (self.own, self.family))
+        self.regions = {f: region_values(rules, f) for f in self.own_fields}
+        self.found: dict[str, bool] = {}
+
+    def options(self, some: list, field: str) -> list[dict[int, int]]:
+        """For each region of a field that its leaves tell apart, the trits of those of `some` that read it."""
+        at = [i for i, leaf in enumerate(some) if leaf.field == field]
+        return [dict(zip(at, t, strict=True)) for t in dict.fromkeys(tuple(holds(some[i].op, v, some[i].value) for i in at) for v in self.regions[field])]
+
+    def __call__(self, said: str) -> bool:
+        if said not in self.found:
+            me, others = said.split("|", 1)
+            self.found[said] = self._changes(me, Counter(filter(None, others.split("/"))))
+        return self.found[said]
+
+    def _changes(self, me: str, others: Counter) -> bool:
+        trits, lacks = ["FUT".index(c) for c in me[: len(self.own)]], {f for f, c in zip(self.own_fields, me[len(self.own) :], strict=True) if c == "o"}
+        if self.field not in lacks:
+            return False
+        asked = self.options(self.own, self.field)
+        if len(asked) < 2:
+            return False
+        readers = {f: [i for i, leaf in enumerate(self.own) if leaf.field == f] for f in lacks - {self.field}}
+        free = {at[0]: {t[at[0]] for t in self.options(self.own, f)} for f, at in readers.items() if len(at) == 1}
+        shared = [self.options(self.own, f) for f, at in readers.items() if len(at) > 1]
+        members = self._members(others)
+        for fixed in itertools.product(*shared):
+            now = dict(enumerate(trits)) | {i: t for part in fixed for i, t in part.items()}
+            sets = [{tuple(part[i] for part in asked)} if i in asked[0] else {(t,) * len(asked) for t in free.get(i, (now[i],))} for i in range(len(self.own))]
+            if self._differs(sets, members, len(asked)):
+                return True
+        return False
+
+    def _members(self, others: Counter) -> list[tuple[set[tuple[int, ...]], int]]:
+        """For each kind of member the trits that the exclusions over the family can get from one, and how many there are."""
+        out = []
+        for said, n in others.items():
+            known, lacks = ["FUT".index(c) for c in said[: len(self.family)]], [f for f, c in zip(self.family_fields, said[len(self.family) :], strict=True) if c == "o"]
+            results = set()
+            for fill in itertools.product(*(self.options(self.family, f) for f in lacks)):
+                now, hits, at = dict(enumerate(known)) | {i: t for part in fill for i, t in part.items()}, [], 0
+                for x in self.many:
+                    spared = x.exception is not None and x.except_scope == "member"
+                    hits.append(min(now[at], 2 - now[at + 1]) if spared else now[at])
+                    at += 1 + spared
+                results.add(tuple(hits))
+            out.append((results, n))
+        return out
+
+    def _differs(self, sets: list[set], members: list, width: int) -> bool:
+        at = iter(sets)
+
+        def tree(node: Any) -> set:
+            if isinstance(node, Leaf):
+                return next(at)
+            parts = [tree(c) for c in node.children]
+            return reduce(_pairwise(min if node.kind == "and" else max), parts, {((2,) if node.kind == "and" else (0,)) * width})
+
+        included, single, hits, waivers = tree(self.rules.inclusion), {(0,) * width}, [], []
+        for x in self.rules.exclusions:
+            hit, waiver = next(at), None
+            if x.exception:
+                spared = {tuple(2 - t for t in v) for v in next(at)}
+                hit, waiver = (_pairwise(min)(hit, spared), None) if x.except_scope == "member" else (hit, spared)
+            if x.quantifier == "self":
+                single = _pairwise(max)(single, _pairwise(min)(hit, waiver) if waiver else hit)
+            else:
+                hits.append(hit)
+                waivers.append(waiver)
+        excluded = single
+        if self.many:
+            states = {tuple(self._start(x, v) for x, v in zip(self.many, some, strict=True)) for some in itertools.product(*hits)}
+            for results, n in members:
+                for _ in range(n):
+                    wider = {tuple(self._step(x, s, t) for x, s, t in zip(self.many, state, hit, strict=True)) for state in states for hit in results}
+                    if wider == states:
+                        break
+                    states = wider
+            ends = set()
+            for state in states:
+                held = [{self._end(x, s)} for x, s in zip(self.many, state, strict=True)]
+                ends |= reduce(_pairwise(max), (_pairwise(min)(h, w) if w else h for h, w in zip(held, waivers, strict=True)))
+            excluded = _pairwise(max)(single, ends)
+        verdicts = _pairwise(min)(included, {tuple(2 - t for t in v) for v in excluded})
+        return any(len(set(v)) > 1 for v in verdicts)
+
+    @staticmethod
+    def _start(x: Exclusion, hit: tuple) -> tuple:
+        return tuple((int(t == 2), int(t == 1)) for t in hit) if x.quantifier == "count_family_members" else hit
+
+    @staticmethod
+    def _step(x: Exclusion, state: tuple, t: int) -> tuple:
+        if x.quantifier == "count_family_members":
+            return tuple((min(yes + (t == 2), x.count + 1), min(open_ + (t == 1), x.count + 1)) for yes, open_ in state)
+        return tuple((min if x.quantifier == "all_family_members" else max)(s, t) for s in state)
+
+    @staticmethod
+    def _end(x: Exclusion, state: tuple) -> tuple:
+        if x.quantifier != "count_family_members":
+            return state
+        compare = {"<": int.__lt__, "<=": int.__le__, "==": int.__eq__, ">=": int.__ge__, ">": int.__gt__}[x.count_op]
+        return tuple(2 * all_ if (all_ := all(found)) or not any(found) else 1 for found in ([compare(n, x.count) for n in range(yes, yes + open_ + 1)] for yes, open_ in state))
+
+
+def _pairwise(join: Callable) -> Callable[[set, set], set]:
+    """The vectors that any one of the first set and any one of the second give."""
+    return lambda a, b: {tuple(map(join, x, y)) for x in a for y in b}
+
+
+def could_change(profiles: DataFrame, rules: RuleSet, field: str) -> DataFrame:
     """profile_id, relevant: whether two answers for the applicant's field give different verdicts under some
     completion of the other facts that the profile lacks, the applicant's and the family's.
 
-    A profile is expanded by its own open facts only, one value for each region that the rules tell apart. Past
-    `budget` completions it counts as relevant, as in the reference semantics; a known field never is.
+    Exact for any number of open facts, see Reach. Spark reduces a profile to the results of its leaves and the facts
+    it lacks, members in order; what these say is worked out once for each different reduced profile of a task. A
+    known field never is relevant; a value that can't be compared counts as unknown; an applicant without record has
+    no facts.
     """
-    own, family = read_fields(rules)
-    value = "STRUCT<kind: STRING, num: DOUBLE, str: STRING, arr: ARRAY<STRING>>"
-    row = lambda v: F.struct(*[F.lit(x).alias(n) if not isinstance(x, list) else F.array(*map(F.lit, x)).alias(n) for x, n in zip(tagged(v), ("kind", "num", "str", "arr"), strict=True)]).cast(value)
-    grid = F.create_map(*[x for f in own for x in (F.lit(f), F.array(*map(row, region_values(rules, f))))]) if own else F.create_map()
-    mine, theirs = (F.array(*map(F.lit, fields)).cast("array<string>") for fields in (own, family))
-
-    def missing(m: Column, i: Column) -> Column:
-        fields = F.filter(F.when(m["ix"] == 0, mine).otherwise(theirs), lambda f: ~F.map_contains_key(m["facts"], f))
-        return F.transform(fields, lambda f: F.struct(i.alias("at"), f.alias("field"), (m["ix"] == 0).alias("own")))
-
-    asked = lambda x: x["own"] & (x["field"] == field)
-    df = profiles.withColumn("_open", F.flatten(F.transform("members", missing)))
-    df = df.withColumn("_open", F.concat(F.filter("_open", asked), F.filter("_open", lambda x: ~asked(x)))).withColumn("_grid", grid)
-    size = lambda x: F.size(F.element_at(F.col("_grid"), x["field"]))
-    df = df.withColumn("_known", ~F.exists("_open", asked)).withColumn("_many", F.aggregate("_open", F.lit(1.0), lambda a, x: a * size(x)))
-    sure = df.where(F.col("_known") | (F.col("_many") > budget)).select("profile_id", (~F.col("_known")).alias("relevant"))
-    tried = df.where(~F.col("_known") & (F.col("_many") <= budget)).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_many").cast("int") - 1)))  # budget rows a profile at most
-
-    def choose(acc: Column, x: Column) -> Column:
-        picked = F.struct(x["at"].alias("at"), x["field"].alias("field"), F.get(F.element_at(F.col("_grid"), x["field"]), acc["rest"] % size(x)).alias("value"))
-        return F.struct(F.floor(acc["rest"] / size(x)).cast("int").alias("rest"), F.array_append(acc["out"], picked).alias("out"))
-
-    start = F.struct(F.col("_c").alias("rest"), F.expr(f"CAST(array() AS ARRAY<STRUCT<at: INT, field: STRING, value: {value}>>)").alias("out"))
-    tried = tried.withColumn("_fill", F.aggregate("_open", start, choose, lambda acc: acc["out"]))
-    extra = lambda i: F.map_from_entries(F.transform(F.filter("_fill", lambda x: x["at"] == i), lambda x: F.struct(x["field"], x["value"])))
-    filled = F.transform("members", lambda m, i: m.withField("facts", F.map_concat(m["facts"], extra(i))))
-    other = F.floor(F.col("_c") / len(region_values(rules, field))).cast("int")
-    verdicts = evaluate(tried.select(F.struct("profile_id", other.alias("other")).alias("profile_id"), filled.alias("members")), [rules])
-    per = verdicts.groupBy("profile_id").agg(F.count_distinct("verdict").alias("n"))
-    return per.groupBy(F.col("profile_id.profile_id").alias("profile_id")).agg((F.max("n") > 1).alias("relevant")).unionByName(sure)
+    reach = Reach(rules, field)
+
+    def said(facts: Column, some: list, fields: list[str]) -> Column:
+        trit = lambda r: F.when(r, "T").when(~r, "F").otherwise("U")
+        return F.concat(*[trit(leaf_result(leaf, facts)) for leaf in some], *[F.when(F.map_contains_key(facts, f), ".").otherwise("o") for f in fields]) if some else F.lit("")
+
+    df = prepared(profiles)
+    others = F.transform(F.slice("_fam", F.lit(2), F.size("_fam")), lambda m: said(m["facts"], reach.family, reach.family_fields))
+    reduced = df.select("profile_id", F.concat(said(F.col("_me"), reach.own, reach.own_fields), F.lit("|"), F.array_join(F.array_sort(others), "/")).alias("said"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).dictionary_encode()
+            relevant = pa.array([reach(s) for s in texts.dictionary.to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), relevant.take(texts.indices)], ["profile_id", "relevant"])
+
+    return reduced.mapInArrow(run, f"profile_id {profiles.schema['profile_id'].dataType.simpleString()}, relevant boolean")
 
 
 def next_fact(missing: DataFrame, fields: DataFrame) -> DataFrame:
