@@ -231,3 +231,28 @@ def test_relevance_with_very_many_completions(spark):
     many = [[{"z": True}, *[{}] * 9], [{"z": True}, *[{"q": 1}] * 8, {}]]  # 3^9 completions; more than any cut
     got = {x.profile_id: x.relevant for x in questions.could_change(profiles(spark, *many), small, "q").collect()}
     assert got == {i: brute_relevance(small, m, "q") for i, m in enumerate(many)}
+
+
+def test_chats_ask_as_the_columns_do(spark):
+    """Round by round through evaluate() and missing_facts(), against one scan."""
+    r = random.Random(31)
+    for n in range(6):
+        rules = random_rules(r, n)
+        full = [[{f: r.randint(0, 2) for f in "abc" if r.random() < 0.8} for _ in range(r.randint(1, 3))] for _ in range(8)]
+        chats = {x.profile_id: (x.verdict, x.asked) for x in questions.simulated_chats(profiles(spark, *full), rules, ("a",), relevance=False).collect()}
+        partial = [[{k: v for k, v in m.items() if i == 0 and k == "a"} for i, m in enumerate(p)] for p in full]
+        asked = [[] for _ in full]
+        while True:
+            todo = {}
+            for x in sorted(E.missing_facts(profiles(spark, *partial), rules).collect(), key=lambda x: (x.ordinal, x.member)):
+                if (x.member, x.field) not in asked[x.profile_id]:
+                    todo.setdefault(x.profile_id, (x.member, x.field))
+            if not todo:
+                break
+            for i, (m, f) in todo.items():
+                asked[i].append((m, f))
+                partial[i][m] |= {f: full[i][m][f]} if f in full[i][m] else {}
+        ends = {x.profile_id: x.verdict for x in E.evaluate(profiles(spark, *partial), [rules]).collect()}
+        assert chats == {i: (ends[i], [f"{m}:{f}" for m, f in asked[i]]) for i in range(len(full))}
+        fewer = {x.profile_id: x for x in questions.simulated_chats(profiles(spark, *full), rules, ("a",)).collect()}
+        assert all(fewer[i].verdict == chats[i][0] or E.UNDETERMINED in (fewer[i].verdict, chats[i][0]) for i in fewer)

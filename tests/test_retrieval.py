@@ -30,3 +30,19 @@ def test_searches_without_rows_or_queries(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
         for q in ("cosine_topk", "tiered_search", "cosine_topk_all", "tiered_search_all"):
             assert catalog.QUERIES[q](spark, f"{tmp_path}/{name}").collect() == []
+
+
+def test_asof_join_equals_plain(spark):
+    import datetime as dt
+    import random
+
+    r = random.Random(2)
+    day = lambda: None if r.random() < 0.1 else dt.date(2020, 1, 1) + dt.timedelta(r.randrange(400))
+    versions = [(r.choice([None, 1, 2, 3]), day(), i) for i in range(150)]
+    asked = [(i, r.choice([None, 1, 2, 3, 4]), day()) for i in range(300)] + [(7, 1, dt.date(2020, 6, 1))] * 2
+    v, q = spark.createDataFrame(versions, "k INT, since DATE, n INT"), spark.createDataFrame(asked, "id INT, k INT, d DATE")
+    for days in (7, 1000):
+        got = sorted(((x.id, x.version and x.version.n) for x in retrieval.asof_join(q, v, "k", "d", "since", ["n"], days).collect()), key=str)
+        best = lambda k, d: max(((s, n) for key, s, n in versions if key == k and s and d and s <= d), default=(None, None))[1] if k else None
+        assert got == sorted(((i, best(k, d)) for i, k, d in asked), key=str)
+    assert retrieval.asof_join(q.limit(0), v, "k", "d", "since", ["n"]).collect() == []

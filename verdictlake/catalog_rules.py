@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from verdictlake.catalog_base import query, read
 from verdictlake.operators import confidence, gate, indexed, ledger, questions, reports, retrieval, rules, scoring
 from verdictlake.plans import household as H
-from verdictlake.plans.rulesets import Exclusion, Leaf, RuleSet
+from verdictlake.plans.rulesets import Exclusion, Leaf, Node, RuleSet
 
 
 def _pick(number: str, *values: str) -> str:
@@ -369,3 +369,24 @@ SELECT scheme_id, count(*) FILTER (WHERE inc AND NOT exc) AS eligible, count(*)
 def eval_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many orders each part's rule set makes eligible: as many rule sets as parts, all orders."""
     return indexed.tallies(H.profiles(spark, sf_dir), part_rules(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT l_suppkey AS k, l_shipdate AS d, arg_max(l_extendedprice, struct_pack(a := l_orderkey, b := l_linenumber, c := l_extendedprice)) AS price FROM lineitem GROUP BY ALL), r AS (SELECT o_orderkey, o_custkey % 100 AS k, o_orderdate AS d FROM orders)
+SELECT r.o_orderkey, v.d AS valid_from, v.price FROM r ASOF LEFT JOIN v ON r.k = v.k AND r.d >= v.d""")
+def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the latest line of a supplier that was shipped up to its own date."""
+    versions = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("valid_from"), F.col("l_extendedprice").alias("price"), "l_orderkey", "l_linenumber")
+    asked = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("k"), "o_orderdate")
+    return retrieval.asof_join(asked, versions, "k", "o_orderdate", "valid_from", ["l_orderkey", "l_linenumber", "price"]).select("o_orderkey", "version.valid_from", "version.price")
+
+
+@query("""WITH c AS (SELECT o_totalprice >= 50000 AS rich, o_orderstatus = 'F' AS f FROM orders),
+a AS (SELECT FALSE AS relevance, CASE WHEN rich AND f THEN 'eligible' ELSE 'ineligible' END AS verdict, CASE WHEN NOT rich THEN 1 WHEN f THEN 4 ELSE 3 END AS n FROM c UNION ALL SELECT TRUE, CASE WHEN rich AND f THEN 'eligible' ELSE 'ineligible' END, CASE WHEN NOT rich THEN 1 ELSE 3 END FROM c)
+SELECT relevance, verdict, count(*) AS chats, sum(n) AS questions FROM a GROUP BY ALL""")
+def chat_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of simulated chats with all orders, with and without asking first what can change the verdict: one branch of the rules never holds."""
+    never = Node("and", (Leaf("quantity", ">=", 10), Leaf("quantity", "<", 5)))
+    rules_ = RuleSet("c", Node("and", (Leaf("total_price", ">=", 50000), Node("or", (never, Leaf("status", "==", "F"))))), (Exclusion("returned", "==", True, exception=Leaf("discount", ">=", 0.09)),))
+    people = H.profiles(spark, sf_dir)
+    both = [questions.simulated_chats(people, rules_, relevance=on).withColumn("relevance", F.lit(on)) for on in (False, True)]
+    return both[0].unionByName(both[1]).groupBy("relevance", "verdict").agg(F.count("*").alias("chats"), F.sum(F.size("asked")).cast("long").alias("questions"))

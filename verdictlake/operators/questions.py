@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verdictlake.operators import plain
 from verdictlake.operators.evaluate import leaf_result, prepared
+from verdictlake.operators.plain import holds
 from verdictlake.plans.rulesets import Exclusion, Leaf, RuleSet, leaves
 
 
@@ -39,26 +41,6 @@ def read_fields(rules: RuleSet) -> tuple[list[str], list[str]]:
     return list(dict.fromkeys(own)), list(dict.fromkeys(family))
 
 
-def holds(op: str, actual: Any, expected: Any) -> int:
-    """compare() of two Python values as a trit: 0 false, 1 unknown, 2 true."""
-    number = lambda v: isinstance(v, bool | int | float)
-    alike = (number(actual) and number(expected)) or (isinstance(actual, str) and isinstance(expected, str))
-    if op in ("==", "!="):
-        same = actual is None if expected is None else (alike or isinstance(actual, list) and isinstance(expected, list | tuple)) and actual == expected
-        return 2 * (same == (op == "=="))
-    if op in ("in", "not_in"):
-        if isinstance(expected, list | tuple):
-            found = any(type(v) is type(actual) and v == actual or number(v) and number(actual) and v == actual for v in expected)
-        elif isinstance(expected, str) and isinstance(actual, str):
-            found = actual in expected
-        else:
-            return 1
-        return 2 * (found == (op == "in"))
-    if not alike:
-        return 1
-    return 2 * {"<": actual < expected, "<=": actual <= expected, ">": actual > expected, ">=": actual >= expected}[op]
-
-
 class Reach:
     """Whether one of the applicant's facts can change the verdict, from what a profile's leaves say and which facts it lacks.
 
@@ -213,6 +195,60 @@ def could_change(profiles: DataFrame, rules: RuleSet, field: str) -> DataFrame:
     return reduced.mapInArrow(run, f"profile_id {profiles.schema['profile_id'].dataType.simpleString()}, relevant boolean")
 
 
+def chat(rules: RuleSet, full: plain.People, known: tuple[str, ...], reaches: dict[str, Reach] | None) -> tuple[str, list[str]]:
+    """The verdict that a simulated chat ends with, and the facts that it asks for, as member:field.
+
+    Of the applicant the fields in `known` are known at the start. The first missing fact is asked, with `reaches` the
+    first that can change the verdict if there is one; facts of others than the applicant count as such. What the full
+    profile lacks is declined: it stays unknown and is not asked again. The chat ends when the verdict is decided or
+    nothing is left to ask.
+    """
+    people: plain.People = [{f: v for f, v in full[0].items() if f in known}, *({} for _ in full[1:])]
+    asked: list[tuple[int, str]] = []
+    while left := [x for x in plain.missing(rules, people) if x not in asked]:
+        said = None
+        pick = left[0]
+        for i, field in left if reaches else ():
+            said = said or _said(reaches[field], people) if i == 0 else said
+            if i > 0 or reaches[field](said):
+                pick = (i, field)
+                break
+        asked.append(pick)
+        i, field = pick
+        if field in full[i]:
+            people[i][field] = full[i][field]
+    return plain.verdict(rules, people), [f"{i}:{f}" for i, f in asked]
+
+
+def _said(reach: Reach, people: plain.People) -> str:
+    """What could_change() reduces a profile to; the same for every field of a rule set."""
+    one = lambda facts, some, fields: "".join("FUT"[plain.leaf(leaf, facts)] for leaf in some) + "".join("." if f in facts else "o" for f in fields)
+    return f"{one(people[0], reach.own, reach.own_fields)}|{'/'.join(sorted(one(m, reach.family, reach.family_fields) for m in people[1:]))}"
+
+
+def simulated_chats(profiles: DataFrame, rules: RuleSet, known: tuple[str, ...] = (), relevance: bool = True) -> DataFrame:
+    """profile_id, verdict, asked: chats with every profile's household, each answered from its full facts; see chat().
+
+    A chat depends on its household alone, so all run in one scan without rounds or an exchange.
+    """
+    own = dict.fromkeys(leaf.field for _, leaf in leaves(rules.inclusion)) | dict.fromkeys(leaf.field for x in rules.exclusions for leaf in (x, x.exception) if leaf)
+    reaches = {f: Reach(rules, f) for f in own} if relevance else None
+    kind = profiles.schema["profile_id"].dataType.simpleString()
+
+    def value(v: dict) -> Any:
+        if v["kind"] == "list":
+            return [None if c == "0:" else c[2:] if c.startswith("s:") else float(c[2:]) for c in v["arr"]]
+        return bool(v["num"]) if v["kind"] == "bool" else {"num": v["num"], "str": v["str"], "null": None}[v["kind"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ended = [chat(rules, [{k: value(v) for k, v in m["facts"]} for m in people], known, reaches) for people in batch.column(1).to_pylist()]
+            verdicts, asked = zip(*ended, strict=True) if ended else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdicts, pa.string()), pa.array(asked, pa.list_(pa.string()))], ["profile_id", "verdict", "asked"])
+
+    return prepared(profiles).select("profile_id", "_fam").mapInArrow(run, f"profile_id {kind}, verdict string, asked array<string>")
+
+
 def next_fact(missing: DataFrame, fields: DataFrame) -> DataFrame:
     """The fact to ask each profile: relevant ones first, sensitive ones last, else in order of evaluation.
 

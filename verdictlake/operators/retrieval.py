@@ -26,6 +26,28 @@ def latest_version(chunks: DataFrame, key: str, date: Column | None = None, colu
     return known.join(last, key).where(F.col(column).isNull() | (F.col(column) == F.col("_last"))).drop("_last")
 
 
+def asof_join(requests: DataFrame, versions: DataFrame, key: str, date: str, effective: str, tie: list[str], days: int = 30) -> DataFrame:
+    """requests with `version`, a struct of each one's key's latest version up to the request's own date; null if there is none.
+
+    versions: key, effective date, tie columns (of versions of one date the largest counts) and more. Versions without
+    date and requests without date find nothing; null keys do not match; repeated requests stay.
+
+    Dates are dealt into spans of `days`: within a key and span the last version is carried forward to the dates asked
+    for, across spans by one row each, so a key with very many dates is many small windows. Each different date of a
+    key is asked for once, and comes back to its requests by an equi-join.
+    """
+    span = F.floor(F.unix_timestamp(F.col("_at").cast("timestamp")) / (86_400 * days)).alias("_span")
+    last = versions.where(F.col(key).isNotNull() & F.col(effective).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(effective).alias("_at")).agg(F.max_by(F.struct(*versions.columns), F.struct(*tie)).alias("_v"))
+    asked = requests.where(F.col(key).isNotNull() & F.col(date).isNotNull()).select(F.col(key).alias("_key"), F.col(date).cast(versions.schema[effective].dataType).alias("_at")).distinct()
+    rows = last.select("_key", "_at", span, "_v", F.lit(0).alias("_asked")).unionByName(asked.select("_key", "_at", span, F.lit(None).alias("_v"), F.lit(1).alias("_asked")))
+    before = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = last.select("_key", "_at", span, "_v").groupBy("_key", "_span").agg(F.max_by("_v", "_at").alias("_end")).unionByName(asked.select("_key", span).distinct().withColumn("_end", F.lit(None)))
+    ends = ends.groupBy("_key", "_span").agg(F.first("_end", True).alias("_end")).select("_key", "_span", F.last("_end", True).over(before).alias("_carried"))
+    within = F.last("_v", True).over(Window.partitionBy("_key", "_span").orderBy("_at", "_asked"))
+    found = rows.withColumn("_found", within).where("_asked = 1").join(ends, ["_key", "_span"]).select("_key", "_at", F.coalesce("_found", "_carried").alias("version"))
+    return requests.join(found, (requests[key] == found["_key"]) & (requests[date].cast(versions.schema[effective].dataType) == found["_at"]), "left").drop("_key", "_at")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
