@@ -9,6 +9,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,18 @@ def stable(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs send at most so many rows at once to Python: for rows as large as texts, of which the usual number is much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(table: DataFrame) -> None:
     """Removes a table that stable() wrote; nothing may read it any more."""
     path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stable_path)

@@ -14,13 +14,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import discard, give_back, stable
+from verdictlake.llm.common import discard, give_back, small_batches, stable
 
 #: Training texts whose checksum has this remainder are deleted from the counts while the weights are learned.
 PARTS, HELD_OUT, DELETED = 7, 2, 3
 ORDER = 3
 #: Tokens of a chunk (a longer text is a chunk of its own), and keys that are counted together.
-CHUNK, TOGETHER = 1 << 19, 1 << 22
+CHUNK, TOGETHER = 1 << 19, 1 << 21
 #: The end of a text, and what stands before its beginning; white space is no word.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b" ", b"  "))
 #: Buckets of context frequency: none, and one for each power of two.
@@ -305,15 +305,21 @@ def score(docs: DataFrame) -> tuple[DataFrame, Model]:
     """
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % PARTS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.cast("int").alias("part"), "text")
-    chunks = stable(texts.mapInArrow(_chunked, CHUNKS).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks", ZSTD)
+    with small_batches(docs.sparkSession, 256):
+        chunks = stable(texts.mapInArrow(_chunked, CHUNKS).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks", ZSTD)
     sums = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "starts", F.when(~F.col("deleted"), F.col("starts")))]).first()
     buckets = max(1, math.ceil(sums[0] / TOGETHER))
-    counts = None
+    counts, stats = None, []
     for order in range(1, ORDER + 1):  # one order after another, so that the keys of one at a time lie on disk
         keys = chunks.select("chunk", "deleted", "parts", "sizes", "codes", "words").mapInArrow(_keys(order, buckets), KEYS)
-        found = stable(keys.groupBy("bucket").applyInArrow(_counted, COUNTS), f"lm-counts-{order}", ZSTD).withColumn("gram", F.lit(order))
+        with small_batches(docs.sparkSession, 16):
+            found = stable(keys.groupBy("bucket").applyInArrow(_counted, COUNTS), f"lm-counts-{order}", ZSTD).withColumn("gram", F.lit(order))
+        del keys
+        stats.append(found.where("chunk IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "rest_tokens", "rest_types")]).first())
         counts = found if counts is None else counts.unionByName(found)
-    stats = counts.where("chunk IS NULL AND gram = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "rest_tokens", "rest_types")]).first()
+    if len({(x[0], x[2]) for x in stats}) > 1:
+        raise RuntimeError(f"each token ends one n-gram of each order, but {stats} were counted")
+    stats = stats[0]
 
     def of_chunks(rows: DataFrame, column: str, run, schema: str) -> DataFrame:
         left = rows.select("chunk", "doc_ids", "parts", "sizes", "codes", "words").groupBy("chunk")
