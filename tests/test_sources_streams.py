@@ -170,3 +170,46 @@ def test_ledger_edges(spark):
     assert ledger.seconds_to_headroom(df.limit(0), "ts", "v", F.lit("2024-01-03 00:00:00"), 5.0, 1.0).first()[0] == 0.0
     runs = spark.createDataFrame([("s", "gated", "f1"), ("s", "judged", "f9"), ("t", "plain", "f2"), ("t", "plain", "f3")], "scheme_id STRING, stage STRING, file STRING")
     assert {r.scheme_id: r.file for r in ledger.prefer_stage(runs, ["scheme_id"], "stage", ["gated", "judged", "plain"], "file").collect()} == {"s": "f1", "t": "f3"}
+
+
+def test_verdict_stream_equals_batch(spark, tmp_path):
+    """Late, repeated and retracted answers over several runs of the stream from one checkpoint."""
+    import random
+
+    from verdictlake.functions import values
+    from verdictlake.operators import evaluate
+    from verdictlake.plans.rulesets import Exclusion, Leaf, Node, RuleSet
+
+    rule_sets = [
+        RuleSet("x", Node("and", (Leaf("age", ">=", 60), Node("or", (Leaf("poor", "==", True), Leaf("income", "<", 5))))), (Exclusion("taxed", "==", True),)),
+        RuleSet("y", Leaf("income", ">=", 5), (Exclusion("age", "<", 18, quantifier="some_family_member", exception=Leaf("poor", "==", True)),)),
+    ]
+    r = random.Random(5)
+    answers = [(r.randrange(12), *r.choice([("age", r.choice([10.0, 61.0, None])), ("poor", r.choice([0.0, 1.0])), ("income", r.choice([3.0, 7.0, None])), ("taxed", r.choice([0.0, 1.0]))]), 1_700_000_000 + r.randrange(500), i) for i in range(300)]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for start in (0, 90, 140):
+            rows = answers[start : {0: 90, 90: 140, 140: 300}[start]]
+            df = spark.createDataFrame(rows, "profile_id LONG, field STRING, value DOUBLE, s LONG, event_id LONG")
+            df = df.select("profile_id", "field", "value", F.timestamp_seconds("s").alias("ts"), "event_id")
+            df.coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+            streams.each_batch(streams.verdict_changes(stream, rule_sets, {"poor": ["taxed"]}), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/{i}"), str(tmp_path / "cp"))
+    finally:
+        spark.conf.unset(name)
+    changes = spark.read.parquet(f"{out}/*").collect()
+    by = {}
+    for c in sorted(changes, key=lambda c: c.version):
+        assert c.before == by.get((c.profile_id, c.scheme_id), (None, 0))[0] and c.version == by.get((c.profile_id, c.scheme_id), (None, 0))[1] + 1 and c.verdict != c.before
+        by[c.profile_id, c.scheme_id] = (c.verdict, c.version)
+    known = {}
+    for profile, field, value, s, event in sorted(answers, key=lambda a: (a[3], a[4])):
+        known.setdefault(profile, {})[field] = value
+    for facts in known.values():
+        if facts.get("poor") == 0.0 and "taxed" not in facts:
+            facts["taxed"] = 0.0
+    people = [(p, [(0, {f: values.tagged(v) for f, v in facts.items() if v is not None})]) for p, facts in known.items()]
+    profiles = spark.createDataFrame(people, f"profile_id LONG, members ARRAY<STRUCT<ix: INT, facts: MAP<STRING, {values.DDL}>>>")
+    assert {k: v[0] for k, v in by.items()} == {(x.profile_id, x.scheme_id): x.verdict for x in evaluate.evaluate(profiles, rule_sets).collect()}
