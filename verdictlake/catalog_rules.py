@@ -390,3 +390,63 @@ def chat_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = H.profiles(spark, sf_dir)
     both = [questions.simulated_chats(people, rules_, relevance=on).withColumn("relevance", F.lit(on)) for on in (False, True)]
     return both[0].unionByName(both[1]).groupBy("relevance", "verdict").agg(F.count("*").alias("chats"), F.sum(F.size("asked")).cast("long").alias("questions"))
+
+
+@query("""WITH s AS (SELECT 's' || l_suppkey % 40 AS scheme_id, l_linenumber % 3 AS sample, 'f' || l_partkey % 6 AS field, l_returnflag AS op FROM lineitem WHERE l_orderkey % 5 = 0), g AS (SELECT 's' || o_custkey % 40 AS scheme_id, 'f' || o_orderkey % 6 AS field, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END AS op, count(*) AS n FROM orders WHERE o_orderkey % 16 = 0 GROUP BY ALL),
+c AS (SELECT scheme_id, sample, field, op, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT scheme_id, count(DISTINCT sample) AS k FROM s GROUP BY 1 HAVING count(DISTINCT sample) >= 2),
+a AS (SELECT c.scheme_id, c.n, least(c.n, coalesce(g.n, 0)) AS correct, count(*) OVER (PARTITION BY c.scheme_id, c.field, c.op) / k AS agreement FROM c JOIN k ON k.scheme_id = c.scheme_id LEFT JOIN g ON g.scheme_id = c.scheme_id AND g.field = c.field AND g.op = c.op)
+SELECT scheme_id, sum(n)::BIGINT AS predicates, round(sum(n * agreement) / sum(n), 6) AS mean_agreement, round(sum(n) FILTER (WHERE agreement = 1) / sum(n), 6) AS unanimous, round(sum(correct) / sum(n), 6) AS precision FROM a GROUP BY 1""")
+def agreement_with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as predicates of three samples by supplier group, repeated ones counted, against orders as gold."""
+    lines = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").selectExpr("'s' || l_suppkey % 40 AS scheme_id", "l_linenumber % 3 AS sample", "'f' || l_partkey % 6 AS field", "l_returnflag AS op")
+    gold = read(spark, sf_dir, "orders").where("o_orderkey % 16 = 0").selectExpr("'s' || o_custkey % 40 AS scheme_id", "'f' || o_orderkey % 6 AS field", "CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END AS op")
+    found = confidence.multiset_summary(confidence.multiset_agreement(lines, gold, ["field", "op"]))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_agreement", "unanimous", "precision")})
+
+
+_NAMES = "names(old, new) AS (VALUES ('N', 'n1'), ('n1', 'n2'), ('n2', 'none'), ('R', 'returned'), ('A', 'accepted'), ('accepted', 'A2'))"
+
+
+@query(f"""WITH RECURSIVE {_NAMES}, walk AS (SELECT old, new FROM names UNION ALL SELECT w.old, n.new FROM walk w JOIN names n ON w.new = n.old), final AS (SELECT old, new FROM walk WHERE new NOT IN (SELECT old FROM names)),
+f AS (SELECT l_orderkey AS id, l_returnflag AS field, sum(l_linenumber)::BIGINT AS v FROM lineitem GROUP BY ALL), was AS (SELECT id, new AS field, v FROM f JOIN final ON field = old WHERE id % 4 <> 0),
+now AS (SELECT id, new AS field, CASE WHEN id % 3 = 0 THEN v ELSE v + v % 2 END AS v FROM f JOIN final ON field = old WHERE id % 7 <> 0 OR field <> 'N')
+SELECT n.id, CASE WHEN n.id % 4 = 0 THEN 'new' WHEN bool_and(n.v IS NOT DISTINCT FROM w.v) AND count(*) = (SELECT count(*) FROM was x WHERE x.id = n.id) THEN 'reused' ELSE 'stale' END AS status, coalesce(string_agg(n.field, ',' ORDER BY n.field) FILTER (WHERE n.id % 4 = 0 OR n.v IS DISTINCT FROM w.v), '') AS to_ask FROM now n LEFT JOIN was w ON w.id = n.id AND w.field = n.field GROUP BY n.id""")
+def reused_after_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' sums by return flag as stored facts under old names, against those of today under new ones."""
+    facts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("field")).agg(F.sum("l_linenumber").alias("v"))
+    gathered = lambda df: df.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "v"))).alias("facts"))
+    renames = spark.createDataFrame([("N", "n1"), ("n1", "n2"), ("n2", "none"), ("R", "returned"), ("A", "accepted"), ("accepted", "A2")], "old STRING, new STRING")
+    final = F.create_map(*[F.lit(x) for pair in (("N", "none"), ("R", "returned"), ("A", "A2")) for x in pair])
+    now = facts.where("id % 7 <> 0 OR field <> 'N'").select("id", final[F.col("field")].alias("field"), F.expr("CASE WHEN id % 3 = 0 THEN v ELSE v + v % 2 END").alias("v"))
+    found = ledger.reuse_renamed(gathered(facts.where("id % 4 <> 0")), gathered(now), ["id"], "facts", renames)
+    return found.withColumn("to_ask", F.array_join("to_ask", ","))
+
+
+_HISTORY = """h AS (SELECT user_id AS scheme_id, 'v' || event_id AS version, ts AS valid_from, CASE WHEN event_id % 9 = 0 THEN ts + INTERVAL 1 HOUR END AS valid_to FROM events WHERE event_type = 'click' OR event_id % 50 = 0),
+f AS (SELECT user_id AS scheme_id, event_id AS ordinal, value / 100 AS confidence, CASE WHEN event_id % 3 = 0 THEN 'temporal_supersession' ELSE 'tone' END AS category, 'v' || (event_id - event_id % 50) AS rule_version, CASE WHEN event_id % 6 = 0 THEN 'age' END AS retired_field, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 30 DAY END AS new_valid_from FROM events WHERE event_type <> 'click')"""
+
+
+@query(f"""WITH {_HISTORY}, latest AS (SELECT scheme_id, max(struct_pack(a := valid_from, b := version)) AS l FROM h GROUP BY 1),
+hit AS (SELECT f.scheme_id, l.b AS version, arg_max(struct_pack(r := rule_version, x := retired_field, d := new_valid_from), ordinal) AS f FROM f JOIN latest ON latest.scheme_id = f.scheme_id WHERE confidence >= 0.7 AND category = 'temporal_supersession' AND retired_field IS NOT NULL GROUP BY ALL),
+n AS (SELECT h.scheme_id, h.version, coalesce(f.d, valid_from) AS valid_from, valid_to, f.r AS supersedes_version, f.x AS retired_field FROM h LEFT JOIN hit ON hit.scheme_id = h.scheme_id AND hit.version = h.version)
+SELECT scheme_id, version, valid_from, least(valid_to, lead(valid_from) OVER (PARTITION BY scheme_id ORDER BY valid_from, version)) AS valid_to, supersedes_version, retired_field FROM n""")
+def superseded_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' clicks as versions of their rules, other events as findings about the latest of them."""
+    return gate.apply_temporal(*_temporal(spark, sf_dir))[0].drop("quote")
+
+
+def _temporal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = read(spark, sf_dir, "events")
+    history = events.where("event_type = 'click' OR event_id % 50 = 0").selectExpr("user_id AS scheme_id", "'v' || event_id AS version", "ts AS valid_from", "CASE WHEN event_id % 9 = 0 THEN ts + INTERVAL 1 HOUR END AS valid_to", "CAST(NULL AS STRING) AS supersedes_version", "CAST(NULL AS STRING) AS retired_field", "CAST(NULL AS STRING) AS quote")
+    findings = events.where("event_type <> 'click'").selectExpr("user_id AS scheme_id", "event_id AS ordinal", "value / 100 AS confidence", "CASE WHEN event_id % 3 = 0 THEN 'temporal_supersession' ELSE 'tone' END AS category", "'v' || (event_id - event_id % 50) AS rule_version", "CASE WHEN event_id % 6 = 0 THEN 'age' END AS retired_field", "CASE WHEN event_id % 5 = 0 THEN props ELSE 'a quote that nobody wrote' END AS quote", "CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 30 DAY END AS new_valid_from")
+    return history, findings
+
+
+@query(f"""WITH {_HISTORY}, latest AS (SELECT scheme_id, max(struct_pack(a := valid_from, b := version)) AS l FROM h GROUP BY 1), doc AS (SELECT user_id AS scheme_id, string_agg(props, ' ') AS document FROM events GROUP BY 1),
+hit AS (SELECT f.scheme_id, l.b AS version, l.a AS since, arg_max(struct_pack(r := rule_version, d := new_valid_from, o := ordinal), ordinal) AS f FROM f JOIN latest ON latest.scheme_id = f.scheme_id WHERE confidence >= 0.7 AND category = 'temporal_supersession' AND retired_field IS NOT NULL GROUP BY ALL)
+SELECT hit.scheme_id, hit.version, concat_ws(',', CASE WHEN o.version IS NULL THEN 'unknown' END, CASE WHEN o.version IS NOT NULL AND NOT (CASE WHEN o.version = hit.version THEN coalesce(f.d, since) ELSE o.valid_from END < coalesce(f.d, since)) THEN 'order' END, CASE WHEN f.o % 5 <> 0 THEN 'fabricated' END) AS faults FROM hit LEFT JOIN h o ON o.scheme_id = hit.scheme_id AND o.version = f.r""")
+def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of superseded_versions against the versions there are and the users' own texts."""
+    texts = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scheme_id")).agg(F.array_join(F.collect_list("props"), " ").alias("document"))
+    found = gate.chain_faults(gate.apply_temporal(*_temporal(spark, sf_dir))[0], texts)
+    return found.withColumn("faults", F.array_join("faults", ","))

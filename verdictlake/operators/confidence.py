@@ -13,6 +13,31 @@ def agreement(samples: DataFrame, key: list[str]) -> DataFrame:
     return samples.groupBy("scheme_id", *key).agg(F.count_distinct("sample").alias("hits")).join(total, "scheme_id").withColumn("agreement", F.col("hits") / F.col("samples"))
 
 
+def multiset_agreement(samples: DataFrame, gold: DataFrame, key: list[str], drafts: DataFrame | None = None) -> DataFrame:
+    """scheme_id, sample, *key, n, correct, agreement: how often each valid sample of a scheme has a predicate.
+
+    samples (scheme_id, sample, *key), a row an occurrence; gold (scheme_id, *key) likewise. agreement is the share of
+    the scheme's samples that have the predicate at all; of a sample's n copies as many are correct as gold has, at
+    most n. Schemes with fewer than two samples are left out. drafts (scheme_id, sample) lists the valid samples, so
+    that one without a predicate counts; without it they are those of `samples`. Keys match null-safe.
+
+    Occurrences are counted before the exchange; one aggregate by predicate then has all samples and gold side by side.
+    """
+    by = ["scheme_id", *key]
+    both = samples.select(*by, F.struct("sample").alias("_s")).unionByName(gold.select(*by, F.lit(None).cast(samples.select(F.struct("sample")).schema[0].dataType).alias("_s")))
+    counted = both.groupBy(*by, "_s").agg(F.count("*").alias("_n"))
+    sides = counted.groupBy(*by).agg(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct("_s", "_n"))).alias("_found"), F.coalesce(F.max(F.when(F.col("_s").isNull(), F.col("_n"))), F.lit(0)).alias("_gold"))
+    valid = (samples if drafts is None else drafts).select("scheme_id", "sample").distinct().groupBy("scheme_id").agg(F.count("*").alias("_k")).where("_k >= 2")
+    rows = sides.join(valid, "scheme_id").select(*by, "_gold", (F.size("_found") / F.col("_k")).alias("agreement"), F.explode("_found").alias("_f"))
+    return rows.select("scheme_id", F.col("_f._s.sample").alias("sample"), *key, F.col("_f._n").alias("n"), F.least(F.col("_f._n"), F.col("_gold")).alias("correct"), "agreement")
+
+
+def multiset_summary(found: DataFrame) -> DataFrame:
+    """By scheme of multiset_agreement(): predicates over all samples, and by predicate mean agreement, unanimous share and precision."""
+    total = F.sum("n")
+    return found.groupBy("scheme_id").agg(total.alias("predicates"), (F.sum(F.col("n") * F.col("agreement")) / total).alias("mean_agreement"), (F.sum(F.when(F.col("agreement") == 1, F.col("n")).otherwise(0)) / total).alias("unanimous"), (F.sum("correct") / total).alias("precision"))
+
+
 def ece_bins(points: DataFrame, bins: list[tuple[float, float]], confidence: str = "confidence", correct: str = "correct") -> DataFrame:
     """Reliability over closed bins that may leave gaps: lo, hi, n, accuracy, mean_confidence, gap and the bin's share of ECE.
 

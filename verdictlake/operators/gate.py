@@ -132,3 +132,50 @@ def apply_findings(rules: DataFrame, findings: DataFrame, threshold: float = 0.7
     path = F.when(F.col("action") == "add_predicate", F.concat(F.lit("inclusion.and["), base + nth, F.lit("]"))).otherwise(F.concat(F.lit("exclusions["), F.col("_ex") + nth - 1, F.lit("]")))
     added = new.join(state, "scheme_id").select("scheme_id", (F.col("_last") + place).cast("int").alias("ordinal"), path.alias("path"), F.when(F.col("action") == "add_predicate", "inclusion").otherwise("exclusion").alias("location"), "field", "op", "value_repr", F.when(F.col("action") == "add_exclusion", F.coalesce("quantifier", F.lit("self"))).alias("quantifier"))
     return moved.unionByName(added.select(*rules.columns)), log
+
+
+def apply_temporal(history: DataFrame, findings: DataFrame, threshold: float = BASE_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Version histories with what accepted findings say about the latest version, and a log: scheme_id, ordinal, applied, why.
+
+    history (scheme_id, version, valid_from, valid_to, supersedes_version, retired_field, quote), valid_to exclusive or
+    null. findings (scheme_id, ordinal, confidence, category, rule_version, retired_field, quote, new_valid_from): one
+    of temporal_supersession that names a retired field sets what the scheme's latest version supersedes, and with
+    new_valid_from its start; of several of a scheme the last does. Then intervals close: a version ends, at the
+    latest, where the next one begins. Below the threshold, of another category or without a retired field nothing is
+    applied. Versions are ordered by valid_from (nulls first) and version.
+    """
+    says = (F.col("category") == "temporal_supersession") & F.col("retired_field").isNotNull()
+    latest = history.groupBy("scheme_id").agg(F.max(F.struct("valid_from", "version")).alias("_latest"))
+    why = F.when(~F.coalesce(F.col("confidence") >= threshold, F.lit(False)), "below threshold").when(~F.coalesce(says, F.lit(False)), "nothing retired").when(F.col("_latest").isNull(), "no version")
+    judged = findings.join(latest, "scheme_id", "left").withColumn("_why", why)
+    log = judged.select("scheme_id", "ordinal", F.col("_why").isNull().alias("applied"), F.coalesce("_why", F.lit("applied")).alias("why"))
+    last = judged.where("_why IS NULL").groupBy("scheme_id", "_latest").agg(F.max_by(F.struct("rule_version", "retired_field", "quote", "new_valid_from"), "ordinal").alias("_f"))
+    upsert = last.select("scheme_id", F.col("_latest.version").alias("version"), "_f")
+    rows = history.join(upsert, ["scheme_id", "version"], "left")
+    hit = F.col("_f").isNotNull()
+    rows = rows.select(
+        "scheme_id", "version", F.coalesce("_f.new_valid_from", "valid_from").alias("valid_from"), "valid_to",
+        *[F.when(hit, F.col(f"_f.{new}")).otherwise(F.col(old)).alias(old) for old, new in (("supersedes_version", "rule_version"), ("retired_field", "retired_field"), ("quote", "quote"))],
+    )
+    following = F.lead("valid_from").over(Window.partitionBy("scheme_id").orderBy(F.asc_nulls_first("valid_from"), "version"))
+    return rows.withColumn("valid_to", F.least("valid_to", following)), log
+
+
+def chain_faults(history: DataFrame, documents: DataFrame) -> DataFrame:
+    """scheme_id, version, faults of each version that claims to supersede another, as names of the checks that fail.
+
+    `unknown`: the scheme has no version of that name; `order`: it does not begin earlier, so no chain that passes is a
+    ring; `fabricated`: the quote it rests on is not in the scheme's document (scheme_id, document), or there is none.
+    """
+    claims = history.where("supersedes_version IS NOT NULL").select("scheme_id", "version", "valid_from", "supersedes_version", "quote")
+    named = history.groupBy("scheme_id", F.col("version").alias("supersedes_version")).agg(F.min("valid_from").alias("_since"), F.lit(True).alias("_there"))
+    found = claims.join(named, ["scheme_id", "supersedes_version"], "left").join(documents.select("scheme_id", "document"), "scheme_id", "left")
+    earlier = F.coalesce(F.col("_since") < F.col("valid_from"), F.col("_since").isNull() & F.col("valid_from").isNotNull())
+    checks = {"unknown": F.col("_there").isNull(), "order": F.col("_there").isNotNull() & ~earlier, "fabricated": ~F.coalesce(quote_is_verbatim(F.col("quote"), F.col("document")), F.lit(False))}
+    return found.select("scheme_id", "version", F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks.items()])).alias("faults"))
+
+
+def selected_as_of(history: DataFrame, date: Column) -> DataFrame:
+    """The version of each scheme that is in force on a date: begun (null: always) and not ended."""
+    begun, ended = F.coalesce(F.col("valid_from") <= date, F.lit(True)), F.coalesce(F.col("valid_to") <= date, F.lit(False))
+    return history.where(begun & ~ended)

@@ -122,3 +122,47 @@ def reuse_answers(stored: DataFrame, current: DataFrame, key: list[str], facts:
     canonical = lambda c: F.sha2(F.to_json(F.array_sort(F.map_entries(c))), 256)
     old = stored.select(*key, canonical(F.col(facts)).alias("_old"))
     return current.withColumn("_now", canonical(F.col(facts))).join(old, key, "left").withColumn("status", F.when(F.col("_old").isNull(), "new").when(F.col("_old") == F.col("_now"), "reused").otherwise("stale")).drop("_old", "_now")
+
+
+def close_renames(renames: DataFrame) -> DataFrame:
+    """old, new with every chain of renames followed to its end; nulls and renames to the same name are left out.
+
+    Every round doubles how far a name is followed, so a chain of n renames takes log2(n) joins; what is decided stays
+    in the lineage, and a table of renames is as large as a vocabulary. Of several new names of one name the least
+    counts. A ring of renames has no end and is an error.
+    """
+    known = renames.where("old IS NOT NULL AND new IS NOT NULL AND old <> new").groupBy("old").agg(F.min("new").alias("new"))
+    whole, done = known.count(), False
+    for _ in range(max(1, whole).bit_length() + 1):
+        ahead = known.select(F.col("old").alias("_at"), F.col("new").alias("_next"))
+        step = known.join(ahead, F.col("new") == F.col("_at"), "left")
+        if done := step.where("_next IS NOT NULL").isEmpty():
+            break
+        known = step.select("old", F.coalesce("_next", "new").alias("new"))
+    if not done:
+        raise ValueError("renames form a ring")
+    return known
+
+
+def renamed_facts(profiles: DataFrame, key: list[str], facts: str, renames: DataFrame) -> DataFrame:
+    """profiles (*key, facts map) with fields under their names after renames (old, new); a fact under its new name goes before a renamed one, of several renamed ones the one of the least old name."""
+    closed = close_renames(renames).select(F.col("old").alias("_field"), "new")
+    rows = profiles.select(*key, F.explode_outer(facts).alias("_field", "_value")).join(closed, "_field", "left")
+    named = rows.select(*key, F.coalesce("new", "_field").alias("_name"), F.struct(F.col("new").isNotNull().alias("_moved"), F.col("_field")).alias("_from"), "_value")
+    once = named.groupBy(*key, "_name").agg(F.min_by("_value", "_from").alias("_value"))
+    entry = F.when(F.col("_name").isNotNull(), F.struct("_name", "_value"))
+    return once.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(facts))
+
+
+def reuse_renamed(stored: DataFrame, current: DataFrame, key: list[str], facts: str, renames: DataFrame) -> DataFrame:
+    """*key, status, to_ask of every current row: reuse_answers() with stored facts under their current names.
+
+    to_ask lists the fields whose value is not the stored one, sorted: of a new row all.
+    """
+    old = renamed_facts(stored, key, facts, renames).select(*key, F.col(facts).alias("_old"))
+    both = current.select(*key, facts).join(old, key, "left")
+    differs = lambda k: F.when(F.map_contains_key("_old", k), ~F.element_at("_old", k).eqNullSafe(F.element_at(facts, k))).otherwise(True)
+    asked = F.array_sort(F.filter(F.map_keys(facts), lambda k: F.col("_old").isNull() | differs(k)))
+    gone = F.exists(F.map_keys("_old"), lambda k: ~F.map_contains_key(facts, k))
+    status = F.when(F.col("_old").isNull(), "new").when((F.size("_a") == 0) & ~F.col("_g"), "reused").otherwise("stale")
+    return both.withColumn("_a", asked).withColumn("_g", gone).select(*key, status.alias("status"), F.col("_a").alias("to_ask"))
