@@ -261,3 +261,24 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.pack_sequences(spark, mixed, folder).collect()
     assert {r.doc_id for r in packed} == set(copies) and sum(r.piece == 0 for r in packed) == sum(copies.values())
     assert len(corpus_pipeline.run(spark, folder).collect()) == len(packed)
+
+
+def test_equal_rows_are_mixed_apart(spark, monkeypatch):
+    """Very many equal rows: no leaf of the tree holds them all, and the words still come near the target."""
+    monkeypatch.setattr(mixing, "LEAF", 200)
+    rows = [(1, "same words here now", "a")] * 6_000 + [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(2, 3_000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    sized = mixing.numbered(df.withColumn("k", F.xxhash64("text")), ["k"], "test-rows")
+    assert sized.where("doc_id = 1").agg(F.count_distinct("copy"), F.min("copy"), F.max("copy")).first()[:] == (6_000, 0, 5_999)
+    out = mixing.mix(df).persist()
+    assert out.count() == len(rows)
+    for r in out.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= max(0.001 * r.source_size, 9)
+    assert out.agg(F.max(F.col("copies"))).first()[0] <= 3
+    counts = lambda d: collections.Counter((r.doc_id, r.taken) for r in d.collect())
+    assert counts(out) == counts(mixing.mix(df.repartition(3)))  # reruns agree whatever the partitions
+    applied = mixing.apply(df).groupBy("doc_id", "text", "source").count().collect()
+    want = collections.Counter()
+    for r in out.collect():
+        want[r.doc_id] += r.copies
+    assert {r.doc_id: r["count"] for r in applied} == {k: n for k, n in want.items() if n}

@@ -99,7 +99,7 @@ def _rounder(seed: int, level: int, columns: list[str], close: bool):
     """A node of the tree: rounds its rows and leaves one share open, or decides that one too if `close`."""
 
     def work(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "key", "copy"], ascending=[False, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, int(group[0]), int(group[1])])
         shares, done = rows["share"].to_numpy(copy=True), np.ones(len(rows), bool)
         if close:
@@ -112,6 +112,19 @@ def _rounder(seed: int, level: int, columns: list[str], close: bool):
     return work
 
 
+def numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Adds copy, a number from 0 for each of the rows with an equal key, without bringing them together.
+
+    Rows are frozen with the partition they were in; each partition numbers its own from where those before it end, so a
+    window holds rows of one partition. Which of equal rows has which number is open, which numbers there are is not.
+    """
+    rows = stable(rows.withColumn("_part", F.spark_partition_id()), name)
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*key, "_part").agg(F.count("*").alias("_n")).select(*key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*key)) - 1)
+    return within.join(starts, [*key, "_part"]).withColumn("copy", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+
+
 def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """Returns doc_id, key (a hash of doc_id, text and source), size, source_size, target, copies (long) and taken = size * copies, a row for each document.
 
@@ -122,9 +135,9 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, mo
     The draws hang on the seed and the rows alone, so reruns agree whatever the partitions.
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _key().alias("key"))
-    sized = stable(sized, "mix-sizes")
+    sized = stable(numbered(sized, ["key"], "mix-rows"), "mix-sizes")  # key is never null
     sources = stable(targets(sized, weights, most), "mix-targets").withColumn("goal", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    shared = ["doc_id", "key", "size", "idx", "source_size", "target"]
+    shared = ["doc_id", "key", "copy", "size", "idx", "source_size", "target"]
     joined = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(*shared, "goal", "n")
     large = F.col("size") * LARGE > F.col("source_size")
 
@@ -138,7 +151,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, mo
     rest = _open(rest, F.col("goal") - F.coalesce("shift", F.lit(0.0)), most)
     carried = [*shared, "whole", "share"]
     undecided = (F.col("share") > 0) & (F.col("size") > 0)
-    level = rest.where(undecided).select(*carried, F.pmod(F.xxhash64("key", "size"), F.ceil(F.col("n") / LEAF)).alias("node"))
+    level = rest.where(undecided).select(*carried, F.pmod(F.xxhash64("key", "size", "copy"), F.ceil(F.col("n") / LEAF)).alias("node"))
     schema = level.select(*carried, "node", F.lit(True).alias("done")).schema
     deepest = sources.agg(F.max(F.ceil(F.col("n") / LEAF))).first()[0] or 1
     parts = [big.select(*carried), rest.where(~undecided).select(*carried)]
@@ -169,9 +182,9 @@ def apply(docs: DataFrame, seed: int = 1) -> DataFrame:
     on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("_key") == F.col("t.key"))
     out = keyed.join(taken.where("_rows = 1 AND _total > 0").alias("t"), on).select("d.*", F.col("_total").alias("_copies"))
     if not taken.where("_rows > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_key"))
-        again = keyed.join(taken.where("_rows > 1").alias("t"), on).select("d.*", "_total", "_rows").withColumn("_copies", F.floor(F.col("_total") / F.col("_rows")) + F.when(place <= F.col("_total") % F.col("_rows"), 1).otherwise(0))
-        out = out.unionByName(again.drop("_total", "_rows"))
+        again = keyed.join(taken.where("_rows > 1").alias("t"), on).select("d._key", F.struct("d.*").alias("_doc"), "_total", "_rows")
+        again = numbered(again, ["_key"], "mix-equal").withColumn("_copies", F.floor(F.col("_total") / F.col("_rows")) + F.when(F.col("copy") < F.col("_total") % F.col("_rows"), 1).otherwise(0))
+        out = out.unionByName(again.select("_doc.*", "_copies"))
     many = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
     return out.where("_copies > 0").select(*[F.col(c) for c in docs.columns], many.alias("_copy")).drop("_copy")
 
