@@ -2,11 +2,13 @@
 
 import collections
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from verdictlake.operators import confidence, gate, ledger
+from verdictlake.plans import household, rulesets, schema
 
 
 def test_renames_close_and_apply(spark):
@@ -56,3 +58,23 @@ def test_temporal_findings(spark):
     assert {r.scheme_id: r.faults for r in gate.chain_faults(changed, documents).collect()} == {"s": [], "t": ["order", "fabricated"]}
     assert {r.version for r in gate.selected_as_of(changed, F.lit(day(8))).collect()} == {"v1", "only"}
     assert {r.version for r in gate.selected_as_of(changed, F.lit(day(9))).collect()} == {"v2", "only"}
+
+
+def test_closed_schema(spark):
+    good = rulesets.to_dict(household.H1)
+    leaf = {"field": "a", "op": "==", "value": None, "cat": "other"}
+    deep = leaf
+    for i in range(4):
+        deep = {("and", "or")[i % 2]: [deep, leaf]}
+    texts = {
+        "good": json.dumps(good), "deep": json.dumps(good | {"inclusion": deep}), "null": None, "cut": json.dumps(good)[:-1], "list": "[1]", "text": '"x"',
+        "full": json.dumps(good | {"temporal_validity": {"valid_from": None, "extracted_at": "2020-01-01", "supersedes": {"rule_version": "1", "retired_predicate": {"any": [1]}, "amendment_source": "s"}}, "extraction_metadata": {"confidence": 1, "source_clause": "c"}}),
+        "odd": json.dumps({"scheme_id": 5, "inclusion": {"and": [leaf | {"cat": "nope"}, "x", {"or": {}}, {}]}, "exclusions": [leaf | {"except": {"field": "a"}, "count": 1.5}], "operational_requirements": ["a", 1], "temporal_validity": {"valid_to": 3}, "more": 1}),
+    }
+    df = spark.createDataFrame(list(texts.items()), "scheme_id STRING, rules STRING")
+    valid, quarantine = schema.split_by_schema(df)
+    got = {(r.scheme_id, f.path, f.fault) for r in quarantine.collect() for f in r.faults}
+    odd = {("scheme_id", "wrong type"), ("more", "unknown key"), ("inclusion.and[0].cat", "unknown value"), ("inclusion.and[1]", "wrong type"), ("inclusion.and[2].or", "wrong type"), *((f"inclusion.and[3].{k}", "missing key") for k in ("field", "op", "value", "cat")), ("exclusions[0].except.op", "missing key"), ("exclusions[0].except.value", "missing key"), ("exclusions[0].count", "wrong type"), ("operational_requirements[1]", "wrong type"), ("temporal_validity.valid_to", "wrong type"), ("temporal_validity.extracted_at", "missing key")}
+    assert got == {("null", "", "not JSON"), ("cut", "", "not JSON"), ("list", "", "wrong type"), ("text", "", "wrong type")} | {("odd", *x) for x in odd}
+    assert {r.scheme_id for r in valid.collect()} == {"good", "deep", "full"}
+    assert rulesets.flatten_json(df.where("scheme_id IN ('cut', 'deep')")).where("location = 'inclusion'").count() == 5

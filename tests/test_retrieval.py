@@ -46,3 +46,12 @@ def test_asof_join_equals_plain(spark):
         best = lambda k, d: max(((s, n) for key, s, n in versions if key == k and s and d and s <= d), default=(None, None))[1] if k else None
         assert got == sorted(((i, best(k, d)) for i, k, d in asked), key=str)
     assert retrieval.asof_join(q.limit(0), v, "k", "d", "since", ["n"]).collect() == []
+
+
+def test_vectors_of_odd_shapes(spark):
+    rows = [(0, [3.0]), (1, [1.0, 9.0]), (2, [2.0, -1.0, 5.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, []), (7, [float("inf")])]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>")
+    queries = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {(r.query_id, r.vec_id): r.score for r in retrieval.top_k(df, queries, 10).collect()}
+    good = {i: v for i, v in rows if i in (0, 1, 2, 6)}
+    assert got == {(a, b): sum(x * y for x, y in zip(u, v, strict=False)) for a, u in good.items() for b, v in good.items()}

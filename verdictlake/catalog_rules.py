@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from verdictlake.catalog_base import query, read
 from verdictlake.operators import confidence, gate, indexed, ledger, questions, reports, retrieval, rules, scoring
 from verdictlake.plans import household as H
+from verdictlake.plans import schema
 from verdictlake.plans.rulesets import Exclusion, Leaf, Node, RuleSet
 
 
@@ -450,3 +451,26 @@ def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scheme_id")).agg(F.array_join(F.collect_list("props"), " ").alias("document"))
     found = gate.chain_faults(gate.apply_temporal(*_temporal(spark, sf_dir))[0], texts)
     return found.withColumn("faults", F.array_join("faults", ","))
+
+
+def _rule_texts() -> str:
+    """SQL for a customer's rule set as JSON, with faults by remainders of its key."""
+    when = lambda n, text: f"CASE WHEN c_custkey % {n} = 0 THEN '{text}' ELSE '' END"
+    op = "CASE WHEN c_custkey % 7 = 0 THEN '~' ELSE '>=' END"
+    count = """CASE WHEN c_custkey % 6 = 0 THEN '"2"' ELSE '2' END"""
+    value = f"""CASE WHEN c_custkey % 11 = 0 THEN '' ELSE '"value": ' || c_nationkey || ', ' END"""
+    tree = f"""'{{"and": [{{"field": "age", "op": "' || {op} || '", ' || {value} || '"cat": "economic"}}, {{"or": [{{"field": "caste", "op": "in", "value": ["a"], "cat": "other"' || {when(5, ', "colour": {"a": [1]}')} || '}}]' || {when(10, ', "and": []')} || '}}]}}'"""
+    return f"""'{{"scheme_id": "s' || c_custkey || '", "inclusion": ' || {tree} || ', "exclusions": [{{"field": "x", "op": "==", "value": true, "cat": "other", "quantifier": "count_family_members", "count_op": ">=", "count": ' || {count} || '}}]' || CASE WHEN c_custkey % 13 = 0 THEN '' ELSE '}}' END"""
+
+
+@query("""WITH c AS (SELECT 's' || c_custkey AS scheme_id, c_custkey AS k FROM customer)
+SELECT scheme_id, '' AS path, 'not JSON' AS fault FROM c WHERE k % 13 = 0 UNION ALL
+SELECT scheme_id, 'inclusion.and[0].op', 'unknown value' FROM c WHERE k % 13 <> 0 AND k % 7 = 0 UNION ALL
+SELECT scheme_id, 'inclusion.and[0].value', 'missing key' FROM c WHERE k % 13 <> 0 AND k % 11 = 0 UNION ALL
+SELECT scheme_id, 'inclusion.and[1].or[0].colour', 'unknown key' FROM c WHERE k % 13 <> 0 AND k % 5 = 0 AND k % 10 <> 0 UNION ALL
+SELECT scheme_id, 'inclusion.and[1].or', 'unknown key' FROM c WHERE k % 13 <> 0 AND k % 10 = 0 UNION ALL
+SELECT scheme_id, 'exclusions[0].count', 'wrong type' FROM c WHERE k % 13 <> 0 AND k % 6 = 0""")
+def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule set as JSON for each customer, many of them with a fault: keys that are unknown or missing, wrong types and values, broken texts."""
+    rows = read(spark, sf_dir, "customer").selectExpr("'s' || c_custkey AS scheme_id", f"{_rule_texts()} AS rules")
+    return schema.schema_faults(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,26 +57,33 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     """For each row of queries (query_id, vector) its k nearest rows of chunks by inner product of normalised vectors.
 
     Columns: query_id, the chunks' columns but the vector, score, rank; ties go to the smaller key, null keys last.
-    Rows without a vector are left out; repeated rows of queries count once; no queries or no chunks give no rows.
+    Rows without a vector or with a null or non-finite component are left out; of vectors of different lengths the
+    shorter counts as filled up with zeros; repeated rows of queries count once; no queries or no chunks give no rows.
     Blocks of chunks meet blocks of queries, each pair of blocks keeps k rows a query, and these are merged per query.
     """
     rest = [c for c in chunks.columns if c != vector]
-    asked = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).cast("array<double>").alias("_v")).distinct().withColumn("_q", F.xxhash64("_v"))
-    rows = chunks.where(F.col(vector).isNotNull()).select(*rest, F.col(vector).cast("array<double>").alias("_v"))
+    whole = F.col(vector).isNotNull() & F.forall(F.col(vector), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    asked = queries.where(whole).select("query_id", F.col(vector).cast("array<double>").alias("_v")).distinct().withColumn("_q", F.xxhash64("_v"))
+    rows = chunks.where(whole).select(*rest, F.col(vector).cast("array<double>").alias("_v"))
     n, m = -(-rows.count() // block), -(-asked.count() // query_block)
     spread = lambda df, at, size, other, count: df.withColumn(at, F.pmod(F.xxhash64(*df.columns), F.lit(size)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     left = spread(rows, "_b", max(n, 1), "_a", max(m, 1)).groupBy("_b", "_a")
     right = spread(asked, "_a", max(m, 1), "_b", max(n, 1)).groupBy("_b", "_a")
     out = asked.select("query_id", "_q").join(rows.select(*rest), F.lit(False)).withColumn("score", F.lit(0.0)).schema
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(column), -1)
+    def sizes(column: pa.ChunkedArray) -> np.ndarray:
+        return pa.compute.list_value_length(column).to_numpy().astype(np.int64)
+
+    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        n, out = sizes(column), np.zeros((len(column), width))
+        out[np.arange(width) < n[:, None]] = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return out
 
     def match(x: pa.Table, q: pa.Table) -> pa.Table:
         parts = []
         if len(x) and len(q):
-            xs, qs = matrix(x["_v"]), matrix(q["_v"])
+            width = int(max(sizes(x["_v"]).max(), sizes(q["_v"]).max()))
+            xs, qs = matrix(x["_v"], width), matrix(q["_v"], width)
             ids = x[key].fill_null(np.iinfo(np.int64).max).to_numpy() if pa.types.is_integer(x[key].type) else np.array(x[key].to_pylist(), dtype=object)
             for i, v in enumerate(qs):
                 score = np.einsum("ij,j->i", xs, v)  # not BLAS: equal vectors get equal sums wherever they lie

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdictlake.functions.values import tagged
+from verdictlake.sources.shared import frozen
 
 # The closed vocabularies of rules.
 CATEGORIES = ("citizenship", "demographic", "occupation", "economic", "political", "professional", "institutional", "family_unit", "temporal", "cross_scheme", "vacuous", "other")
@@ -138,18 +139,20 @@ def flatten_json(rules: DataFrame) -> DataFrame:
 
     scheme_id, ordinal, path, location, field, op, value_json, quantifier, parent_field, except_scope: inclusion leaves
     from left to right, then exclusions, then exceptions. Trees are opened a level at a time, with as many steps as the
-    deepest one has levels; omitted fields take their defaults.
+    deepest one has levels, each computed once; omitted fields take their defaults. Texts that are no JSON give no rows:
+    schema_faults() lists them.
     """
     spark = rules.sparkSession
     part = lambda node, name: F.variant_get(node, f"$.{name}", "variant")
     text = lambda node, name: F.variant_get(node, f"$.{name}", "string")
     opened = lambda df, what: df.lateralJoin(spark.tvf.variant_explode(what.outer()).select(F.col("pos"), F.col("value").alias("child")))
-    whole = rules.select("scheme_id", F.parse_json("rules").alias("v"))
+    whole = rules.select("scheme_id", F.try_parse_json("rules").alias("v")).where("v IS NOT NULL")
     columns = ["scheme_id", "section", "place", "path", "node", "parent_field", "except_scope"]
     none = F.lit(None).cast("string")
     nodes = whole.select("scheme_id", F.lit(0).alias("section"), F.expr("CAST(array() AS ARRAY<INT>)").alias("place"), F.lit("inclusion").alias("path"), part(F.col("v"), "inclusion").alias("node"), none.alias("parent_field"), none.alias("except_scope"))
     found = None
     while True:
+        nodes = frozen(nodes)
         children = F.coalesce(part(F.col("node"), "and"), part(F.col("node"), "or"))
         here = nodes.where(children.isNull() & F.col("node").isNotNull())
         found = here if found is None else found.unionByName(here)
