@@ -1,6 +1,7 @@
 """Truth tables, golden cases, and random rule sets against a two-valued evaluator."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -256,3 +257,25 @@ def test_chats_ask_as_the_columns_do(spark):
         assert chats == {i: (ends[i], [f"{m}:{f}" for m, f in asked[i]]) for i in range(len(full))}
         fewer = {x.profile_id: x for x in questions.simulated_chats(profiles(spark, *full), rules, ("a",)).collect()}
         assert all(fewer[i].verdict == chats[i][0] or E.UNDETERMINED in (fewer[i].verdict, chats[i][0]) for i in fewer)
+
+
+def test_nested_traces_are_json_of_any_depth(spark):
+    deep = Leaf("a", ">=", 3)
+    for i in range(8):
+        deep = Node(("and", "or")[i % 2], (deep, Leaf("q\"b", "in", ["x", "ü"])))
+    rules = RuleSet("s", deep, (Exclusion("n", ">", 1, quantifier="count_family_members", count_op=">=", count=2, exception=Leaf("old", "==", True), except_scope="applicant"), Exclusion("v", "==", "w", exception=Leaf("z", "==", None))), requirements=("photo", 'a "quoted" one'))
+    people = [[{"a": 5, "q\"b": 'say "hi"', "n": 2, "z": None, "v": "w"}, {"n": 3}, {}], [{}]]
+    p = profiles(spark, *people)
+    verdict = {x.profile_id: x.verdict for x in E.evaluate(p, [rules]).collect()}
+    got = {x.profile_id: json.loads(x.trace) for x in E.nested_trace(p, rules).collect()}
+    assert {k: t["verdict"] for k, t in got.items()} == verdict
+    node, depth = got[0]["inclusion"], 0
+    while "children" in node:
+        assert node["children"][1]["actual"] == 'say "hi"' and node["children"][1]["expected"] == ["x", "ü"]
+        node, depth = node["children"][0], depth + 1
+    assert depth == 8 and node == {"field": "a", "op": ">=", "expected": 3, "actual": "5.0", "result": True}
+    count, single = got[0]["exclusions"]
+    assert count["count"] == {"op": ">=", "count": 2, "low": 2, "high": 3} and count["result"] is None and count["except"]["actual"] is None
+    assert [(m["member"], m["actual"], m["holds"]) for m in count["members"]] == [(0, "2.0", True), (1, "3.0", True), (2, None, None)]
+    assert single["members"] == [{"member": 0, "actual": "w", "result": True, "except": {"field": "z", "op": "==", "expected": None, "actual": "null", "result": True}, "holds": False}]
+    assert got[0]["requirements"] == ["photo", 'a "quoted" one'] and got[1]["exclusions"][0]["count"]["high"] == 1

@@ -13,9 +13,42 @@ from verdictlake.plans import household as H
 from verdictlake.plans.rulesets import flat_table, flatten_json
 
 
+_quoted = lambda c: f"""coalesce('"' || ({c})::VARCHAR || '"', 'null')"""
+_trit = lambda c: f"coalesce(({c})::VARCHAR, 'null')"
+
+
+def _leaf_json(field: str, op: str, expected: str, actual: str, result: str) -> str:
+    return f"""'{{"field":"{field}","op":"{op}","expected":{expected},"actual":' || {_quoted(actual)} || ',"result":' || {_trit(result)} || '}}'"""
+
+
+def _member_json(actual: str, result: str, spared: str = "", holds: str = "") -> str:
+    return f"""'{{"member":' || ix || ',"actual":' || {_quoted(actual)} || ',"result":' || {_trit(result)} || {spared}',"holds":' || {_trit(holds or result)} || '}}'"""
+
+
+def _exclusion_json(field: str, op: str, expected: str, quantifier: str, result: str, more: str, members: str) -> str:
+    return f"""'{{"field":"{field}","op":"{op}","expected":{expected},"quantifier":"{quantifier}","result":' || {_trit(result)} || {more}',"members":[' || {members} || ']}}'"""
+
+
+_SPARED = f"""',"except":' || {_leaf_json("discount", ">=", "0.09", "disc", "disc >= 0.09")} || """
+_COUNTED = f"""',"count":{{"op":">=","count":2,"low":' || low || ',"high":' || high || '}},"except":' || {_leaf_json("total_price", ">=", "300000", "price", "price >= 300000")} || """
+_TRACES = f"""mem AS (SELECT o_orderkey AS k, 0 AS ix, FALSE AS ret, CASE WHEN o_orderkey % 11 <> 0 THEN 0::DOUBLE END AS disc, 0::DOUBLE AS qty, 1::DOUBLE AS tax FROM orders
+  UNION ALL SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 13 <> 0 THEN l_returnflag = 'R' END, l_discount, CASE WHEN l_suppkey % 17 <> 0 THEN l_quantity END, l_tax FROM lineitem),
+mt AS (SELECT k, ix, {_member_json("ret", "ret", _SPARED, "ret AND NOT disc >= 0.09")} AS t1, {_member_json("qty", "qty >= 45")} AS t2, {_member_json("tax", "tax > 0.06")} AS t3 FROM mem),
+ms AS (SELECT k, string_agg(t1, ',' ORDER BY ix, t1) AS m1, string_agg(t2, ',' ORDER BY ix, t2) AS m2, string_agg(t3, ',' ORDER BY ix, t3) AS m3 FROM mt GROUP BY 1)"""
+
+
 def register(counts: str) -> None:
     """Queries whose SQL rests on the household's verdicts."""
 
+    @query(f"""WITH {counts}, {_TRACES}, o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority FROM orders)
+SELECT t.profile_id, 'H1' AS scheme_id, '{{"verdict":"' || verdict || '","inclusion":{{"kind":"and","result":' || {_trit("inc")} || ',"children":[' || {_leaf_json("total_price", ">=", "50000", "price", "price >= 50000")} || ',{{"kind":"or","result":' || {_trit("urgent OR status = 'F'")} || ',"children":['
+|| {_leaf_json("priority", "in", '["1-URGENT", "2-HIGH"]', "priority", "urgent")} || ',' || {_leaf_json("status", "==", '"F"', "status", "status = 'F'")} || ']}}]}},"exclusions":[' || {_exclusion_json("returned", "==", "true", "some_family_member", "x1", "", "m1")} || ','
+|| {_exclusion_json("quantity", ">=", "45", "count_family_members", "many AND NOT price >= 300000", _COUNTED, "m2")} || ',' || {_exclusion_json("tax", ">", "0.06", "all_family_members", "x3", "", "m3")} || '],"requirements":["photo identity"]}}' AS trace
+FROM tested t JOIN verdicts v ON v.profile_id = t.profile_id AND v.scheme_id = 'H1' JOIN ms ON ms.k = t.profile_id JOIN o ON o.o_orderkey = t.profile_id""")
+    def nested_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Every order's trace through the household rules, as nested JSON."""
+        return evaluate.nested_trace(H.profiles(spark, sf_dir), H.H1)
+
     @query(f"WITH {counts} SELECT profile_id, scheme_id, verdict, inc AS included, exc AS excluded FROM verdicts")
     def eval_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The household rule sets as rows of a table, folded by joins: the same verdicts as the compiled ones."""

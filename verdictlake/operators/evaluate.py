@@ -6,6 +6,7 @@ profiles gives the verdicts of all rule sets; there is no shuffle. Rule sets are
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -204,6 +205,59 @@ def _rows(members: Column, path: str, kind: str, leaf: Leaf | Exclusion, row) ->
     return F.transform(members, lambda m: row(path, kind, m["ix"], leaf, m["facts"]))
 
 
+def nested_trace(profiles: DataFrame, rules: RuleSet) -> DataFrame:
+    """profile_id, scheme_id, trace: JSON with what every part of a rule set gives for a profile, nested as the rules are.
+
+    `inclusion` holds `kind`, `result` and `children`, its leaves `field`, `op`, `expected`, `actual` and `result`; each of
+    `exclusions` its condition, `quantifier` and `result`, of a count `count` with the range that is still possible,
+    `members` by place with what each has and whether the condition `holds` for it, and `except` if the applicant can
+    set it aside; then the `requirements` that no fact decides. Unknown results and absent facts are null; actual
+    values are texts. Built from column expressions in one scan, for trees of any depth.
+    """
+    quoted = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), F.lit("null"))
+    trit = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    listed = lambda parts: said("[", *[x for i, part in enumerate(parts) for x in ((",", part) if i else (part,))], "]") if parts else F.lit("[]")
+
+    def actual(leaf: Leaf | Exclusion, facts: Column) -> Column:
+        v = facts[leaf.field]
+        text = F.when(v["kind"] == "bool", (v["num"] == 1).cast("string")).otherwise(F.coalesce(v["str"], v["num"].cast("string"), F.array_join(v["arr"], ","), v["kind"]))
+        return F.when(F.map_contains_key(facts, leaf.field), quoted(text)).otherwise("null")
+
+    def asked(leaf: Leaf | Exclusion) -> str:
+        return f'"field":{json.dumps(leaf.field)},"op":{json.dumps(leaf.op)},"expected":{json.dumps(leaf.value)}'
+
+    def of_leaf(leaf: Leaf, facts: Column) -> Column:
+        return said(f'{{{asked(leaf)},"actual":', actual(leaf, facts), ',"result":', trit(leaf_result(leaf, facts)), "}")
+
+    def of_node(node: Any, facts: Column) -> Column:
+        if isinstance(node, Leaf):
+            return of_leaf(node, facts)
+        return said(f'{{"kind":"{node.kind}","result":', trit(inclusion(node, facts)), ',"children":', listed([of_node(c, facts) for c in node.children]), "}")
+
+    def of_exclusion(x: Exclusion) -> Column:
+        inner = x.exception if x.exception and x.except_scope == "member" else None
+
+        def one(m: Column) -> Column:
+            facts = m["facts"]
+            hit = leaf_result(x, facts)
+            spared = (',"except":', of_leaf(inner, facts), ',"holds":', trit(hit & ~leaf_result(inner, facts))) if inner else (',"holds":', trit(hit))
+            return F.struct(m["ix"].alias("ix"), said('{"member":', m["ix"].cast("string"), ',"actual":', actual(x, facts), ',"result":', trit(hit), *spared, "}").alias("text"))
+
+        members = F.array_join(F.transform(F.array_sort(F.transform(looked_at(x), one)), lambda s: s["text"]), ",")
+        parts = [f'{{{asked(x)},"quantifier":"{x.quantifier}","result":', trit(exclusion(x))]
+        if x.quantifier == "count_family_members":
+            yes, unknown = yes_open(member_results(x))
+            parts += [f',"count":{{"op":"{x.count_op}","count":{x.count},"low":', yes.cast("string"), ',"high":', (yes + unknown).cast("string"), "}"]
+        if x.exception and not inner:
+            parts += [',"except":', of_leaf(x.exception, F.col("_me"))]
+        return said(*parts, ',"members":[', members, "]}")
+
+    excluded = kleene.either(*[exclusion(x) for x in rules.exclusions])
+    whole = said('{"verdict":"', verdict(inclusion(rules.inclusion, F.col("_me")), excluded), '","inclusion":', of_node(rules.inclusion, F.col("_me")), ',"exclusions":', listed([of_exclusion(x) for x in rules.exclusions]), f',"requirements":{json.dumps(list(rules.requirements), separators=(",", ":"))}}}')
+    return prepared(profiles).select("profile_id", F.lit(rules.scheme_id).alias("scheme_id"), whole.alias("trace"))
+
+
 def count_ranges(profiles: DataFrame, x: Exclusion) -> DataFrame:
     """profile_id, low, high, result of an exclusion's count: the numbers that can still be reached."""
     yes, unknown = yes_open(F.col("_results"))
