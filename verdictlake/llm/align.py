@@ -24,7 +24,7 @@ VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 LETTER, SIGN = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-@\[-`{-~]"
 SPACE_CUT, CUT = re.compile(r"(?<=\S)(?= \S)"), re.compile(rf"(?<=\S)(?= \S)|(?<={LETTER})(?={SIGN})")
 #: Bytes of the texts that are dealt with together; units that a worker keeps, and the longest of those.
-TOGETHER, KEPT, KEPT_BYTES = 1 << 21, 1 << 16, 64
+TOGETHER, KEPT, KEPT_BYTES = 1 << 21, 1 << 17, 64
 #: Links of a group that are listed one by one before they are counted.
 EXPANDED = 1 << 10
 #: Pairs in more than a HOT-th of all rows are joined by a broadcast: there are at most HOT of them.
