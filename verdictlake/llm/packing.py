@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdictlake.llm.common import stable
+from verdictlake.llm.common import small_batches, stable
 
 CAPACITY = 2048
 END = 0
@@ -30,7 +30,7 @@ SMALL, GROUPS = 8, 64
 #: has no single letter as its lower case.
 LETTERS = r"^(?P<stem>[^\P{L}\x{130}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 #: Words of letters that are encoded in one run; bytes of the texts that are looked up together; words that a worker keeps.
-RUN, TOGETHER, KEPT = 256, 1 << 24, 1 << 21
+RUN, TOGETHER, KEPT = 256, 1 << 23, 1 << 20
 
 PIECES = "doc_id long, part int, piece int, start long, length int, ids_crc32 long, place long"
 
@@ -167,7 +167,8 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "part", "piece", "start", "length", "ids_crc32", "place"])
 
-    return stable(docs.select("doc_id", "text").mapInArrow(run, PIECES), "pack-pieces")
+    with small_batches(docs.sparkSession, 2048):
+        return stable(docs.select("doc_id", "text").mapInArrow(run, PIECES), "pack-pieces")
 
 
 def groups_of(counts: dict[int, int], low: int, groups: int) -> list[list[tuple[int, int]]]:
