@@ -78,3 +78,37 @@ def test_closed_schema(spark):
     assert got == {("null", "", "not JSON"), ("cut", "", "not JSON"), ("list", "", "wrong type"), ("text", "", "wrong type")} | {("odd", *x) for x in odd}
     assert {r.scheme_id for r in valid.collect()} == {"good", "deep", "full"}
     assert rulesets.flatten_json(df.where("scheme_id IN ('cut', 'deep')")).where("location = 'inclusion'").count() == 5
+
+
+def test_injected_errors_are_balanced_and_leave_rules_valid(spark):
+    rows = [(f"s{i}", o, loc, op, {"kind": kind, "num": 1.0, "str": None, "arr": None}, ex) for i in range(60) for o, (loc, op, kind, ex) in enumerate([("inclusion", "in", "str", False), ("inclusion", ">=", "num", False), ("exclusion", "==", "bool", True), ("exclusion", "<", "num", False)][: 2 + i % 3])]
+    rows += [("lone", 0, "inclusion", "in", {"kind": "str", "num": None, "str": "x", "arr": None}, False)]
+    flat = spark.createDataFrame(rows, "scheme_id STRING, ordinal INT, location STRING, op STRING, value STRUCT<kind: STRING, num: DOUBLE, str: STRING, arr: ARRAY<STRING>>, has_except BOOLEAN")
+    for errors, per in ((None, 3), (100, 3), (7, 2)):
+        got = gate.valid_errors(flat, errors, per).collect()
+        assert len({(r.scheme_id, r.ordinal) for r in got}) == len(got) and (errors is None or len(got) == errors)
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r.scheme_id].append(r)
+        room = {s: sum(1 for x in rows if x[0] == s) for s in {x[0] for x in rows}}
+        most = max(map(len, by.values()))
+        assert all(sorted(r.turn for r in some) == list(range(len(some))) for some in by.values())
+        assert all(len(by[s]) >= min(most - 1, n - 1) for s, n in room.items() if s != "lone")  # fewest errors first, as far as there is room
+        for s, some in by.items():
+            for v in {r.variant for r in some}:
+                mine = [r for r in some if r.variant == v]
+                assert len(mine) <= per and [r.place for r in sorted(mine, key=lambda r: r.turn)] == list(range(len(mine)))
+                assert sum(r.kind == "predicate_dropped" for r in mine) < sum(x[0] == s and x[2] == "inclusion" for x in rows)
+    assert "lone" not in by and gate.valid_errors(flat.limit(0)).collect() == []
+    assert {r.kind for r in gate.valid_errors(flat).collect()} == set(gate.ERROR_KINDS)
+
+
+def test_exceptions_go_with_their_exclusions(spark):
+    flat = rulesets.flat_table(spark, [household.H1])
+    drawn = spark.createDataFrame([("H1", 3, "exclusion_dropped", 0, 0), ("H1", 4, "exception_dropped", 1, 0)], "scheme_id STRING, ordinal INT, kind STRING, variant INT, place INT")
+    got = collections.defaultdict(set)
+    for r in gate.mutate(flat, drawn).collect():
+        got[r.variant].add((r.path, r.has_except))
+    whole = {(r.path, r.has_except) for r in flat.collect()}
+    assert got[0] == whole - {("exclusions[0]", True), ("exclusions[0].except", False)}
+    assert got[1] == whole - {("exclusions[1]", True), ("exclusions[1].except", False)} | {("exclusions[1]", False)}

@@ -474,3 +474,16 @@ def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule set as JSON for each customer, many of them with a fault: keys that are unknown or missing, wrong types and values, broken texts."""
     rows = read(spark, sf_dir, "customer").selectExpr("'s' || c_custkey AS scheme_id", f"{_rule_texts()} AS rules")
     return schema.schema_faults(rows)
+
+
+@query("""WITH k(ordinal, kind, kix) AS (VALUES (0, 'threshold', 0), (0, 'operator', 1), (0, 'predicate_dropped', 5), (1, 'predicate_dropped', 5), (2, 'operator', 1), (2, 'predicate_dropped', 5), (3, 'threshold', 0), (3, 'operator', 1), (3, 'exception_dropped', 3), (3, 'exclusion_dropped', 4), (4, 'threshold', 0), (4, 'operator', 1), (5, 'operator', 1), (5, 'value', 2), (5, 'exception_dropped', 3), (5, 'exclusion_dropped', 4), (6, 'threshold', 0), (6, 'operator', 1)),
+c AS (SELECT 'p' || p_partkey AS scheme_id, k.*, md5('1:p' || p_partkey || ':' || ordinal || ':' || kind) AS h, md5('1:p' || p_partkey) AS s FROM part, k),
+o AS (SELECT *, row_number() OVER (PARTITION BY scheme_id, ordinal ORDER BY h) AS r FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY scheme_id, kind ORDER BY h) AS t FROM o WHERE r = 1),
+u AS (SELECT *, row_number() OVER (PARTITION BY scheme_id ORDER BY t, (kix + instr('0123456789abcdef', substr(s, 1, 1))) % 6, h) - 1 AS turn FROM t),
+n AS (SELECT *, row_number() OVER (ORDER BY turn, s, scheme_id) AS n FROM u)
+SELECT scheme_id, ordinal, kind, turn, turn // 2 AS variant, turn % 2 AS place FROM n WHERE n <= (SELECT count(*) * 5 // 2 FROM part)""")
+def injected_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors for the parts' rule sets, five for every two, two to a variant."""
+    place = F.array_position(F.lit([x[0] for x in _PART_RULES]), F.col("path")) - 1
+    flat = part_rules(spark, sf_dir).withColumn("ordinal", place.cast("int")).withColumn("has_except", F.col("location") == "exclusion")
+    return gate.valid_errors(flat, read(spark, sf_dir, "part").count() * 5 // 2, 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdictlake.functions.text import quote_is_verbatim, value_is_grounded
+from verdictlake.sources.shared import frozen
 
 BASE_THRESHOLD, TEMPORAL_THRESHOLD, RAISED_BY = 0.7, 0.9, 0.1
 
@@ -80,8 +81,55 @@ def draw_mutations(candidates: DataFrame, per_variant: int = 3, seed: int = 1) -
     return turn.withColumn("_o", order).select("scheme_id", "ordinal", "kind", F.floor(F.col("_o") / per_variant).cast("int").alias("variant"), (F.col("_o") % per_variant).cast("int").alias("place"))
 
 
+#: Kinds of errors, in the order of their cycle.
+ERROR_KINDS = ("threshold", "operator", "value", "exception_dropped", "exclusion_dropped", "predicate_dropped")
+
+
+def balanced_errors(candidates: DataFrame, errors: int | None = None, per_variant: int = 3, seed: int = 1) -> DataFrame:
+    """scheme_id, ordinal, kind, turn, variant, place: `errors` of the candidates (scheme_id, ordinal, kind), all without it.
+
+    A predicate gets one error at most, its kind drawn by a checksum of the seed. A scheme's kinds take turns, in a
+    cycle that begins at another kind for each scheme, so kinds are balanced over all. Schemes with the fewest errors
+    come first: every scheme has its error number n before one gets the next, as far as it has predicates; the last turn
+    goes to the schemes of the least checksums. A scheme's errors fill variants of `per_variant`.
+    """
+    drawn = lambda *parts: F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    h = drawn("scheme_id", "ordinal", "kind")
+    one = candidates.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy("scheme_id", "ordinal").orderBy("_h"))).where("_r = 1")
+    one = one.withColumn("_t", F.row_number().over(Window.partitionBy("scheme_id", "kind").orderBy("_h"))).withColumn("_s", drawn("scheme_id"))
+    start = F.expr("position(substr(_s, 1, 1), '0123456789abcdef')")
+    cycle = (F.array_position(F.lit(list(ERROR_KINDS)), F.col("kind")) - 1 + start) % len(ERROR_KINDS)
+    turns = one.withColumn("turn", F.row_number().over(Window.partitionBy("scheme_id").orderBy("_t", cycle, "_h")) - 1)
+    if errors is not None:
+        full, left = -1, errors
+        for row in turns.groupBy("turn").agg(F.count("*").alias("n")).orderBy("turn").collect():  # as many rows as a scheme has predicates
+            if row["n"] > left:
+                break
+            full, left = row["turn"], left - row["n"]
+        last = turns.where(F.col("turn") == full + 1).orderBy("_s", "scheme_id").limit(left)
+        turns = turns.where(F.col("turn") <= full).unionByName(last)
+    return turns.select("scheme_id", "ordinal", "kind", "turn", F.floor(F.col("turn") / per_variant).cast("int").alias("variant"), (F.col("turn") % per_variant).cast("int").alias("place"))
+
+
+def valid_errors(flat: DataFrame, errors: int | None = None, per_variant: int = 3, seed: int = 1) -> DataFrame:
+    """balanced_errors() of flat rules such that every variant is still a rule set: some inclusion leaf stays.
+
+    The last dropped predicate of a variant without any is taken from the candidates and all is drawn anew, until every
+    variant is valid; each round takes away at least one candidate. Other kinds keep a rule set valid: operators stay
+    within the vocabulary, and an exception goes with its exclusion.
+    """
+    candidates = frozen(mutation_candidates(flat))
+    leaves = flat.where("location = 'inclusion'").groupBy("scheme_id").agg(F.count("*").alias("_leaves"))
+    while True:
+        drawn = frozen(balanced_errors(candidates, errors, per_variant, seed))
+        gone = drawn.where("kind = 'predicate_dropped'").groupBy("scheme_id", "variant").agg(F.count("*").alias("_n"), F.max_by("ordinal", "place").alias("ordinal")).join(leaves, "scheme_id").where("_n >= _leaves")
+        if gone.isEmpty():
+            return drawn
+        candidates = frozen(candidates.join(gone.select("scheme_id", "ordinal", F.lit("predicate_dropped").alias("kind")), ["scheme_id", "ordinal", "kind"], "left_anti"))
+
+
 def mutate(flat: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Flat rules of each variant with its errors in place; dropped predicates leave."""
+    """Flat rules of each variant with its errors in place; dropped predicates leave, and exceptions with their exclusions or by themselves (path + ".except")."""
     variants = drawn.select("scheme_id", "variant").distinct()
     base = flat.join(variants, "scheme_id").join(drawn.select("scheme_id", "ordinal", "variant", "kind"), ["scheme_id", "ordinal", "variant"], "left")
     flipped = F.create_map(*[F.lit(x) for pair in (("==", "!="), ("!=", "=="), ("<", ">"), ("<=", ">="), (">", "<"), (">=", "<=")) for x in pair])
@@ -89,7 +137,8 @@ def mutate(flat: DataFrame, drawn: DataFrame) -> DataFrame:
     num = F.when(F.col("kind") == "threshold", F.bround(value["num"] * 1.5, 2)).when(F.col("kind") == "value", 1 - value["num"]).otherwise(value["num"])
     out = base.withColumn("op", F.when(F.col("kind") == "operator", flipped[F.col("op")]).otherwise(F.col("op"))).withColumn("value", value.withField("num", num)).withColumn("has_except", F.col("has_except") & (F.coalesce("kind", F.lit("")) != "exception_dropped"))
     out = out.withColumn("value_repr", F.when(F.col("kind").isin("threshold", "value"), F.col("value.num").cast("string")).otherwise(F.col("value_repr")))
-    return out.where(F.coalesce("kind", F.lit("")).isin("exclusion_dropped", "predicate_dropped") == F.lit(False)).drop("kind")
+    spared = out.where("kind IN ('exclusion_dropped', 'exception_dropped')").select("scheme_id", "variant", F.concat("path", F.lit(".except")).alias("path"))
+    return out.where(F.coalesce("kind", F.lit("")).isin("exclusion_dropped", "predicate_dropped") == F.lit(False)).drop("kind").join(spared, ["scheme_id", "variant", "path"], "left_anti").select(*[c for c in out.columns if c != "kind"])
 
 
 def review_queue(findings: DataFrame) -> DataFrame:
