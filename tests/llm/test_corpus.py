@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import DATA
 from verdictlake.llm import mixing, ngram_join, omh, packing, secret_scan, toxicity
-from verdictlake.llm.common import WORD, global_index
+from verdictlake.llm.common import WORD, global_index, stable
 
 DOCS = "doc_id LONG, text STRING, source STRING"
 
@@ -247,14 +247,14 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     bad = {r.doc_id for r in toxicity.op7(docs, labels).where("toxic = 1").collect()}
-    clean = corpus_pipeline.drop_toxic(spark, docs, folder)
+    clean = stable(corpus_pipeline.drop_toxic(spark, docs, folder), "test-clean")  # stages are written and read again
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad
-    one = corpus_pipeline.keep_one_of_near_duplicates(spark, clean, folder)
+    one = stable(corpus_pipeline.keep_one_of_near_duplicates(spark, clean, folder), "test-one")
     groups = {r.doc_id: r.component_id for r in ngram_join.op2(clean).collect()}
     assert {r.doc_id for r in one.collect()} == set(groups.values())
-    safe = corpus_pipeline.redact_secrets(spark, one, folder)
+    safe = stable(corpus_pipeline.redact_secrets(spark, one, folder), "test-safe")
     assert safe.count() == one.count() and secret_scan.op4(safe).where("spans <> ''").isEmpty() and safe.where("n_chars <> length(text)").isEmpty()
-    mixed = corpus_pipeline.mix_sources(spark, safe, folder)
+    mixed = stable(corpus_pipeline.mix_sources(spark, safe, folder), "test-mixed")
     copies = {r.doc_id: r.copies for r in mixing.op8(safe).collect() if r.copies}
     assert collections.Counter(r.doc_id for r in mixed.collect()) == copies
     assert all(d.columns == docs.columns for d in (clean, one, safe, mixed))
