@@ -29,7 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_components": _on("documents", ngram_join.op2),
     "op3_warc_normalise": _on("pages", warc.op3),
     "op4_secret_entropy": _on("documents", secret_scan.op4),
-    "op5_site_template": _on("pages", html_text.op5),
+    "op5_site_template": _on("pages", lambda pages: html_text.op5(pages).select("page_id", "url", "text", "n_chars")),
     "op6_cross_polytope": _on("embeddings", ann.op6),
     "op7_toxicity_chain": _toxicity,
     "op8_pivotal_mix": _on("documents", mixing.op8),
