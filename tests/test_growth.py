@@ -17,3 +17,18 @@ def plan(df):
 
 def test_template_query_has_the_columns_of_its_sql(spark):
     assert queries.QUERIES["op5_site_template"](spark, DATA).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_a_day_is_summed_without_sliding_frames(spark):
+    rng, start = random.Random(3), datetime.datetime(2024, 1, 1)
+    times = [None, None, *(start + datetime.timedelta(seconds=rng.choice([0, 1, 3599, 3600, 86399, 86400, 86401, rng.randrange(300_000)])) for _ in range(200))]
+    rows = [(i, t, rng.choice([None, 1.0, 2.5, 4.0])) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "id LONG, ts TIMESTAMP, v DOUBLE")
+    found = ledger.rolling_sum_by_day(df, "ts", "v", "s")
+    rows = [(r.id, r.ts, r.v) for r in df.collect()]
+    wanted = {}
+    for i, t, _ in rows:
+        near = [v for _, u, v in rows if v is not None and (u is None if t is None else u is not None and datetime.timedelta(0) <= t - u < datetime.timedelta(days=1))]
+        wanted[i] = sum(near) if near else None
+    assert {r.id: r.s for r in found.collect()} == wanted
+    assert "unboundedpreceding" in plan(found) and "specifiedwindowframe(RangeFrame, -" not in plan(found)

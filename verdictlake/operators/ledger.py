@@ -25,16 +25,21 @@ def rolling_sum_by_day(events: DataFrame, ts: str, value: str, name: str) -> Dat
     """rolling_sum over 24 hours without groups: hours are partitions, with the 23 full hours between as one carried total.
 
     An hour's partition holds its own events and those of the same hour the day before, of which only those count
-    that are younger than a day; so a busy day is spread over its hours and an event is copied once.
+    that are younger than a day; so a busy day is spread over its hours and an event is copied once. Own events are
+    summed forward in time and those of the day before backward: each row is added once, however many share an hour.
     """
     hour = F.floor(_micros(F.col(ts)) / 3_600_000_000).cast("long")
-    own = events.withColumn("_hour", hour).withColumn("_own", F.lit(True))
-    before = events.select(F.col(ts), F.col(value), (hour + 24).alias("_hour")).withColumn("_own", F.lit(False))
+    # odd places are own events; an event of the day before lies at the even place where it is a day old
+    own = events.withColumn("_hour", hour).withColumn("_at", 2 * _micros(F.col(ts)) + 1).withColumn("_now", F.col(value)).withColumn("_then", F.lit(None).cast(events.schema[value].dataType))
+    before = events.where(F.col(ts).isNotNull()).select((hour + 24).alias("_hour"), (2 * (_micros(F.col(ts)) + DAY * 1_000_000)).alias("_at"), F.col(value).alias("_then"))
     totals = own.groupBy("_hour").agg(F.sum(value).alias("_v"))
     between = totals.select(F.explode(F.sequence(F.col("_hour") + 1, F.col("_hour") + 23)).alias("_hour"), "_v").groupBy("_hour").agg(F.sum("_v").alias("_carried"))
-    rows = rolling_sum(own.unionByName(before, allowMissingColumns=True), ts, value, DAY, ["_hour"], name).where("_own")
-    rows = rows.join(between, "_hour", "left")
-    return rows.withColumn(name, F.when(F.col("_carried").isNull(), F.col(name)).otherwise(F.coalesce(name, F.lit(0)) + F.col("_carried"))).drop("_hour", "_own", "_carried")
+    upto = lambda order: Window.partitionBy("_hour").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    rows = own.unionByName(before, allowMissingColumns=True).withColumn("_now", F.sum("_now").over(upto(F.col("_at")))).withColumn("_then", F.sum("_then").over(upto(F.desc("_at"))))
+    rows = rows.where("_at IS NULL OR _at % 2 <> 0").join(between, "_hour", "left")
+    parts = [F.col(c) for c in ("_now", "_then", "_carried")]
+    whole = F.coalesce(parts[0], F.lit(0)) + F.coalesce(parts[1], F.lit(0)) + F.coalesce(parts[2], F.lit(0))
+    return rows.withColumn(name, F.when(F.coalesce(*parts).isNotNull(), whole)).select(*events.columns, name)
 
 
 def seconds_to_headroom(events: DataFrame, ts: str, value: str, now: Column, budget: float, needed: float) -> DataFrame:
