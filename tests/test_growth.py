@@ -32,3 +32,13 @@ def test_a_day_is_summed_without_sliding_frames(spark):
         wanted[i] = sum(near) if near else None
     assert {r.id: r.s for r in found.collect()} == wanted
     assert "unboundedpreceding" in plan(found) and "specifiedwindowframe(RangeFrame, -" not in plan(found)
+
+
+def test_the_least_digests_are_found_by_counts(spark):
+    rows = spark.range(3000).select(F.col("id").alias("scheme_id"), F.md5(F.col("id").cast("string")).alias("_s"), (F.col("id") % 7).alias("x"))
+    rows = rows.unionByName(rows.where("scheme_id < 5"))
+    order = rows.orderBy("_s", "scheme_id")
+    for n in (0, 1, 2, 500, 2999, 3004, 3005, 5000):
+        found = gate._least(rows, "_s", ["_s", "scheme_id"], n, few=20)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, order.limit(n).collect()))
+        assert "GlobalLimit" not in plan(found)

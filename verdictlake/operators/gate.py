@@ -106,11 +106,34 @@ def balanced_errors(candidates: DataFrame, errors: int | None = None, per_varian
             if row["n"] > left:
                 break
             full, left = row["turn"], left - row["n"]
-        last = turns.where(F.col("turn") == full + 1).orderBy("_s", "scheme_id").limit(left)
+        last = _least(turns.where(F.col("turn") == full + 1), "_s", ["_s", "scheme_id"], left)
         turns = turns.where(F.col("turn") <= full).unionByName(last)
     return turns.select("scheme_id", "ordinal", "kind", "turn", F.floor(F.col("turn") / per_variant).cast("int").alias("variant"), (F.col("turn") % per_variant).cast("int").alias("place"))
 
 
+def _least(rows: DataFrame, digest: str, order: list[str], n: int, few: int = 10_000) -> DataFrame:
+    """The n first rows by `order`, which begins with a hexadecimal digest: no task holds more than about `few` of them.
+
+    Rows are counted by the digest's first digits until the one beginning that n falls into has few rows; what comes
+    before it is taken whole, and only its rows are ordered.
+    """
+    prefix, width = "", 3
+    while True:
+        inside = rows.where(F.col(digest).startswith(prefix))
+        counts = inside.groupBy(F.substring(digest, 1, len(prefix) + width).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # at most 4,096 rows
+        for row in counts:
+            if row["n"] > n or (row["n"] == n and row["p"] == prefix):
+                break
+            n -= row["n"]
+        else:
+            return rows.where(F.col(digest).startswith(prefix) | (F.col(digest) < prefix))
+        same, prefix = row["p"] == prefix, row["p"]
+        if row["n"] <= few or same:
+            place = F.row_number().over(Window.partitionBy(F.substring(digest, 1, len(prefix))).orderBy(*order))
+            chosen = rows.where(F.col(digest).startswith(prefix)).withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+            return rows.where(F.col(digest) < prefix).unionByName(chosen)
+
+
 def valid_errors(flat: DataFrame, errors: int | None = None, per_variant: int = 3, seed: int = 1) -> DataFrame:
     """balanced_errors() of flat rules such that every variant is still a rule set: some inclusion leaf stays.
 
@@ -118,7 +141,7 @@ def valid_errors(flat: DataFrame, errors: int | None = None, per_variant: int =
     variant is valid; each round takes away at least one candidate. Other kinds keep a rule set valid: operators stay
     within the vocabulary, and an exception goes with its exclusion.
     """
-    candidates = frozen(mutation_candidates(flat))
+    candidates = frozen(mutation_candidates(flat).repartition("scheme_id"))  # a small file would else be one task
     leaves = flat.where("location = 'inclusion'").groupBy("scheme_id").agg(F.count("*").alias("_leaves"))
     while True:
         drawn = frozen(balanced_errors(candidates, errors, per_variant, seed))
