@@ -42,3 +42,11 @@ def test_the_least_digests_are_found_by_counts(spark):
         found = gate._least(rows, "_s", ["_s", "scheme_id"], n, few=20)
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, order.limit(n).collect()))
         assert "GlobalLimit" not in plan(found)
+
+
+def test_repeated_names_are_matched_once(spark):
+    records = spark.createDataFrame([(i, i % 500, ("Big red house", "house Red big", "Small green hut", "old hut")[i % 4]) for i in range(2000)], "slug LONG, ordinal LONG, name STRING")
+    targets = spark.createDataFrame([("big red house x",), ("green hut",), ("nothing",)], "target STRING")
+    found = retrieval.fuzzy_match(targets, records, [], 0.5)
+    assert {r.target: (r.slug, r.match_type) for r in found.collect()} == {"big red house x": (1500, "fuzzy"), "green hut": (1502, "fuzzy"), "nothing": (None, "none")}
+    assert "min(ordinal" in plan(found) and "Aggregate [target#" in plan(found) and "slug#" not in plan(found).split("Aggregate [target#")[1].split("]")[0]
