@@ -50,3 +50,13 @@ def test_repeated_names_are_matched_once(spark):
     found = retrieval.fuzzy_match(targets, records, [], 0.5)
     assert {r.target: (r.slug, r.match_type) for r in found.collect()} == {"big red house x": (1500, "fuzzy"), "green hut": (1502, "fuzzy"), "nothing": (None, "none")}
     assert "min(ordinal" in plan(found) and "Aggregate [target#" in plan(found) and "slug#" not in plan(found).split("Aggregate [target#")[1].split("]")[0]
+
+
+def test_screened_facts_are_dealt_by_key_before_they_are_grouped(spark):
+    value = F.struct(F.lit("bool").alias("kind"), F.col("n").cast("double").alias("num"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("array<string>").alias("arr"))
+    rows = [(1, 0, "screen", 0), (1, 0, "screen", 0), (2, 0, "screen", 0), (2, 0, "secret", 1), (2, 0, "secret", 1), (3, 0, "screen", 1), (None, 0, "screen", 0), (None, 0, "secret", 1)]
+    facts = spark.createDataFrame(rows, "profile_id LONG, member_ix INT, field STRING, n INT").withColumn("value", value).drop("n")
+    fields = spark.createDataFrame([("secret", "screen"), ("plain", None)], "field STRING, screened_by STRING")
+    found = questions.settle_screened(facts, fields)
+    assert sorted((str(r.profile_id), r.field, r.value.num) for r in found.collect()) == sorted([*((str(a), f, float(n)) for a, _, f, n in rows), ("1", "secret", 0.0), ("None", "secret", 0.0)])
+    assert "LeftAnti" not in plan(found) and "RepartitionByExpression" in plan(found)

@@ -265,6 +265,9 @@ def settle_screened(facts: DataFrame, fields: DataFrame) -> DataFrame:
     """Facts with False for every sensitive fact whose screening fact is False and that is absent."""
     false = F.struct(F.lit("bool").alias("kind"), F.lit(0.0).alias("num"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("array<string>").alias("arr"))
     no = facts.where("value.kind = 'bool' AND value.num = 0").select("profile_id", "member_ix", F.col("field").alias("screened_by"))
-    new = no.join(fields.where("screened_by IS NOT NULL").select("field", "screened_by"), "screened_by").select("profile_id", "member_ix", "field")
-    new = new.join(facts.select("profile_id", "member_ix", "field"), ["profile_id", "member_ix", "field"], "left_anti")
-    return facts.unionByName(new.distinct().withColumn("value", false))
+    screened, keys = fields.where("screened_by IS NOT NULL").select("field", "screened_by"), ["profile_id", "member_ix", "field"]
+    new = no.join(screened, "screened_by").select(*keys, F.lit(False).alias("_there"))
+    there = facts.join(screened.select("field").distinct(), "field", "left_semi").dropna(subset=keys).select(*keys, F.lit(True).alias("_there"))
+    # dealt by key before they are grouped: a scan's task would else hold all its keys at once
+    new = new.unionByName(there).repartition(*keys).groupBy(*keys).agg(F.max("_there").alias("_there")).where(~F.col("_there")).select(*keys)
+    return facts.unionByName(new.withColumn("value", false))
