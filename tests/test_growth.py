@@ -60,3 +60,7 @@ def test_screened_facts_are_dealt_by_key_before_they_are_grouped(spark):
     found = questions.settle_screened(facts, fields)
     assert sorted((str(r.profile_id), r.field, r.value.num) for r in found.collect()) == sorted([*((str(a), f, float(n)) for a, _, f, n in rows), ("1", "secret", 0.0), ("None", "secret", 0.0)])
     assert "LeftAnti" not in plan(found) and "RepartitionByExpression" in plan(found)
+
+
+def test_traces_build_the_columns_asked_for(spark):
+    assert "priority IN" not in plan(catalog.QUERIES["eval_trace_leaves"](spark, DATA)) and "actual" not in plan(catalog.QUERIES["eval_trace_leaves"](spark, DATA))
