@@ -115,6 +115,13 @@ def pairwise_agreement(verdicts: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("a.scheme_id").alias("first"), F.col("b.scheme_id").alias("second")).agg(F.count("*").alias("n"), F.avg(F.col("a.verdict").eqNullSafe(F.col("b.verdict")).cast("int")).alias("agreement"))
 
 
+def side_by_side_agreement(wide: DataFrame, drafts: dict[str, str]) -> DataFrame:
+    """pairwise_agreement() of drafts whose verdicts are columns of one row a profile (scheme_id to column): no join."""
+    pairs = [(a, b) for a in sorted(drafts) for b in sorted(drafts) if a < b]
+    rows = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(drafts[a]).eqNullSafe(F.col(drafts[b])).cast("int").alias("same")) for a, b in pairs])
+    return wide.select(F.inline(rows)).groupBy("first", "second").agg(F.count("*").alias("n"), F.avg("same").alias("agreement"))
+
+
 def scalar_fields(gold: DataFrame, draft: DataFrame, fields: list[str]) -> DataFrame:
     """Match rate of scalar fields of rule sets joined on scheme_id; two nulls match."""
     joined = gold.alias("g").join(draft.alias("d"), "scheme_id")
