@@ -62,5 +62,16 @@ def test_screened_facts_are_dealt_by_key_before_they_are_grouped(spark):
     assert "LeftAnti" not in plan(found) and "RepartitionByExpression" in plan(found)
 
 
+def test_verdicts_side_by_side_need_no_join(spark):
+    for name in ("verdict_differences", "pairwise_agreement"):
+        text = plan(catalog.QUERIES[name](spark, DATA))
+        assert "Join" not in text and text.count("l_orderkey") == plan(catalog.QUERIES["direct_answers"](spark, DATA)).count("l_orderkey"), name
+
+
+def test_households_travel_as_plain_columns(spark):
+    below = plan(catalog.QUERIES["direct_answers"](spark, DATA)).split("collect_list")[1].split("Union")[1]
+    assert "map" not in below.lower()
+
+
 def test_traces_build_the_columns_asked_for(spark):
     assert "priority IN" not in plan(catalog.QUERIES["eval_trace_leaves"](spark, DATA)) and "actual" not in plan(catalog.QUERIES["eval_trace_leaves"](spark, DATA))
