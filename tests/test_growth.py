@@ -75,3 +75,7 @@ def test_households_travel_as_plain_columns(spark):
 
 def test_traces_build_the_columns_asked_for(spark):
     assert "priority IN" not in plan(catalog.QUERIES["eval_trace_leaves"](spark, DATA)) and "actual" not in plan(catalog.QUERIES["eval_trace_leaves"](spark, DATA))
+
+
+def test_stored_facts_are_dealt_before_they_are_summed(spark):
+    assert "RepartitionByExpression [id" in plan(catalog.QUERIES["reused_after_renames"](spark, DATA))

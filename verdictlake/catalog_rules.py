@@ -414,7 +414,8 @@ now AS (SELECT id, new AS field, CASE WHEN id % 3 = 0 THEN v ELSE v + v % 2 END
 SELECT n.id, CASE WHEN n.id % 4 = 0 THEN 'new' WHEN bool_and(n.v IS NOT DISTINCT FROM w.v) AND count(*) = (SELECT count(*) FROM was x WHERE x.id = n.id) THEN 'reused' ELSE 'stale' END AS status, coalesce(string_agg(n.field, ',' ORDER BY n.field) FILTER (WHERE n.id % 4 = 0 OR n.v IS DISTINCT FROM w.v), '') AS to_ask FROM now n LEFT JOIN was w ON w.id = n.id AND w.field = n.field GROUP BY n.id""")
 def reused_after_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' sums by return flag as stored facts under old names, against those of today under new ones."""
-    facts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("field")).agg(F.sum("l_linenumber").alias("v"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("field"), "l_linenumber")
+    facts = lines.repartition("id").groupBy("id", "field").agg(F.sum("l_linenumber").alias("v"))  # dealt first: a scan's task would else hold all its orders at once
     gathered = lambda df: df.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "v"))).alias("facts"))
     renames = spark.createDataFrame([("N", "n1"), ("n1", "n2"), ("n2", "none"), ("R", "returned"), ("A", "accepted"), ("accepted", "A2")], "old STRING, new STRING")
     final = F.create_map(*[F.lit(x) for pair in (("N", "none"), ("R", "returned"), ("A", "A2")) for x in pair])
