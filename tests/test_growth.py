@@ -1,14 +1,18 @@
 """What keeps queries within their limits on larger tables: forms of plans, and the steps that give them."""
 
 import datetime
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
+from tests.test_evaluate import profiles
 from verdictlake import catalog
 from verdictlake.llm import queries
-from verdictlake.operators import gate, ledger, questions, retrieval
+from verdictlake.operators import evaluate, gate, ledger, questions, retrieval
+from verdictlake.plans import schema
+from verdictlake.plans.rulesets import Exclusion, Leaf, RuleSet
 
 
 def plan(df):
@@ -79,3 +83,13 @@ def test_traces_build_the_columns_asked_for(spark):
 
 def test_stored_facts_are_dealt_before_they_are_summed(spark):
     assert "RepartitionByExpression [id" in plan(catalog.QUERIES["reused_after_renames"](spark, DATA))
+
+
+def test_schema_checks_run_in_many_tasks(spark):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("scheme_id"), F.lit("{").alias("rules")).coalesce(1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = schema.schema_faults(rows)
+        assert found.count() == 40 and found.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -49,7 +49,8 @@ def schema_faults(rules: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     row = lambda path, kind, v, fault: ("scheme_id", path.alias("path"), kind.alias("kind"), v.alias("v"), fault.alias("fault"))
     bad = lambda path, fault: row(path, none, F.lit(None).cast("variant"), fault)
-    whole = rules.select("scheme_id", F.try_parse_json("rules").alias("v"))
+    # dealt first: every level runs in as many tasks as the texts lie in, and a small file would be one
+    whole = rules.select("scheme_id", "rules").repartition("scheme_id", "rules").select("scheme_id", F.try_parse_json("rules").alias("v"))
     step = frozen(whole.select(*row(F.lit(""), F.lit("rules"), F.col("v"), F.when(F.col("v").isNull(), "not JSON"))))
     found = step.where("fault IS NOT NULL").select("scheme_id", "path", "fault")
     at = F.concat_ws(".", "kind", "key")
