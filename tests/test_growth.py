@@ -93,3 +93,12 @@ def test_schema_checks_run_in_many_tasks(spark):
         assert found.count() == 40 and found.rdd.getNumPartitions() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_traces_evaluate_each_exclusion_once(spark):
+    rules = RuleSet("s", Leaf("ok", "==", True), tuple(Exclusion(f"f{i}", ">=", i, quantifier="some_family_member") for i in range(3)))
+    people = profiles(spark, [{"ok": True, "f0": 1}, {"f1": 'a"b', "f2": 7}])
+    found = evaluate.nested_trace(people, rules)
+    assert plan(found).count("exists(") == 3
+    members = [m["actual"] for x in json.loads(found.first().trace)["exclusions"] for m in x["members"]]
+    assert members == ["1.0", None, None, 'a"b', None, "7.0"]
