@@ -102,3 +102,14 @@ def test_traces_evaluate_each_exclusion_once(spark):
     assert plan(found).count("exists(") == 3
     members = [m["actual"] for x in json.loads(found.first().trace)["exclusions"] for m in x["members"]]
     assert members == ["1.0", None, None, 'a"b', None, "7.0"]
+
+
+def test_a_task_has_one_chat_with_households_of_a_kind(spark):
+    people = [[{"age": float(a)}, {"works": w}] for a in (*range(10, 60), *range(10, 60)) for w in (True, False, None)]
+    rules = RuleSet("s", Leaf("age", ">=", 18), (Exclusion("works", "==", True, quantifier="some_family_member"),))
+    found = questions.simulated_chats(profiles(spark, *people).coalesce(1), rules)
+    assert "said" in plan(found)
+    got = {r.profile_id: (r.verdict, r.asked) for r in found.collect()}
+    for i, (me, other) in enumerate(people):
+        reaches = {f: questions.Reach(rules, f) for f in ("age", "works")}
+        assert got[i] == questions.chat(rules, [me, other], (), reaches)

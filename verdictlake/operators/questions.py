@@ -19,6 +19,10 @@ from verdictlake.operators.plain import holds
 from verdictlake.plans.rulesets import Exclusion, Leaf, RuleSet, leaves
 
 
+#: Kinds of households whose chats a task remembers.
+KINDS = 200_000
+
+
 def region_values(rules: RuleSet, field: str) -> list:
     """Values of a field, one for each region that its rules tell apart."""
     every = [leaf for _, leaf in leaves(rules.inclusion)] + [x for x in rules.exclusions] + [x.exception for x in rules.exclusions if x.exception]
@@ -167,6 +171,12 @@ def _pairwise(join: Callable) -> Callable[[set, set], set]:
     return lambda a, b: {tuple(map(join, x, y)) for x in a for y in b}
 
 
+def _reduced(facts: Column, some: list, fields: list[str]) -> Column:
+    """What leaves say of a person's facts, and which of the fields are there, as a text."""
+    trit = lambda r: F.when(r, "T").when(~r, "F").otherwise("U")
+    return F.concat(*[trit(leaf_result(leaf, facts)) for leaf in some], *[F.when(F.map_contains_key(facts, f), ".").otherwise("o") for f in fields]) if some else F.lit("")
+
+
 def could_change(profiles: DataFrame, rules: RuleSet, field: str) -> DataFrame:
     """profile_id, relevant: whether two answers for the applicant's field give different verdicts under some
     completion of the other facts that the profile lacks, the applicant's and the family's.
@@ -178,10 +188,7 @@ def could_change(profiles: DataFrame, rules: RuleSet, field: str) -> DataFrame:
     """
     reach = Reach(rules, field)
 
-    def said(facts: Column, some: list, fields: list[str]) -> Column:
-        trit = lambda r: F.when(r, "T").when(~r, "F").otherwise("U")
-        return F.concat(*[trit(leaf_result(leaf, facts)) for leaf in some], *[F.when(F.map_contains_key(facts, f), ".").otherwise("o") for f in fields]) if some else F.lit("")
-
+    said = _reduced
     df = prepared(profiles)
     others = F.transform(F.slice("_fam", F.lit(2), F.size("_fam")), lambda m: said(m["facts"], reach.family, reach.family_fields))
     reduced = df.select("profile_id", F.concat(said(F.col("_me"), reach.own, reach.own_fields), F.lit("|"), F.array_join(F.array_sort(others), "/")).alias("said"))
@@ -229,8 +236,11 @@ def _said(reach: Reach, people: plain.People) -> str:
 def simulated_chats(profiles: DataFrame, rules: RuleSet, known: tuple[str, ...] = (), relevance: bool = True) -> DataFrame:
     """profile_id, verdict, asked: chats with every profile's household, each answered from its full facts; see chat().
 
-    A chat depends on its household alone, so all run in one scan without rounds or an exchange.
+    A chat depends on its household alone, so all run in one scan without rounds or an exchange. It sees of a person
+    only which facts are there and what the leaves say of them: Spark reduces households to that, and a task has a chat
+    with the first household of each kind only.
     """
+    sees = Reach(rules, "")  # which leaves and fields are read of the applicant, and which of the others
     own = dict.fromkeys(leaf.field for _, leaf in leaves(rules.inclusion)) | dict.fromkeys(leaf.field for x in rules.exclusions for leaf in (x, x.exception) if leaf)
     reaches = {f: Reach(rules, f) for f in own} if relevance else None
     kind = profiles.schema["profile_id"].dataType.simpleString()
@@ -241,12 +251,21 @@ def simulated_chats(profiles: DataFrame, rules: RuleSet, known: tuple[str, ...]
         return bool(v["num"]) if v["kind"] == "bool" else {"num": v["num"], "str": v["str"], "null": None}[v["kind"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended: dict[str, tuple[str, list[str]]] = {}
         for batch in batches:
-            ended = [chat(rules, [{k: value(v) for k, v in m["facts"]} for m in people], known, reaches) for people in batch.column(1).to_pylist()]
-            verdicts, asked = zip(*ended, strict=True) if ended else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdicts, pa.string()), pa.array(asked, pa.list_(pa.string()))], ["profile_id", "verdict", "asked"])
-
-    return prepared(profiles).select("profile_id", "_fam").mapInArrow(run, f"profile_id {kind}, verdict string, asked array<string>")
+            kinds = batch.column(2).dictionary_encode()
+            first = dict(zip(reversed(kinds.indices.to_pylist()), range(batch.num_rows - 1, -1, -1), strict=True))
+            if len(ended) > KINDS:
+                ended.clear()
+            new = [(said, first[i]) for i, said in enumerate(kinds.dictionary.to_pylist()) if said not in ended]
+            for (said, _), people in zip(new, batch.column(1).take(pa.array([at for _, at in new], pa.int64())).to_pylist(), strict=True):
+                ended[said] = chat(rules, [{k: value(v) for k, v in m["facts"]} for m in people], known, reaches)
+            verdicts, asked = zip(*[ended[said] for said in kinds.dictionary.to_pylist()], strict=True) if len(kinds) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdicts, pa.string()).take(kinds.indices), pa.array(asked, pa.list_(pa.string())).take(kinds.indices)], ["profile_id", "verdict", "asked"])
+
+    others = F.transform(F.slice("_fam", F.lit(2), F.size("_fam")), lambda m: _reduced(m["facts"], sees.family, sees.family_fields))
+    said = F.concat(_reduced(F.col("_me"), sees.own, sees.own_fields), F.lit("|"), F.array_join(others, "/"), F.lit("|"), F.size("_fam").cast("string"))
+    return prepared(profiles).select("profile_id", "_fam", said.alias("said")).mapInArrow(run, f"profile_id {kind}, verdict string, asked array<string>")
 
 
 def next_fact(missing: DataFrame, fields: DataFrame) -> DataFrame:
