@@ -10,9 +10,10 @@ from tests.conftest import DATA
 from tests.test_evaluate import profiles
 from verdictlake import catalog
 from verdictlake.llm import queries
-from verdictlake.operators import evaluate, gate, ledger, questions, retrieval
+from verdictlake.operators import evaluate, gate, indexed, ledger, questions, retrieval
+from verdictlake.operators.evaluate import ELIGIBLE, INELIGIBLE, UNDETERMINED
 from verdictlake.plans import schema
-from verdictlake.plans.rulesets import Exclusion, Leaf, RuleSet
+from verdictlake.plans.rulesets import Exclusion, Leaf, Node, RuleSet, flat_table
 
 
 def plan(df):
@@ -113,3 +114,19 @@ def test_a_task_has_one_chat_with_households_of_a_kind(spark):
     for i, (me, other) in enumerate(people):
         reaches = {f: questions.Reach(rules, f) for f in ("age", "works")}
         assert got[i] == questions.chat(rules, [me, other], (), reaches)
+
+
+def test_rule_sets_that_differ_in_a_threshold_are_counted_together(spark, monkeypatch):
+    monkeypatch.setattr(indexed, "HELD", 200)  # verdicts are added up several times a task
+    monkeypatch.setattr(indexed, "SWEPT", 60)  # a class's thresholds are dealt over parts
+    rng, ops = random.Random(4), ["<", "<=", ">", ">=", "==", "!="]
+    sets = [RuleSet(f"s{i}", Node("and", (Leaf("a", ops[i % 6], i // 6), Node("or", (Leaf("b", "==", True), Leaf("a", "<", 12))))), (Exclusion("c", ">=", 5, quantifier="some_family_member"),)) for i in range(120)]
+    sets += [RuleSet("same", sets[0].inclusion, sets[0].exclusions), RuleSet("text", Leaf("a", "<", "n")), RuleSet("bare", Leaf("b", "==", True))]
+    values = {"a": [None, "x", True, -1, *range(25), 3.5, float("nan"), float("inf")], "b": [True, False], "c": [1, 9, None]}
+    p = profiles(spark, *[[{f: rng.choice(v) for f, v in values.items() if rng.random() < 0.8} for _ in range(rng.randint(1, 3))] for _ in range(150)])
+    flat = flat_table(spark, sets)
+    assert indexed.classes(flat).select("class").distinct().count() == 8
+    wanted = {s.scheme_id: [0, 0, 0] for s in sets}
+    for x in indexed.verdicts(p, flat).collect():
+        wanted[x.scheme_id][[ELIGIBLE, INELIGIBLE, UNDETERMINED].index(x.verdict)] += 1
+    assert {x.scheme_id: [x.eligible, x.ineligible, x.undetermined] for x in indexed.tallies(p, flat).collect()} == wanted

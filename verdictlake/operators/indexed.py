@@ -3,6 +3,9 @@
 Rule sets are dealt into blocks. For each field a block has its sorted thresholds and, for every place between and on
 them, what all its leaves say: a fact finds its place by one search and so resolves every leaf that reads it. Profiles
 travel in batches; batches and blocks meet by block number, so no row is dealt by field and no rule passes the driver.
+
+For tallies, rule sets that differ in one threshold at most are one class. A profile is evaluated once per class, with
+that leaf true and with it false; sums in the order of its fact then tell the tally of every threshold.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from verdictlake.operators.evaluate import ELIGIBLE, INELIGIBLE, UNDETERMINED
 
 #: Rule sets of a block, profiles of a batch, and blocks that a worker keeps open.
 BLOCK, BATCH, KEPT = 512, 1024, 64
+#: For tallies: profiles of a batch, bytes of profiles' verdicts that a task holds before it adds them up, thresholds of a class.
+COUNTED, HELD, SWEPT = 4096, 64 << 20, 1 << 20
 #: Bytes of all blocks up to which they are broadcast; beyond, batches go to them.
 SENT = 64 << 20
 #: Trits: AND is the smaller, OR the larger, NOT the difference from TRUE.
@@ -162,6 +167,11 @@ class Index:
 
     def evaluate(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Trits of inclusion and exclusion, a row for each rule set and a column for each profile."""
+        tree, excluded = self.parts(batch)
+        return self.included(tree), excluded
+
+    def parts(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Trits of the inclusion's leaves and of exclusion."""
         tree, own, own_except, waivers = np.split(self.own.results(batch.own, batch.n), self.cuts[0])
         hits, excepts = np.split(self.family.results(batch.family, batch.width), self.cuts[1])
         own[self.own_except] = np.minimum(own[self.own_except], TRUE - own_except)
@@ -175,7 +185,82 @@ class Index:
         if len(held):
             first = np.flatnonzero(np.diff(self.of, prepend=-1))
             excluded[self.of[first]] = np.maximum.reduceat(held, first, axis=0)
-        return self.included(tree), excluded
+        return tree, excluded
+
+
+class Classes(Index):
+    """A block of classes of rule sets that differ in one threshold, of an inclusion leaf; scheme_id is the class."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        swept = rows["value"].map(lambda v: v["kind"] == "swept")
+        none = {"kind": "null", "num": None, "str": None, "arr": None}
+        rows = rows.assign(value=[none if x else v for x, v in zip(swept, rows["value"], strict=True)])
+        super().__init__(rows)
+        number = {s: i for i, s in enumerate(self.schemes)}
+        tree = rows[rows["location"] == "inclusion"].assign(swept=swept).reset_index(drop=True)
+        self.leaves = {number[tree["scheme_id"].iloc[i]]: (i, tree["field"].iloc[i], tree["op"].iloc[i]) for i in np.flatnonzero(tree["swept"])}
+        listed = rows[rows["thresholds"].notna()]
+        found = dict(zip(listed["scheme_id"], listed["thresholds"], strict=True))
+        self.thresholds = [np.sort(np.asarray(found[s], dtype=float)) for s in self.schemes]
+
+    def sides(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Verdicts with the swept leaves true, and with them false, and the facts that those read, NaN where there is no number.
+
+        A fact that is no number gives its own result on both sides.
+        """
+        tree, excluded = self.parts(batch)
+        facts, numbers, others = {}, {}, {}
+        for field in {f for _, f, _ in self.leaves.values()}:
+            facts[field], numbers[field], others[field] = np.full(batch.n, np.nan), np.zeros(batch.n, bool), np.zeros(batch.n, bool)
+            if field in batch.own:
+                columns, kinds, nums = batch.own[field][:3]
+                facts[field][columns[kinds == NUMBER]] = nums[kinds == NUMBER]
+                numbers[field][columns[kinds == NUMBER]] = True
+                others[field][columns[kinds > NUMBER]] = True
+        both = []
+        for side in (TRUE, FALSE):
+            for i, field, op in self.leaves.values():
+                tree[i] = np.where(numbers[field], side, np.where(others[field], {"==": FALSE, "!=": TRUE}.get(op, UNKNOWN), UNKNOWN))
+            both.append(np.minimum(self.included(tree), TRUE - excluded))
+        return *both, facts
+
+
+class Tally:
+    """How many profiles get each verdict, for each class and threshold of a block; verdicts are added up some batches at a time."""
+
+    def __init__(self, index: Classes) -> None:
+        self.index, self.n, self.size, self.held = index, 0, 0, []
+        self.base = {v: np.zeros(len(index.schemes), np.int64) for v in (TRUE, FALSE)}
+        self.more = {v: [np.zeros(len(t), np.int64) for t in index.thresholds] for v in (TRUE, FALSE)}
+
+    def add(self, batch: Batch) -> None:
+        yes, no, facts = self.index.sides(batch)
+        self.n += batch.n
+        for v in self.base:
+            self.base[v] += (no == v).sum(axis=1)
+        self.held.append((facts, {v: (yes == v).astype(np.int8) - (no == v).astype(np.int8) for v in self.base}))
+        self.size += 2 * yes.size
+
+    def settle(self) -> None:
+        """Adds what the swept leaf being true changes: the sum over the facts for which a threshold makes it so."""
+        if self.held:
+            orders = {field: np.argsort(np.concatenate([facts[field] for facts, _ in self.held]), kind="stable") for field in self.held[0][0]}
+            sorted_ = {field: np.concatenate([facts[field] for facts, _ in self.held])[order] for field, order in orders.items()}
+            for k, (_, field, op) in self.index.leaves.items():
+                thresholds = self.index.thresholds[k]
+                low, high = (np.searchsorted(sorted_[field], thresholds, side) for side in ("left", "right"))
+                for v in self.base:
+                    d = np.concatenate(([0], np.cumsum(np.concatenate([change[v][k] for _, change in self.held])[orders[field]], dtype=np.int64)))
+                    found = {"<": lambda: d[low], "<=": lambda: d[high], ">": lambda: d[-1] - d[high], ">=": lambda: d[-1] - d[low], "==": lambda: d[high] - d[low], "!=": lambda: d[-1] - d[high] + d[low]}  # noqa: B023
+                    self.more[v][k] += found[op]()
+        self.held, self.size = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.settle()
+        sizes = [len(t) for t in self.index.thresholds]
+        yes, no = (np.repeat(self.base[v], sizes) + np.concatenate(self.more[v]) for v in (TRUE, FALSE))
+        names = pa.array(np.repeat(np.array(self.index.schemes, dtype=object), sizes), pa.string())
+        return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(self.index.thresholds)), *map(pa.array, (yes, no, self.n - yes - no))], ["class", "threshold", "eligible", "ineligible", "undetermined"])
 
 
 class Batch:
@@ -212,52 +297,93 @@ class Batch:
             self.own[name] = (of[member[at]], kinds[at], nums[at], strs[at], lists[at])
 
 
-def _built(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "index": [pickle.dumps(Index(rows))]})
-
+def _built(kind: type[Index]):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "index": [pickle.dumps(kind(rows))]})
 
-def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, batch.schema) as stream:
-                stream.write_batch(batch.slice(at, BATCH))
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["profiles"])
+    return run
 
 
-def _met(tally: bool):
+def _nested(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, some, indexes = None, None, {}
         for batch in batches:
-            for profiles, block, data in zip(batch.column("profiles"), batch.column("block").to_pylist(), batch.column("index"), strict=True):
-                if last is None or profiles != last:  # a batch meets its blocks one after another
-                    last, some = profiles, Batch(profiles.as_py())
-                if block not in indexes:
-                    if len(indexes) >= KEPT:
-                        indexes.pop(next(iter(indexes)))
-                    indexes[block] = pickle.loads(data.as_py())
-                index = indexes[block]
-                included, excluded = index.evaluate(some)
-                verdict = np.minimum(included, TRUE - excluded)
-                if tally:
-                    yield pa.RecordBatch.from_arrays([pa.array(index.schemes, pa.string()), *(pa.array((verdict == x).sum(axis=1)) for x in (TRUE, FALSE, UNKNOWN))], ["scheme_id", "eligible", "ineligible", "undetermined"])
-                    continue
-                for i, scheme in enumerate(index.schemes):
-                    yield pa.RecordBatch.from_arrays([some.ids, pa.array([scheme] * some.n), pa.array(NAMES[verdict[i]]), *(pa.array(x[i] == TRUE, mask=x[i] == UNKNOWN) for x in (included, excluded))], ["profile_id", "scheme_id", "verdict", "included", "excluded"])
+            for at in range(0, batch.num_rows, size):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema) as stream:
+                    stream.write_batch(batch.slice(at, size))
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["profiles"])
 
     return run
 
 
-def _together(profiles: DataFrame, flat: DataFrame, tally: bool, schema: str) -> DataFrame:
-    schemes = flat.agg(F.approx_count_distinct("scheme_id")).first()[0]  # any number of blocks is right
-    n = max(1, -(-schemes // BLOCK))
-    rules = flat.select(F.pmod(F.xxhash64("scheme_id"), F.lit(n)).cast("int").alias("block"), "scheme_id", "path", "location", "field", "op", "value", "quantifier", "except_scope", "count_op", F.col("count").cast("double").alias("count"))
-    blocks = rules.groupBy("block").applyInPandas(_built, "block int, index binary")
-    batches = profiles.select("profile_id", F.col("members").cast(f"array<struct<ix: int, facts: map<string, {DDL}>>>").alias("members")).mapInArrow(_nested, "profiles binary")
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Batch, int, pa.Scalar]]:
+    """Each batch of profiles with its blocks, one after another."""
+    last, some = None, None
+    for batch in batches:
+        for profiles, block, data in zip(batch.column("profiles"), batch.column("block").to_pylist(), batch.column("index"), strict=True):
+            if last is None or profiles != last:
+                last, some = profiles, Batch(profiles.as_py())
+            yield some, block, data
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    indexes: dict[int, Index] = {}
+    for some, block, data in _meetings(batches):
+        if block not in indexes:
+            if len(indexes) >= KEPT:
+                indexes.pop(next(iter(indexes)))
+            indexes[block] = pickle.loads(data.as_py())
+        index = indexes[block]
+        included, excluded = index.evaluate(some)
+        verdict = np.minimum(included, TRUE - excluded)
+        for i, scheme in enumerate(index.schemes):
+            yield pa.RecordBatch.from_arrays([some.ids, pa.array([scheme] * some.n), pa.array(NAMES[verdict[i]]), *(pa.array(x[i] == TRUE, mask=x[i] == UNKNOWN) for x in (included, excluded))], ["profile_id", "scheme_id", "verdict", "included", "excluded"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tallies: dict[int, Tally] = {}
+    for some, block, data in _meetings(batches):
+        if block not in tallies:
+            if len(tallies) >= KEPT:
+                yield tallies.pop(next(iter(tallies))).rows()
+            tallies[block] = Tally(pickle.loads(data.as_py()))
+        tallies[block].add(some)
+        if sum(t.size for t in tallies.values()) > HELD:
+            for t in tallies.values():
+                t.settle()
+    for t in tallies.values():
+        yield t.rows()
+
+
+_RULE = ["path", "location", "field", "op", "value", "quantifier", "except_scope", "count_op", "count"]
+
+
+def _together(profiles: DataFrame, rules: DataFrame, n: int, size: int, kind: type[Index], run, schema: str) -> DataFrame:
+    """Batches of so many profiles, met by all n blocks; rules: the flat rules with their block."""
+    blocks = rules.groupBy("block").applyInPandas(_built(kind), "block int, index binary")
+    batches = profiles.select("profile_id", F.col("members").cast(f"array<struct<ix: int, facts: map<string, {DDL}>>>").alias("members")).mapInArrow(_nested(size), "profiles binary")
     if (blocks.agg(F.sum(F.length("index"))).first()[0] or 0) <= SENT:
         blocks = F.broadcast(blocks)
     met = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
-    return met.select("profiles", "block", "index").mapInArrow(_met(tally), schema)
+    return met.select("profiles", "block", "index").mapInArrow(run, schema)
+
+
+def classes(flat: DataFrame) -> DataFrame:
+    """scheme_id, class, threshold, rules of each rule set; one class's rules are equal but for the threshold, which they leave out.
+
+    Left out is the number that an inclusion leaf is compared with, of the leaf whose place has most different numbers
+    in the table. A rule set without such a leaf has the threshold 0 and all its rules.
+    """
+    rules = flat.select("scheme_id", *_RULE[:-1], F.col("count").cast("double").alias("count"), F.col("value.num").alias("num"))
+    number = (F.col("location") == "inclusion") & F.col("value.kind").isin("bool", "num") & ~F.isnan("num") & F.col("op").isin("<", "<=", ">", ">=", "==", "!=")
+    places = rules.where(number).groupBy("path", "field", "op").agg(F.approx_count_distinct("num").alias("different"), F.lit("inclusion").alias("location"))
+    rules = rules.join(places, ["path", "field", "op", "location"], "left").withColumn("different", F.when(number, F.col("different")))
+    whole = rules.groupBy("scheme_id").agg(F.sort_array(F.collect_list(F.struct(*_RULE))).alias("all"), F.max(F.when(F.col("different").isNotNull(), F.struct("different", "path", "num"))).alias("x"))
+    left_out = F.expr(f"CAST(named_struct('kind', 'swept', 'num', NULL, 'str', NULL, 'arr', NULL) AS {DDL})")
+    swept = lambda r: (r["location"] == "inclusion") & (r["path"] == F.col("x.path"))
+    kept = F.transform("all", lambda r: F.when(swept(r), r.withField("value", left_out)).otherwise(r))
+    whole = whole.select("scheme_id", F.coalesce("x.num", F.lit(0.0)).alias("threshold"), kept.alias("rules"))
+    return whole.select("scheme_id", F.md5(F.to_json("rules")).alias("class"), "threshold", "rules")
 
 
 def verdicts(profiles: DataFrame, flat: DataFrame) -> DataFrame:
@@ -267,10 +393,25 @@ def verdicts(profiles: DataFrame, flat: DataFrame) -> DataFrame:
     facts. A rule set without inclusion leaves is undecided at best.
     """
     kind = profiles.schema["profile_id"].dataType.simpleString()
-    return _together(profiles, flat, False, f"profile_id {kind}, scheme_id string, verdict string, included boolean, excluded boolean")
+    schemes = flat.agg(F.approx_count_distinct("scheme_id")).first()[0]  # any number of blocks is right
+    n = max(1, -(-schemes // BLOCK))
+    rules = flat.select(F.pmod(F.xxhash64("scheme_id"), F.lit(n)).cast("int").alias("block"), "scheme_id", *_RULE[:-1], F.col("count").cast("double").alias("count"))
+    return _together(profiles, rules, n, BATCH, Index, _met, f"profile_id {kind}, scheme_id string, verdict string, included boolean, excluded boolean")
 
 
 def tallies(profiles: DataFrame, flat: DataFrame) -> DataFrame:
-    """scheme_id, eligible, ineligible, undetermined: how many profiles get each verdict, added up within batches first."""
-    counts = _together(profiles, flat, True, "scheme_id string, eligible long, ineligible long, undetermined long")
-    return counts.groupBy("scheme_id").agg(*[F.sum(c).alias(c) for c in ("eligible", "ineligible", "undetermined")])
+    """scheme_id, eligible, ineligible, undetermined: how many profiles get each verdict.
+
+    Work grows with profiles times classes() of rule sets; tasks give a row for each class and threshold.
+    """
+    sorts = classes(flat)
+    number, variants = sorts.agg(F.approx_count_distinct("class"), F.approx_count_distinct(F.xxhash64("class", "threshold"))).first()
+    parts = max(1, -(-variants // SWEPT))  # of a class's thresholds; any number is right, as of blocks
+    n = max(1, -(-number * parts // BLOCK))
+    one = sorts.withColumn("part", F.pmod(F.xxhash64("threshold"), F.lit(parts))).groupBy("class", "part").agg(F.any_value("rules").alias("rules"), F.collect_set("threshold").alias("thresholds"))
+    named = one.select(F.pmod(F.xxhash64("class", "part"), F.lit(n)).cast("int").alias("block"), F.concat_ws("-", "class", "part").alias("scheme_id"), "thresholds", F.posexplode("rules").alias("i", "r"))
+    rules = named.select("block", "scheme_id", "r.*", F.when(F.col("i") == 0, F.col("thresholds")).alias("thresholds"))
+    sums = ("eligible", "ineligible", "undetermined")
+    counts = _together(profiles, rules, n, COUNTED, Classes, _counted, "class string, threshold double, eligible long, ineligible long, undetermined long")
+    found = counts.groupBy(F.substring_index("class", "-", 1).alias("class"), "threshold").agg(*[F.sum(c).alias(c) for c in sums])
+    return sorts.select("scheme_id", "class", "threshold").join(found, ["class", "threshold"]).select("scheme_id", *sums)
