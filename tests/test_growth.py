@@ -10,9 +10,9 @@ from tests.conftest import DATA
 from tests.test_evaluate import profiles
 from verdictlake import catalog
 from verdictlake.llm import queries
-from verdictlake.operators import evaluate, gate, indexed, ledger, questions, retrieval
+from verdictlake.operators import evaluate, gate, indexed, ledger, questions, relational, retrieval
 from verdictlake.operators.evaluate import ELIGIBLE, INELIGIBLE, UNDETERMINED
-from verdictlake.plans import schema
+from verdictlake.plans import household, schema
 from verdictlake.plans.rulesets import Exclusion, Leaf, Node, RuleSet, flat_table
 
 
@@ -130,3 +130,12 @@ def test_rule_sets_that_differ_in_a_threshold_are_counted_together(spark, monkey
     for x in indexed.verdicts(p, flat).collect():
         wanted[x.scheme_id][[ELIGIBLE, INELIGIBLE, UNDETERMINED].index(x.verdict)] += 1
     assert {x.scheme_id: [x.eligible, x.ineligible, x.undetermined] for x in indexed.tallies(p, flat).collect()} == wanted
+
+
+def test_relational_verdicts_deal_profiles_once(spark):
+    flat = flat_table(spark, [household.H1, household.H2])
+    found = relational.verdicts(household.profiles(spark, DATA), flat)
+    wanted = {(x.profile_id, x.scheme_id): x.verdict for x in evaluate.evaluate(household.profiles(spark, DATA), [household.H1, household.H2]).collect()}
+    assert {(x.profile_id, x.scheme_id): x.verdict for x in found.collect()} == wanted
+    plan_ = found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan_ and plan_.count("hashpartitioning(profile_id") == 1
