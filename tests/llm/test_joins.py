@@ -1,12 +1,14 @@
 """Near duplicates and nearest neighbours against brute force."""
 
 import collections
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import DATA
-from verdictlake.llm import ann, components, ngram_join
+from verdictlake.llm import ann, components, ngram_join, toxicity
 
 
 def brute_components(rows):
@@ -166,3 +168,30 @@ def test_share_looked_at_and_recall_are_as_the_readme_says():
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(20, 64))
     assert np.allclose(np.linalg.norm(ann.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_texts_of_rows_that_stay_are_not_dealt(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(200))) for i in range(300)]
+    rows += [(900, rows[7][1]), (901, rows[8][1] + " more"), (9, rows[9][1]), (None, None)]
+    sc = spark.sparkContext._jsc.sc()
+
+    def dealt():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+        start = dealt()
+        assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == list(range(300))
+        assert dealt() - start < 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_features_come_as_a_matrix_without_python_objects():
+    lists = pa.chunked_array([pa.array([[1.0, 0.5], [0.0, 2.0]], pa.list_(pa.float32())), pa.array([[3.0, 4.0]], pa.list_(pa.float32()))])
+    assert toxicity.matrix(lists, 2).tolist() == [[1.0, 0.5], [0.0, 2.0], [3.0, 4.0]]
+    assert toxicity.matrix(pa.chunked_array([], pa.list_(pa.float32())), 2).shape == (0, 2)

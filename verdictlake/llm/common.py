@@ -42,10 +42,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stable(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there, and every reader sees the same rows.
 
-    Before that, the driver lets go of what earlier jobs left, so that Spark removes their shuffle files.
+    Before that, the driver lets go of what earlier jobs left, so that Spark removes their shuffle files, and its Python
+    returns freed memory.
     """
     spark = df.sparkSession
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
     path = fresh_path(spark, name)
     df.write.options(**options or {}).parquet(path)
@@ -135,9 +137,14 @@ def global_index(df: DataFrame, order: list, name: str) -> DataFrame:
     return ranged.withColumn("_in", within).join(starts, "_part").withColumn("idx", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
 
 
+def bitmap_words(df: DataFrame, bit: str) -> DataFrame:
+    """A bitmap with the values of column `bit` set, as a table: w, the number of a word of 32 bits, and v, the word."""
+    return df.select(F.shiftright(F.col(bit), 5).alias("w"), F.expr(f"shiftleft(1L, CAST({bit} & 31 AS INT))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+
+
 def bitmap(df: DataFrame, bit: str, bits: int) -> np.ndarray:
     """A bitmap of `bits` bits (a power of two) with the values of column `bit` set; at most bits / 32 rows reach the driver."""
-    words = df.select(F.shiftright(F.col(bit), 5).alias("w"), F.expr(f"shiftleft(1L, CAST({bit} & 31 AS INT))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    words = bitmap_words(df, bit)
     out = np.zeros(bits // 32, dtype=np.uint32)
     for batch in words.toArrow().to_batches() if bits else []:
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import bitmap, discard, give_back, in_bitmap, stable
+from verdictlake.llm.common import bitmap, bitmap_words, discard, give_back, in_bitmap, stable
 from verdictlake.llm.components import components
 
 #: Words of a shingle; the threshold as a percentage.
@@ -441,9 +441,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = rows.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     twice = rows.where("stays").groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    kept = docs.join(gone, same, "left_anti")
+    # Texts of rows that a bitmap of both tables does not hold travel nowhere.
+    bit = lambda id_, key: F.xxhash64(id_, key).bitwiseAND(FILTER_BITS - 1)
+    named = stable(gone.unionByName(twice).select(bit("_id", "_key").alias("bit")), "join-named")
+    words = F.broadcast(bitmap_words(named, "bit").select(F.col("w").alias("_w"), F.col("v").alias("_v")))  # FILTER_BITS / 32 rows at most
+    at = bit(F.col("doc_id"), F.xxhash64("text"))
+    marked = docs.withColumn("_bit", at).join(words, F.shiftright("_bit", 5) == F.col("_w"), "left")
+    held = F.coalesce(F.expr("shiftright(_v, CAST(_bit & 31 AS INT)) & 1"), F.lit(0)) == 1
+    others, maybe = (marked.where(x).select(*docs.columns) for x in (~held, held))
+    kept = maybe.join(gone, same, "left_anti")
     once = kept.join(twice, same, "left_semi").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return kept.join(twice, same, "left_anti").unionByName(once)
+    return others.unionByName(kept.join(twice, same, "left_anti")).unionByName(once)
 
 
 def op2(docs: DataFrame) -> DataFrame:

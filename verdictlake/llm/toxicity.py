@@ -140,6 +140,12 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray, own: list[list[in
     return models
 
 
+def matrix(rows: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of `width` floats as a matrix, without a Python object for each."""
+    parts = [x.flatten().to_numpy() for x in rows.chunks]
+    return np.concatenate(parts or [np.empty(0, np.float32)]).reshape(-1, width)
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = SAMPLE) -> Chain:
     """Fits the chain on the `sample` labelled documents whose ids have the smallest hashes.
 
@@ -176,12 +182,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(chain.features(batch.column("text").to_pylist())), pa.list_(pa.float64())), *[batch.column(f"y{i}") for i in range(len(names))]], names=["doc_id", "x", *[f"y{i}" for i in range(len(names))]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(chain.features(batch.column("text").to_pylist()).astype(np.float32)), pa.list_(pa.float32())), *[batch.column(f"y{i}") for i in range(len(names))]], names=["doc_id", "x", *[f"y{i}" for i in range(len(names))]])
 
-    table = rows.select("doc_id", "text", *[f"y{i}" for i in range(len(names))]).mapInArrow(featured, "doc_id long, x array<double>, " + ", ".join(f"y{i} int" for i in range(len(names)))).toArrow().sort_by("doc_id")
+    table = rows.select("doc_id", "text", *[f"y{i}" for i in range(len(names))]).mapInArrow(featured, "doc_id long, x array<float>, " + ", ".join(f"y{i} int" for i in range(len(names)))).toArrow().sort_by("doc_id")
     d = len(words) + len(SHAPE)
-    x = np.array(table.column("x").to_pylist(), dtype=np.float32).reshape(-1, d)
+    x = matrix(table.column("x"), d)
     y = np.stack([table.column(f"y{i}").to_numpy().astype(float) for i in range(len(names))], axis=1).reshape(-1, len(names))
+    del table
     folds = np.random.default_rng(5).integers(0, FOLDS, len(x))
     chain.models = fit_chain(x, y, folds, [[*columns, *range(len(words), d)] for columns in own])
     return chain
