@@ -139,3 +139,23 @@ def test_relational_verdicts_deal_profiles_once(spark):
     assert {(x.profile_id, x.scheme_id): x.verdict for x in found.collect()} == wanted
     plan_ = found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
     assert "SortMergeJoin" not in plan_ and plan_.count("hashpartitioning(profile_id") == 1
+
+
+def test_a_few_rules_from_a_table_are_folded_in_the_households_row(spark, monkeypatch):
+    rng = random.Random(5)
+    leaf = lambda: Leaf(rng.choice("abc"), rng.choice(["==", "!=", "<", "<=", ">", ">=", "in", "not_in"]), rng.choice([1, 5.0, True, "x", ["x", 5], None, float("inf")]))
+    sets = [RuleSet(f"s{i}", Node(rng.choice(["and", "or"]), (leaf(), Node("or", (leaf(), leaf())))), (Exclusion("c", ">=", 5, quantifier=q, count_op="<=", count=1, exception=leaf(), except_scope=rng.choice(["member", "applicant"])), Exclusion("b", "==", True))) for i, q in enumerate(["self", "some_family_member", "all_family_members", "count_family_members"])]
+    values = {"a": [1, 5, 9, None, "x", float("inf"), float("nan")], "b": [True, False, 1, "x"], "c": [1, 9, "x", ["x"]]}
+    people = [[{f: rng.choice(v) for f, v in values.items() if rng.random() < 0.7} for _ in range(rng.randint(0, 4))] for _ in range(80)] + [[None, {"a": 1, "c": 9}], [None, {}, {"c": 1}]]
+    p, flat = profiles(spark, *people), flat_table(spark, sets)
+    found = relational.verdicts(p, flat)
+    assert "Join" not in plan(found) and "Aggregate" not in plan(found)
+    got = {(x.profile_id, x.scheme_id): (x.verdict, x.included, x.excluded) for x in found.collect()}
+    compiled = {(x.profile_id, x.scheme_id): (x.verdict, x.included, x.excluded) for x in evaluate.evaluate(p, sets).where("error IS NULL").collect()}
+    assert len(got) == len(people) * len(sets) and all(got[k] == v for k, v in compiled.items() if not any(isinstance(x, list) for m in people[k[0]] if m for x in m.values()))
+    odd = flat.unionByName(flat.limit(1))  # a rule twice: joined, as is what no rule set gives
+    assert "Join" in plan(relational.verdicts(p, odd))
+    monkeypatch.setattr(relational, "COMPILED", 3)
+    joined = relational.verdicts(p, flat)
+    assert "Join" in plan(joined)
+    assert {(x.profile_id, x.scheme_id): (x.verdict, x.included, x.excluded) for x in joined.collect()} == got
