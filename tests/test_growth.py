@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tests.test_evaluate import profiles
+from tests.test_evaluate import profiles, random_rules
 from verdictlake import catalog
 from verdictlake.llm import queries
 from verdictlake.operators import evaluate, gate, indexed, ledger, questions, relational, retrieval
@@ -159,3 +159,17 @@ def test_a_few_rules_from_a_table_are_folded_in_the_households_row(spark, monkey
     joined = relational.verdicts(p, flat)
     assert "Join" in plan(joined)
     assert {(x.profile_id, x.scheme_id): (x.verdict, x.included, x.excluded) for x in joined.collect()} == got
+
+
+def test_chats_see_texts_instead_of_households(spark):
+    rng = random.Random(6)
+    for n in range(5):
+        rules = random_rules(rng, n)
+        people = [[{f: rng.choice([0, 1, 2, True, None, "x"]) for f in "abc" if rng.random() < 0.6} for _ in range(rng.randint(1, 3))] for _ in range(30)]
+        found = questions.compared_chats(profiles(spark, *people), rules)
+        got = {(x.profile_id, x.relevance): (x.verdict, x.asked) for x in found.collect()}
+        reaches = {f: questions.Reach(rules, f) for f in "abc"}
+        assert got == {(i, on): questions.chat(rules, p, (), reaches if on else None) for i, p in enumerate(people) for on in (False, True)}
+    text = plan(catalog.QUERIES["chat_questions"](spark, DATA))
+    sent = text.split("MapInArrow")[1].split("\n")[1]
+    assert text.count("MapInArrow") == 1 and "Union" not in text.split("MapInArrow")[0] and "said" in sent and "_fam" not in sent

@@ -388,9 +388,8 @@ def chat_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of simulated chats with all orders, with and without asking first what can change the verdict: one branch of the rules never holds."""
     never = Node("and", (Leaf("quantity", ">=", 10), Leaf("quantity", "<", 5)))
     rules_ = RuleSet("c", Node("and", (Leaf("total_price", ">=", 50000), Node("or", (never, Leaf("status", "==", "F"))))), (Exclusion("returned", "==", True, exception=Leaf("discount", ">=", 0.09)),))
-    people = H.profiles(spark, sf_dir)
-    both = [questions.simulated_chats(people, rules_, relevance=on).withColumn("relevance", F.lit(on)) for on in (False, True)]
-    return both[0].unionByName(both[1]).groupBy("relevance", "verdict").agg(F.count("*").alias("chats"), F.sum(F.size("asked")).cast("long").alias("questions"))
+    both = questions.compared_chats(H.profiles(spark, sf_dir), rules_)
+    return both.groupBy("relevance", "verdict").agg(F.count("*").alias("chats"), F.sum(F.size("asked")).cast("long").alias("questions"))
 
 
 @query("""WITH s AS (SELECT 's' || l_suppkey % 40 AS scheme_id, l_linenumber % 3 AS sample, 'f' || l_partkey % 6 AS field, l_returnflag AS op FROM lineitem WHERE l_orderkey % 5 = 0), g AS (SELECT 's' || o_custkey % 40 AS scheme_id, 'f' || o_orderkey % 6 AS field, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END AS op, count(*) AS n FROM orders WHERE o_orderkey % 16 = 0 GROUP BY ALL),

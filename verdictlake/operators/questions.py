@@ -237,35 +237,48 @@ def simulated_chats(profiles: DataFrame, rules: RuleSet, known: tuple[str, ...]
     """profile_id, verdict, asked: chats with every profile's household, each answered from its full facts; see chat().
 
     A chat depends on its household alone, so all run in one scan without rounds or an exchange. It sees of a person
-    only which facts are there and what the leaves say of them: Spark reduces households to that, and a task has a chat
-    with the first household of each kind only.
+    only which facts are there and what the leaves say of them: Spark reduces households to a text of that, no value
+    leaves it, and a task has a chat with each kind of household only.
     """
+    return _chats(profiles, rules, known, (relevance,)).drop("relevance")
+
+
+def compared_chats(profiles: DataFrame, rules: RuleSet, known: tuple[str, ...] = ()) -> DataFrame:
+    """profile_id, relevance, verdict, asked: simulated_chats() without relevance and with it, from one scan."""
+    return _chats(profiles, rules, known, (False, True))
+
+
+def _chats(profiles: DataFrame, rules: RuleSet, known: tuple[str, ...], ways: tuple[bool, ...]) -> DataFrame:
     sees = Reach(rules, "")  # which leaves and fields are read of the applicant, and which of the others
     own = dict.fromkeys(leaf.field for _, leaf in leaves(rules.inclusion)) | dict.fromkeys(leaf.field for x in rules.exclusions for leaf in (x, x.exception) if leaf)
-    reaches = {f: Reach(rules, f) for f in own} if relevance else None
+    reaches = {f: Reach(rules, f) for f in own} if any(ways) else None
     kind = profiles.schema["profile_id"].dataType.simpleString()
 
-    def value(v: dict) -> Any:
-        if v["kind"] == "list":
-            return [None if c == "0:" else c[2:] if c.startswith("s:") else float(c[2:]) for c in v["arr"]]
-        return bool(v["num"]) if v["kind"] == "bool" else {"num": v["num"], "str": v["str"], "null": None}[v["kind"]]
+    def person(said: str, some: list, fields: list[str]) -> dict[str, plain.Said]:
+        trits = list(zip(some, map("FUT".index, said[: len(some)]), strict=True))
+        return {f: plain.Said({plain.said_of(leaf): t for leaf, t in trits if leaf.field == f}) for f, c in zip(fields, said[len(some) :], strict=True) if c == "."}
+
+    def chats(said: str) -> list[tuple[str, list[str]]]:
+        me, others = said.split("|")
+        people = [person(me, sees.own, sees.own_fields), *(person(m, sees.family, sees.family_fields) for m in others.split("/") if m)]
+        return [chat(rules, people, known, reaches if on else None) for on in ways]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ended: dict[str, tuple[str, list[str]]] = {}
+        ended: dict[str, list[tuple[str, list[str]]]] = {}
         for batch in batches:
-            kinds = batch.column(2).dictionary_encode()
-            first = dict(zip(reversed(kinds.indices.to_pylist()), range(batch.num_rows - 1, -1, -1), strict=True))
+            kinds = batch.column(1).dictionary_encode()
+            texts = kinds.dictionary.to_pylist()
             if len(ended) > KINDS:
                 ended.clear()
-            new = [(said, first[i]) for i, said in enumerate(kinds.dictionary.to_pylist()) if said not in ended]
-            for (said, _), people in zip(new, batch.column(1).take(pa.array([at for _, at in new], pa.int64())).to_pylist(), strict=True):
-                ended[said] = chat(rules, [{k: value(v) for k, v in m["facts"]} for m in people], known, reaches)
-            verdicts, asked = zip(*[ended[said] for said in kinds.dictionary.to_pylist()], strict=True) if len(kinds) else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdicts, pa.string()).take(kinds.indices), pa.array(asked, pa.list_(pa.string())).take(kinds.indices)], ["profile_id", "verdict", "asked"])
-
-    others = F.transform(F.slice("_fam", F.lit(2), F.size("_fam")), lambda m: _reduced(m["facts"], sees.family, sees.family_fields))
-    said = F.concat(_reduced(F.col("_me"), sees.own, sees.own_fields), F.lit("|"), F.array_join(others, "/"), F.lit("|"), F.size("_fam").cast("string"))
-    return prepared(profiles).select("profile_id", "_fam", said.alias("said")).mapInArrow(run, f"profile_id {kind}, verdict string, asked array<string>")
+            ended |= {said: chats(said) for said in texts if said not in ended}
+            for k, on in enumerate(ways):
+                verdicts, asked = pa.array([ended[said][k][0] for said in texts], pa.string()), pa.array([ended[said][k][1] for said in texts], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.repeat(on, batch.num_rows), verdicts.take(kinds.indices), asked.take(kinds.indices)], ["profile_id", "relevance", "verdict", "asked"])
+
+    parts = [_reduced(F.col("_me"), sees.own, sees.own_fields), F.lit("|")]
+    if sees.family:  # else a chat doesn't see the others
+        parts.append(F.array_join(F.transform(F.slice("_fam", F.lit(2), F.size("_fam")), lambda m: _reduced(m["facts"], sees.family, sees.family_fields)), "/"))
+    return prepared(profiles).select("profile_id", F.concat(*parts).alias("said")).mapInArrow(run, f"profile_id {kind}, relevance boolean, verdict string, asked array<string>")
 
 
 def next_fact(missing: DataFrame, fields: DataFrame) -> DataFrame:
