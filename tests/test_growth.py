@@ -2,7 +2,9 @@
 
 import datetime
 import json
+import pickle
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -173,3 +175,26 @@ def test_chats_see_texts_instead_of_households(spark):
     text = plan(catalog.QUERIES["chat_questions"](spark, DATA))
     sent = text.split("MapInArrow")[1].split("\n")[1]
     assert text.count("MapInArrow") == 1 and "Union" not in text.split("MapInArrow")[0] and "said" in sent and "_fam" not in sent
+
+
+def test_what_rule_sets_share_is_evaluated_once_and_sent_without_the_driver(spark, monkeypatch):
+    built = {}
+    monkeypatch.setattr(indexed, "pickle", type("P", (), {"dumps": pickle.dumps, "loads": staticmethod(lambda data: built.setdefault(data, pickle.loads(data)))}))
+    found = catalog.QUERIES["eval_indexed"](spark, DATA)
+    index = next(iter(built.values()))
+    assert len(index.schemes) > 40 and index.own.n <= 6 and index.family.n <= 61 and len(index.held) <= 60
+    assert "strategy=broadcast" not in plan(found) and "binary" not in plan(found)
+    wanted = sorted(found.collect())
+    monkeypatch.setattr(indexed, "SENT", 0)  # blocks of any size, that the driver never sees
+    assert sorted(catalog.QUERIES["eval_indexed"](spark, DATA).collect()) == wanted
+
+
+def test_classes_compare_whole_rule_sets(spark):
+    base = RuleSet("s", Node("and", (Leaf("a", ">=", 1), Leaf("b", "in", ["x", None]))), (Exclusion("c", "==", True, exception=Leaf("d", "==", 2)),))
+    like = [base, replace(base, inclusion=Node("and", (Leaf("a", ">=", 2), Leaf("b", "in", ["x", None])))), replace(base, inclusion=Node("and", (Leaf("a", ">=", 7.5), Leaf("b", "in", ["x", None]))))]
+    other = [replace(base, inclusion=Node("or", base.inclusion.children)), replace(base, inclusion=Node("and", (Leaf("a", ">=", 1), Leaf("b", "in", [None, "x"])))), replace(base, inclusion=Node("and", (Leaf("a", ">", 1), base.inclusion.children[1])))]
+    other += [replace(base, exclusions=(replace(base.exclusions[0], **x),)) for x in ({"except_scope": "applicant"}, {"quantifier": "some_family_member"}, {"exception": Leaf("d", "==", 3)}, {"exception": None}, {"field": "d"}, {"value": "True"})]
+    flat = flat_table(spark, [replace(x, scheme_id=f"{k}{i}") for k, some in (("like", like), ("other", other)) for i, x in enumerate(some)])
+    got = {x.scheme_id: (x["class"], x.threshold, x.swept) for x in indexed.classes(flat).collect()}
+    assert [got[f"like{i}"][1] for i in range(3)] == [1, 2, 7.5] and len({got[f"like{i}"][0] for i in range(3)}) == 1
+    assert len({x[0] for x in got.values()}) == 1 + len(other) and {x[2] for x in got.values()} == {"inclusion.and[0]", "inclusion.or[0]"}

@@ -357,7 +357,9 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         num, string, arr = (value if kind in kinds else "NULL" for kinds in (("num", "bool"), ("str",), ("list",)))
         tagged = f"named_struct('kind', '{kind}', 'num', CAST({num} AS DOUBLE), 'str', CAST({string} AS STRING), 'arr', CAST({arr} AS ARRAY<STRING>))"
         rows.append(f"named_struct('path', '{path}', 'location', '{location}', 'field', '{field}', 'op', '{op}', 'value', {tagged}, 'quantifier', {text(quantifier)}, 'except_scope', {text(scope)}, 'count_op', {text(count_op)}, 'count', CAST({'NULL' if count is None else count} AS INT))")
-    return read(spark, sf_dir, "part").selectExpr("'p' || p_partkey AS scheme_id", f"explode(array({', '.join(rows)})) AS r").select("scheme_id", "r.*")
+    # dealt by rule set while it is one narrow row: a scan's few tasks would else build and sort all rules
+    parts = read(spark, sf_dir, "part").selectExpr("'p' || p_partkey AS scheme_id", "p_partkey", "p_size", "p_retailprice").repartition(4 * spark.sparkContext.defaultParallelism, "scheme_id")
+    return parts.selectExpr("scheme_id", f"explode(array({', '.join(rows)})) AS r").select("scheme_id", "r.*")
 
 
 @query("""WITH r AS (SELECT 'p' || p_partkey AS scheme_id, p_retailprice * 40 AS least, p_partkey % 3 AS which, CASE WHEN p_partkey % 2 = 0 THEN 'F' ELSE 'O' END AS status, p_size AS size, p_size % 10 AS d FROM part),
